@@ -8,14 +8,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, so that memory does not depend on the Arrow batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct words that a Python worker remembers; beyond that it forgets all and starts anew.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 #: A side of a join is broadcast only if the table written for it has at most this many bytes.
 BROADCAST_BYTES = 48 << 20
 
@@ -57,16 +58,16 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[list[list]]:
     """Columns of the batches as Python lists, cut so that the last column (bytes) stays near limit a slice."""
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        start = size = 0
-        for i, x in enumerate(cols[-1]):
-            if i > start and size + len(x) > limit:
-                yield [c[start:i] for c in cols]
-                start, size = i, 0
-            size += len(x)
-        if start < len(cols[-1]):
-            yield [c[start:] for c in cols]
+    for b in batches:
+        last = b.column(b.num_columns - 1)
+        sizes = pc.binary_length(last).fill_null(0).to_numpy(zero_copy_only=False) if pa.types.is_binary(last.type) else np.ones(len(last))
+        filled = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            before = filled[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(filled, before + limit, side="right")))
+            yield [c.slice(start, end - start).to_pylist() for c in b.columns]
+            start = end
 
 
 class WordCache:

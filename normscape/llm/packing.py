@@ -23,9 +23,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Salts of a length: SALTS, or more once a salt would get over ROWS_PER_SALT pieces.
 SALTS, ROWS_PER_SALT = 64, 1_000_000
+#: Closing marks that are tokens of their own, apart from the letters or digits before them (no apostrophe: 's, 't ...).
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Slots of the plan are broadcast up to this many rows; beyond it the join shuffles.
 PLAN_ROWS = 200_000
-_LONG_WORD = 64
 
 
 class WordTokens:
@@ -39,14 +40,56 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
+        self.cores: dict[str, list[int]] = {}
+        #: a special token that stands between words when many new ones are encoded as one text
+        self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        #: plain lower-case words need no normaliser and are one pre-token: the model alone gives their ids
+        probes = ["the", "tokenisation", "hcz", "q", "straightforwardly", "einverge", "llamente", "zzxxyyqq"]
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
         self._clear()
 
+    def _learnt(self, words: list[str]) -> list:
+        """The ids of each word, from its core and its closing marks, which the tokenizer parts in any case."""
+        cores, tails = [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if not core or len(core) == len(w) or not core[-1].isalnum() or "|" in w:
+                core = w
+            tails.append(w[len(core) :])
+            cores.append(core.lower() if core.isascii() and "|" not in w else core)
+        new = list({c for c in cores + tails if c and c not in self.cores})
+        if len(self.cores) + len(new) > self.cap:
+            self.cores = {}
+            new = list(set(cores + tails) - {""})
+        self.cores.update(zip(new, self._ids(new)))
+        return [self.cores[c] + self.cores[t] if t else self.cores[c] for c, t in zip(cores, tails)]
+
+    def _ids(self, words: list[str]) -> list:
+        """The ids of each word."""
+        if self.direct:
+            plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+            model = self.tokenizer.model
+            rest = iter(self._through_text([w for w, p in zip(words, plain) if not p]))
+            return [[t.id for t in model.tokenize(w)] if p else next(rest) for w, p in zip(words, plain)]
+        return self._through_text(words)
+
+    def _through_text(self, words: list[str]) -> list:
+        if self.mark is None or any(self.mark[0] in w for w in words):
+            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        out = []
+        for s in range(0, len(words), 500):
+            some = words[s : s + 500]
+            ids = np.array(self.tokenizer.encode(self.mark[0].join(some), add_special_tokens=False).ids, np.int64)
+            at = np.flatnonzero(ids == self.mark[1])
+            out += [x.tolist() for x in np.split(np.delete(ids, at), at - np.arange(len(at)))]
+        return out
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = self._learnt(words)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
