@@ -9,6 +9,7 @@ sorts) and takes the planned slot by a join on length and rank.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from normscape.llm.common import batch, gather_runs, saved, slices, text_rows
 
 CAPACITY = 4096
 END_ID = 1
+#: Words, and cores of words, whose ids a Python worker keeps.
+WORDS_KEPT = 250_000
 #: Salts of a length: SALTS, or more once a salt would get over ROWS_PER_SALT pieces.
 SALTS, ROWS_PER_SALT = 64, 1_000_000
 #: Closing marks that are tokens of their own, apart from the letters or digits before them (no apostrophe: 's, 't ...).
@@ -36,7 +39,7 @@ class WordTokens:
     it reaches across a blank or a line end (tests compare the two).
     """
 
-    def __init__(self, path: str, cap: int = 200_000):
+    def __init__(self, path: str, cap: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
@@ -114,6 +117,12 @@ class WordTokens:
         return np.split(ids, ends[:-1])
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokens(path: str) -> WordTokens:
+    """One for a Python worker: what a task has worked out serves the next."""
+    return WordTokens(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids, then end_id, cut every `capacity` tokens."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -121,7 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path)
+        words = worker_tokens(tokenizer_path)
         for doc_ids, bodies in slices(batches):
             out = []
             for i, ids in zip(doc_ids, words.encode([b.decode("utf-8", "replace") for b in bodies])):

@@ -11,9 +11,9 @@ once in numpy. All randomness is a hash of (seed, row key, sample, segment, step
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +29,9 @@ SEED = 17
 SHARPNESS = 1.0
 SEGMENT_CACHE = 120_000
 #: Steps along a path whose siblings are queued at once; what is further down is one lumped node.
-HORIZON = 24
+HORIZON = 6
 _BLANK = "▁"
-_SEGMENT = re.compile(f"\n|{_BLANK}+[^{_BLANK}\n]*|[^{_BLANK}\n]+")
+_FACTOR = 0x100000001B3
 _GOLDEN = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -49,15 +49,40 @@ class Pieces:
         self.byte_id = {int(names[i][1:-1], 16): i for i in range(size) if model.is_byte(i)}
         self.ids = {names[i]: i for i in range(size) if not special[i] and not model.is_byte(i)}
         first = min(self.ids.values())
-        self.weight = {p: -SHARPNESS * math.log(i - first + 10) for p, i in self.ids.items()}
         self.byte_weight = -SHARPNESS * math.log(size + 10)
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.weight = -SHARPNESS * np.log(np.maximum(np.arange(size) - first, 0) + 10.0)
+        longest = max(map(len, self.ids))
+        found: list[dict[int, int]] = [{} for _ in range(longest + 1)]
+        for p, i in self.ids.items():
+            h = 0
+            for n, c in enumerate(p, 1):
+                h = (h * _FACTOR + ord(c) + 1) & _ALL
+                found[n][h] = i if n == len(p) else found[n].get(h, -1)
+        #: for each length the sorted hashes of pieces and of their beginnings, with the piece's id or -1
+        self.tables = [(np.array(sorted(d), np.uint64), np.array([d[h] for h in sorted(d)], np.int64)) for d in found]
+        # neighbours that some piece holds: a text is cut between all others
+        chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
+        self.char = np.zeros(0x110000, np.int32)
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1,) * 2, bool)
+        for p in self.ids:
+            at = self.char[[ord(c) for c in p]]
+            self.joined[at[:-1], at[1:]] = True
         self.bytes = [b""] * size
         for p, i in self.ids.items():
             self.bytes[i] = p.replace(_BLANK, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
 
+    def segments(self, text: str) -> list[str]:
+        """The text, as the model sees it, cut between all neighbours that no piece holds."""
+        if not text:
+            return []
+        text = _BLANK + text.replace(" ", _BLANK)
+        at = self.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = (np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+
     def decode(self, ids) -> bytes:
         """UTF-8 bytes of the text; the blank put before every text is taken off again."""
         return b"".join(map(self.bytes.__getitem__, ids)).removeprefix(b" ")
@@ -90,53 +115,55 @@ class Lattices:
         return np.fromiter(at, np.int64, len(at))
 
     def _add(self, segments: list[str]) -> None:
-        ids, weight, prefixes = self.pieces.ids, self.pieces.weight, self.pieces.prefixes
-        base, edges = len(self.first) - 1, len(self.log_p)
-        first, log_p, cumulative, target, node, id_first, id_count, flat = [], [], [], [], [], [], [], []
-        exp, log = math.exp, math.log
-        for s in segments:
-            n, begin = len(s), base + len(first)
-            self.start[s] = begin
-            beta, out = [0.0] * (n + 1), [None] * n
-            for i in range(n - 1, -1, -1):
-                found, single = [], False
-                for j in range(i + 1, n + 1):
-                    p = s[i:j]
-                    w = weight.get(p)
-                    if w is not None:
-                        found.append((w + beta[j], j, ids[p]))
-                        single = single or j == i + 1
-                    elif p not in prefixes:
-                        break
-                if not single:
-                    b = s[i].encode()
-                    found.append((len(b) * self.pieces.byte_weight + beta[i + 1], i + 1, [self.pieces.byte_id[x] for x in b]))
-                found.sort(key=lambda e: -e[0])
-                top = found[0][0]
-                beta[i] = top + log(sum(exp(e[0] - top) for e in found)) if len(found) > 1 else top
-                out[i] = found
-            for i, found in enumerate(out):
-                first.append(edges + len(log_p))
-                total = 0.0
-                for w, j, piece in found:
-                    lp = w - beta[i]
-                    total += exp(lp)
-                    log_p.append(lp)
-                    cumulative.append(total)
-                    target.append(begin + j if j < n else -1)
-                    node.append(begin + i)
-                    id_first.append(len(self.flat) + len(flat))
-                    if isinstance(piece, list):
-                        flat += piece
-                        id_count.append(len(piece))
-                    else:
-                        flat.append(piece)
-                        id_count.append(1)
-                cumulative[-1] = 2.0  # the last edge takes what rounding leaves
-        add = lambda a, x: np.concatenate([a, np.array(x, a.dtype)])
-        self.first = np.concatenate([self.first[:-1], np.array(first, np.int64), [edges + len(log_p)]])
-        self.log_p, self.cumulative, self.target, self.node = add(self.log_p, log_p), add(self.cumulative, cumulative), add(self.target, target), add(self.node, node)
-        self.id_first, self.id_count, self.flat = add(self.id_first, id_first), add(self.id_count, id_count), add(self.flat, flat)
+        pieces, base, edges = self.pieces, len(self.first) - 1, len(self.log_p)
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        ends = np.cumsum(lengths)
+        self.start.update(zip(segments, (base + ends - lengths).tolist()))
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters up to the segment's end
+        active, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        single = np.zeros(len(codes), bool)
+        for n in range(1, len(pieces.tables)):
+            fits = left[active] >= n
+            active, h = active[fits], h[fits] * np.uint64(_FACTOR) + codes[active[fits] + n - 1] + np.uint64(1)
+            hashes, values = pieces.tables[n]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[at] == h
+            active, h, value = active[known], h[known], values[at[known]]
+            whole = value >= 0
+            found.append((active[whole], np.full(int(whole.sum()), n), value[whole]))
+            if n == 1:
+                single[active[whole]] = True
+        lone = np.flatnonzero(~single)  # characters without a piece: their bytes
+        spelt = [[pieces.byte_id[b] for b in chr(int(codes[i])).encode("utf-8", "replace")] for i in lone]
+        found.append((lone, np.ones(len(lone), np.int64), -1 - np.arange(len(lone))))
+        source, length, piece = (np.concatenate(x) for x in zip(*reversed(found)))
+        order = np.argsort(source, kind="stable")  # longer pieces first
+        source, length, piece = source[order], length[order], piece[order]
+        bytes_of = np.array([len(x) for x in spelt] or [0])
+        own = piece >= 0
+        weight = np.where(own, pieces.weight[np.maximum(piece, 0)], bytes_of[np.where(own, 0, -1 - piece)] * pieces.byte_weight)
+        target, last = source + length, length == left[source]
+        # sums over all ways to the segment's end, from its last character to its first
+        beta = np.zeros(len(codes) + 1)
+        by = np.argsort(left[source], kind="stable")
+        turns = np.flatnonzero(np.append(True, np.diff(left[source][by]) > 0))
+        for e in np.split(by, turns[1:]):
+            begin = np.flatnonzero(np.append(True, source[e][1:] != source[e][:-1]))
+            beta[source[e][begin]] = np.logaddexp.reduceat(weight[e] + np.where(last[e], 0.0, beta[target[e]]), begin)
+        log_p = weight + np.where(last, 0.0, beta[target]) - beta[source]
+        begin = np.flatnonzero(np.append(True, source[1:] != source[:-1]))
+        total = np.cumsum(np.exp(log_p))
+        cumulative = total - np.repeat(np.append(0.0, total[begin[1:] - 1]), np.diff(np.append(begin, len(source))))
+        cumulative[np.append(begin[1:], len(source)) - 1] = 2.0  # the last edge takes what rounding leaves
+        counts = np.where(own, 1, bytes_of[np.where(own, 0, -1 - piece)])
+        flat = np.repeat(piece, counts)
+        flat[flat < 0] = [i for p in piece[~own] for i in spelt[-1 - p]]
+        self.first = np.concatenate([self.first[:-1], edges + begin, [edges + len(source)]])
+        self.log_p, self.cumulative = np.append(self.log_p, log_p), np.append(self.cumulative, cumulative)
+        self.target, self.node = np.append(self.target, np.where(last, -1, base + target)), np.append(self.node, base + source)
+        self.id_first = np.append(self.id_first, len(self.flat) + np.cumsum(counts) - counts)
+        self.id_count, self.flat = np.append(self.id_count, counts), np.append(self.flat, flat)
 
     def choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by inverse probability."""
@@ -196,23 +223,26 @@ def search(lattices: Lattices, draws: list, first: int, last: int, k: int, key:
     count = 0
 
     def siblings(path: int, depth: int, prefix: float) -> tuple[np.ndarray, list]:
-        """Locations and nodes (path, depth, edge, prefix) off the path from depth on; edge None: somewhere further."""
-        edges = paths[path]
-        where, nodes = [], []
-        for d in range(depth, min(depth + horizon, len(edges))):
-            own = edges[d]
-            node = lat.node[own]
-            for e in range(lat.first[node], lat.first[node + 1]):
-                if e != own:
-                    where.append(prefix + lat.log_p[e])
-                    nodes.append((path, d, e, prefix))
-            prefix += lat.log_p[own]
-        if depth + horizon < len(edges):
-            tail = float(lat.log_p[edges[depth + horizon :]].sum())
+        """Locations and nodes (path, depth, edge, prefix) off the path from depth on; edge -1: somewhere further."""
+        own = paths[path][depth : depth + horizon]
+        if not len(own):
+            return np.zeros(0), []
+        node = lat.node[own]
+        first, count = lat.first[node], lat.first[node + 1] - lat.first[node]
+        edge = gather_runs(first, count)
+        at = np.repeat(np.arange(len(own)), count)
+        after = np.cumsum(lat.log_p[own])
+        before = prefix + after - lat.log_p[own]
+        other = edge != own[at]
+        edge, at = edge[other], at[other]
+        where, prefixes, depths = before[at] + lat.log_p[edge], before[at], depth + at
+        if depth + horizon < len(paths[path]):
+            tail = float(lat.log_p[paths[path][depth + horizon :]].sum())
             if tail < 0:
-                where.append(prefix + (math.log(-math.expm1(tail)) if tail > -30 else 0.0))
-                nodes.append((path, depth + horizon, None, prefix))
-        return np.array(where), nodes
+                prefix += float(after[-1])
+                where = np.append(where, prefix + (math.log(-math.expm1(tail)) if tail > -30 else 0.0))
+                edge, prefixes, depths = np.append(edge, -1), np.append(prefixes, prefix), np.append(depths, depth + horizon)
+        return where, list(zip([path] * len(edge), depths.tolist(), edge.tolist(), prefixes.tolist()))
 
     def push(where: np.ndarray, nodes: list, most: float, winner: int = -1) -> None:
         nonlocal count
@@ -226,6 +256,8 @@ def search(lattices: Lattices, draws: list, first: int, last: int, k: int, key:
             heapq.heappush(queue, (-v, count, n))
 
     value = float(-math.log(-math.log(rng.next(1)[0])))
+    if first == last:
+        return [(np.zeros(0, np.int64), 0.0, value)], -math.inf
     edges, begin = draws[0]
     paths.append(edges[begin[first] : begin[last]])
     out = [(paths[0], float(lat.log_p[paths[0]].sum()), value)]
@@ -233,7 +265,7 @@ def search(lattices: Lattices, draws: list, first: int, last: int, k: int, key:
     while queue and len(out) < k:
         value, _, (path, depth, edge, prefix) = heapq.heappop(queue)
         value = -value
-        if edge is None:
+        if edge < 0:
             where, nodes = siblings(path, depth, prefix)
             noise = where - np.log(-np.log(rng.next(len(nodes))))
             push(where, nodes, value, int(noise.argmax()))
@@ -255,8 +287,10 @@ def log_inclusion(log_p: float, threshold: float) -> float:
     return x if x < -30 else 0.0 if x > 5 else math.log(-math.expm1(-math.exp(x)))
 
 
-def segments_of(text: str) -> list[str]:
-    return _SEGMENT.findall(_BLANK + text.replace(" ", _BLANK)) if text else []
+@functools.lru_cache(maxsize=1)
+def worker_lattices(model_path: str) -> Lattices:
+    """One for a Python worker: what a task has worked out serves the next."""
+    return Lattices(Pieces(model_path))
 
 
 def sample(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, with_ids: bool = False, horizon: int = HORIZON) -> DataFrame:
@@ -271,11 +305,11 @@ def sample(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_path)
-        lat = Lattices(pieces)
-        for ids, bodies in slices(batches, 1 << 20):
+        lat = worker_lattices(model_path)
+        pieces = lat.pieces
+        for ids, bodies in slices(batches):
             texts = [b.decode("utf-8", "replace") for b in bodies]
-            split = [segments_of(t) for t in texts]
+            split = [pieces.segments(t) for t in texts]
             nodes = lat.nodes([s for x in split for s in x])
             keys = mix(np.array([0 if i is None else i for i in ids], np.int64).astype(np.uint64) + np.uint64(seed * _GOLDEN & _ALL))
             counts = np.array([len(x) for x in split])
