@@ -1,4 +1,700 @@
-"""All registered queries with their DuckDB SQL."""
+"""All registered queries of the engine with their DuckDB SQL. Each runs over its whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from normscape.functions import arms as A
+from normscape.functions import text as T
+from normscape.functions import vectors as V
+from normscape.operators import cores as C
+from normscape.operators import deviance as D
+from normscape.operators import dynamics as M
+from normscape.operators import ensemble as E
+from normscape.operators import scoring as S
+from normscape.operators import systems as Y
+from normscape.operators import trees as K
+from normscape.operators import weights as W
+from normscape.plans import views as X
+from normscape.sources import tables as IO
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+INF = float("inf")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6) + 0.0
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def q6(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0.0 AS {name}"
+
+
+# sources
+
+@query("A7_sanitize", "SELECT l_returnflag AS flag, count(*) AS n, " + q6("sum(CASE WHEN l_tax = 0 THEN 1000 WHEN l_discount = 0 THEN 0 ELSE l_discount / l_tax END)", "total") + " FROM lineitem GROUP BY 1")
+def _(spark, d):
+    t = X.table(spark, d, "lineitem")
+    x = F.when(F.col("l_tax") == 0, INF).when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_discount") / F.when(F.col("l_tax") != 0, F.col("l_tax")))
+    return t.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), r6(F.sum(V.sanitize(x))).alias("total"))
+
+
+@query("A4_safe_float", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'inf' WHEN 1 THEN 'nan' WHEN 2 THEN '-inf' WHEN 3 THEN '-1.0' ELSE (event_id + 0.5)::DOUBLE::VARCHAR END AS x FROM events")
+def _(spark, d):
+    e = X.table(spark, d, "events")
+    raw = F.expr("CASE event_id % 5 WHEN 0 THEN 'Infinity' WHEN 1 THEN 'NaN' WHEN 2 THEN '-Inf' WHEN 3 THEN 'junk' ELSE string(event_id + 0.5) END")
+    v = V.safe_float(raw, -1.0)
+    return e.select("event_id", F.when(F.isnan(v), "nan").when(v == INF, "inf").when(v == -INF, "-inf").otherwise(v.cast("string")).alias("x"))
+
+
+@query("A8_content_id", "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)) AS n_ids FROM lineitem")
+def _(spark, d):
+    ident = IO.content_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), IO.rounded(F.col("l_quantity")).alias("q"))
+    return X.table(spark, d, "lineitem").select(ident.alias("id")).agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
+# arms
+
+_ARMS = f"{X.DOCS}, arms AS (SELECT arm, count(*) AS n FROM docs GROUP BY 1)"
+_PARENT = "CASE WHEN arm = 'trunk' THEN 'root' WHEN arm LIKE 'branch%' THEN 'trunk' WHEN arm LIKE 'twig%' THEN 'branch_' || regexp_extract(arm, 'twig_b(\\d+)_(\\d+)', 1) END"
+
+
+def _arms(spark, d) -> DataFrame:
+    return X.traj_docs(spark, d).groupBy("arm").agg(F.count("*").alias("n"))
+
+
+@query("B1_arm_dimension", f"WITH {_ARMS} SELECT arm, n, CASE WHEN arm IN ('root', 'trunk') THEN arm WHEN arm LIKE 'twig%' THEN 'twig' ELSE 'branch' END AS kind, TRY_CAST(coalesce(nullif(regexp_extract(arm, 'branch_(\\d+)', 1), ''), nullif(regexp_extract(arm, 'twig_b(\\d+)', 1), '')) AS INT) AS branch_no, TRY_CAST(nullif(regexp_extract(arm, 'twig_b(\\d+)_(\\d+)', 2), '') AS INT) AS twig_no, {_PARENT} AS parent, arm LIKE 'twig%' AS is_twig, arm IN ('root', 'trunk') AS is_baseline, arm = 'trunk' AS is_reference FROM arms")
+def _(spark, d):
+    a = F.col("arm")
+    return _arms(spark, d).select("arm", "n", A.arm_kind(a).alias("kind"), A.branch_no(a).alias("branch_no"), A.twig_no(a).alias("twig_no"), A.parent_arm(a).alias("parent"), A.is_twig(a).alias("is_twig"), A.is_baseline(a).alias("is_baseline"), A.is_reference(a).alias("is_reference"))
+
+
+@query("B4_sort_arms", f"WITH {_ARMS} SELECT arm, (row_number() OVER (ORDER BY CASE arm WHEN 'root' THEN 0 WHEN 'trunk' THEN 1 ELSE 2 END, coalesce(TRY_CAST(regexp_extract(arm, '(?:branch_|twig_b)(\\d+)', 1) AS INT), 0), coalesce(TRY_CAST(nullif(regexp_extract(arm, 'twig_b(\\d+)_(\\d+)', 2), '') AS INT), 0), arm))::INT AS place FROM arms")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    return _arms(spark, d).select("arm", F.row_number().over(Window.orderBy(*A.sort_key(F.col("arm")))).alias("place"))  # a row an arm
+
+
+@query("B5_arm_closure", f"WITH {_ARMS} SELECT arm, anc AS ancestor, depth::INT AS depth FROM (SELECT arm, unnest(l) AS anc, unnest(range(0, len(l))) AS depth FROM (SELECT arm, CASE WHEN arm = 'root' THEN ['root'] WHEN arm = 'trunk' THEN ['root', 'trunk'] WHEN arm LIKE 'twig%' THEN ['root', 'trunk', {_PARENT}, arm] ELSE ['root', 'trunk', arm] END AS l FROM arms))")
+def _(spark, d):
+    return A.arm_closure(_arms(spark, d)).select("arm", "ancestor", "depth")
+
+
+@query("B6_downstream_arms", f"WITH {_ARMS} SELECT p.arm AS reference, c.arm FROM arms p JOIN arms c ON (p.arm = 'root' AND c.arm <> 'root') OR (p.arm = 'trunk' AND c.arm NOT IN ('root', 'trunk')) OR (p.arm LIKE 'branch%' AND c.arm LIKE 'twig_b' || substr(p.arm, 8) || '_%')")
+def _(spark, d):
+    return A.downstream(_arms(spark, d))
+
+
+@query("B7_arm_name_from_index", "SELECT nationkey AS i, CASE nationkey WHEN 0 THEN 'root' WHEN 1 THEN 'trunk' ELSE 'branch_' || (nationkey - 1) END AS arm FROM (SELECT n_nationkey AS nationkey FROM nation)")
+def _(spark, d):
+    return X.table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), A.arm_name(F.col("n_nationkey")).alias("arm"))
+
+
+@query("B10_sibling_groups", f"WITH {_ARMS} SELECT parent, string_agg(arm, ',' ORDER BY arm) AS arms FROM (SELECT arm, {_PARENT} AS parent FROM arms) WHERE parent IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return A.sibling_groups(_arms(spark, d)).select("parent", F.concat_ws(",", "arms").alias("arms"))
+
+
+@query("B11_arm_edges", f"WITH {_ARMS} SELECT parent, arm FROM (SELECT arm, {_PARENT} AS parent FROM arms) WHERE parent IN (SELECT arm FROM arms)")
+def _(spark, d):
+    return A.arm_edges(_arms(spark, d))
+
+
+@query("B12_filter_arm", f"WITH {X.DOCS} SELECT traj_idx, arm, n_tokens FROM docs WHERE arm = 'branch_1'")
+def _(spark, d):
+    return A.filter_arm(X.traj_docs(spark, d), "branch_1").select("traj_idx", "arm", "n_tokens")
+
+
+# text
+
+@query("C2_strip_thinking", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE props END AS kept, event_type AS last FROM events")
+def _(spark, d):
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<think>"), "props", F.lit("\n</think> "), "event_type")).otherwise(F.concat("props", F.lit("<think>a</think>\n")))
+    response = F.concat(F.lit("<think>"), "props", F.lit("</think>\n "), "event_type")
+    return X.table(spark, d, "events").select("event_id", T.strip_thinking(text).alias("kept"), T.strip_thinking_response(response).alias("last")).withColumn("last", F.trim(F.regexp_replace("last", r"^\s+", "")))
+
+
+@query("C4_strip_eos", "SELECT event_id, event_type AS text FROM events")
+def _(spark, d):
+    return X.table(spark, d, "events").select("event_id", T.strip_eos(F.concat("event_type", F.element_at(F.array(*map(F.lit, ["", "</s>", " <|im_end|> "])), (F.col("event_id") % 3 + 1).cast("int")))).alias("text"))
+
+
+@query("C6_select_text", "SELECT doc_id, sha256(coalesce(substr(text, 11), '')) AS after_trunk FROM documents")
+def _(spark, d):
+    docs = X.table(spark, d, "documents")
+    sel = T.select_text("AfterTrunk", F.lit(None).cast("string"), F.concat(F.lit("<think>x</think>"), "text"), F.create_map(F.lit("trunk"), F.lit(10)))
+    return docs.select("doc_id", F.sha2(sel, 256).alias("after_trunk"))
+
+
+@query("C7_simple_tokens", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+')))::INT AS n_simple FROM documents")
+def _(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", F.size(T.simple_tokens(F.col("text"))).alias("n_simple"))
+
+
+@query("C8_word_count", r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::INT AS n_words FROM documents")
+def _(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+@query("C9_count_occurrences", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: x = 'the'))::INT AS n_the, len(regexp_extract_all(lower(text), 'of the'))::INT AS n_of_the FROM documents")
+def _(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", T.count_occurrences(F.col("text"), "the").alias("n_the"), T.count_occurrences(F.col("text"), "of the").alias("n_of_the"))
+
+
+@query("C10_word_ends", r"SELECT doc_id, p::INT AS position, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY p)::INT AS word_end FROM (SELECT doc_id, unnest(l) AS w, unnest(range(0, len(l))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS l FROM documents))")
+def _(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", F.posexplode(T.word_ends(F.col("text"))).alias("position", "word_end"))
+
+
+@query("C12_prefixes_at_steps", f"WITH {X.DOCS}, k AS (SELECT traj_idx, text, n_tokens, unnest(list_distinct(list_append(range(64, n_tokens + 1, 64), n_tokens))) AS k FROM docs WHERE n_tokens > 0) SELECT traj_idx, k::INT AS k, floor(len(text) * k / n_tokens::DOUBLE)::INT AS prefix_chars FROM k WHERE trim(substr(text, 1, floor(len(text) * k / n_tokens::DOUBLE)::INT)) <> ''")
+def _(spark, d):
+    return T.prefixes_at_steps(X.traj_docs(spark, d), step=64).select("traj_idx", "k", F.char_length("prefix").alias("prefix_chars"))
+
+
+@query("C13_finished", f"WITH {X.DOCS} SELECT arm, " + q6("100 * avg((contains(text, '</s>') OR contains(text, '<|endoftext|>'))::INT)", "finished_pct") + " FROM docs GROUP BY arm")
+def _(spark, d):
+    return X.traj_docs(spark, d).groupBy("arm").agg(r6(100 * F.avg(T.is_finished(F.col("text")).cast("int"))).alias("finished_pct"))
+
+
+# scoring
+
+_D1 = r"""sc AS (SELECT traj_idx, arm, unnest([0, 1, 2, 3])::INT AS struct_idx, unnest([
+ len(list_filter(ws, lambda x: x = 'the')), len(list_filter(ws, lambda x: x = 'and')), len(list_filter(ws, lambda x: x = 'de')), len(regexp_extract_all(lower(text), 'of the'))]) AS c, n_tokens
+ FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM docs)),
+ s1 AS (SELECT traj_idx, arm, struct_idx, CASE WHEN n_tokens > 0 THEN c / n_tokens::DOUBLE ELSE 0 END AS score FROM sc)"""
+
+
+@query("D1_count_occurrences", f"WITH {X.DOCS}, {_D1} SELECT traj_idx, struct_idx, {q6('score', 'score')} FROM s1")
+def _(spark, d):
+    return S.score_count_occurrences(X.traj_docs(spark, d), X.PHRASES).select("traj_idx", "struct_idx", r6("score").alias("score"))
+
+
+@query("D2_similarity", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id, b.vec_id AS ref_id, " + q6("greatest(0, least(1, (list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) + 1) / 2))", "score") + " FROM e a, e b WHERE b.vec_id < 10")
+def _(spark, d):
+    e = X.embeddings(spark, d)
+    return S.score_similarity(e, e.where("vec_id < 10").select(F.col("vec_id").alias("ref_id"), "embedding")).select("vec_id", "ref_id", r6("score").alias("score"))
+
+
+_LEX = r"""tok AS (SELECT toxic, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM documents JOIN labels USING (doc_id)),
+ cnt AS (SELECT word, count(*) FILTER (toxic = 1) + 1 AS tg, count(*) FILTER (toxic = 0) + 1 AS tu FROM tok WHERE toxic IN (0, 1) GROUP BY 1),
+ tot AS (SELECT sum(tg - 1)::DOUBLE AS ng, sum(tu - 1)::DOUBLE AS nu FROM cnt),
+ lex AS (SELECT word, (ln(tg / (ng - tg + 1)) - ln(tu / (nu - tu + 1))) / sqrt(1 / tg::DOUBLE + 1 / tu::DOUBLE) AS z FROM cnt, tot WHERE tg >= 5 AND tu >= 5)"""
+
+
+def _lexicon(spark, d):
+    return S.build_lexicon(X.labelled(spark, d, 1), X.labelled(spark, d, 0))
+
+
+@query("D3_build_lexicon", f"WITH {_LEX} SELECT word, {q6('z', 'z')} FROM lex")
+def _(spark, d):
+    return _lexicon(spark, d).select("word", r6("z").alias("z"))
+
+
+@query("D4_score_lexicon", f"WITH {_LEX}, t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM documents), s AS (SELECT doc_id, sum(greatest(coalesce(z, 0), 0)) / (sum(abs(coalesce(z, 0))) + 1e-10) AS s, count(z) AS n, count(*) AS m FROM t LEFT JOIN lex USING (word) GROUP BY 1) SELECT d.doc_id AS traj_idx, {q6('coalesce(s, 0)', 'score')}, coalesce(n, 0) AS words_scored, coalesce(m, 0) AS total_words FROM documents d LEFT JOIN s USING (doc_id)")
+def _(spark, d):
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("traj_idx"), "text")
+    return S.score_lexicon(texts, _lexicon(spark, d)).select("traj_idx", r6("score").alias("score"), "words_scored", "total_words")
+
+
+@query("D5_top_lexicon_words", f"WITH {_LEX}, h AS (SELECT 'high' AS side, word, z FROM lex ORDER BY z DESC, word LIMIT 10), l AS (SELECT 'low' AS side, word, z FROM lex ORDER BY z, word LIMIT 10) SELECT side, word, {q6('z', 'z')} FROM (SELECT * FROM h UNION ALL SELECT * FROM l)")
+def _(spark, d):
+    return S.top_lexicon_words(_lexicon(spark, d)).select("side", "word", r6("z").alias("z"))
+
+
+_FORMS = ["The", "of the", "und", "de la", "licensed under"]
+
+
+@query("D6_match_glossary", "WITH g(surface_form) AS (VALUES " + ", ".join(f"('{f}')" for f in _FORMS) + r") SELECT doc_id AS traj_idx, surface_form FROM documents, g WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || lower(surface_form) || '($|[^\p{L}\p{N}_])')")
+def _(spark, d):
+    glossary = spark.createDataFrame([(f,) for f in _FORMS], "surface_form string")
+    return S.match_glossary(X.table(spark, d, "documents").select(F.col("doc_id").alias("traj_idx"), "text"), glossary)
+
+
+@query("D7_aggregate_probs", f"WITH {X.JUDGES} SELECT traj_idx, {q6('1 - coalesce(product(1 - score), 1)', 'noisy_or')}, {q6('coalesce(max(score), 0)', 'top')}, {q6('coalesce(avg(score), 0)', 'mean')} FROM js GROUP BY 1")
+def _(spark, d):
+    p = F.col("score")
+    return X.judge_scores(spark, d).groupBy("traj_idx").agg(*[r6(S.aggregate_probs(p, h)).alias(n) for h, n in (("noisy_or", "noisy_or"), ("max", "top"), ("mean", "mean"))])
+
+
+@query("D11_judge_worklist", "SELECT doc_id AS traj_idx, q::INT AS struct_idx, sha256('Q' || q || ': ' || text) AS prompt FROM documents, (VALUES (0), (1), (2)) v(q) WHERE doc_id % 3 <> q")
+def _(spark, d):
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("traj_idx"), "text")
+    items = spark.createDataFrame([(i, f"Q{i}") for i in range(3)], "struct_idx int, question string")
+    done = texts.select("traj_idx", F.pmod("traj_idx", F.lit(3)).cast("int").alias("struct_idx"))
+    return S.judge_worklist(texts, items, done, "%2$s: %1$s").select("traj_idx", "struct_idx", F.sha2("prompt", 256).alias("prompt"))
+
+
+_PARSED = "SELECT event_id, CASE event_id % 12 WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 0 WHEN 8 THEN 0 ELSE NULL END::INT AS b0, CASE event_id % 12 WHEN 0 THEN 1 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 WHEN 3 THEN 1 WHEN 4 THEN 0.8 WHEN 5 THEN 0 WHEN 7 THEN 0.3 WHEN 8 THEN 0 WHEN 9 THEN 0.5 WHEN 11 THEN 0.8 ELSE NULL END::DOUBLE AS judge_score FROM events"
+
+
+@query("D14_parse_answers", f"SELECT event_id, CASE WHEN event_id % 12 IN (0, 3, 5, 8) THEN b0 END AS binary, judge_score FROM ({_PARSED})")
+def _(spark, d):
+    r = X.responses(spark, d)
+    named = F.when(F.pmod("event_id", F.lit(12)).isin(0, 3, 5, 8), T.parse_binary(F.col("raw")))
+    return r.select("event_id", named.alias("binary"), T.parse_judge_score(F.col("raw")).alias("judge_score"))
+
+
+@query("D15_parse_failure_rate", f"SELECT judge, question, {q6('avg(f)', 'failure_rate')}, count(*) AS n FROM (SELECT event_type AS judge, event_id % 12 AS question, (event_id % 12 IN (6, 10))::INT AS f FROM events) GROUP BY 1, 2")
+def _(spark, d):
+    return S.parse_failure_rate(X.responses(spark, d), T.parse_judge_score(F.col("raw"))).withColumn("failure_rate", r6("failure_rate"))
+
+
+# systems and summaries
+
+@query("E2_to_systems", f"WITH {X.JUDGES} SELECT traj_idx, {', '.join(q6(f'coalesce(avg(coalesce(score, 0)) FILTER (struct_idx = {i}), 0)', f's{i}') for i in range(3))} FROM js GROUP BY traj_idx")
+def _(spark, d):
+    s = Y.to_systems(X.judge_scores(spark, d), 3)
+    return s.select("traj_idx", *[r6(F.col("system")[i]).alias(f"s{i}") for i in range(3)])
+
+
+@query("E3_arm_structure_means", f"WITH {X.JUDGES} SELECT arm, struct_idx, item_idx, {q6('avg(score)', 'mean')} FROM js GROUP BY GROUPING SETS ((arm, struct_idx, item_idx), (arm, struct_idx))")
+def _(spark, d):
+    return Y.arm_structure_means(X.judge_scores(spark, d)).withColumn("mean", r6("mean"))
+
+
+@query("E4_arm_structure_stats", f"WITH {X.JUDGES} SELECT arm, struct_idx, {q6('avg(score)', 'mean')}, {q6('stddev_pop(score)', 'std')}, {q6('min(score)', 'lo')}, {q6('max(score)', 'hi')} FROM js GROUP BY 1, 2")
+def _(spark, d):
+    s = Y.arm_structure_stats(X.judge_scores(spark, d))
+    return s.select("arm", "struct_idx", *[r6(c).alias(c) for c in ("mean", "std", "lo", "hi")])
+
+
+@query("E6_structure_overall_means", f"WITH {X.JUDGES}, i AS (SELECT struct_idx, item_idx, avg(score) AS m FROM js GROUP BY 1, 2) SELECT struct_idx, {q6('avg(m)', 'mean')} FROM i GROUP BY 1")
+def _(spark, d):
+    return Y.structure_overall_means(X.judge_scores(spark, d)).withColumn("mean", r6("mean"))
+
+
+@query("E7_aggregations", f"WITH {X.JUDGES} SELECT arm, {', '.join(q6(f'{f}(score)', f'{n}_score') for n, f in (('mean', 'avg'), ('max', 'max'), ('sum', 'sum'), ('median', 'median'), ('min', 'min')))} FROM js GROUP BY 1")
+def _(spark, d):
+    return X.judge_scores(spark, d).groupBy("arm").agg(*[r6(Y.aggregate(F.col("score"), h)).alias(f"{h}_score") for h in ("mean", "max", "sum", "median", "min")])
+
+
+@query("E8_arm_counts", f"WITH {X.DOCS} SELECT arm, count(*) AS n, min(traj_idx) AS first_row FROM docs GROUP BY 1")
+def _(spark, d):
+    return Y.arm_counts(X.traj_docs(spark, d))
+
+
+@query("E9_structure_breakdown", f"WITH {X.JUDGES} SELECT struct_idx, item_idx, {q6(chr(39).join(['coalesce(100 * avg(score) FILTER (arm = ', 'trunk', '), 0)']), 'trunk')}, {q6(chr(39).join(['coalesce(100 * avg(score) FILTER (arm = ', 'branch_1', '), 0)']), 'branch_1')} FROM js GROUP BY 1, 2")
+def _(spark, d):
+    s = Y.structure_breakdown(X.judge_scores(spark, d), ["trunk", "branch_1"])
+    return s.select("struct_idx", "item_idx", r6("trunk").alias("trunk"), r6("branch_1").alias("branch_1"))
+
+
+@query("E10_point_masses", f"WITH {X.JUDGES} SELECT arm, struct_idx, {q6('avg((score <= 0)::INT)', 'p0')}, {q6('avg((score >= 1)::INT)', 'p1')}, {q6('avg((score > 0 AND score < 1)::INT)', 'interior')}, {q6('avg(score)', 'mean')} FROM js WHERE score IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    s = Y.point_masses(X.judge_scores(spark, d))
+    return s.select("arm", "struct_idx", *[r6(c).alias(c) for c in ("p0", "p1", "interior", "mean")])
+
+
+_KDE = """c AS (SELECT arm, struct_idx, ln(least(greatest(x, 1e-6), 1 - 1e-6) / (1 - least(greatest(x, 1e-6), 1 - 1e-6))) AS z, count(*) AS c FROM lng GROUP BY 1, 2, 3),
+ m AS (SELECT arm, struct_idx, sum(c) AS n, sum(c * z) / sum(c) AS m, count(*) AS k FROM c GROUP BY 1, 2),
+ h AS (SELECT arm, struct_idx, any_value(n)::DOUBLE AS n, pow(any_value(n) * 0.75::DOUBLE, -0.2::DOUBLE) * sqrt(sum(c * (z - m) * (z - m)) / (any_value(n) - 1)) AS h FROM c JOIN m USING (arm, struct_idx) WHERE k > 1 GROUP BY 1, 2),
+ g AS (SELECT i / 1002::DOUBLE AS y FROM range(1, 1002) r(i)),
+ f AS (SELECT arm, struct_idx, y, sum(c * exp(-pow((ln(y / (1 - y)) - z) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) / (y * (1 - y)) AS density FROM c JOIN h USING (arm, struct_idx), g GROUP BY 1, 2, 3)"""
+
+
+@query("E11_logit_kde", f"WITH {X.SYS}, {X.long('sys', 'arm')}, {_KDE} SELECT arm, struct_idx::INT AS struct_idx, {q6('y', 'y')}, round(density, 3) + 0.0 AS density FROM f")
+def _(spark, d):
+    k = C.logit_kde(C.long_systems(X.systems_li(spark, d), "arm"))
+    return k.select("arm", "struct_idx", r6("y").alias("y"), (F.round("density", 3) + 0.0).alias("density"))
+
+
+@query("G6_mode_core", f"WITH {X.SYS}, {X.long('sys', 'arm')}, {_KDE} SELECT arm, struct_idx::INT AS struct_idx, round(arg_min(y, -round(density, 9) * 1e3 + y * 1e-9), 3) + 0.0 AS value FROM f GROUP BY 1, 2")
+def _(spark, d):
+    return C.mode_core(X.systems_li(spark, d)).withColumn("value", F.round("value", 3) + 0.0)
+
+
+# weights
+
+for _name in W.RAW:
+    def _weights(spark, d, _name=_name):
+        w = W.with_weight(X.systems_li(spark, d), _name)
+        return w.groupBy("arm").agg(r6(F.sum("w")).alias("total"), r6(F.max("w") * 1000).alias("largest"), r6(F.sum(F.col("w") * F.col("n_tokens"))).alias("mean_tokens"))
+
+    query(f"F_weight_{_name.replace('-', '_')}", f"WITH {X.weighted(_name)} SELECT arm, {q6('sum(w)', 'total')}, {q6('max(w) * 1000', 'largest')}, {q6('sum(w * n_tokens)', 'mean_tokens')} FROM wt GROUP BY 1")(_weights)
+
+
+@query("F6_normalize", f"SELECT l_returnflag, {q6('sum(l_quantity / t * l_tax)', 'mean_tax')} FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS t FROM lineitem) GROUP BY 1")
+def _(spark, d):
+    n = W.normalize(X.table(spark, d, "lineitem"), "l_quantity", ("l_returnflag",))
+    return n.groupBy("l_returnflag").agg(r6(F.sum(F.col("p") * F.col("l_tax"))).alias("mean_tax"))
+
+
+@query("F10_escort", f"WITH {X.weighted('inv-ppl')}, e AS (SELECT *, w * w / sum(w * w) OVER (PARTITION BY arm) AS e2, (1 / w) / sum(1 / w) OVER (PARTITION BY arm) AS em FROM wt) SELECT arm, {q6('sum(e2 * s2)', 'order_2')}, {q6('sum(em * s2)', 'order_minus_1')} FROM e GROUP BY 1")
+def _(spark, d):
+    e = W.escort(W.with_weight(X.systems_li(spark, d)), [2, -1])
+    return e.groupBy("arm").agg(r6(F.sum(F.col("e0") * F.col("system")[2])).alias("order_2"), r6(F.sum(F.col("e1") * F.col("system")[2])).alias("order_minus_1"))
+
+
+@query("F11_arm_statistics", f"WITH {X.SYS} SELECT arm, count(*) AS n, {q6('sum(exp(logprob))', 'mass')}, {q6('100 * sum(exp(logprob))', 'coverage')}, {q6('max(logprob)', 'best_logprob')}, {q6('avg(exp(-logprob / n_tokens))', 'mean_ppl')} FROM sys GROUP BY 1")
+def _(spark, d):
+    s = W.arm_statistics(X.systems_li(spark, d))
+    return s.select("arm", "n", *[r6(c).alias(c) for c in ("mass", "coverage", "best_logprob", "mean_ppl")])
+
+
+@query("F14_sibling_share", f"WITH {_ARMS}, p AS (SELECT arm, n::DOUBLE AS n, {_PARENT} AS parent FROM arms) SELECT arm, {q6('n / sum(n) OVER w', 'share')}, {q6('CASE WHEN max(n) OVER w = min(n) OVER w THEN 1 ELSE (n - min(n) OVER w) / (max(n) OVER w - min(n) OVER w) END', 'scale')} FROM p WINDOW w AS (PARTITION BY parent)")
+def _(spark, d):
+    a = _arms(spark, d).select("arm", F.col("n").cast("double").alias("n"), A.parent_arm(F.col("arm")).alias("parent"))
+    return W.sibling_share(a, "n").select("arm", r6("share").alias("share"), r6("scale").alias("scale"))
+
+
+# cores
+
+def _escort_sql(r: float) -> str:
+    if r == 1:
+        return "w"
+    if r == 0:
+        return "1 / count(*) OVER (PARTITION BY arm)::DOUBLE"
+    if abs(r) == INF:
+        edge = "max" if r > 0 else "min"
+        hit = f"(ln(w) = {edge}(ln(w)) OVER (PARTITION BY arm))"
+        return f"CASE WHEN {hit} THEN 1::DOUBLE ELSE 0 END"
+    edge = "max" if r > 0 else "min"
+    return f"exp({r} * (ln(w) - {edge}(ln(w)) OVER (PARTITION BY arm)))"
+
+
+def _mean_sql(e: str, q: float) -> str:
+    keep = f"{e} > 1e-12" + (" AND x > 1e-12" if q <= 0 else "")
+    if abs(q) == INF:
+        out = f"{'max' if q > 0 else 'min'}(x) FILTER ({keep})"
+    elif q == 0:
+        out = f"exp(sum({e} * ln(CASE WHEN x > 1e-12 THEN x END)) FILTER ({keep}) / sum({e}) FILTER ({keep}))"
+    else:
+        out = f"pow(sum({e} * pow(CASE WHEN {q} > 0 OR x > 1e-12 THEN x END, {q})) FILTER ({keep}) / sum({e}) FILTER ({keep}), {1 / q})"
+    return f"coalesce({out}, 0)"
+
+
+_ORDERS = sorted({r for _, r in C.NAMED.values()})
+_NAMED = f"WITH {X.weighted('inv-ppl')}, u AS (SELECT arm, s0, s1, s2, s3, {', '.join(f'{_escort_sql(r)} AS u{i}' for i, r in enumerate(_ORDERS))} FROM wt), v AS (SELECT arm, s0, s1, s2, s3, {', '.join(f'u{i} / sum(u{i}) OVER (PARTITION BY arm) AS e{i}' for i in range(len(_ORDERS)))} FROM u), {X.long('v', 'arm, ' + ', '.join(f'e{i}' for i in range(len(_ORDERS))))} " + " UNION ALL ".join(f"SELECT arm, struct_idx::INT AS struct_idx, '{n}' AS variant, {q6(_mean_sql(f'e{_ORDERS.index(r)}', q), 'value')} FROM lng GROUP BY 1, 2" for n, (q, r) in C.NAMED.items())
+
+
+@query("G4_named_cores", _NAMED)
+def _(spark, d):
+    c = C.named_cores(W.with_weight(X.systems_li(spark, d)))
+    return c.select("arm", "struct_idx", "variant", r6("value").alias("value"))
+
+
+@query("G3_generalized_core", f"WITH {X.weighted('inv-ppl')}, v AS (SELECT *, w * w / sum(w * w) OVER (PARTITION BY arm) AS e FROM wt), {X.long('v', 'arm, e')} SELECT arm, struct_idx::INT AS struct_idx, {q6('sqrt(sum(e * x * x) / sum(e))', 'value')} FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    return C.generalized_core(W.with_weight(X.systems_li(spark, d)), 2, 2).withColumn("value", r6("value"))
+
+
+@query("G5_median_core", f"WITH {X.SYS}, {X.long('sys', 'arm')} SELECT arm, struct_idx::INT AS struct_idx, {q6('median(x)', 'value')} FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    return C.median_core(X.systems_li(spark, d)).withColumn("value", r6("value"))
+
+
+def _best_sql(key: str) -> str:
+    return f"WITH {X.SYS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY {key} DESC, traj_idx, s0, s1, s2, s3) AS r FROM sys) WHERE r = 1), {X.long('b', 'arm')} SELECT arm, struct_idx::INT AS struct_idx, {q6('x', 'value')} FROM lng"
+
+
+@query("G7_max_prob_core", _best_sql("logprob"))
+def _(spark, d):
+    return C.max_prob_core(X.systems_li(spark, d)).withColumn("value", r6("value"))
+
+
+@query("G8_max_inv_ppl_core", _best_sql("logprob / n_tokens"))
+def _(spark, d):
+    return C.max_inv_ppl_core(X.systems_li(spark, d)).withColumn("value", r6("value"))
+
+
+@query("G10_majority_walk")
+def _(spark, d):
+    return C.majority_walk(X.token_seqs(spark, d, 12), max_steps=12)
+
+
+@query("G13_core_diversity", f"WITH {X.weighted('inv-ppl')}, {X.long('wt', 'arm, w')}, c AS (SELECT arm, struct_idx, sum(w * x) AS v FROM lng GROUP BY 1, 2), p AS (SELECT arm, v / sum(v) OVER (PARTITION BY arm) AS p, v FROM c) SELECT arm, {q6('-sum(p * ln(p))', 'entropy')}, {q6('exp(-sum(p * ln(p)))', 'diversity')} FROM p GROUP BY 1")
+def _(spark, d):
+    c = _cores(spark, d)
+    return c.select("arm", r6(V.entropy(V.shares(F.col("core")))).alias("entropy"), r6(V.diversity(F.col("core"))).alias("diversity"))
+
+
+@query("G15_system_means", f"WITH {X.SYS}, {X.long('sys', 'arm')} SELECT arm, struct_idx::INT AS struct_idx, {q6('avg(x)', 'mean')}, {q6('stddev_pop(x)', 'std')} FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    return C.long_systems(X.systems_li(spark, d), "arm").groupBy("arm", "struct_idx").agg(r6(F.avg("x")).alias("mean"), r6(F.stddev_pop("x")).alias("std"))
+
+
+# deviance
+
+def _cores(spark, d, method: str = "inv-ppl") -> DataFrame:
+    return C.as_arrays(C.generalized_core(W.with_weight(X.systems_li(spark, d), method), 1, 1), "arm")
+
+
+_CORE = "c AS (SELECT arm, " + ", ".join(f"sum(w * s{i}) AS c{i}" for i in range(4)) + " FROM wt GROUP BY 1)"
+_DEV = "sqrt(" + " + ".join(f"pow(s{i} - c{i}, 2)" for i in range(4)) + ")"
+
+
+def _dev_query(method: str) -> str:
+    return f"WITH {X.weighted(method)}, {_CORE}, v AS (SELECT wt.arm, w, {_DEV} AS d, {' + '.join(f'abs(s{i} - c{i})' for i in range(4))} AS d1, greatest({', '.join(f'abs(s{i} - c{i})' for i in range(4))}) AS dx FROM wt JOIN c USING (arm)) SELECT arm, {q6('sum(w * d)', 'expected')}, {q6('greatest(sum(w * d * d) - pow(sum(w * d), 2), 0)', 'variance')}, {q6('sum(w * d1)', 'expected_l1')}, {q6('sum(w * dx)', 'expected_linf')} FROM v GROUP BY 1"
+
+
+@query("H6_expected_deviance", _dev_query("inv-ppl"))
+def _(spark, d):
+    s = D.with_core(W.with_weight(X.systems_li(spark, d)), _cores(spark, d))
+    for n, k in (("d", "l2"), ("d1", "l1"), ("dx", "linf")):
+        s = s.withColumn(n, V.deviance(F.col("system"), F.col("core"), k))
+    e = D.expected(s, "d").join(D.expected(s, "d1").select("arm", F.col("mean").alias("m1")), "arm").join(D.expected(s, "dx").select("arm", F.col("mean").alias("mx")), "arm")
+    return e.select("arm", r6("mean").alias("expected"), r6("variance").alias("variance"), r6("m1").alias("expected_l1"), r6("mx").alias("expected_linf"))
+
+
+@query("H5_trajectory_deviance", f"WITH {X.weighted('prob')}, {_CORE} SELECT traj_idx, wt.arm, {q6(_DEV, 'deviance')}, {q6(_DEV + ' / 2', 'normalized')} FROM wt JOIN c USING (arm)")
+def _(spark, d):
+    s = D.with_core(X.systems_li(spark, d), _cores(spark, d, "prob"))
+    return s.select("traj_idx", "arm", r6(V.deviance(F.col("system"), F.col("core"))).alias("deviance"), r6(V.normalized_deviance(F.col("system"), F.col("core"))).alias("normalized"))
+
+
+@query("H8_expected_orientation", f"WITH {X.weighted('uniform')}, {_CORE.replace('w * s', 's')}, {X.long('wt', 'arm, w')}, k AS (SELECT arm, 0 AS struct_idx, c0 / n AS v FROM c JOIN (SELECT arm, count(*) AS n FROM wt GROUP BY 1) USING (arm)) SELECT arm, struct_idx::INT AS struct_idx, 0.0::DOUBLE AS value FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    w = W.with_weight(X.systems_li(spark, d), "uniform")
+    return D.expected_orientation(w, _cores(spark, d, "uniform")).withColumn("value", r6("value"))
+
+
+_SHARE = "(s0 + s1 + s2 + s3)"
+_PQ = ", ".join([f"CASE WHEN {_SHARE} < 1e-12 THEN 0.25 ELSE s{i} / {_SHARE} END AS p{i}" for i in range(4)] + [f"c{i} / (c0 + c1 + c2 + c3) AS q{i}" for i in range(4)])
+_KLPQ = " + ".join(f"CASE WHEN p{i} <= 1e-12 THEN 0 ELSE p{i} * ln(p{i} / q{i}) END" for i in range(4))
+_JS = " + ".join(f"CASE WHEN p{i} <= 1e-12 THEN 0 ELSE p{i} * ln(p{i} / ((p{i} + q{i}) / 2)) END + CASE WHEN q{i} <= 1e-12 THEN 0 ELSE q{i} * ln(q{i} / ((p{i} + q{i}) / 2)) END" for i in range(4))
+
+
+@query("H12_expected_divergences", f"WITH {X.weighted('inv-ppl')}, {_CORE}, v AS (SELECT wt.arm, w, {_PQ} FROM wt JOIN c USING (arm)) SELECT arm, {q6(f'sum(w * exp({_KLPQ}))', 'excess')}, {q6(f'sum(w * exp(({_JS}) / 2))', 'mutual')}, count(*) FILTER (least(p0, p1, p2, p3) < 1e-12) AS n_infinite FROM v GROUP BY 1")
+def _(spark, d):
+    e = D.expected_divergences(W.with_weight(X.systems_li(spark, d)), _cores(spark, d))
+    return e.select("arm", r6("excess").alias("excess"), r6("mutual").alias("mutual"), "n_infinite")
+
+
+_REF = "sqrt(" + " + ".join(f"pow(a.c{i} - b.c{i}, 2)" for i in range(4)) + ")"
+
+
+@query("H13_orientation_from_parent", f"WITH {X.weighted('inv-ppl')}, {_CORE} SELECT a.arm, {q6(f'coalesce({_REF}, 0)', 'norm')} FROM c a LEFT JOIN c b ON b.arm = {_PARENT.replace('arm', 'a.arm')}")
+def _(spark, d):
+    return D.orientation_from(_cores(spark, d), "parent").select("arm", r6("norm").alias("norm"))
+
+
+@query("H14_deviance_to_root", f"WITH {X.weighted('inv-ppl')}, {_CORE} SELECT wt.arm, {q6(f'sum(w * {_DEV})', 'mean')} FROM wt, c WHERE c.arm = 'root' GROUP BY 1")
+def _(spark, d):
+    return D.deviance_to(W.with_weight(X.systems_li(spark, d)), _cores(spark, d), "root").select("arm", r6("mean").alias("mean"))
+
+
+@query("H18_relative_orientations", f"WITH {X.weighted('uniform')}, {_CORE} SELECT a.arm AS node, b.arm AS other, {', '.join(q6(f'a.c{i} - b.c{i}', f'o{i}') for i in range(4))} FROM c a JOIN c b ON a.arm <> b.arm")
+def _(spark, d):
+    o = D.relative_orientations(_cores(spark, d, "uniform"))
+    return o.select("node", "other", *[r6(F.col("orientation")[i]).alias(f"o{i}") for i in range(4)])
+
+
+@query("H21_downstream_orientation", f"WITH {X.weighted('inv-ppl')}, {_CORE} SELECT b.arm AS reference, a.arm, {q6(_REF, 'norm')} FROM c a JOIN c b ON (b.arm = 'root' AND a.arm <> 'root') OR (b.arm = 'trunk' AND a.arm NOT IN ('root', 'trunk')) OR (b.arm LIKE 'branch%' AND a.arm LIKE 'twig_b' || substr(b.arm, 8) || '_%')")
+def _(spark, d):
+    return D.downstream_orientation(_cores(spark, d)).withColumn("norm", r6("norm"))
+
+
+def _estimate_sql(source: str, raws: dict[str, str], n: int) -> str:
+    parts = []
+    for m, u in raws.items():
+        dev = lambda c: "sqrt(" + " + ".join(f"pow(s{i} - {c}.c{i}, 2)" for i in range(n)) + ")"
+        ref = "sqrt(" + " + ".join(f"pow(c.c{i} - p.c{i}, 2)" for i in range(n)) + ")"
+        tot = " + ".join(f"c.c{i}" for i in range(n))
+        ent = " + ".join(f"CASE WHEN c.c{i} / ({tot}) > 1e-12 THEN c.c{i} / ({tot}) * ln(c.c{i} / ({tot})) ELSE 0 END" for i in range(n))
+        parts.append(f"""SELECT c.arm, '{m}' AS method, v.n, {q6('v.e', 'expected_deviance')}, {q6('v.v', 'deviance_variance')}, {q6('v.r', 'deviance_root')}, {q6('v.t', 'deviance_trunk')}, {q6(f'CASE WHEN {tot} < 1e-12 THEN {n} ELSE exp(-({ent})) END', 'diversity')}, {q6(f'coalesce({ref}, 0)', 'norm_parent')}
+ FROM c_{m.replace('-', '_')} c JOIN (SELECT w.arm, count(*) AS n, sum(w * {dev('c')}) AS e, greatest(sum(w * pow({dev('c')}, 2)) - pow(sum(w * {dev('c')}), 2), 0) AS v, sum(w * {dev('a')}) AS r, sum(w * {dev('b')}) AS t
+  FROM w_{m.replace('-', '_')} w JOIN c_{m.replace('-', '_')} c USING (arm), c_{m.replace('-', '_')} a, c_{m.replace('-', '_')} b WHERE a.arm = 'root' AND b.arm = 'trunk' GROUP BY 1) v USING (arm)
+ LEFT JOIN c_{m.replace('-', '_')} p ON p.arm = {_PARENT.replace('arm', 'c.arm')}""")
+    ctes = ", ".join(f"w_{m.replace('-', '_')} AS (SELECT *, u / sum(u) OVER (PARTITION BY arm) AS w FROM (SELECT *, {u} AS u FROM sys)), c_{m.replace('-', '_')} AS (SELECT arm, {', '.join(f'sum(w * s{i}) AS c{i}' for i in range(n))} FROM w_{m.replace('-', '_')} GROUP BY 1)" for m, u in raws.items())
+    return f"WITH {source}, {ctes} " + " UNION ALL ".join(parts)
+
+
+def _estimate(systems: DataFrame) -> DataFrame:
+    e = D.estimate(systems)
+    return e.select("arm", "method", "n", *[r6(c).alias(c) for c in e.columns[3:]])
+
+
+_RAWS = {m: X.WEIGHTS[m] for m in ("inv-ppl", "prob", "uniform")}
+
+
+@query("H16_estimate", _estimate_sql(X.SYS, _RAWS, 4))
+def _(spark, d):
+    return _estimate(X.systems_li(spark, d))
+
+
+@query("H16_estimate_docs", _estimate_sql(f"{X.DOCS}, {_D1}, sys AS (SELECT docs.traj_idx, docs.arm, n_tokens, logprob, {', '.join(f'max(score) FILTER (struct_idx = {i}) AS s{i}' for i in range(4))} FROM docs JOIN s1 ON s1.traj_idx = docs.traj_idx GROUP BY ALL)", _RAWS, 4))
+def _(spark, d):
+    docs = X.traj_docs(spark, d)
+    systems = Y.to_systems(S.score_count_occurrences(docs, X.PHRASES), len(X.PHRASES))
+    return _estimate(systems.join(docs.select("traj_idx", "logprob", "n_tokens"), "traj_idx"))
+
+
+# entropy and divergence
+
+_DIST = "d AS (SELECT l_returnflag AS g, p_brand AS k, sum(l_quantity) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), p AS (SELECT g, k, n / sum(n) OVER (PARTITION BY g) AS p FROM d)"
+
+
+def _dist(spark, d) -> DataFrame:
+    j = X.table(spark, d, "lineitem").join(X.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = j.groupBy(F.col("l_returnflag").alias("g"), F.col("p_brand").alias("k")).agg(F.sum("l_quantity").alias("n"))
+    return W.normalize(n, "n", ("g",))
+
+
+@query("I1_entropy_diversity", f"WITH {_DIST} SELECT g, {q6('-sum(p * ln(p))', 'h1')}, {q6('-ln(sum(p * p))', 'h2')}, {q6('-ln(max(p))', 'hinf')}, {q6('count(*)::DOUBLE', 'd0')}, {q6('exp(-sum(p * ln(p)))', 'd1')}, {q6('1 / sum(p * p)', 'd2')}, {q6('sum(p * p)', 'c2')} FROM p GROUP BY 1")
+def _(spark, d):
+    p = F.col("p")
+    a = _dist(spark, d).groupBy("g").agg(*[V.renyi_entropy(p, q).alias(n) for q, n in ((1, "h1"), (2, "h2"), (INF, "hinf"))], *[V.hill_number(p, q).alias(f"d{q}") for q in (0, 1, 2)])
+    return a.select("g", *[r6(c).alias(c) for c in ("h1", "h2", "hinf", "d0", "d1", "d2")], r6(V.concentration(F.col("d2"))).alias("c2"))
+
+
+@query("I4_divergences", f"WITH {_DIST}, j AS (SELECT a.g AS g1, b.g AS g2, a.p AS p, b.p AS q FROM p a JOIN p b USING (k)) SELECT g1, g2, {q6('sum(p * ln(p / q))', 'kl')}, {q6('ln(sum(p * p / q))', 'renyi_2')}, {q6('(sum(p * ln(2 * p / (p + q))) + sum(q * ln(2 * q / (p + q)))) / 2', 'js')} FROM j GROUP BY 1, 2")
+def _(spark, d):
+    p = _dist(spark, d)
+    arr = p.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("v"))  # a distribution a flag
+    j = arr.select(F.col("g").alias("g1"), F.col("v").alias("p")).join(arr.select(F.col("g").alias("g2"), F.col("v").alias("q")))
+    a, b = F.col("p"), F.col("q")
+    return j.select("g1", "g2", r6(V.kl(a, b)).alias("kl"), r6(V.renyi_divergence(a, b, 2)).alias("renyi_2"), r6(V.js(a, b)).alias("js"))
+
+
+@query("I11_fork_metrics", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {q6('-(a * ln(a) + (1 - a) * ln(1 - a))', 'entropy')}, {q6('pa / pb', 'ratio')}, {q6('ln(pa / pb)', 'log_odds')}, {q6('pa - pb', 'margin')}, CASE WHEN pa >= pb THEN 'A' ELSE 'B' END AS winner FROM (SELECT *, pa / (pa + pb) AS a FROM (SELECT *, l_quantity / 51 AS pa, (l_discount + 0.01::DOUBLE) AS pb FROM lineitem))")
+def _(spark, d):
+    m = V.fork_metrics(F.expr("l_quantity / 51"), F.expr("l_discount + 0.01D"))
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[r6(m[c]).alias(c) for c in ("entropy", "ratio", "log_odds", "margin")], m["winner"].alias("winner"))
+
+
+# sequences
+
+_LP = "lp AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: -abs(x)) AS l FROM embeddings)"
+
+
+@query("J1_sequence_metrics", f"WITH {_LP} SELECT vec_id, {q6('exp(-list_sum(l) / len(l))', 'perplexity')}, {q6('exp(list_sum(l) / len(l))', 'inv_perplexity')}, {q6('-list_sum(l) / len(l)', 'cross_entropy')}, {q6('list_sum(l)', 'total_logprob')}, {q6('list_sum(list_slice(l, 11, 20))', 'part')}, {q6('list_min(l)', 'worst')}, (list_position(l, list_min(l)) - 1)::BIGINT AS worst_position, {q6('list_max(list_transform(l, lambda x: exp(-x)))', 'top_rarity')} FROM lp")
+def _(spark, d):
+    e = X.embeddings(spark, d).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: -F.abs(x)).alias("l"))
+    lp = F.col("l")
+    ppl = V.perplexity(lp)
+    return e.select("vec_id", r6(ppl).alias("perplexity"), r6(1 / ppl).alias("inv_perplexity"), r6(F.ln(ppl)).alias("cross_entropy"), r6(V.total(lp)).alias("total_logprob"), r6(V.partial_logprob(lp, F.lit(10), F.lit(20))).alias("part"), r6(F.array_min(lp)).alias("worst"), V.worst_position(lp).cast("long").alias("worst_position"), r6(F.array_max(F.transform(lp, lambda x: F.exp(-x)))).alias("top_rarity"))
+
+
+@query("I8_power_mean_prob", f"WITH pr AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(-abs(x))) AS p FROM embeddings) SELECT vec_id, {q6('list_sum(p) / len(p)', 'arithmetic')}, {q6('exp(list_sum(list_transform(p, lambda x: ln(x))) / len(p))', 'geometric')}, {q6('len(p) / list_sum(list_transform(p, lambda x: 1 / x))', 'harmonic')}, {q6('list_min(p)', 'least')} FROM pr")
+def _(spark, d):
+    e = X.embeddings(spark, d).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.exp(-F.abs(x))).alias("p"))
+    return e.select("vec_id", *[r6(V.power_mean(F.col("p"), a)).alias(n) for a, n in ((1, "arithmetic"), (0, "geometric"), (-1, "harmonic"), (-INF, "least"))])
+
+
+@query("J8_faithfulness", f"SELECT l_returnflag, {q6('avg(CASE WHEN abs(l_quantity - l_linenumber) < 1e-10 THEN 0 ELSE (l_discount * 100 - l_linenumber) / (l_quantity - l_linenumber) END)', 'recovery')} FROM lineitem GROUP BY 1")
+def _(spark, d):
+    m = V.faithfulness(F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_discount") * 100)
+    return X.table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(F.avg(m["recovery"])).alias("recovery"))
+
+
+_LOGITS = "lg AS (SELECT vec_id AS traj_idx, (i // 8)::INT AS pos, (i % 8)::BIGINT AS token, v AS logit FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(0, 64)) AS i FROM embeddings))"
+
+
+@query("J9_position_entropy", f"WITH {_LOGITS}, s AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY traj_idx, pos) AS p, row_number() OVER (PARTITION BY traj_idx, pos ORDER BY logit DESC, token) AS r FROM lg) SELECT traj_idx, pos, {q6('-sum(p * ln(p))', 'entropy')}, max(token) FILTER (r = 1) AS top_token, {q6('max(p)', 'top_prob')}, {q6('sum(p) FILTER (r <= 3)', 'top3_mass')} FROM s GROUP BY 1, 2")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    lg = X.embeddings(spark, d).select(F.col("vec_id").alias("traj_idx"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "logit"))
+    lg = lg.select("traj_idx", F.expr("i div 8").cast("int").alias("pos"), (F.col("i") % 8).cast("long").alias("token"), "logit")
+    w = Window.partitionBy("traj_idx", "pos")
+    s = lg.withColumn("p", F.exp("logit") / F.sum(F.exp("logit")).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("logit"), "token")))
+    return s.groupBy("traj_idx", "pos").agg(r6(V.renyi_entropy(F.col("p"), 1)).alias("entropy"), F.max(F.when(F.col("r") == 1, F.col("token"))).alias("top_token"), r6(F.max("p")).alias("top_prob"), r6(F.sum(F.when(F.col("r") <= 3, F.col("p")))).alias("top3_mass"))
+
+
+# trees
+
+@query("K1_divergence_nodes", f"WITH {X.SEQS} SELECT pos::INT AS pos, n_branches, n_rows, count(*) AS n FROM node GROUP BY 1, 2, 3")
+def _(spark, d):
+    return K.divergence_nodes(X.token_seqs(spark, d)).groupBy("pos", "n_branches", "n_rows").agg(F.count("*").alias("n"))
+
+
+@query("K2_node_branches", f"WITH {X.SEQS} SELECT step.pos::INT AS pos, token, count(*) AS n, min(traj_idx) AS first_traj FROM step JOIN node ON node.prefix = step.prefix AND node.pos = step.pos GROUP BY step.prefix, step.pos, token")
+def _(spark, d):
+    return K.node_branches(X.token_seqs(spark, d)).select("pos", "token", "n", "first_traj")
+
+
+@query("K3_nodes_of_trajectory", f"WITH {X.SEQS} SELECT traj_idx, string_agg(step.pos, ',' ORDER BY step.pos) AS positions FROM step JOIN node ON node.prefix = step.prefix AND node.pos = step.pos GROUP BY 1")
+def _(spark, d):
+    return K.nodes_of_trajectory(X.token_seqs(spark, d)).select("traj_idx", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
+
+
+@query("K10_word_tree", f"WITH {X.SEQS} SELECT pos::INT AS depth, token AS word, count(*) AS n, bool_and(length = pos + 1) AS is_leaf FROM step GROUP BY prefix, pos, token")
+def _(spark, d):
+    return K.word_tree(X.token_seqs(spark, d)).select("depth", "word", "n", "is_leaf")
+
+
+# judges, samples
+
+@query("L1_merge_judges", f"WITH {X.JUDGES}, f AS (SELECT traj_idx FROM js GROUP BY 1 HAVING count(DISTINCT judge) = (SELECT count(DISTINCT event_type) FROM events)) SELECT traj_idx, struct_idx, {q6('coalesce(avg(score), 0)', 'score')} FROM js WHERE traj_idx IN (SELECT traj_idx FROM f) GROUP BY 1, 2")
+def _(spark, d):
+    j = X.judge_scores(spark, d)
+    return E.merge_judges(j, j.select("judge").distinct().count()).withColumn("score", r6("score"))
+
+
+@query("L3_average_judges", f"WITH {X.JUDGES} SELECT traj_idx AS text, struct_idx AS question, {q6('avg(score)', 'score')}, {q6(chr(39).join(['avg(score) FILTER (judge = ', 'click', ')']), 'click')} FROM js GROUP BY 1, 2")
+def _(spark, d):
+    j = X.judge_scores(spark, d).withColumnsRenamed({"traj_idx": "text", "struct_idx": "question"})
+    return E.average_judges(j, ["click"]).select("text", "question", r6("score").alias("score"), r6("click").alias("click"))
+
+
+@query("L8_stratified_sample", f"WITH {X.DOCS}, a AS (SELECT traj_idx, arm, n_tokens % 3 AS g FROM docs), b AS (SELECT *, row_number() OVER (PARTITION BY arm, g ORDER BY traj_idx) AS r FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY traj_idx) AS s FROM b WHERE r <= 5) SELECT arm, g, traj_idx FROM c WHERE s <= 12")
+def _(spark, d):
+    rows = X.traj_docs(spark, d).select("traj_idx", "arm", (F.col("n_tokens") % 3).alias("g"))
+    return E.stratified_sample(rows, ["arm", "g"], 5, 12, "traj_idx").select("arm", "g", "traj_idx")
+
+
+@query("L9_equalize_and_union", "WITH a AS (SELECT doc_id, source FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, source FROM documents WHERE lang <> 'en'), n AS (SELECT source, least(x, y) AS n FROM (SELECT source, count(*) AS x FROM a GROUP BY 1) JOIN (SELECT source, count(*) AS y FROM b GROUP BY 1) USING (source)), ra AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM a), rb AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM b) SELECT doc_id, source, source || ' (specified)' AS label FROM ra JOIN n USING (source) WHERE r <= n UNION ALL SELECT doc_id, source, source || ' (associated)' FROM rb JOIN n USING (source) WHERE r <= n")
+def _(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id", "source", "lang")
+    return E.equalize_and_union(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "source", "doc_id").select("doc_id", "source", "label")
+
+
+@query("L10_extremal_rows", f"WITH {X.DOCS}, v AS (SELECT arm, traj_idx, logprob / greatest(n_tokens, 1) AS v FROM docs), r AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY v, traj_idx) AS a, row_number() OVER (PARTITION BY arm ORDER BY v DESC, traj_idx) AS b FROM v), p AS (SELECT arm, traj_idx, row_number() OVER (PARTITION BY arm ORDER BY least(2 * a - 1, 2 * b)) AS pick FROM r) SELECT arm, traj_idx, pick::INT AS pick FROM p WHERE pick <= 6")
+def _(spark, d):
+    return E.extremal_rows(X.traj_docs(spark, d), 6)
+
+
+# dynamics
+
+_SER = "ser AS (SELECT conv_id, turn, len(text) / 1000::DOUBLE AS a0, len(regexp_extract_all(text, '\\S+')) / 200::DOUBLE AS a1 FROM conversations)"
+
+
+def _series(spark, d) -> DataFrame:
+    c = X.table(spark, d, "conversations")
+    a = F.array(F.char_length("text") / F.lit(1000.0), T.word_count(F.col("text")) / F.lit(200.0))
+    return c.select(F.col("conv_id").alias("traj_idx"), F.lit("trunk").alias("arm"), F.col("turn").alias("k"), a.alias("attunement"), F.reverse(a).alias("default"))
+
+
+@query("M4_dynamics", f"WITH {_SER}, w AS (SELECT *, first_value(a1) OVER w AS f0, first_value(a0) OVER w AS f1, last_value(a0) OVER w AS l0, last_value(a1) OVER w AS l1 FROM ser WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT conv_id AS traj_idx, turn AS k, {q6('sqrt(a0 * a0 + a1 * a1) / sqrt(2)', 'pull')}, {q6('sqrt(pow(a0 - f0, 2) + pow(a1 - f1, 2)) / sqrt(2)', 'drift')}, {q6('sqrt(pow(l0 - a1, 2) + pow(l1 - a0, 2)) / sqrt(2)', 'potential')} FROM w")
+def _(spark, d):
+    t = M.dynamics(_series(spark, d))
+    return t.select("traj_idx", "k", *[r6(c).alias(c) for c in ("pull", "drift", "potential")])
+
+
+@query("M6_running_stats", f"SELECT user_id AS node, event_id AS i, count(value) OVER w AS n, round(avg(value) OVER w, 8) AS mean, {q6('stddev_pop(value) OVER w', 'std')} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def _(spark, d):
+    s = X.table(spark, d, "events").selectExpr("user_id AS node", "event_id AS i", "value AS x")
+    return M.running_stats(s).select("node", "i", "n", F.round("mean", 8).alias("mean"), r6("std").alias("std"))
+
+
+@query("M7_merge_moments", f"SELECT user_id AS node, count(value) AS n, {q6('avg(value)', 'mean')}, {q6('sqrt(var_pop(value))', 'std')} FROM events GROUP BY 1")
+def _(spark, d):
+    s = X.table(spark, d, "events").selectExpr("user_id AS node", "event_id", "value AS x")
+    m = M.merge_moments(M.moments(s.where("event_id % 3 = 0"), ["node"]), M.moments(s.where("event_id % 3 <> 0"), ["node"]), ["node"])
+    return m.select("node", "n", r6("mean").alias("mean"), r6(F.sqrt(F.col("m2") / F.col("n"))).alias("std"))
+
+
+@query("M9_dynamics_by_arm", f"WITH {_SER} SELECT turn AS k, count(*) AS n, {q6('avg(sqrt(a0 * a0 + a1 * a1) / sqrt(2))', 'pull')} FROM ser GROUP BY 1")
+def _(spark, d):
+    return M.dynamics_by_arm(M.dynamics(_series(spark, d))).select("k", "n", r6("pull").alias("pull"))
+
+
+@query("N7_windowed_cores_batch", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_id % 3 AS q_idx, count(*) AS n, " + q6("avg(CASE WHEN event_id % 13 = 0 THEN 0 ELSE least(value / 330, 1) END)", "mean") + " FROM events GROUP BY 1, 2")
+def _(spark, d):
+    j = X.judge_scores(spark, d).withColumnRenamed("struct_idx", "q_idx")
+    return j.groupBy(F.window("ts", "1 hour").alias("w"), F.col("q_idx").cast("long").alias("q_idx")).agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("score", F.lit(0.0)))).alias("mean")).select(F.col("w.start").alias("hour"), "q_idx", "n", "mean")
