@@ -6,8 +6,9 @@
    estimate, corrected for chance agreement, picks each class's most similar centre; that pair is confirmed on the
    full shingle sets, and confirmed links are contracted to components.
 3. Buckets that still hold several components are compared in full, as blocks against blocks of signatures in numpy;
-   only pairs of different components whose estimate is within MARGIN deviations of the threshold leave a task.
-   They are confirmed on the full sets, and the components are final.
+   only pairs of different components whose estimate is within MARGIN deviations of the threshold count. In two
+   rounds each document's likeliest partner alone leaves the tasks, is confirmed on the full sets and contracted;
+   this joins a group of near copies through their common source. The last round confirms all pairs that are left.
 So a large group of near copies costs links in proportion to its size, and no bucket, partner or candidate is capped.
 """
 
@@ -164,13 +165,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _blocks_compared(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components in the residual buckets.
+def _blocks_compared(rows: DataFrame, least: int, percent: int, best: bool) -> DataFrame:
+    """Candidates (a, b) of different components in the residual buckets; best: only each document's likeliest one.
 
     rows: bucket, block_a, block_b, block, doc_id, component, n_shingles, signature. A task streams its sorted rows
     and holds one pair of blocks at a time.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("other", pa.int64()), ("agree", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -180,14 +181,25 @@ def _blocks_compared(rows: DataFrame, least: int, percent: int) -> DataFrame:
                 return
             block, ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
             sig = np.array([h[4] for h in held], np.int64).astype(np.uint64)
+            top, partner = np.full(len(ids), -1), np.full(len(ids), -1)
             side_a = np.flatnonzero(block == key[1])
             side_b = np.flatnonzero(block == key[2])
             for i in side_a:
                 j = side_b[side_b > i] if key[1] == key[2] else side_b
                 j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-                j = j[agreeing(sig[i], sig[j]) >= least]
-                if len(j):
-                    yield batch(schema, pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])))
+                agree = agreeing(sig[i], sig[j])
+                j, agree = j[agree >= least], agree[agree >= least]
+                if best and len(j):
+                    better = agree > top[j]
+                    top[j[better]], partner[j[better]] = agree[better], i
+                    k = agree.argmax()
+                    if agree[k] > top[i]:
+                        top[i], partner[i] = agree[k], j[k]
+                elif len(j):
+                    yield batch(schema, pa.array(np.full(len(j), ids[i])), pa.array(ids[j]), pa.array(agree))
+            some = np.flatnonzero(top >= 0)
+            if len(some):
+                yield batch(schema, pa.array(ids[some]), pa.array(ids[partner[some]]), pa.array(top[some]))
 
         for b in batches:
             for bucket, block_a, block_b, *rest in zip(*(c.to_pylist() for c in b.columns)):
@@ -198,7 +210,10 @@ def _blocks_compared(rows: DataFrame, least: int, percent: int) -> DataFrame:
         yield from pairs()
 
     dealt = rows.repartition("bucket", "block_a", "block_b").sortWithinPartitions("bucket", "block_a", "block_b")
-    return dealt.select("bucket", "block_a", "block_b", "block", "doc_id", "component", "n_shingles", "signature").mapInArrow(compare, "a long, b long").distinct()
+    found = dealt.select("bucket", "block_a", "block_b", "block", "doc_id", "component", "n_shingles", "signature").mapInArrow(compare, "doc_id long, other long, agree long")
+    if best:
+        found = found.groupBy("doc_id").agg((-F.max(F.struct("agree", (-F.col("other")).alias("o")))["o"]).alias("other"))
+    return found.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -239,18 +254,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = saved(confirmed(tried, docs, width, percent, id_col, text_col), "links")
     joined = components(links)
 
-    now = members.select("bucket", "m", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    now = saved(now, "residual")
-    open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rows = now.join(open_, "bucket").join(sig, "doc_id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
-    more = _blocks_compared(rows, least, percent).join(tried, ["a", "b"], "left_anti")
-    more = saved(more, "candidates")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, width, percent, id_col, text_col))
-        joined = components(saved(links, "links2"))
+    for best in (True, True, False):
+        now = members.select("bucket", "m", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        now = saved(now, "residual")
+        open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        rows = now.join(open_, "bucket").join(sig, "doc_id")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
+        more = saved(_blocks_compared(rows, least, percent, best).join(tried, ["a", "b"], "left_anti"), "candidates")
+        if more.isEmpty():
+            continue
+        found = saved(confirmed(more, docs, width, percent, id_col, text_col), "links")
+        tried = saved(tried.unionByName(more), "tried")
+        if not found.isEmpty():
+            links = saved(links.unionByName(found), "links")
+            joined = components(links)
 
     answer = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     answer = answer.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
