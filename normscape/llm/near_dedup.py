@@ -88,7 +88,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def pack_bits(minima_: np.ndarray) -> np.ndarray:
     """The low BITS bits of the minima, _FIELDS to a 64-bit word."""
-    low = (minima_ & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(minima_), -1, _FIELDS)
+    low = (minima_ & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(minima_), HASHES // _FIELDS, _FIELDS)
     return np.bitwise_or.reduce(low << (np.arange(_FIELDS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 

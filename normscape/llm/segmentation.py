@@ -18,8 +18,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from normscape.llm.common import batch, gather_runs, mix, slices, text_rows
 
@@ -332,9 +334,6 @@ def sample(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """rows with the text of their ids; null ids give null text. A column named out_col is replaced."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(model_path)

@@ -1,0 +1,282 @@
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from normscape.llm import exact_dedup, language_id, language_model, licenses, near_dedup, packing, queries, secrets, segmentation, substring_dedup, vector_search
+from normscape.llm.fm_index import FMIndex
+from tests.compare import same
+
+SF = "/root/testdata/sf0.001"
+HARD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "word"), (5, "word"), (6, "a b c d e f g " * 40), (7, "x " + "a b c d e f g " * 40), (8, "ü" * 5000), (None, "no id here"), (9, "12 !? 34")]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame([(i, t, 1, "s", "en") for i, t in HARD], "doc_id long, text string, score int, source string, lang string")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    same(spark, queries.QUERIES[name], queries.ORACLES[name], SF)
+
+
+def test_language_id(spark, hard):
+    rows = language_id.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert sum(r["lang_pred"] == r["lang"] for r in held) > 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in rows)
+    model = language_id.train(hard)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(hard, model).collect()}
+    assert got[1] == got[2] == got[3] == got[9] == "und" and got[4] == "en"
+    assert language_id.predict(hard.limit(0), language_id.train(hard.limit(0))).count() == 0
+    assert language_id.predict(hard, language_id.train(hard.limit(0))).count() == len(HARD)
+
+
+def test_exact_dedup(spark, hard, tmp_path):
+    rows = exact_dedup.exact_duplicates(hard, keep="smallest").collect()
+    assert len(rows) == len(HARD) and {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows}[5] == (4, 3)
+    assert {r["doc_id"] for r in rows if r["kept"]} == {1, 3, 4, 6, 7, 8, None, 9}
+    assert exact_dedup.exact_duplicates(hard.limit(0)).count() == 0
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 99, rng.integers(0, 12)).tolist()) for _ in range(800)]
+    trie = exact_dedup.RadixTrie(exact_dedup.larger, 3000, str(tmp_path))
+    for i, t in enumerate(texts):
+        trie.insert(t, i, 1)
+    assert trie.spills > 0
+    assert sorted(trie.items()) == sorted((t, max(i for i, x in enumerate(texts) if x == t), texts.count(t)) for t in set(texts))
+
+
+def brute_near(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        n = min(width, len(w))
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if n else set()
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    return {i: (len(sets[i]), comp[i]) for i in sets}
+
+
+def test_near_dedup(spark, hard, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, t) for i, t in HARD if i is not None]
+    for i in range(40):
+        x = list(base)
+        for p in rng.integers(0, 120, i % 9):
+            x[p] = f"z{rng.integers(9999)}"
+        rows.append((100 + i, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (near_dedup.BLOCK, 4):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=3, percent=85).collect()}
+        assert got == brute_near(rows, 3, 85)
+    assert near_dedup.near_duplicates(hard.limit(0)).count() == 0
+    assert near_dedup.near_duplicates(hard).count() == len(HARD) - 1
+    a, b = np.zeros((1, 128), np.uint32), np.arange(128, dtype=np.uint32)[None]
+    assert near_dedup.agreeing(near_dedup.pack_bits(a)[0], near_dedup.pack_bits(b)[0]) == 8
+
+
+def test_packing(spark, hard):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    pieces = packing.token_pieces(hard, packing.tokenizer_path(), capacity=64, with_ids=True)
+    packed = packing.pack(packing.saved(pieces, "p"), 64).collect()
+    whole = {}
+    for r in packed:
+        whole.setdefault(r["doc_id"], {})[r["piece"]] = r["ids"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["length"] == len(r["ids"])
+    for i, text in HARD:
+        assert sum((x for _, x in sorted(whole[i].items())), []) == [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    filled = {}
+    for r in packed:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in filled.values():
+        spans.sort()
+        assert all(o == sum(n for _, n in spans[:k]) for k, (o, _) in enumerate(spans)) and sum(n for _, n in spans) <= 64
+    assert packing.sequences(packing.pack(packing.saved(pieces, "p"), 64)).count() == len(filled)
+    assert packing.pack(packing.saved(pieces.limit(0), "p")).count() == 0
+
+
+def best_fit_decreasing(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in bins if b >= n]
+        if fits:
+            bins.remove(min(fits))
+            bins.append(min(fits) - n)
+        else:
+            bins.append(capacity - n)
+    return len(bins)
+
+
+def test_plan_equals_best_fit_over_documents():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        lengths = rng.integers(1, 40, rng.integers(1, 200)).tolist()
+        slots = packing.plan({n: lengths.count(n) for n in set(lengths)}, 40)
+        used = max(first + -(-items // each) for _, _, items, each, first, _ in slots)
+        assert used == best_fit_decreasing(lengths, 40) and sum(s[2] for s in slots) == len(lengths)
+
+
+def test_vector_search(spark):
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {}
+    for r in vector_search.op6_nearest_neighbours(spark, SF).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q, found in got.items():
+        exact = sorted(((-float(np.dot(np.array(rows[q], float), np.array(v, float))), i) for i, v in rows.items() if i != q))[:20]
+        hits += len({i for _, i in exact} & {i for _, i, _ in found})
+        assert sorted(found) == sorted(found, key=lambda x: (-x[2], x[1])) and len(found) == 20
+    assert len(got) == 25 and hits >= 0.9 * 500
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [2.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    index, books = vector_search.build_index(odd)
+    assert [(r["query_id"], r["vec_id"]) for r in vector_search.search(index, books, index.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 5), (0, 6)]
+    index, books = vector_search.build_index(odd.limit(0))
+    assert vector_search.search(index, books, index).count() == 0
+
+
+def test_secrets(spark, hard):
+    model = secrets.train(spark)
+    token = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'la la token = "{token}" fin', "src"), (2, f"see commit {token} for it", "docs/example.md"), (3, "nothing in here", None), (4, None, "src"), (5, f'token = "{token}" and PASSWORD: hunter2hunter2!', "src")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.scan(docs, model)
+    assert {(r["doc_id"], r["is_secret"]) for r in found.collect()} == {(1, True), (2, False), (5, True)}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    assert clean[1] == 'la la token = "[SECRET]" fin' and clean[2] == rows[1][1] and clean[4] is None and "hunter2" not in clean[5]
+    held = secrets.labelled_findings(400, seed=99)
+    data = spark.createDataFrame(held, "features array<double>, label double")
+    from pyspark.ml.functions import array_to_vector
+
+    right = model.transform(data.withColumn("features", array_to_vector("features"))).where("prediction = label").count()
+    assert right > 0.95 * len(held) and secrets.scan(hard, model).count() == 0
+
+
+def test_licenses(spark, hard):
+    lines = [(1, "alpha beta\nReleased under the MIT License.\nmore text"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the mit of the und"), (4, None), (5, "This work is licensed under the GNU General Public License, version 3.")]
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    model = licenses.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan(docs, model).where("family <> 'unknown'").collect()} == {(1, 1, "MIT"), (2, 0, "Apache-2.0"), (5, 0, "GPL-3.0")}
+    assert licenses.scan(hard, model).count() == 0 and licenses.scan(docs.limit(0), model).count() == 0
+
+
+def test_language_model(spark, hard):
+    docs = {r["doc_id"]: (r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)), "\n"]
+    counts = {}
+    for i, t in docs.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in words(t):
+                counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    rows = language_model.op9_lm_scoring(spark, SF).collect()
+    for r in rows:
+        ws = words(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in counts for w in ws), total)
+        assert math.isclose(r["base_score"], sum(math.log10((counts.get(w, 0) + 1) / (total + len(counts) + 1)) for w in ws), rel_tol=1e-9)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["score"] < 0 for r in rows)
+    assert language_model.score_corpus(hard, F.lit(False)).count() == len(HARD)
+    assert language_model.score_corpus(hard.limit(0), F.lit(True)).count() == 0
+
+
+def test_fm_index():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        sigma, depth = int(rng.integers(3, 7)), int(rng.choice([3, 5, 8]))
+        seqs = [rng.integers(1, sigma, rng.integers(1, 30)) for _ in range(rng.integers(1, 8))]
+        text = np.concatenate([np.append(s, 0) for s in seqs])
+        index, lanes = FMIndex(text, sigma, depth), rng.integers(1, sigma, (6, 25))
+        length, found = index.statistics(lanes)
+        subs = {tuple(s[a:b]) for s in seqs for a in range(len(s)) for b in range(a + 1, min(len(s), a + depth) + 1)}
+        for r, p in np.ndindex(lanes.shape):
+            assert length[r, p] == max([n for n in range(1, min(depth, 25 - p) + 1) if tuple(lanes[r, p : p + n]) in subs], default=0)
+            if length[r, p] == depth:
+                at = index.suffixes[index.class_start[found[r, p]] : index.class_end[found[r, p]]]
+                assert sorted(at) == [a for a in range(len(text)) if tuple(text[a : a + depth]) == tuple(lanes[r, p : p + depth])]
+
+
+def test_substring_dedup(spark, hard):
+    rng = np.random.default_rng(5)
+    line, passage = [f"l{i}" for i in range(6)], [f"p{i}" for i in range(14)]
+    rows = []
+    for i in range(60):
+        x = [f"r{v}" for v in rng.integers(0, 10**6, 12)] + line + [f"r{v}" for v in rng.integers(0, 10**6, 3)]
+        rows.append((i, " ".join(x + (passage[i % 3 :] if i % 2 else []) + (x[:11] if i % 5 == 0 else []))))
+    rows += [(100, rows[3][1]), (101, "short one"), (102, None), (103, "short one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = {i: (t or "").split() for i, t in rows}
+    first = {}
+    for i in sorted(split):
+        for a in range(len(split[i]) - 7):
+            first.setdefault(tuple(split[i][a : a + 8]), i)
+    for hot in (512, 3):
+        for r in substring_dedup.remove_repeats(df, window=8, hot=hot, shard_words=60, with_text=True).collect():
+            w, gone = split[r["doc_id"]], set()
+            for a in range(len(w) - 7):
+                if first[tuple(w[a : a + 8])] < r["doc_id"]:
+                    gone |= set(range(a, a + 8))
+            kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+            assert (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    assert substring_dedup.remove_repeats(hard).count() == len(HARD) and substring_dedup.remove_repeats(hard.limit(0)).count() == 0
+
+
+def test_segmentation(spark, hard):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=segmentation.piece_model_path())
+    rows = segmentation.sample(hard.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), segmentation.piece_model_path(), with_ids=True)
+    texts = {i: t or "" for i, t in HARD}
+    seen = {}
+    for r in rows.collect():
+        assert r["round_trip"] and sp.decode(r["ids"]) == texts[r["doc_id"]] and r["log_inclusion"] <= 0
+        seen.setdefault(r["doc_id"], []).append(tuple(r["ids"]))
+    assert all(len(set(x)) == len(x) for x in seen.values()) and len(seen[1]) == len(seen[2]) == 1 and len(seen[6]) == 3
+    assert {r["text"] for r in segmentation.decode(rows.where("doc_id = 6").select("ids"), segmentation.piece_model_path()).collect()} == {texts[6]}
+    pieces = segmentation.Pieces(segmentation.piece_model_path())
+    lat = segmentation.Lattices(pieces)
+    segs = pieces.segments("the an\n")
+    nodes, first, second, n = lat.nodes(segs), {}, {}, 2500
+    for i in range(n):
+        keys = segmentation.mix(np.arange(len(segs), dtype=np.uint64) * np.uint64(77) + np.uint64(i * 1000003 + 5))
+        draws = [lat.draw(nodes, segmentation.mix(keys + np.uint64(t))) for t in range(2)]
+        found, _ = segmentation.search(lat, draws, 0, len(segs), 2, i * 7919 + 1, 1)
+        for counts, (edges, _, _) in zip((first, second), found):
+            counts[tuple(edges)] = counts.get(tuple(edges), 0) + 1
+    p = {e: math.exp(lat.log_p[np.array(e)].sum()) for e in first | second}
+    for e in p:
+        assert abs(first.get(e, 0) / n - p[e]) < 0.03
+        assert abs(second.get(e, 0) / n - sum(p[x] * p[e] / (1 - p[x]) for x in p if x != e)) < 0.03
+
+
+def test_pipeline_against_its_own_operators_by_brute_force(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    after = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = packing.saved(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        after[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(any(c.isalpha() for c in t) for t in after["language"].values())
+    keep = {}
+    for i, t in after["language"].items():
+        keep[t] = max(i, keep.get(t, i))
+    assert set(after["exact_dedup"]) == set(keep.values())
+    brute = brute_near(after["exact_dedup"].items(), 5, 80)
+    assert set(after["near_dedup"]) == {i for i, (n, c) in brute.items() if n == 0 or c == i}
+    assert set(after["secrets"]) == set(after["near_dedup"])
+    packed = P.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == len(after["secrets"])
