@@ -70,26 +70,35 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             start = end
 
 
+class _Numbers(dict):
+    """Word -> number; a new word takes the next one and is noted."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordCache:
-    """Word -> row number, with columns computed once for each new word. Forgets everything when full."""
+    """Word -> row number, with columns computed once for each new word. Forgets everything once over cap."""
 
     def __init__(self, compute: Callable[[list[bytes]], tuple], cap: int = WORD_CACHE):
         self.compute, self.cap = compute, cap
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.columns: list[np.ndarray] = []
 
     def rows(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.index.get, words))
-        if None in found:
-            new = list({w for w, i in zip(words, found) if i is None})
-            if len(self.index) + len(new) > self.cap:
-                self.index, self.columns, new = {}, [], list(set(words))
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new))))
-            made = self.compute(new)
-            self.columns = [np.concatenate(x) for x in zip(self.columns, made)] if first else list(made)
-            found = list(map(self.index.__getitem__, words))
-        return np.fromiter(found, np.int64, len(found))
+        if len(self.index) > self.cap:
+            self.index, self.columns = _Numbers(), []
+        found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            made = self.compute(self.index.new)
+            self.columns = [np.concatenate(x) for x in zip(self.columns, made)] if self.columns else list(made)
+            self.index.new = []
+        return found
 
     def look(self, words: list[bytes]) -> list[np.ndarray]:
         if not words:
