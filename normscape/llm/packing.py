@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,14 @@ SALTS, ROWS_PER_SALT = 64, 1_000_000
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Slots of the plan are broadcast up to this many rows; beyond it the join shuffles.
 PLAN_ROWS = 200_000
+#: Letters before this one are their own NFC form, and all but this capital have one lower-case letter.
+_LATIN_END, _TWO_LETTERS = "\u0250", "\u0130"
+#: Byte-level alphabets write printable Latin-1 bytes as themselves and the others as letters from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def _latin(word: str) -> bool:
+    return word.isascii() or (max(word) < _LATIN_END and _TWO_LETTERS not in word)
 
 
 class WordTokens:
@@ -47,33 +56,41 @@ class WordTokens:
         #: a special token that stands between words when many new ones are encoded as one text
         self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         #: plain lower-case words need no normaliser and are one pre-token: the model alone gives their ids
-        probes = ["the", "tokenisation", "hcz", "q", "straightforwardly", "einverge", "llamente", "zzxxyyqq"]
-        self.direct = all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+        probes = ["the", "tokenisation", "hcz", "q", "straightforwardly", "einverge", "llamente", "zzxxyyqq", "é", "naïveté", "àßþœŵ", "señor", "ªº"]
+        self.direct = all(self._by_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
         self._clear()
 
     def _learnt(self, words: list[str]) -> list:
         """The ids of each word, from its core and its closing marks, which the tokenizer parts in any case."""
         cores, tails = [], []
         for w in words:
-            core = w.rstrip(_MARKS)
-            if not core or len(core) == len(w) or not core[-1].isalnum() or "|" in w:
-                core = w
-            tails.append(w[len(core) :])
-            cores.append(core.lower() if core.isascii() and "|" not in w else core)
-        new = list({c for c in cores + tails if c and c not in self.cores})
+            core, tail = w, ""
+            if not w.isalpha():
+                core = w.rstrip(_MARKS)
+                if not core or not core[-1].isalnum() or "|" in w:
+                    core = w
+                tail = w[len(core) :]
+            cores.append(core.lower() if core.isascii() and core.isalpha() or "|" not in w and _latin(core) else core)
+            tails.append(tail)
+        new = list((set(cores) | set(tails)) - self.cores.keys() - {""})
         if len(self.cores) + len(new) > self.cap:
             self.cores = {}
             new = list(set(cores + tails) - {""})
         self.cores.update(zip(new, self._ids(new)))
         return [self.cores[c] + self.cores[t] if t else self.cores[c] for c, t in zip(cores, tails)]
 
+    def _by_model(self, word: str) -> list[int]:
+        """The ids of a lower-case Latin word, which is one pre-token."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _ids(self, words: list[str]) -> list:
         """The ids of each word."""
         if self.direct:
-            plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
-            model = self.tokenizer.model
+            plain = [w.isalpha() and w.islower() and _latin(w) for w in words]
             rest = iter(self._through_text([w for w, p in zip(words, plain) if not p]))
-            return [[t.id for t in model.tokenize(w)] if p else next(rest) for w, p in zip(words, plain)]
+            return [self._by_model(w) if p else next(rest) for w, p in zip(words, plain)]
         return self._through_text(words)
 
     def _through_text(self, words: list[str]) -> list:
@@ -100,20 +117,21 @@ class WordTokens:
         self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        distinct = split.flatten().dictionary_encode()
+        words = distinct.dictionary.to_pylist()
         at = list(map(self.index.get, words))
         if None in at:
-            new = list({w for w, i in zip(words, at) if i is None})
+            new = [w for w, i in zip(words, at) if i is None]
             if len(self.index) + len(new) > self.cap:
                 self._clear()
-                new = list(set(words) - {""})
+                new = [w for w in words if w]
             self._learn(new)
             at = list(map(self.index.__getitem__, words))
-        at = np.fromiter(at, np.int64, len(at))
+        at = np.array(at, np.int64)[distinct.indices.to_numpy()]
         lengths = self.lengths[at]
         ids = self.flat[gather_runs(self.starts[at], lengths)]
-        ends = np.append(0, np.cumsum(lengths))[np.cumsum([len(s) for s in split])]
+        ends = np.append(0, np.cumsum(lengths))[split.offsets.to_numpy()[1:]]
         return np.split(ids, ends[:-1])
 
 
