@@ -7,6 +7,7 @@ trained from labelled findings (a bounded set: LABELLED made-up snippets unless
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -27,7 +28,9 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
-_ASSIGN = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"']{6,})")
+_SPLIT = re.compile(r"=+(?=[^=])")
+_SIGN = re.compile(r"[:=]")
+_VALUE = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"']{6,})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]{0,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
 _WORD = re.compile(r"[A-Za-z]+")
 # fixed word lists
@@ -45,24 +48,61 @@ def _class(c: str) -> str:
     return "l" if c in _CLASSES[0] else "u" if c in _CLASSES[1] else "d" if c in _CLASSES[2] else "o"
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what may be a secret; of overlapping spans the first and longest stays."""
-    found = [(m.start(), m.end(), "block") for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    for m in _RUN.finditer(text):
-        s = m.group()
-        if any(c in _CLASSES[2] for c in s) and any(c.isalpha() for c in s):
-            found.append((m.start(), m.end(), "run"))
-    for m in _ASSIGN.finditer(text):
+def _mixed(s: str) -> bool:
+    return len(s) >= 16 and any(c in _CLASSES[2] for c in s) and any(c.isalpha() for c in s)
+
+
+def _runs(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The mixed parts between inner '=' signs (KEY=value), or the whole if no part is one by itself."""
+    s = text[start:end]
+    cuts = [(m.start(), m.end()) for m in _SPLIT.finditer(s)]
+    edges = zip([0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(s)])
+    parts = [(start + i, start + j) for i, j in edges if _mixed(s[i:j])]
+    return parts or ([(start, end)] if _mixed(s) else [])
+
+
+def _assigned(text: str) -> list[tuple[int, int]]:
+    """Values after ':' or '=' with a secret word before it; signs inside such a value belong to it."""
+    out, done = [], 0
+    for m in _SIGN.finditer(text):
+        if m.start() < done:
+            continue
         before = {w.lower() for w in _WORD.findall(text[max(0, m.start() - 24) : m.start()])[-2:]}
-        if before & _SECRET_WORDS:
-            found.append((m.start(1), m.end(1), "assigned"))
-    out: list[tuple[int, int, str]] = []
-    for f in sorted(found, key=lambda f: (f[0], -f[1])):
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
+        value = _VALUE.match(text, m.start()) if before & _SECRET_WORDS else None
+        if value:
+            out.append(value.span(1))
+            done = value.end()
     return out
 
 
+def _free(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted, disjoint spans in taken leave of a span."""
+    out = []
+    for i in range(bisect.bisect_right(taken, start, key=lambda t: t[1]), len(taken)):
+        if taken[i][0] >= end:
+            break
+        out.append((start, taken[i][0]))
+        start = taken[i][1]
+    return [(i, j) for i, j in [*out, (start, end)] if i < j]
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what may be a secret: key blocks, then assigned values, then runs.
+
+    What a span of an earlier kind leaves of a later one is looked at again by itself. A value that is also a run
+    counts as one.
+    """
+    out = [(m.start(), m.end(), "block") for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    taken = [f[:2] for f in out]
+    runs = [m.span() for m in _RUN.finditer(text)]
+    whole = {r for m in runs for r in _runs(text, *m)}
+    values = [f for v in _assigned(text) for f in _free(*v, taken) if f[1] - f[0] >= 6]
+    out += [(*f, "run" if f in whole else "assigned") for f in values]
+    taken = sorted(taken + values)
+    out += [(*r, "run") for m in runs for f in _free(*m, taken) for r in _runs(text, *f)]
+    return sorted(out)
+
+
 def features(text: str, start: int, end: int, path: str) -> list[float]:
     """The forest's features; of a long block the shape of its first 200 characters, the length of all."""
     s = text[start : min(end, start + 200)]
