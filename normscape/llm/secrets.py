@@ -31,7 +31,8 @@ _RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _SPLIT = re.compile(r"=+(?=[^=])")
 _SIGN = re.compile(r"[:=]")
 _VALUE = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"']{6,})")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]{0,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+_PRIVATE = re.compile(r"(?:.* )?PRIVATE KEY(?: BLOCK)?")
 _WORD = re.compile(r"[A-Za-z]+")
 # fixed word lists
 _SECRET_WORDS = {"password", "passwd", "pwd", "secret", "token", "apikey", "api", "key", "credential", "credentials", "auth", "bearer", "authorization", "access", "private"}
@@ -44,8 +45,30 @@ _CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
 _TRANSITIONS = [a + b for a in "ludo" for b in "ludo"]
 
 
-def _class(c: str) -> str:
-    return "l" if c in _CLASSES[0] else "u" if c in _CLASSES[1] else "d" if c in _CLASSES[2] else "o"
+class _Kinds(dict):
+    """For str.translate: the class of each character, `o` for the many others."""
+
+    def __missing__(self, code: int) -> str:
+        return "o"
+
+
+_KIND = _Kinds({ord(c): k for k, chars in zip("lud", _CLASSES) for c in chars})
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys from each BEGIN line to its own END line; without one to the next BEGIN or the end of the text."""
+    out, label, start = [], None, 0
+    if "-----BEGIN" not in text:
+        return out
+    for m in _MARK.finditer(text):
+        if label is not None and (m[1] == "BEGIN" or m[2] == label):
+            out.append((start, m.end() if m[1] == "END" else m.start()))
+            label = None
+        if m[1] == "BEGIN" and _PRIVATE.fullmatch(m[2]):
+            label, start = m[2], m.start()
+    if label is not None:
+        out.append((start, len(text)))
+    return [(i, i + len(text[i:j].rstrip())) for i, j in out]
 
 
 def _mixed(s: str) -> bool:
@@ -92,8 +115,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     What a span of an earlier kind leaves of a later one is looked at again by itself. A value that is also a run
     counts as one.
     """
-    out = [(m.start(), m.end(), "block") for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    taken = [f[:2] for f in out]
+    taken = _blocks(text)
+    out = [(*f, "block") for f in taken]
     runs = [m.span() for m in _RUN.finditer(text)]
     whole = {r for m in runs for r in _runs(text, *m)}
     values = [f for v in _assigned(text) for f in _free(*v, taken) if f[1] - f[0] >= 6]
@@ -104,9 +127,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 
 
 def features(text: str, start: int, end: int, path: str) -> list[float]:
-    """The forest's features; of a long block the shape of its first 200 characters, the length of all."""
-    s = text[start : min(end, start + 200)]
-    kinds = "".join(map(_class, s))
+    """The forest's features, of the whole candidate."""
+    s = text[start:end]
+    kinds = s.translate(_KIND)
     moves = Counter(map("".join, zip(kinds, kinds[1:])))
     n = max(1, len(s))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
