@@ -57,29 +57,37 @@ def max_inv_ppl_core(systems: DataFrame) -> DataFrame:
     return _best(systems, F.when((n > 0) & F.col("logprob").isNotNull(), F.col("logprob") / F.when(n > 0, n)).otherwise(-INF))
 
 
-def majority_walk(tokens: DataFrame, keys: tuple = ("arm",), max_steps: int = 4096) -> DataFrame:
+def majority_walk(tokens: DataFrame, keys: tuple = ("arm",), max_steps: int | None = None) -> DataFrame:
     """(keys.., traj_idx): the row that the token-by-token plurality walk ends on.
 
     At each position the survivors that still have a token vote (ties: the smallest token); those that ended drop out
-    unless all have ended. The longest survivor, then the smallest traj_idx, is the answer. One aggregation a step.
+    unless all have ended. The longest survivor, then the smallest traj_idx, is the answer. The walk goes to the end
+    of the texts, or max_steps tokens: it jumps over what all survivors share, which is what their smallest and
+    largest sequence share, so rounds are as many as partings on the way.
     """
     keys = list(keys)
     left = tokens.where(F.size("tokens") > 0).select(*keys, "traj_idx", "tokens")
-    for pos in range(max_steps):
-        going = left.where(F.size("tokens") > pos)
-        if going.isEmpty():
+    differs = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(differs > 0, differs - 1).otherwise(F.least(F.size("lo"), F.size("hi"))).cast("int")
+    rounds = 0
+    while True:
+        parts = left.groupBy(*keys).agg(F.min("tokens").alias("lo"), F.max("tokens").alias("hi")).where("lo <> hi").select(*keys, shared.alias("pos"))
+        parts = parts.where(F.lit(max_steps is None) | (F.col("pos") < F.lit(max_steps))).checkpoint()
+        if parts.isEmpty():
             break
-        votes = going.groupBy(*keys, F.col("tokens")[pos].alias("token")).count()
-        win = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("c"), "token")).alias("b")).select(*keys, F.col("b.token").alias("token"))
+        votes = left.join(parts, keys).where(F.size("tokens") > F.col("pos")).groupBy(*keys, "pos", F.get("tokens", F.col("pos")).alias("token")).count()
+        win = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("c"), "pos", "token")).alias("b")).select(*keys, "b.pos", "b.token")
         left = left.join(win, keys, "left")
-        left = left.where(F.col("token").isNull() | (F.get("tokens", F.lit(pos)) == F.col("token"))).drop("token")
-        if pos % 4 == 3:
+        stays = (F.size("tokens") > F.col("pos")) & F.get("tokens", F.col("pos")).eqNullSafe(F.col("token"))
+        left = left.where(F.col("pos").isNull() | stays).drop("pos", "token")
+        rounds += 1
+        if rounds % 4 == 1:
             left = left.checkpoint()
     best = left.groupBy(*keys).agg(F.min(F.struct((-F.size("tokens")).alias("n"), "traj_idx")).alias("b"))
     return best.select(*keys, "b.traj_idx")
 
 
-def greedy_core(systems: DataFrame, max_steps: int = 4096) -> DataFrame:
+def greedy_core(systems: DataFrame, max_steps: int | None = None) -> DataFrame:
     """The flagged row's system if an arm has one, else the majority walk's; arms without tokens are left out."""
     flagged = systems.where("is_greedy")
     walked = majority_walk(systems.join(flagged.select("arm").distinct(), "arm", "left_anti"), ("arm",), max_steps)

@@ -414,7 +414,7 @@ def _(spark, d):
 
 @query("G10_majority_walk")
 def _(spark, d):
-    return C.majority_walk(X.token_seqs(spark, d, 12), max_steps=12)
+    return C.majority_walk(X.token_seqs(spark, d, None))
 
 
 @query("G13_core_diversity", f"WITH {X.weighted('inv-ppl')}, {X.long('wt', 'arm, w')}, c AS (SELECT arm, struct_idx, sum(w * x) AS v FROM lng GROUP BY 1, 2), p AS (SELECT arm, v / sum(v) OVER (PARTITION BY arm) AS p, v FROM c) SELECT arm, {q6('-sum(p * ln(p))', 'entropy')}, {q6('exp(-sum(p * ln(p)))', 'diversity')} FROM p GROUP BY 1")
@@ -628,6 +628,28 @@ def _(spark, d):
     return K.word_tree(X.token_seqs(spark, d)).select("depth", "word", "n", "is_leaf")
 
 
+# the four over whole texts: SEQS ends at 40 words, so they have no SQL
+
+@query("K1_divergence_nodes_whole")
+def _(spark, d):
+    return K.divergence_nodes(X.token_seqs(spark, d, None)).groupBy("pos", "n_branches", "n_rows").agg(F.count("*").alias("n"))
+
+
+@query("K2_node_branches_whole")
+def _(spark, d):
+    return K.node_branches(X.token_seqs(spark, d, None)).select("pos", "token", "n", "first_traj")
+
+
+@query("K3_nodes_of_trajectory_whole")
+def _(spark, d):
+    return K.nodes_of_trajectory(X.token_seqs(spark, d, None)).select("traj_idx", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
+
+
+@query("K10_word_tree_whole")
+def _(spark, d):
+    return K.word_tree(X.token_seqs(spark, d, None)).select("depth", "word", "n", "is_leaf")
+
+
 # judges, samples
 
 @query("L1_merge_judges", f"WITH {X.JUDGES}, f AS (SELECT traj_idx FROM js GROUP BY 1 HAVING count(DISTINCT judge) = (SELECT count(DISTINCT event_type) FROM events)) SELECT traj_idx, struct_idx, {q6('coalesce(avg(score), 0)', 'score')} FROM js WHERE traj_idx IN (SELECT traj_idx FROM f) GROUP BY 1, 2")

@@ -49,10 +49,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-def token_seqs(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """(traj_idx, arm, tokens): the first n words of each document, the depth of the trees."""
-    docs = traj_docs(spark, sf_dir)
-    return docs.select("traj_idx", "arm", F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, n).alias("tokens"))
+def token_seqs(spark: SparkSession, sf_dir: str, n: int | None = 40) -> DataFrame:
+    """(traj_idx, arm, tokens): the first n words of each document, the depth of the trees in SEQS; all if n is None."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return traj_docs(spark, sf_dir).select("traj_idx", "arm", (words if n is None else F.slice(words, 1, n)).alias("tokens"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, toxic: int) -> DataFrame:
