@@ -147,6 +147,20 @@ def test_vector_search(spark):
     assert vector_search.search(index, books, index).count() == 0
 
 
+def test_vector_search_recall_in_a_full_block(spark):
+    x = np.random.default_rng(3).normal(size=(vector_search.CANDIDATE_BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.sparkContext.parallelize(range(16), 16).flatMap(lambda p: [(i, x[i].tolist()) for i in range(p, len(x), 16)])
+    index, books = vector_search.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in vector_search.search(index, books, index.where("vec_id < 200")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact = x[:200] @ x.T
+    exact[np.arange(200), np.arange(200)] = -2
+    hits = sum(len(got[q] & set(np.argsort(-exact[q])[:20].tolist())) for q in range(200))
+    assert vector_search.SHORTLIST * 60 < len(x) and hits >= 0.9 * 4000, hits / 4000
+
+
 def test_secrets(spark, hard):
     model = secrets.train(spark)
     token = hashlib.sha1(b"x").hexdigest()
