@@ -4,11 +4,15 @@ A sparse logistic regression over hashed word 1- and 2-grams gives each line of
 licence family and of no licence; a temperature fitted on held-out paragraphs calibrates it. A line is `unknown` if
 it reads like a licence but no family is likely enough or no template of that family resembles it. Training data:
 perturbed templates against paragraphs of a bounded sample of documents (SAMPLE_DOCS in expectation).
+
+The same classifier reads overlapping word windows of each paragraph (neighbouring lines joined), so that a notice in a
+long line or wrapped over lines is found; a window counts only if a family is likely and its template confirms it.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,7 @@ BUCKETS = 1 << 15
 SAMPLE_DOCS = 400
 MAX_PARAGRAPHS = 6000
 LIKELY, SIMILAR = 0.5, 0.6
+WINDOWS = (5, 8, 12, 20, 32)  # words; each moves on by a quarter of itself
 _STRIP = b".,;:!?\"'()[]{}*#%&$|<>"
 
 #: Fixed phrases of public licences, by family.
@@ -47,8 +52,8 @@ def _word_hashes(words: list[bytes]) -> tuple[np.ndarray]:
     return hash_words([normal(w) for w in words])
 
 
-def line_features(texts: list[bytes], words: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Buckets of 1- and 2-grams (BUCKETS: none) at each word, lines' first words, lines a text, and the lines' words."""
+def line_features(texts: list[bytes], words: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
+    """Buckets of 1- and 2-grams (BUCKETS: none) at each word, lines' first words, lines a text, the lines' words, and the 2-grams across lines."""
     lines, per_text = [], []
     for t in texts:
         own = [w for w in (x.split() for x in t.split(b"\n"))]
@@ -60,8 +65,31 @@ def line_features(texts: list[bytes], words: WordCache) -> tuple[np.ndarray, np.
     two = np.full(len(h), BUCKETS)
     if len(h) > 1:
         two[:-1] = (mix(h[:-1] * np.uint64(3) + h[1:]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    across = two.copy()
     two[np.cumsum(lengths)[lengths > 0] - 1] = BUCKETS
-    return np.stack([one, two]), np.cumsum(lengths) - lengths, np.array(per_text), lines
+    return np.stack([one, two]), np.cumsum(lengths) - lengths, np.array(per_text), lines, across
+
+
+def window_spans(starts: np.ndarray, lengths: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the windows of all paragraphs (lines up to an empty one or the end of the text)."""
+    new = np.append(True, lengths[:-1] == 0) if len(lengths) else np.zeros(0, bool)
+    new[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
+    first = starts[new]
+    ends = np.append(first[1:], lengths.sum())
+    firsts, lasts = [], []
+    for size in WINDOWS:
+        step = max(1, size // 4)
+        n = np.where(ends > first, -(-np.maximum(ends - first - size, 0) // step) + 1, 0)
+        at = np.repeat(first, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        firsts.append(at)
+        lasts.append(np.minimum(at + size, np.repeat(ends, n)))
+    return np.concatenate(firsts), np.concatenate(lasts)
+
+
+def window_logits(weights: np.ndarray, one: np.ndarray, across: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """line_logits() of windows, from running sums."""
+    a, b = (np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[g], axis=0, dtype=np.float64)]) for g in (one, across))
+    return weights[-1] + (a[end] - a[first] + b[end - 1] - b[first]) / np.sqrt(end - first)[:, None]
 
 
 def line_logits(weights: np.ndarray, grams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -94,7 +122,7 @@ def training_paragraphs(negatives: list[bytes], seed: int = 3) -> list[tuple[byt
                     x = x + rng.choices(fill, k=rng.randint(1, 4))
                 out.append((b" ".join(x), family))
     for n in negatives[:MAX_PARAGRAPHS]:
-        if n.split() and resemblance(n.split())[1] < SIMILAR / 2:
+        if n.split() and resemblance(n.split())[1] < SIMILAR / 2 and not holds_template(n.split()):
             out.append((n, NONE))
     loose = "the license of driving, version of the work, permission to go, free of charge entry, public works, the general form, source of water, released in may, work is done, under the bridge".split(", ")
     out += [(x.encode(), NONE) for x in loose * 10]
@@ -113,6 +141,14 @@ def resemblance(words: list[bytes], family: int | None = None) -> tuple[int, flo
     return best
 
 
+def holds_template(words: list[bytes]) -> bool:
+    """Whether a window of the words resembles a template."""
+    mine = {normal(w) for w in words}
+    if not any(len(mine & s) >= SIMILAR * len(s) for sets in _TEMPLATE_SETS for s in sets):
+        return False
+    return any(resemblance(words[i : i + n])[1] >= SIMILAR for n in WINDOWS for i in range(0, max(1, len(words) - n + n // 4), max(1, n // 4)))
+
+
 _TEMPLATE_SETS = [[{w for w in map(normal, t.encode().split()) if w} for t in ts] for ts in TEMPLATES.values()]
 
 
@@ -125,7 +161,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epoch
     negatives = [r[0].encode() for r in lines.orderBy(F.xxhash64("line"), "line").limit(MAX_PARAGRAPHS).collect()]
     rows = training_paragraphs(negatives)
     texts, labels = [t.replace(b"\n", b" ") for t, _ in rows], np.array([y for _, y in rows])
-    grams, starts, _, found = line_features(texts, WordCache(_word_hashes))
+    grams, starts, _, found, _ = line_features(texts, WordCache(_word_hashes))
     lengths = np.array([len(x) for x in found])
     held = np.arange(len(rows)) % 4 == 0
     weights = np.zeros((BUCKETS + 2, NONE + 1))
@@ -149,9 +185,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epoch
 
 
 def scan(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity): a row for each line that reads like a licence.
+    """(doc_id, paragraph, family, probability, similarity): a row for each line or window that reads like a licence.
 
-    paragraph counts lines from 0. family is `unknown` if no family is likely enough or its templates do not confirm
+    paragraph counts lines from 0; a window stands at its first line with two words of the template, and gives a row
+    for each such line and family where no confirmed line or better window holds its words. family is `unknown` if no family is likely enough or its templates do not confirm
     it. Null and empty texts have no line. Repeated rows repeat their findings; other columns are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -161,17 +198,39 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id
         words = WordCache(_word_hashes)
         weights, temperature = sent.value
         for ids, texts in slices(batches):
-            grams, starts, per_text, lines = line_features(texts, words)
+            grams, starts, per_text, lines, across = line_features(texts, words)
             lengths = np.fromiter(map(len, lines), np.int64, len(lines))
             p = probabilities(line_logits(weights, grams, starts, lengths), temperature)
-            out = []
             firsts = np.cumsum(per_text) - per_text
+            rows, unsure, taken = {}, [], np.zeros(len(across), bool)
             for at in np.flatnonzero((p[:, NONE] < LIKELY) & (lengths > 0)):
-                doc = np.searchsorted(firsts, at, side="right") - 1
                 f = int(p[at, :NONE].argmax())
                 _, share = resemblance(lines[at], f)
-                sure = p[at, f] >= LIKELY and share >= SIMILAR
-                out.append((ids[doc], int(at - firsts[doc]), FAMILIES[f] if sure else "unknown", float(p[at, f] if sure else 1 - p[at, NONE]), share))
+                if p[at, f] >= LIKELY and share >= SIMILAR:
+                    rows[at, f] = (float(p[at, f]), share)
+                    taken[starts[at] : starts[at] + lengths[at]] = True
+                else:
+                    unsure.append((at, float(1 - p[at, NONE]), share))
+            first, end = window_spans(starts, lengths, per_text)
+            q = probabilities(window_logits(weights, grams[0], across, first, end), temperature) if len(first) else np.zeros((0, NONE + 1))
+            flat, hits = [w for x in lines for w in x], []
+            for w in np.flatnonzero(q[:, :NONE].max(1, initial=0) >= LIKELY):
+                i, j, f = int(first[w]), int(end[w]), int(q[w, :NONE].argmax())
+                if not taken[i:j].all() and (share := resemblance(flat[i:j], f)[1]) >= SIMILAR:
+                    hits.append((-share, j - i, i, j, f, float(q[w, f])))
+            for share, _, i, j, f, likely in sorted(hits):
+                if not taken[i:j].any():
+                    taken[i:j] = True
+                    known = set().union(*_TEMPLATE_SETS[f])
+                    of = np.searchsorted(starts, np.arange(i, j), side="right") - 1
+                    mine = Counter(o for o, x in zip(of.tolist(), flat[i:j]) if normal(x) in known)
+                    rows.setdefault((min((o for o, n in mine.items() if n > 1), default=int(of[0])), f), (likely, -share))
+            found = [(at, FAMILIES[f], *x) for (at, f), x in rows.items()]
+            found += [(at, "unknown", *x) for at, *x in unsure if not taken[starts[at] : starts[at] + lengths[at]].any()]
+            out = []
+            for at, *x in sorted(found):
+                doc = np.searchsorted(firsts, at, side="right") - 1
+                out.append((ids[doc], int(at - firsts[doc]), *x))
             if out:
                 yield batch(schema, *zip(*out))
 

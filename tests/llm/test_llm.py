@@ -219,6 +219,19 @@ def test_licenses(spark, hard):
     assert licenses.scan(hard, model).count() == 0 and licenses.scan(docs.limit(0), model).count() == 0
 
 
+def test_licenses_in_long_and_wrapped_texts(spark):
+    sf = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = " ".join(r["text"].replace("\n", " ") for r in sf.where("lang = 'en' AND NOT text RLIKE '(?i)licen|spdx'").orderBy("doc_id").limit(4).collect()).split()[:300]
+    clause = licenses.TEMPLATES["MIT"][2].split()
+    wrapped = "\n".join(" ".join(clause[i : i + 5]) for i in range(0, len(clause), 5))
+    long = lambda notice: " ".join([*prose[:150], notice, *prose[150:]])
+    rows = [(1, long("Released under the MIT License."), "MIT", 0), (2, "la la\n" + long(licenses.TEMPLATES["Apache-2.0"][1]), "Apache-2.0", 1), (3, f"alpha\n\n{wrapped}\n\nbeta", "MIT", None), (4, " ".join(prose), None, None), (5, "la\n\n" + long(licenses.TEMPLATES["BSD"][1]), "BSD", 2)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["family"], r["paragraph"]) for r in licenses.scan(docs, licenses.train(sf)).collect()}
+    assert {f[:2] for f in found if f[1] != "unknown"} == {(i, f) for i, _, f, _ in rows if f}
+    assert all((i, f, at) in found for i, _, f, at in rows if at is not None)
+
+
 def test_language_model(spark, hard):
     docs = {r["doc_id"]: (r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)), "\n"]
