@@ -3,7 +3,7 @@
 P(word | context) = P(class | context) * P(word | class). The class factor is a softmax over hashed bigram, skip and
 trigram features of the two words before; the word factor is the closed form of a softmax over word features with
 one added count. Counts cover every training token. TOP words (a bound on what is broadcast) carry classes, found by
-k-means on their neighbours in a bounded sample; all other words, known or not, share one class, and their counts are
+k-means on their neighbours in all training documents; all other words, known or not, share one class, and their counts are
 joined by a shuffle. Texts are split once, into a table of word hashes that all later passes read. Weights are trained by gradient steps in the tasks over all training documents, each once, and
 averaged (weighted by occurrences) after each of ROUNDS rounds.
 """
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,7 +26,6 @@ from normscape.llm.language_id import fold
 TOP, CLUSTERED, CLASSES = 400_000, 16_384, 32
 FEATURES = 1 << 15
 ROUNDS, STEP, STEP_TOKENS = 2, 0.5, 1 << 15
-SAMPLE_DOCS = 3000
 BLOCK_TOKENS = 2048
 NEIGHBOURS = 32
 _END = xxhash.xxh3_64_intdigest(b"\nend\n")  # as hash_words gives; no word holds white space
@@ -150,9 +150,7 @@ def build_vocabulary(train: DataFrame, counts: DataFrame) -> Vocabulary:
 
 
 def _neighbours(train: DataFrame, vocab: Vocabulary, number: np.ndarray):
-    """Counts of (clustered word, hashed neighbour) over the bounded sample, as a pandas frame."""
-    scale = 1 << 30
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, SAMPLE_DOCS / max(1, train.count()))))
+    """Counts of (clustered word, hashed neighbour) over all of train, as a pandas frame: CLUSTERED x 2 NEIGHBOURS rows at most."""
     sent = train.sparkSession.sparkContext.broadcast((vocab, number))
     schema = pa.schema([("w", pa.int32()), ("c", pa.int32()), ("n", pa.int64())])
 
@@ -171,7 +169,15 @@ def _neighbours(train: DataFrame, vocab: Vocabulary, number: np.ndarray):
         at = np.flatnonzero(total)
         yield batch(schema, pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at]))
 
-    return some.mapInArrow(count, "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n")).toPandas()
+    packed = pa.schema([(c, pa.binary()) for c in "wcn"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(packed, *([c.to_numpy(zero_copy_only=False).tobytes()] for c in b.columns))
+
+    summed = train.mapInArrow(count, "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
+    parts = summed.mapInArrow(pack, "w binary, c binary, n binary").collect()  # 16 bytes a cell instead of a Row
+    return pd.DataFrame({c: np.frombuffer(b"".join(p[c] for p in parts), t) for c, t in (("w", np.int32), ("c", np.int32), ("n", np.int64))})
 
 
 def context_rows(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -252,6 +252,16 @@ def test_language_model(spark, hard):
     assert language_model.score_corpus(hard.limit(0), F.lit(True)).count() == 0
 
 
+def test_language_model_counts_all_neighbours(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CAST(concat('a', id % 50, ' b', id) AS BINARY) AS body")
+    train = language_model.hashed_tokens(docs)
+    counts = language_model.count_words(train)
+    vocab = language_model.build_vocabulary(train, counts)
+    near = language_model._neighbours(train, vocab, np.arange(len(vocab.hashes)))
+    # two pairs in each document, seen from both sides; pairs across documents depend on the slices
+    assert 4 * 9000 <= near["n"].sum() < 6 * 9000 and near["w"].nunique() == len(vocab.hashes) == 9051
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for _ in range(20):
