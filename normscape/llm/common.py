@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Distinct words that a Python worker remembers; beyond that it forgets all and starts anew.
 WORD_CACHE = 150_000
-#: A side of a join is broadcast only if the table written for it has at most this many bytes.
-BROADCAST_BYTES = 48 << 20
+#: A side of a join is broadcast only if it takes at most this many bytes, by rows times their width.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,14 +38,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Bytes of the Parquet files behind a table from saved(): the optimizer's size of that scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def bytes_of(df: DataFrame, limit: int) -> int:
+    """Bytes that a table takes as rows, 16 a value and more for those that vary in size; beyond limit a lower bound."""
+    flat = 16 * (1 + len(df.columns)) * df.count()
+    sizes = [48 * F.size(c) if kind.startswith("array") else F.length(c) for c, kind in df.dtypes if kind.startswith("array") or kind in ("string", "binary")]
+    if flat > limit or not sizes:
+        return flat
+    return flat + int(df.agg(F.sum(sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(0)))).first()[0] or 0)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A saved() table marked for broadcast if its size allows it; otherwise for a shuffled hash join on it."""
-    return F.broadcast(df) if bytes_of(df) <= limit else df.hint("shuffle_hash")
+    """A saved() table marked for broadcast if its size allows it; else the planner's choice, which can spill."""
+    return F.broadcast(df) if bytes_of(df, limit) <= limit else df
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,11 +5,13 @@
 2. Star links: in each band bucket every class is paired with one centre, a different one in each band. The b-bit
    estimate, corrected for chance agreement, picks each class's most similar centre; that pair is confirmed on the
    full shingle sets, and confirmed links are contracted to components.
-3. Buckets that still hold several components are compared in full, as blocks against blocks of signatures in numpy;
-   only pairs of different components whose estimate is within MARGIN deviations of the threshold count. In two
-   rounds each document's likeliest partner alone leaves the tasks, is confirmed on the full sets and contracted;
-   this joins a group of near copies through their common source. The last round confirms all pairs that are left.
-So a large group of near copies costs links in proportion to its size, and no bucket, partner or candidate is capped.
+3. Buckets that still hold several components are compared in full, as blocks against blocks of signatures in numpy:
+   first each block with itself, then, of buckets with several blocks, the different ones. Pairs of different
+   components that the estimate does not rule out are candidates. They stay packed in one row a document; the task that
+   gets a pair of blocks with its full sets checks them, likeliest first, joins what is linked as it goes, and emits
+   only links that join two components.
+So a large group of near copies costs links in proportion to its size, no row is made for a pair that is no link, and
+no bucket, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from normscape.llm.graph import components
 HASHES, BITS = 128, 4
 #: A pair at the threshold is in no common band with at most this probability.
 MISS = 1e-6
-#: Candidates go to the exact check unless their estimate is this many standard deviations below the threshold.
-MARGIN = 6.0
-BLOCK = 512
+#: Candidates go to the exact check unless their estimate is this many standard deviations below the threshold: a
+#: pair at the threshold is ruled out with a probability of MISS at most.
+MARGIN = 4.8
+#: Documents, and bytes of full sets, of a block; signatures compared at once.
+BLOCK, BLOCK_BYTES, PAIRS = 1024, 8 << 20, 1 << 15
 _FIELDS = 64 // BITS
 _SPREAD = (1 << 32) - 1
 
@@ -138,82 +142,155 @@ def signatures(docs: DataFrame, width: int, threshold: float, id_col: str, text_
     return text_rows(docs, id_col, text_col).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature array<long>, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = text_rows(docs, id_col, text_col).join(small_side(wanted), "doc_id", "left_semi")
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, shingles) of the documents in wanted (doc_id, digest): the sorted shingle hashes as bytes.
+
+    Of rows that share an id, those count whose text has the wanted digest.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCache(hash_words)
-        schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
-        for ids, bodies in slices(batches):
-            yield batch(schema, ids, [s.tobytes() for s in shingle_sets(bodies, width, words)[0]])
+        for ids, want, bodies in slices(batches):
+            found = [(i, x.tobytes()) for i, w, x, d in zip(ids, want, *shingle_sets(bodies, width, words)) if d == bytes(w)]
+            yield batch(schema, [f[0] for f in found], [f[1] for f in found])
+
+    texts = text_rows(docs, id_col, text_col).join(small_side(wanted), "doc_id").select("doc_id", "digest", "body")
+    return texts.mapInArrow(sets, "doc_id long, shingles binary")
+
 
-    full = saved(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
-    both = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted sets."""
+    common = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * common >= percent * (len(u) + len(v) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are linked."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for a, b, x, y in slices(batches):
-            keep = []
-            for u, v in zip(x, y):
-                u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
+            keep = [linked(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), percent) for u, v in zip(x, y)]
             yield batch(schema, [i for i, k in zip(a, keep) if k], [i for i, k in zip(b, keep) if k])
 
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _blocks_compared(rows: DataFrame, least: int, percent: int, best: bool) -> DataFrame:
-    """Candidates (a, b) of different components in the residual buckets; best: only each document's likeliest one.
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """A pair of blocks to a task, its rows together; as many tasks as shuffle partitions, for the work is in the pairs."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["bucket", "block_a", "block_b"]
+    return rows.repartition(n, *key).sortWithinPartitions(*key).select(*key, *columns)
+
 
-    rows: bucket, block_a, block_b, block, doc_id, component, n_shingles, signature. A task streams its sorted rows
-    and holds one pair of blocks at a time.
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    """((bucket, block_a, block_b), columns) of each run of rows; numbers and arrays of longs as numpy, bytes as lists."""
+    held: list[list] = []
+
+    def values(c: pa.Array):
+        if pa.types.is_list(c.type):
+            return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        return c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+
+    def whole() -> tuple[tuple, list]:
+        columns = [np.concatenate(x) if isinstance(x[0], np.ndarray) else sum(x, []) for x in zip(*held)]
+        return tuple(int(c[0]) for c in columns[:3]), columns[3:]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [values(c) for c in b.columns]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])) + 1
+        if held and any(h[-1] != c[0] for h, c in zip(held[-1][:3], columns)):
+            yield whole()
+            held = []
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            if start:
+                yield whole()
+                held = []
+            held.append([c[start:end] for c in columns])
+    if held:
+        yield whole()
+
+
+def _candidates(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """(bucket, block_a, block_b, doc_id, component, place, partners, agree): the documents of a pair of blocks that
+    have a candidate there, with the places of their later partners and the fields that agree, as packed numbers.
+
+    A pair counts in the first of the buckets that both are in, if the documents are of different components, may be
+    linked by the sizes of their sets, and agree in at least `least` fields.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("other", pa.int64()), ("agree", pa.int64())])
+    schema = pa.schema([("bucket", pa.int64()), ("block_a", pa.int32()), ("block_b", pa.int32()), ("doc_id", pa.int64()), ("component", pa.int64()), ("place", pa.int32()), ("partners", pa.binary()), ("agree", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            block, ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
-            sig = np.array([h[4] for h in held], np.int64).astype(np.uint64)
-            top, partner = np.full(len(ids), -1), np.full(len(ids), -1)
-            side_a = np.flatnonzero(block == key[1])
-            side_b = np.flatnonzero(block == key[2])
-            for i in side_a:
-                j = side_b[side_b > i] if key[1] == key[2] else side_b
-                j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-                agree = agreeing(sig[i], sig[j])
-                j, agree = j[agree >= least], agree[agree >= least]
-                if best and len(j):
-                    better = agree > top[j]
-                    top[j[better]], partner[j[better]] = agree[better], i
-                    k = agree.argmax()
-                    if agree[k] > top[i]:
-                        top[i], partner[i] = agree[k], j[k]
-                elif len(j):
-                    yield batch(schema, pa.array(np.full(len(j), ids[i])), pa.array(ids[j]), pa.array(agree))
-            some = np.flatnonzero(top >= 0)
-            if len(some):
-                yield batch(schema, pa.array(ids[some]), pa.array(ids[partner[some]]), pa.array(top[some]))
-
-        for b in batches:
-            for bucket, block_a, block_b, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                if (bucket, block_a, block_b) != key:
-                    yield from pairs()
-                    key, held = (bucket, block_a, block_b), []
-                held.append(rest)
-        yield from pairs()
-
-    dealt = rows.repartition("bucket", "block_a", "block_b").sortWithinPartitions("bucket", "block_a", "block_b")
-    found = dealt.select("bucket", "block_a", "block_b", "block", "doc_id", "component", "n_shingles", "signature").mapInArrow(compare, "doc_id long, other long, agree long")
-    if best:
-        found = found.groupBy("doc_id").agg((-F.max(F.struct("agree", (-F.col("other")).alias("o")))["o"]).alias("other"))
-    return found.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        for key, (block, ids, comp, n, sig, bands) in groups(batches):
+            sig = sig.astype(np.uint64)
+            side_a, side_b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+            step, found = max(1, PAIRS // max(1, len(side_b))), []
+            for s in range(0, len(side_a), step):
+                a, b = np.repeat(side_a[s : s + step], len(side_b)), np.tile(side_b, len(side_a[s : s + step]))
+                ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                if key[1] == key[2]:
+                    ok &= a < b
+                a, b = a[ok], b[ok]
+                agree = agreeing(sig[a], sig[b])
+                ok = agree >= least
+                a, b, agree = a[ok], b[ok], agree[ok]
+                first = (bands[a] == bands[b]).argmax(1)
+                ok = bands[a, first] == key[0]
+                found.append((a[ok], b[ok], agree[ok]))
+            a, b, agree = map(np.concatenate, zip(*found))
+            if not len(a):
+                continue
+            used = np.unique(np.append(a, b))
+            place = np.zeros(len(ids), np.int32)
+            place[used] = np.arange(len(used))
+            order = np.argsort(place[a], kind="stable")
+            cuts = np.searchsorted(place[a][order], np.arange(len(used) + 1))
+            partners, agree = place[b][order], agree[order].astype(np.int16)
+            parts = [x[i:j].tobytes() for x in (partners, agree) for i, j in zip(cuts[:-1], cuts[1:])]
+            same = [np.full(len(used), k) for k in key]
+            yield batch(schema, pa.array(same[0]), pa.array(same[1].astype(np.int32)), pa.array(same[2].astype(np.int32)), pa.array(ids[used]), pa.array(comp[used]), pa.array(np.arange(len(used), dtype=np.int32)), parts[: len(used)], parts[len(used) :])
+
+    return dealt(rows, "block", "doc_id", "component", "n_shingles", "signature", "bands").mapInArrow(compare, "bucket long, block_a int, block_b int, doc_id long, component long, place int, partners binary, agree binary")
+
+
+def _links(candidates: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found by checking the full sets of candidates, likeliest first, until they are of one component.
+
+    A pair whose documents are already joined, by earlier rounds or in this task, needs no check. So a task emits
+    fewer links than it has documents.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ids, comp, place, partners, agree, sets) in groups(batches):
+            at = {int(p): k for k, p in enumerate(place)}  # a document that occurs twice in its table counts once
+            counts = [len(partners[at[p]]) // 4 for p in range(len(at))]
+            b = np.frombuffer(b"".join(partners[at[p]] for p in range(len(at))), np.int32)
+            order = np.argsort(-np.frombuffer(b"".join(agree[at[p]] for p in range(len(at))), np.int16), kind="stable")
+            a = np.repeat(np.arange(len(at)), counts)
+            parent = {int(c): int(c) for c in comp}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            sets = [np.frombuffer(x, np.uint64) for x in sets]
+            out = []
+            for i, j in zip(a[order].tolist(), b[order].tolist()):
+                i, j = at[i], at[j]
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and linked(sets[i], sets[j], percent):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            if out:
+                yield batch(schema, *zip(*out))
+
+    return dealt(candidates, "doc_id", "component", "place", "partners", "agree", "shingles").mapInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,24 +298,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct `width`-word shingles
     (fewer words: all words as one shingle); component_id is the smallest id that a document reaches. Null, empty and
-    blank texts have no shingle and link with nothing. Rows with a null id are left out: they name no document.
-    Repeated rows are the same document and each get its answer. Other columns are left out, so names cannot clash.
+    blank texts have no shingle and link with nothing. A row with a null id names no document: it links with nothing,
+    has no component_id and is kept. Repeated rows are the same document and each get its answer; of other texts under
+    one id, one counts. Other columns are left out, so names cannot clash.
     """
-    docs = docs.where(F.col(id_col).cast("long").isNotNull())
     threshold = percent / 100
     least = least_agreeing(threshold)
     signed = saved(signatures(docs, width, threshold, id_col, text_col), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    first = signed.where("n_shingles > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    first = saved(first.dropDuplicates(["doc_id"]).drop("digest"), "classes")
+    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = saved(some.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    first = some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    first = saved(first.dropDuplicates(["doc_id"]), "first")
 
-    bands = first.select("doc_id", F.explode("bands").alias("bucket"))
+    bands = first.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     centre = F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), F.col("doc_id").alias("centre"))).alias("c")
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("m"), centre).where("m > 1").select("bucket", "m", "c.centre")
-    members = saved(bands.join(buckets, "bucket"), "members")
-    sig = first.select("doc_id", "n_shingles", "signature")
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("size"), centre).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks")
+    members = saved(bands.select("bucket", "doc_id").join(buckets.select("bucket", blocks, "c.centre"), "bucket"), "members")
+    sig = first.select("doc_id", "n_shingles", "signature", "bands")
+    wanted = saved(first.select("doc_id", "digest").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
+    sets = saved(full_sets(docs, wanted, width, id_col, text_col), "sets")
+
     star = members.where("doc_id <> centre").select("doc_id", "centre").distinct()
-    star = star.join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n2"), F.col("signature").alias("s2")), "centre")
+    star = star.join(sig.drop("bands"), "doc_id").join(sig.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n2"), F.col("signature").alias("s2")), "centre")
     ones = sum(1 << (i * BITS) for i in range(_FIELDS)) - (1 << 64) * (BITS == 1)
 
     def differing(x: Column, y: Column) -> Column:
@@ -250,31 +332,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     agree = F.lit(HASHES) - F.aggregate(F.zip_with("signature", "s2", differing), F.lit(0), lambda s, x: s + x)
     star = star.withColumn("agree", agree).where((F.col("agree") >= least) & (100 * F.least("n_shingles", "n2") >= percent * F.greatest("n_shingles", "n2")))
     best = star.groupBy("doc_id").agg(F.max(F.struct(similarity(F.col("agree")).alias("estimate"), (-F.col("centre")).alias("c"))).alias("m"))
-    tried = saved(best.select(F.least("doc_id", -F.col("m.c")).alias("a"), F.greatest("doc_id", -F.col("m.c")).alias("b")).distinct(), "star")
-    links = saved(confirmed(tried, docs, width, percent, id_col, text_col), "links")
+    tried = best.select(F.least("doc_id", -F.col("m.c")).alias("a"), F.greatest("doc_id", -F.col("m.c")).alias("b")).distinct()
+    links = saved(confirmed(tried, sets, percent), "links")
     joined = components(links)
 
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    for best in (True, True, False):
-        now = members.select("bucket", "m", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        now = saved(now, "residual")
-        open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        rows = now.join(open_, "bucket").join(sig, "doc_id")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
-        more = saved(_blocks_compared(rows, least, percent, best).join(tried, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty():
-            continue
-        found = saved(confirmed(more, docs, width, percent, id_col, text_col), "links")
-        tried = saved(tried.unionByName(more), "tried")
-        if not found.isEmpty():
-            links = saved(links.unionByName(found), "links")
+    for own in (True, False):
+        now = members.select("bucket", "blocks", "doc_id").where(F.lit(own) | (F.col("blocks") > 1))
+        now = now.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        now = saved(now.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "residual")
+        if not own and now.isEmpty():
+            break
+        key = ["bucket", "block"] if own else ["bucket"]
+        open_ = now.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*key)
+        rows = now.join(open_, key)
+        if own:
+            rows = rows.withColumn("block_a", F.col("block")).withColumn("block_b", F.col("block"))
+        else:
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+            rows = rows.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
+        found = saved(_candidates(rows.join(sig, "doc_id"), least, percent), "candidates")
+        more = saved(_links(found.join(sets, "doc_id"), percent), "links")
+        if not more.isEmpty():
+            links = saved(links.unionByName(more), "links")
             joined = components(links)
 
-    answer = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    answer = answer.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
-    return answer.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    repeated = small_side(saved(classes.where("copies > 1").drop("copies"), "repeated"))
+    answer = signed.select("doc_id", "n_shingles", "digest").join(repeated, "digest", "left")
+    answer = answer.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")))
+    answer = answer.join(small_side(joined).withColumnRenamed("id", "class_id"), "class_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
+    return answer.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

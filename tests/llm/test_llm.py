@@ -81,7 +81,7 @@ def test_near_dedup(spark, hard, monkeypatch):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=3, percent=85).collect()}
         assert got == brute_near(rows, 3, 85)
     assert near_dedup.near_duplicates(hard.limit(0)).count() == 0
-    assert near_dedup.near_duplicates(hard).count() == len(HARD) - 1
+    assert sorted(map(str, ((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(hard).collect() if r["doc_id"] in (None, 4, 5)))) == sorted(map(str, [(None, None, True), (4, 4, True), (5, 4, False), (5, 4, False)]))
     a, b = np.zeros((1, 128), np.uint32), np.arange(128, dtype=np.uint32)[None]
     assert near_dedup.agreeing(near_dedup.pack_bits(a)[0], near_dedup.pack_bits(b)[0]) == 8
 
