@@ -74,7 +74,7 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             start = end
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Word -> number; a new word takes the next one and is noted."""
 
     def __init__(self):
@@ -91,12 +91,12 @@ class WordCache:
 
     def __init__(self, compute: Callable[[list[bytes]], tuple], cap: int = WORD_CACHE):
         self.compute, self.cap = compute, cap
-        self.index = _Numbers()
+        self.index = Numbers()
         self.columns: list[np.ndarray] = []
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > self.cap:
-            self.index, self.columns = _Numbers(), []
+            self.index, self.columns = Numbers(), []
         found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             made = self.compute(self.index.new)

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import batch, gather_runs, mix, slices, text_rows
+from normscape.llm.common import Numbers, batch, gather_runs, mix, slices, text_rows
 
 SAMPLES = 3
 SEED = 17
 #: Probability weights of pieces: exp(-SHARPNESS * ln(rank + 10)); a byte costs as much as the last piece.
 SHARPNESS = 1.0
-SEGMENT_CACHE = 120_000
+#: Segments whose lattices a worker holds; beyond that it forgets all and starts anew.
+SEGMENT_CACHE = 200_000
 #: Steps along a path whose siblings are queued at once; what is further down is one lumped node.
 HORIZON = 6
 _BLANK = "▁"
@@ -75,20 +76,42 @@ class Pieces:
             self.bytes[i] = p.replace(_BLANK, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
+        self.byte_count = np.array(list(map(len, self.bytes)))
+        self.byte_first = np.cumsum(self.byte_count) - self.byte_count
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of the texts as the model sees them, lengths of their segments, and segments of each text.
+
+        A text is cut between all neighbours that no piece holds.
+        """
+        seen = [_BLANK + t.replace(" ", _BLANK) if t else "" for t in texts]
+        codes = np.frombuffer("".join(seen).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(list(map(len, seen)), dtype=np.int64)
+        at = self.char[codes]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~self.joined[at[:-1], at[1:]]
+        begins[np.append(0, ends)[:-1][np.diff(ends, prepend=0) > 0]] = True
+        starts = np.flatnonzero(begins)
+        return codes, np.diff(np.append(starts, len(codes))), np.diff(np.searchsorted(starts, ends), prepend=0)
 
     def segments(self, text: str) -> list[str]:
-        """The text, as the model sees it, cut between all neighbours that no piece holds."""
-        if not text:
-            return []
-        text = _BLANK + text.replace(" ", _BLANK)
-        at = self.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        cuts = (np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1).tolist()
-        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+        """The segments of one text."""
+        codes, lengths, _ = self.cut([text])
+        seen, ends = "".join(map(chr, codes)), np.cumsum(lengths).tolist()
+        return [seen[i:j] for i, j in zip([0, *ends], ends)]
 
     def decode(self, ids) -> bytes:
         """UTF-8 bytes of the text; the blank put before every text is taken off again."""
         return b"".join(map(self.bytes.__getitem__, ids)).removeprefix(b" ")
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """decode() of each of the runs of ids, counts long, that follow one another."""
+        sizes = self.byte_count[ids]
+        flat = self.byte_flat[gather_runs(self.byte_first[ids], sizes)].tobytes()
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
+        return [flat[i:j].removeprefix(b" ") for i, j in zip(ends[:-1], ends[1:])]
+
 
 class Lattices:
     """Lattices of segments, in arrays over nodes (positions) and edges (pieces)."""
@@ -98,30 +121,39 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
+        self.index = Numbers()
+        self.begin = np.zeros(0, np.int64)  # of each segment: its first node
         self.first = np.zeros(1, np.int64)  # of each node and one more: its first edge
         self.log_p, self.cumulative = np.zeros(0), np.zeros(0)
-        self.target, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.id_first, self.id_count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.target, self.node = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.id_first, self.id_count, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.int32)
 
     def nodes(self, segments: list[str]) -> np.ndarray:
         """The first node of each segment's lattice."""
-        at = list(map(self.start.get, segments))
-        if None in at:
-            new = list({s for s, a in zip(segments, at) if a is None})
-            if len(self.start) + len(new) > self.cap:
-                self.clear()
-                new = list(set(segments))
-            self._add(new)
-            at = list(map(self.start.__getitem__, segments))
-        return np.fromiter(at, np.int64, len(at))
-
-    def _add(self, segments: list[str]) -> None:
+        return self.at(np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32), np.array(list(map(len, segments)), np.int64))
+
+    def at(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """nodes() of the segments of these lengths that follow one another in codes; 64-bit hashes name them."""
+        if not len(lengths):
+            return np.zeros(0, np.int64)
+        if len(self.index) > self.cap:
+            self.clear()
+        starts = np.cumsum(lengths) - lengths
+        within = np.arange(len(codes)) - np.repeat(starts, lengths)
+        hashes = np.add.reduceat(mix(codes.astype(np.uint64) + within.astype(np.uint64) * np.uint64(_GOLDEN)), starts)
+        own, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        known = len(self.index)
+        numbers = np.fromiter(map(self.index.__getitem__, own.tolist()), np.int64, len(own))
+        self.index.new = []
+        new = where[numbers >= known]
+        if len(new):
+            self._add(codes[gather_runs(starts[new], lengths[new])].astype(np.uint64), lengths[new])
+        return self.begin[numbers[back]]
+
+    def _add(self, codes: np.ndarray, lengths: np.ndarray) -> None:
         pieces, base, edges = self.pieces, len(self.first) - 1, len(self.log_p)
-        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         ends = np.cumsum(lengths)
-        self.start.update(zip(segments, (base + ends - lengths).tolist()))
-        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.begin = np.append(self.begin, base + ends - lengths)
         left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters up to the segment's end
         active, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
         single = np.zeros(len(codes), bool)
@@ -163,9 +195,10 @@ class Lattices:
         flat[flat < 0] = [i for p in piece[~own] for i in spelt[-1 - p]]
         self.first = np.concatenate([self.first[:-1], edges + begin, [edges + len(source)]])
         self.log_p, self.cumulative = np.append(self.log_p, log_p), np.append(self.cumulative, cumulative)
-        self.target, self.node = np.append(self.target, np.where(last, -1, base + target)), np.append(self.node, base + source)
-        self.id_first = np.append(self.id_first, len(self.flat) + np.cumsum(counts) - counts)
-        self.id_count, self.flat = np.append(self.id_count, counts), np.append(self.flat, flat)
+        self.target = np.append(self.target, np.where(last, -1, base + target).astype(np.int32))
+        self.node = np.append(self.node, (base + source).astype(np.int32))
+        self.id_first = np.append(self.id_first, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32))
+        self.id_count, self.flat = np.append(self.id_count, counts.astype(np.int16)), np.append(self.flat, flat.astype(np.int32))
 
     def choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by inverse probability."""
@@ -196,91 +229,144 @@ class Lattices:
         return out, begin
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
-        return self.flat[gather_runs(self.id_first[edges], self.id_count[edges])]
-
-
-class Uniforms:
-    """A row's stream of uniforms in (0, 1)."""
-
-    def __init__(self, key: int):
-        self.state = key
-
-    def next(self, n: int) -> np.ndarray:
-        self.state = (self.state + _GOLDEN) & _ALL
-        x = mix(np.uint64(self.state) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        return ((x >> np.uint64(11)) + np.uint64(1)) * (2.0**-53 * (1 - 2.0**-52))
+        return self.flat[gather_runs(self.id_first[edges].astype(np.int64), self.id_count[edges].astype(np.int64))]
 
 
-def truncated(location: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
+def truncated(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values at the locations, given that they are at most `most`."""
     with np.errstate(divide="ignore"):
         return -np.logaddexp(-most, np.log(-np.log(u)) - location)
 
 
-def search(lattices: Lattices, draws: list, first: int, last: int, k: int, key: int, horizon: int = HORIZON) -> tuple[list, float]:
-    """The k best (edges, log_p, value) of the text whose segments are [first, last) of the draws, and the next value."""
-    lat, rng = lattices, Uniforms(key)
-    queue: list = []
-    paths: list[np.ndarray] = []
-    count = 0
-
-    def siblings(path: int, depth: int, prefix: float) -> tuple[np.ndarray, list]:
-        """Locations and nodes (path, depth, edge, prefix) off the path from depth on; edge -1: somewhere further."""
-        own = paths[path][depth : depth + horizon]
-        if not len(own):
-            return np.zeros(0), []
-        node = lat.node[own]
-        first, count = lat.first[node], lat.first[node + 1] - lat.first[node]
-        edge = gather_runs(first, count)
-        at = np.repeat(np.arange(len(own)), count)
-        after = np.cumsum(lat.log_p[own])
-        before = prefix + after - lat.log_p[own]
-        other = edge != own[at]
+class Search:
+    """The A* searches of many texts, one step of each at a time, so that numpy works on all texts at once.
+
+    A text's queue holds nodes (path, depth, edge, prefix): the segmentations that share the path's first edges and
+    then take another one; with edge -1, all that leave the path from depth on. A node's value is the largest below
+    it, so nodes with k larger values beside them can be left out of the queue.
+    """
+
+    def __init__(self, lattices: Lattices, draws: list, begins: np.ndarray, ends: np.ndarray, k: int, keys: np.ndarray, horizon: int = HORIZON):
+        self.lat, self.draws, self.begins, self.ends, self.k, self.horizon = lattices, draws, begins, ends, k, horizon
+        self.state, self.made = keys.astype(np.uint64), 0
+        n = len(keys)
+        self.paths: list[list[np.ndarray]] = [[] for _ in range(n)]
+        self.suffixes: list[list[np.ndarray]] = [[] for _ in range(n)]  # log-probability of a path from each edge on
+        self.found: list[list[tuple]] = [[] for _ in range(n)]
+        self.queues: list[list[tuple]] = [[] for _ in range(n)]
+
+    def uniforms(self, texts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Values in (0, 1), counts of them from each text's own stream; a text occurs once in texts."""
+        self.state[texts] += np.uint64(_GOLDEN)
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+        x = mix(np.repeat(self.state[texts], counts) + within.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        return ((x >> np.uint64(11)) + np.uint64(1)) * (2.0**-53 * (1 - 2.0**-52))
+
+    def add(self, text: int, path: np.ndarray, value: float) -> None:
+        suffix = self.lat.log_p[path][::-1].cumsum()[::-1]
+        self.paths[text].append(path)
+        self.suffixes[text].append(suffix)
+        self.found[text].append((path, float(suffix[0]) if len(path) else 0.0, value))
+
+    def run(self) -> list[tuple[list, float]]:
+        """For each text its k best (edges, log_p, value), and the value of the next."""
+        every = np.arange(len(self.paths))
+        values = -np.log(-np.log(self.uniforms(every, np.ones(len(every), np.int64))))
+        edges, cuts = self.draws[0]
+        for t, (i, j, v) in enumerate(zip(cuts[self.begins].tolist(), cuts[self.ends].tolist(), values.tolist())):
+            self.add(t, edges[i:j], v)
+        asked = [(t, 0, 0, 0.0, v, False) for t, v in enumerate(values.tolist()) if len(self.paths[t][0])]
+        active = [a[0] for a in asked]
+        while asked:
+            self.expand(asked)
+            asked, chosen, going = [], [], []
+            for t in active:
+                if self.queues[t] and len(self.found[t]) < self.k:
+                    value, _, path, depth, edge, prefix = heapq.heappop(self.queues[t])
+                    going.append(t)
+                    if edge < 0:
+                        asked.append((t, path, depth, prefix, -value, True))
+                    else:
+                        chosen.append((t, path, depth, edge, prefix, -value))
+            active = going
+            if chosen:
+                asked += self.complete(chosen)
+        return [(f, -q[0][0] if q else -math.inf) for f, q in zip(self.found, self.queues)]
+
+    def complete(self, chosen: list[tuple]) -> list[tuple]:
+        """Draw a path through each chosen node: the rest of its segment anew, later segments as drawn before."""
+        lat, texts = self.lat, np.array([c[0] for c in chosen])
+        own = [[c[3]] for c in chosen]
+        at, rest = lat.target[[c[3] for c in chosen]], np.arange(len(chosen))
+        while len(rest := rest[at >= 0]):
+            edge = lat.choose(at[at >= 0], self.uniforms(texts[rest], np.ones(len(rest), np.int64)))
+            for r, e in zip(rest.tolist(), edge.tolist()):
+                own[r].append(e)
+            at = lat.target[edge]
+        asked = []
+        for (t, path, depth, edge, prefix, value), mine in zip(chosen, own):
+            head = self.paths[t][path][:depth]
+            segment = int(self.begins[t]) + int((lat.target[head] < 0).sum()) + 1
+            edges, cuts = self.draws[len(self.found[t])]
+            self.add(t, np.concatenate([head, np.array(mine, np.int64), edges[cuts[segment] : cuts[self.ends[t]]]]), value)
+            asked.append((t, len(self.paths[t]) - 1, depth + 1, prefix + float(lat.log_p[edge]), value, False))
+        return asked
+
+    def expand(self, asked: list[tuple]) -> None:
+        """Queue what leaves the asked paths in their next `horizon` steps, and one node for all that leaves later.
+
+        Of a node that stood for all (the last flag), the largest value must occur again: Gumbels choose where.
+        """
+        lat, horizon, n = self.lat, self.horizon, len(asked)
+        texts, path, depth, prefix, most, lumped = (np.array(x) for x in zip(*asked))
+        own = [self.paths[t][p][d : d + horizon] for t, p, d, *_ in asked]
+        size = np.array(list(map(len, own)))
+        steps, starts = np.concatenate(own), np.cumsum(size) - size
+        request, log_p = np.repeat(np.arange(n), size), lat.log_p[steps]
+        before = np.append(np.cumsum(log_p) - log_p, log_p.sum())
+        before = before[:-1] - before[starts][request] + prefix[request]
+        node = lat.node[steps]
+        first = lat.first[node]
+        count = lat.first[node + 1] - first
+        edge, at = gather_runs(first, count), np.repeat(np.arange(len(steps)), count)
+        other = edge != steps[at]
         edge, at = edge[other], at[other]
-        where, prefixes, depths = before[at] + lat.log_p[edge], before[at], depth + at
-        if depth + horizon < len(paths[path]):
-            tail = float(lat.log_p[paths[path][depth + horizon :]].sum())
-            if tail < 0:
-                prefix += float(after[-1])
-                where = np.append(where, prefix + (math.log(-math.expm1(tail)) if tail > -30 else 0.0))
-                edge, prefixes, depths = np.append(edge, -1), np.append(prefixes, prefix), np.append(depths, depth + horizon)
-        return where, list(zip([path] * len(edge), depths.tolist(), edge.tolist(), prefixes.tolist()))
-
-    def push(where: np.ndarray, nodes: list, most: float, winner: int = -1) -> None:
-        nonlocal count
-        if not nodes:
+        tails = np.array([s[d + horizon] if d + horizon < len(s := self.suffixes[t][p]) else 0.0 for t, p, d, *_ in asked])
+        more = np.flatnonzero(tails < 0)
+        last = starts[more] + size[more] - 1
+        reached = before[last] + log_p[last]
+        which = np.append(request[at], more)
+        order = np.argsort(which, kind="stable")
+        which = which[order]
+        where = np.append(before[at] + lat.log_p[edge], reached + np.where(tails[more] > -30, np.log(-np.expm1(np.maximum(tails[more], -30))), 0.0))[order]
+        if not len(where):
             return
-        values = truncated(where, most, rng.next(len(nodes)))
-        if winner >= 0:
-            values[winner] = most
-        for v, n in zip(values.tolist(), nodes):
-            count += 1
-            heapq.heappush(queue, (-v, count, n))
-
-    value = float(-math.log(-math.log(rng.next(1)[0])))
-    if first == last:
-        return [(np.zeros(0, np.int64), 0.0, value)], -math.inf
-    edges, begin = draws[0]
-    paths.append(edges[begin[first] : begin[last]])
-    out = [(paths[0], float(lat.log_p[paths[0]].sum()), value)]
-    push(*siblings(0, 0, 0.0), value)
-    while queue and len(out) < k:
-        value, _, (path, depth, edge, prefix) = heapq.heappop(queue)
-        value = -value
-        if edge < 0:
-            where, nodes = siblings(path, depth, prefix)
-            noise = where - np.log(-np.log(rng.next(len(nodes))))
-            push(where, nodes, value, int(noise.argmax()))
-            continue
-        head, own = paths[path][:depth], [edge]
-        while (node := lat.target[own[-1]]) >= 0:
-            own.append(int(lat.choose(np.array([node]), rng.next(1))[0]))
-        segment = first + int((lat.target[head] < 0).sum()) + 1
-        edges, begin = draws[len(out)]
-        paths.append(np.concatenate([head, np.array(own, np.int64), edges[begin[segment] : begin[last]]]))
-        out.append((paths[-1], float(lat.log_p[paths[-1]].sum()), value))
-        push(*siblings(len(paths) - 1, depth + 1, prefix + lat.log_p[edge]), value)
-    return out, -queue[0][0] if queue else -math.inf
+        edge, prefixes = np.append(edge, np.full(len(more), -1))[order], np.append(before[at], reached)[order]
+        depths = np.append(depth[request[at]] + at - starts[request[at]], depth[more] + horizon)[order]
+        counts = np.bincount(which, minlength=n)
+        u = self.uniforms(texts, counts)
+        values = truncated(where, most[which], u)
+        again = np.flatnonzero(lumped)
+        if len(again):
+            inside = lumped[which]
+            noise = np.where(inside, where - np.log(-np.log(u)), -np.inf)
+            values[inside] = truncated(where[inside], most[which[inside]], self.uniforms(texts[again], counts[again]))
+            by = np.lexsort((-noise, which))
+            winners = by[(np.cumsum(counts) - counts)[again]]
+            values[winners] = most[again]
+        by = np.lexsort((-values, which))
+        rank = np.arange(len(by)) - np.repeat(np.cumsum(counts) - counts, counts)
+        room = self.k + 1 - np.array([len(self.found[t]) for t, *_ in asked])
+        by = by[rank < room[which[by]]]
+        r = which[by]
+        for t, p, v, d, e, x in zip(texts[r].tolist(), path[r].tolist(), values[by].tolist(), depths[by].tolist(), edge[by].tolist(), prefixes[by].tolist()):
+            self.made += 1
+            heapq.heappush(self.queues[t], (-v, self.made, p, d, e, x))
+
+
+def search(lattices: Lattices, draws: list, first: int, last: int, k: int, key: int, horizon: int = HORIZON) -> tuple[list, float]:
+    """Search for one text, whose segments are [first, last) of the draws."""
+    return Search(lattices, draws, np.array([first]), np.array([last]), k, np.array([key], np.uint64), horizon).run()[0]
 
 
 def log_inclusion(log_p: float, threshold: float) -> float:
@@ -311,22 +397,24 @@ def sample(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         pieces = lat.pieces
         for ids, bodies in slices(batches):
             texts = [b.decode("utf-8", "replace") for b in bodies]
-            split = [pieces.segments(t) for t in texts]
-            nodes = lat.nodes([s for x in split for s in x])
+            codes, lengths, counts = pieces.cut(texts)
+            nodes = lat.at(codes, lengths)
             keys = mix(np.array([0 if i is None else i for i in ids], np.int64).astype(np.uint64) + np.uint64(seed * _GOLDEN & _ALL))
-            counts = np.array([len(x) for x in split])
             ends = np.cumsum(counts)
             within = np.arange(len(nodes), dtype=np.uint64) - np.repeat(ends - counts, counts).astype(np.uint64)
             own = mix(np.repeat(keys, counts) + within * np.uint64(0xBF58476D1CE4E5B9))
             draws = [lat.draw(nodes, mix(own + np.uint64(t + 1))) for t in range(k)]
+            found = Search(lat, draws, ends - counts, ends, k, keys, horizon).run()
+            samples = [(i, rank, log_p, value, threshold) for i, (best, threshold) in enumerate(found) for rank, (_, log_p, value) in enumerate(best, 1)]
+            paths = [edges for best, _ in found for edges, *_ in best]
+            edges = np.concatenate(paths)
+            flat = lat.ids(edges)
+            cuts = np.append(0, np.cumsum(lat.id_count[edges], dtype=np.int64))[np.append(0, np.cumsum(list(map(len, paths))))]
+            decoded, packed, cuts = pieces.decode_all(flat, np.diff(cuts)), flat.astype("<u4"), cuts.tolist()
             out = []
-            for i, text, key, n, end in zip(ids, texts, keys.tolist(), counts.tolist(), ends.tolist()):
-                found, threshold = search(lat, draws, end - n, end, k, key, horizon)
-                plain = text.replace(_BLANK, " ").encode()
-                for rank, (edges, log_p, value) in enumerate(found, 1):
-                    x = lat.ids(edges)
-                    row = (i, rank, len(x), zlib.crc32(x.astype("<u4").tobytes()), log_p, value, log_inclusion(log_p, threshold), pieces.decode(x.tolist()) == plain)
-                    out.append(row + ((x.tolist(),) if with_ids else ()))
+            for (i, rank, log_p, value, threshold), made, start, end in zip(samples, decoded, cuts[:-1], cuts[1:]):
+                row = (ids[i], rank, end - start, zlib.crc32(packed[start:end]), log_p, value, log_inclusion(log_p, threshold), made == bodies[i])
+                out.append(row + ((flat[start:end].tolist(),) if with_ids else ()))
             yield batch(schema, *zip(*out))
 
     return text_rows(docs, id_col, text_col).mapInArrow(segment, ddl)
