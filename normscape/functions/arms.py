@@ -71,6 +71,11 @@ def arm_closure(arms: DataFrame) -> DataFrame:
     return arms.select("arm", F.posexplode(ancestry(F.col("arm"))).alias("depth", "ancestor"))
 
 
+def has_downstream(arms: DataFrame) -> DataFrame:
+    """The arms that have others below them."""
+    return arms.join(downstream(arms).select(F.col("reference").alias("arm")).distinct(), "arm", "left_semi")
+
+
 def downstream(arms: DataFrame) -> DataFrame:
     """(reference, arm): root -> all others, trunk -> branches and twigs, branch -> its twigs."""
     pairs = arm_closure(arms).where("arm <> ancestor").select(F.col("ancestor").alias("reference"), "arm")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: End markers of common chat formats: fixed values.
 EOS_MARKERS = ("<|im_end|>", "<|endoftext|>", "</s>", "<|eot_id|>")
 
 
@@ -21,11 +24,9 @@ def strip_thinking_response(text: Column) -> Column:
 
 
 def strip_eos(text: Column, markers: tuple = EOS_MARKERS) -> Column:
-    """Without the one marker at its end, if there is one, and the blanks before it."""
-    bare, out = F.rtrim(text), text
-    for m in reversed(markers):
-        out = F.when(bare.endswith(m), F.rtrim(F.substring(bare, F.lit(1), F.char_length(bare) - len(m)))).otherwise(out)
-    return out
+    """Without white space at its end and the one marker there, if there is one, with the white space before it."""
+    quoted = "|".join(rf"\Q{m}\E" for m in markers)
+    return F.regexp_replace(text, rf"\s*(?:(?:{quoted})\s*)?\z" if markers else r"\s+\z", "")
 
 
 def text_after(text: Column, offset: Column) -> Column:
@@ -101,42 +102,67 @@ def _got(text: Column, pattern: str, group: int = 1) -> Column:
 
 def _yes_no(x: Column) -> Column:
     u = F.upper(x)
-    return F.when(u.isin("1", "YES"), 1).when(u.isin("0", "NO"), 0)
+    return F.when(u.isin("1", "YES", "TRUE", "Y"), 1).when(u.isin("0", "NO", "FALSE", "N"), 0)
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def parse_binary(raw: Column) -> Column:
     """0 or 1 of a judge's answer, null if there is none: the last stated answer, then weaker forms in order."""
-    t = strip_thinking_response(raw)
-    return F.coalesce(
-        _yes_no(_got(t, r"(?is)^.*ANSWER:\s*\**\s*([01])\b")),
-        _yes_no(_got(t, r"(?is)^.*ANSWER:\s*\**\s*(YES|NO)\b")),
-        _yes_no(_got(t, r"^\s*([01])\s*$")),
-        _yes_no(_got(t, r"(?i)(?:answer|response|judgment|result)[: ]*([01])\b")),
-        F.when(F.lower(t).rlike(r"\byes\b"), 1).when(F.lower(t).rlike(r"\bno\b"), 0),
-        _yes_no(_got(t, r"\b([01])\W*$")),
-        _yes_no(_got(t, r"\b([01])\b")),
-    )
+
+    def forms(t: Column) -> Column:
+        yes = F.when(t.rlike(r"(?i)\byes\b"), 1).when(t.rlike(r"(?i)\bno\b"), 0)
+        digits = [r"(?is)^.*ANSWER\s*[:\-]\s*([01])", r"(?is)^.*ANSWER\s*[:\-]\s*(YES|NO)\b", r"^\s*([01])\s*$", r"(?i)(?:answer|response|judgment|result)[:\s]*([01])", r"([01])\s*$", r"\b([01])\b"]
+        found = [_yes_no(_got(t, p)) for p in digits]
+        return F.coalesce(*found[:4], yes, *found[4:])
+
+    return let(strip_thinking_response(raw), forms)
 
 
 def parse_graded(raw: Column, prefill: str = "", fallback: bool = True) -> Column:
-    """A score in [0, 1]; failing that the first number if it is at most 1."""
-    t = F.concat(F.lit(prefill), strip_thinking_response(raw))
-    exact = _got(t, r"(?<![\d.])(0(?:\.\d+)?|1(?:\.0+)?|\.\d+)(?![\d.])").try_cast("double")
-    any_ = _got(t, r"(\d*\.?\d+)").try_cast("double")
-    return F.coalesce(exact, F.when(any_ <= 1, any_)) if fallback else exact
+    """A score in [0, 1]; failing that the first number if it is at most 1. A bare fraction (.5) counts as one."""
+    pattern = r"\b(0(?:\.\d+)?|1(?:\.0+)?|\.\d+)\b|(?<!\S)(\.\d+)\b"
+
+    def forms(t: Column) -> Column:
+        exact = F.coalesce(_got(t, pattern, 1), _got(t, pattern, 2)).try_cast("double")
+        if not fallback:
+            return exact
+        return F.coalesce(exact, let(_got(t, r"(\d+\.?\d*)").try_cast("double"), lambda x: F.when(x <= 1, x)))
+
+    return let(strip_thinking_response(F.concat(F.lit(prefill), raw)), forms)
+
+
+def _number(x: Column) -> Column:
+    """A text that is a percentage, a fraction or a number and nothing else; above 1 to 10 in tenths, beyond that 1."""
+    percent = _got(x, r"^\s*(\d+(?:\.\d+)?)\s*%\s*$").try_cast("double") / 100
+    ratio = [_got(x, r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$", i).try_cast("double") for i in (1, 2)]
+    plain = let(_got(x, r"^\s*(\d+\.?\d*|\.\d+)\s*$").try_cast("double"), lambda v: F.when(v <= 1, v).when(v <= 10, v / 10).when(v > 10, 1.0))
+    return F.coalesce(percent, F.when(ratio[1] > 0, F.least(F.lit(1.0), ratio[0] / ratio[1])), plain)
 
 
 def parse_judge_score(raw: Column) -> Column:
-    """A score in [0, 1] of a free answer: tagged, labelled, percent, fraction, 0-1, 1-10, yes or no."""
-    t = F.trim(F.regexp_replace(strip_thinking_response(raw), r"[*_`#]", ""))
-
-    def value(x: Column) -> Column:
-        percent = _got(x, r"^\s*(\d+(?:\.\d+)?)\s*%").try_cast("double") / 100
-        a, b = _got(x, r"^\s*(\d+(?:\.\d+)?)\s*/\s*\d").try_cast("double"), _got(x, r"^\s*\d+(?:\.\d+)?\s*/\s*(\d+(?:\.\d+)?)").try_cast("double")
-        plain = _got(x, r"^\s*(\d*\.?\d+)\s*[.!]?\s*$").try_cast("double")
-        word = F.when(F.upper(x).rlike(r"^\s*YES\b"), 1.0).when(F.upper(x).rlike(r"^\s*NO\b"), 0.0)
-        ratio = F.when(b > 0, a / b)
-        return F.coalesce(percent, ratio, F.when(plain <= 1, plain).when(plain <= 10, plain / 10), word)
-
-    found = F.coalesce(value(_got(t, r"(?is)<answer>\s*(.*?)\s*</answer>")), value(_got(t, r"(?i)(?:ANSWER|SCORE|RATING)\s*:\s*([^\n]+)")), value(t), value(_got(t, r"(\S+)\s*$")))
-    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
+    """A score of a free answer: the whole of it, what a tag or else a label marks, or the last word of its last line.
+
+    Numbers within reasoning do not count; null if nothing stands where an answer would.
+    """
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"\*\*([^*]+)\*\*", "$1"), r"\*([^*]+)\*", "$1")
+    tag, label, number = r"(?is)<answer>(.*?)</answer>", r"(?i)(?:ANSWER|SCORE|RATING):\s*([^\n]+)", r"\d+\.?\d*|\.\d+"
+    word = r"(\S+)\s*$"
+
+    def marked(x: Column) -> Column:
+        return F.coalesce(_yes_no(x).cast("double"), _number(x), _number(_got(x, f"({number})")))
+
+    def last_line(line: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_extract(line, word, 1), "^[.,!?:;\"']+|[.,!?:;\"']+$", "")
+        late = F.when(line.rlike(r"[.!?01]$"), _number(_got(line, rf"[:\s]({number})\s*[.!?]?$")))
+        return F.coalesce(let(bare, lambda x: F.coalesce(_number(x), _yes_no(x).cast("double"))), late)
+
+    def answer(t: Column) -> Column:
+        inside = F.when(t.rlike(tag), F.regexp_extract(t, tag, 1)).when(t.rlike(label), F.regexp_extract(t, label, 1))
+        inside = let(F.regexp_replace(plain(inside), r"^\s+|\s+$", ""), lambda x: F.when(x.isNull(), let(F.regexp_extract(t, r"([^\n]*\S)\s*$", 1), last_line)).otherwise(marked(x)))
+        return F.coalesce(_number(t), inside)
+
+    return let(plain(F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")), answer)

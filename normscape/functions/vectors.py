@@ -165,6 +165,32 @@ def partial_logprob(lp: Column, start: Column, end: Column) -> Column:
     return F.when(ok, total(F.slice(lp, F.when(ok, start + 1).otherwise(1), F.when(ok, end - start).otherwise(0))))
 
 
+def log_sum_exp(xs: Column) -> Column:
+    """Of an array; empty or all -infinity gives -infinity."""
+    top = F.array_max(xs)
+    return F.when(F.size(xs) == 0, -INF).when(F.abs(top) == INF, top).otherwise(top + F.ln(total(F.transform(xs, lambda x: F.exp(x - top)))))
+
+
+def surprise(lp: Column) -> Column:
+    return -lp
+
+
+def rarity(lp: Column) -> Column:
+    return F.exp(-lp)
+
+
+def worst_logprob(lp: Column) -> Column:
+    return F.coalesce(F.array_min(lp), F.lit(0.0))
+
+
+def best_logprob(lp: Column) -> Column:
+    return F.coalesce(F.array_max(lp), F.lit(0.0))
+
+
+def best_position(lp: Column) -> Column:
+    return F.when(F.size(lp) > 0, F.array_position(lp, F.array_max(lp)) - 1).otherwise(0)
+
+
 def worst_position(lp: Column) -> Column:
     return F.when(F.size(lp) > 0, F.array_position(lp, F.array_min(lp)) - 1).otherwise(0)
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from normscape.functions import vectors as V
+from normscape.operators.ranking import medians
 from normscape.operators.weights import escort, join_groups, with_weight
+from normscape.sources.tables import settled
 
 INF = V.INF
 #: (q, r) of the named cores: fixed values.
@@ -39,7 +45,7 @@ def named_cores(systems: DataFrame, weight: str = "w", names: dict = NAMED) -> D
 
 
 def median_core(systems: DataFrame) -> DataFrame:
-    return long_systems(systems, "arm").groupBy("arm", "struct_idx").agg(F.median("x").alias("value"))
+    return medians(long_systems(systems, "arm"), ["arm", "struct_idx"], "x", "value")
 
 
 def _best(systems: DataFrame, key: Column) -> DataFrame:
@@ -72,7 +78,8 @@ def majority_walk(tokens: DataFrame, keys: tuple = ("arm",), max_steps: int | No
     rounds = 0
     while True:
         parts = left.groupBy(*keys).agg(F.min("tokens").alias("lo"), F.max("tokens").alias("hi")).where("lo <> hi").select(*keys, shared.alias("pos"))
-        parts = parts.where(F.lit(max_steps is None) | (F.col("pos") < F.lit(max_steps))).checkpoint()
+        parts = parts.where(F.lit(max_steps is None) | (F.col("pos") < F.lit(max_steps)))
+        parts = settled(parts)
         if parts.isEmpty():
             break
         votes = left.join(parts, keys).where(F.size("tokens") > F.col("pos")).groupBy(*keys, "pos", F.get("tokens", F.col("pos")).alias("token")).count()
@@ -82,7 +89,7 @@ def majority_walk(tokens: DataFrame, keys: tuple = ("arm",), max_steps: int | No
         left = left.where(F.col("pos").isNull() | stays).drop("pos", "token")
         rounds += 1
         if rounds % 4 == 1:
-            left = left.checkpoint()
+            left = settled(left)
     best = left.groupBy(*keys).agg(F.min(F.struct((-F.size("tokens")).alias("n"), "traj_idx")).alias("b"))
     return best.select(*keys, "b.traj_idx")
 
@@ -107,12 +114,29 @@ def logit_kde(values: DataFrame, keys: tuple = ("arm", "struct_idx"), value: str
     stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), mean.alias("m"), F.count("*").alias("k"))
     spread = join_groups(counts, stats, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sum(F.col("c") * (F.col("z") - F.col("m")) * (F.col("z") - F.col("m"))).alias("ss"))
     width = spread.select(*keys, "n", "k", (F.pow(F.col("n") * 0.75, F.lit(-0.2)) * F.sqrt(F.col("ss") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("h"))
-    grid = F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: i / F.lit(points + 1.0)))
-    cells = join_groups(counts, width, keys).where("k > 1").select("*", grid.alias("y"))
-    d = (F.ln(F.col("y") / (1 - F.col("y"))) - F.col("z")) / F.col("h")
-    density = F.sum(F.col("c") * F.exp(-d * d / 2)) / (F.first("n") * F.first("h") * float(np.sqrt(2 * np.pi)))
-    found = cells.groupBy(*keys, "y").agg(density.alias("f")).select(*keys, "y", (F.col("f") / (F.col("y") * (1 - F.col("y")))).alias("density"))
-    flat = width.where("k <= 1").select(*keys, grid.alias("y"), F.lit(0.0).alias("density"))
+    grid = np.arange(1, points + 1) / (points + 1.0)
+    logits = np.log(grid / (1 - grid))
+    schema = StructType(counts.select(*keys).schema.fields).add("part", ArrayType(DoubleType()))
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each group's kernels of a batch added up: a row a group, whatever the number of values."""
+        for rows in batches:
+            out = []
+            for key, g in rows.groupby(keys, dropna=False, sort=False):
+                part = np.zeros(points)
+                for s in range(0, len(g), 2048):
+                    z, c, h = (g[x].to_numpy(float)[s : s + 2048, None] for x in ("z", "c", "h"))
+                    part += (c * np.exp(-(((logits - z) / h) ** 2) / 2)).sum(0)
+                out.append((*(None if pd.isna(k) else k for k in key), part))
+            yield pd.DataFrame(out, columns=[*keys, "part"])
+
+    parts = join_groups(counts, width, keys).where("k > 1").select(*keys, "z", "c", "h").mapInPandas(kernels, schema)
+    sums = parts.select(*keys, F.posexplode("part").alias("i", "f")).groupBy(*keys, "i").agg(F.sum("f").alias("f"))
+    y = (F.col("i") + 1) / F.lit(points + 1.0)
+    density = F.col("f") / (F.col("n") * F.col("h") * float(np.sqrt(2 * np.pi))) / (y * (1 - y))
+    found = join_groups(sums, width.select(*keys, "n", "h"), keys).select(*keys, y.alias("y"), density.alias("density"))
+    ys = F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: i / F.lit(points + 1.0)))
+    flat = width.where("k <= 1").select(*keys, ys.alias("y"), F.lit(0.0).alias("density"))
     return found.unionByName(flat)
 
 
@@ -125,7 +149,7 @@ def mode_core(systems: DataFrame) -> DataFrame:
     return stats.join(best, ["arm", "struct_idx"], "left").select("arm", "struct_idx", value.alias("value"))
 
 
-def ensemble_cores(systems: DataFrame, max_steps: int = 4096) -> DataFrame:
+def ensemble_cores(systems: DataFrame, max_steps: int | None = None) -> DataFrame:
     """(arm, method, struct_idx, value): average, greedy (else average), mode and median."""
     average = generalized_core(with_weight(systems, "uniform"), 1, 1)
     greedy = greedy_core(systems, max_steps)

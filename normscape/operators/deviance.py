@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from normscape.functions import arms as A
 from normscape.functions import vectors as V
-from normscape.operators.weights import join_groups, with_weights
+from normscape.operators.weights import RAW, join_groups
+from normscape.sources.tables import settled, small
 
 
 def with_core(systems: DataFrame, cores: DataFrame) -> DataFrame:
@@ -63,7 +64,28 @@ def deviance_to(systems: DataFrame, cores: DataFrame, reference: str, weight: st
 def relative_orientations(cores: DataFrame) -> DataFrame:
     """(node, other, orientation) for all ordered pairs of the few node cores."""
     a, b = cores.select(F.col("arm").alias("node"), F.col("core").alias("x")), cores.select(F.col("arm").alias("other"), F.col("core").alias("y"))
-    return a.join(b, F.col("node") != F.col("other")).select("node", "other", V.orientation(F.col("x"), F.col("y")).alias("orientation"))
+    return a.join(small(b), F.col("node") != F.col("other")).select("node", "other", V.orientation(F.col("x"), F.col("y")).alias("orientation"))
+
+
+def orientation_std(samples: DataFrame, keys: tuple = ("node",)) -> DataFrame:
+    """(keys.., struct_idx, value): deviation of the samples' orientations, which is that of the samples themselves."""
+    rows = samples.select(*keys, F.posexplode("system").alias("struct_idx", "x"))
+    return rows.groupBy(*keys, "struct_idx").agg(F.stddev_pop("x").alias("value"))
+
+
+def qr_profile(estimates: DataFrame) -> DataFrame:
+    """(axis, arm, order, mean) of estimates (arm, q, r, mean): along q where r is 1, and along r where q is 1.
+
+    To be read in order of axis, arm and order; -infinity sorts first and infinity last.
+    """
+    along = lambda axis, other: estimates.where(F.col(other) == 1).select(F.lit(axis).alias("axis"), "arm", F.col(axis).alias("order"), "mean")
+    return along("q", "r").unionByName(along("r", "q"))
+
+
+def compare_methods(estimates: DataFrame, runs: list[str], values: tuple = ("n", "expected_deviance")) -> DataFrame:
+    """(arm, method, a column a run and value): estimates (arm, method, run, values..) of generation runs side by side."""
+    cells = [F.max(F.when(F.col("run") == r, F.col(v))).alias(f"{r}_{v}") for r in runs for v in values]
+    return estimates.groupBy("arm", "method").agg(*cells)
 
 
 def downstream_orientation(cores: DataFrame) -> DataFrame:
@@ -78,16 +100,27 @@ def estimate(systems: DataFrame, methods: tuple = ("inv-ppl", "prob", "uniform")
     """(arm, method, n, expected_deviance, deviance_variance, deviance_root, deviance_trunk, diversity, norm_parent).
 
     Weighted standard core per arm and method, the deviance under the same weights, and the distance to reference
-    cores. Rows flagged greedy stay out of the weights unless asked for.
+    cores. The rows are read three times: for the largest log-probability, the cores and the deviances, of which the
+    first two leave a row an arm. Rows flagged greedy stay out of the weights unless asked for.
     """
     rows = systems if include_greedy or "is_greedy" not in systems.columns else systems.where("NOT coalesce(is_greedy, false)")
     numbers = range(len(methods))
-    weighted = with_weights(rows, list(methods)).select("arm", "system", *[f"w{i}" for i in numbers])
-    long = weighted.select("arm", *[f"w{i}" for i in numbers], F.posexplode("system").alias("struct_idx", "x"))
-    cells = long.groupBy("arm", "struct_idx").agg(*[(F.sum(F.col(f"w{i}") * F.col("x")) / F.sum(f"w{i}")).alias(f"v{i}") for i in numbers])
+    lp, n_tokens = F.coalesce("logprob", F.lit(0.0)), F.coalesce("n_tokens", F.lit(0))
+    top = settled(rows.groupBy("arm").agg(F.max(lp).alias("__top")))
+    raws = [RAW[m](lp, n_tokens, F.col("__top")).alias(f"u{i}") for i, m in enumerate(methods)]
+    raw = join_groups(rows, top, ["arm"]).select("arm", "system", *raws)
+    cells = raw.select("arm", *[f"u{i}" for i in numbers], F.posexplode("system").alias("struct_idx", "x"))
+    sums = [a for i in numbers for a in (F.sum(f"u{i}").alias(f"s{i}"), F.sum(F.col(f"u{i}") * F.col("x")).alias(f"v{i}"))]
+    cells = cells.groupBy("arm", "struct_idx").agg(*sums, F.avg("x").alias("m"))
+    usable = [(F.col(f"s{i}") != 0) & ~F.isnan(f"s{i}") & (F.abs(f"s{i}") != V.INF) for i in numbers]
+    means = [F.when(ok, F.col(f"v{i}") / F.when(ok, F.col(f"s{i}"))).otherwise(F.col("m")).alias(f"v{i}") for i, ok in enumerate(usable)]
+    cells = cells.select("arm", "struct_idx", *means, *[ok.alias(f"ok{i}") for i, ok in enumerate(usable)])
     pairs = F.array_sort(F.collect_list(F.struct("struct_idx", *[f"v{i}" for i in numbers])))  # an entry a structure
-    cores = cells.groupBy("arm").agg(pairs.alias("s")).select("arm", *[F.col(f"s.v{i}").alias(f"c{i}") for i in numbers])
-    joined = join_groups(weighted, cores, ["arm"])
+    oks = [F.first(f"ok{i}").alias(f"ok{i}") for i in numbers]
+    cores = settled(cells.groupBy("arm").agg(pairs.alias("s"), *oks).select("arm", *[F.col(f"s.v{i}").alias(f"c{i}") for i in numbers], *[f"ok{i}" for i in numbers]))
+    joined = join_groups(raw, cores, ["arm"])
+    for i in numbers:  # no usable sum of weights: equal ones
+        joined = joined.withColumn(f"w{i}", F.when(F.col(f"ok{i}"), F.col(f"u{i}")).otherwise(1.0))
     for ref in ("root", "trunk"):
         one = cores.where(F.col("arm") == ref).select(*[F.col(f"c{i}").alias(f"{ref}{i}") for i in numbers])
         joined = joined.join(F.broadcast(one), F.lit(True), "left")  # one row at most

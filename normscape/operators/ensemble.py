@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from normscape.operators.ranking import ranked
+
 
 def merge_judges(scores: DataFrame, n_judges: int) -> DataFrame:
     """(traj_idx, struct_idx, score): mean over judges for trajectories that all have scored; nulls skipped, all null 0."""
@@ -12,6 +14,12 @@ def merge_judges(scores: DataFrame, n_judges: int) -> DataFrame:
     return scores.join(full, "traj_idx", "left_semi").groupBy("traj_idx", "struct_idx").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("score"))
 
 
+def merge_judges_greedy(scores: DataFrame, n_judges: int) -> DataFrame:
+    """merge_judges() on the greedy rows of each arm (judge, arm, struct_idx, score): an arm a trajectory."""
+    merged = merge_judges(scores.withColumnRenamed("arm", "traj_idx"), n_judges)
+    return merged.withColumnRenamed("traj_idx", "arm")
+
+
 def average_judges(responses: DataFrame, judges: list[str] | None = None) -> DataFrame:
     """(text, question, score[, a judge a column]): null-safe mean; all null stays null."""
     if judges:
@@ -60,8 +68,8 @@ def stratified_sample(rows: DataFrame, strata: list[str], per_cell: int, per_out
 def equalize_and_union(a: DataFrame, b: DataFrame, group: str, order: str) -> DataFrame:
     """Per group as many rows of each side as the smaller side has, labelled (specified) and (associated)."""
     n = a.groupBy(group).count().join(b.groupBy(group).agg(F.count("*").alias("m")), group).select(group, F.least("count", "m").alias("__n"))
-    ranked = lambda df: df.join(n, group).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where("__r <= __n").drop("__r", "__n")
-    label = lambda df, s: ranked(df).withColumn("label", F.concat(F.col(group).cast("string"), F.lit(f" ({s})")))
+    first = lambda df: ranked(df.join(n, group), [group], [F.col(order)], "__r").where("__r <= __n").drop("__r", "__n")
+    label = lambda df, s: first(df).withColumn("label", F.concat(F.col(group).cast("string"), F.lit(f" ({s})")))
     return label(a, "specified").unionByName(label(b, "associated"))
 
 

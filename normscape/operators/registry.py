@@ -20,11 +20,24 @@ def register_scoring_method(name: str, prefix: str, fn: Callable[[DataFrame, Dat
     SCORING[name] = (prefix, fn)
 
 
-def register_weighting_method(name: str, raw: Callable[[Column, Column, Column], Column]) -> None:
-    """raw: the unnormalised weight of (logprob, n_tokens, the arm's largest logprob)."""
+#: name -> a core of its own for a weighting: systems to (arm, struct_idx, value)
+CORES: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_weighting_method(name: str, raw: Callable[[Column, Column, Column], Column], core: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """raw: the unnormalised weight of (logprob, n_tokens, the arm's largest logprob); core: in place of the weighted mean."""
     if name in weights.RAW:
         raise ValueError(f"weighting {name!r} is registered")
     weights.RAW[name] = raw
+    if core is not None:
+        CORES[name] = core
+
+
+def core_of(systems: DataFrame, name: str) -> DataFrame:
+    """(arm, struct_idx, value) by a registered weighting: its own core, else the weighted mean. Arms without one are left out."""
+    from normscape.operators.cores import generalized_core
+
+    return CORES[name](systems) if name in CORES else generalized_core(weights.with_weight(systems, name), 1, 1)
 
 
 def score_texts(texts: DataFrame, items: dict[str, DataFrame]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normscape.functions import text as T
 from normscape.functions import vectors as V
+from normscape.sources.tables import small
 
 
 def score_count_occurrences(texts: DataFrame, phrases: list[str], text_col: str = "text", case_sensitive: bool = False) -> DataFrame:
@@ -23,7 +26,7 @@ def score_similarity(vectors: DataFrame, references: DataFrame) -> DataFrame:
     dot = V.total(F.zip_with("v", "r", lambda a, b: a * b))
     norms = V.norm(F.col("v")) * V.norm(F.col("r"))
     cos = F.when(norms == 0, 0.0).otherwise(dot / F.when(norms != 0, norms))
-    return x.crossJoin(F.broadcast(refs)).select("vec_id", "ref_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1) / 2)).alias("score"))
+    return x.crossJoin(small(refs)).select("vec_id", "ref_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1) / 2)).alias("score"))
 
 
 def build_lexicon(marked: DataFrame, unmarked: DataFrame, prior: DataFrame | None = None, min_count: int = 5, text_col: str = "text") -> DataFrame:
@@ -61,6 +64,31 @@ def top_lexicon_words(lexicon: DataFrame, k: int = 10) -> DataFrame:
     return top.unionByName(lexicon.orderBy("z", "word").limit(k).withColumn("side", F.lit("low"))).select("side", "word", "z")
 
 
+def top_words_by_text(texts: DataFrame, lexicon: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
+    """(traj_idx, side, place, word, z): the k highest and lowest scored words of each text, a word as often as it occurs.
+
+    high: above 0, low: below 0; ties by word. A text's words are its own group, of the size of a text.
+    """
+    words = texts.select("traj_idx", F.explode(T.simple_tokens(F.col(text_col))).alias("word")).join(lexicon.where("z <> 0"), "word")
+    rows = words.withColumn("side", F.when(F.col("z") > 0, "high").otherwise("low"))
+    w = Window.partitionBy("traj_idx", "side").orderBy(F.desc(F.abs("z")), "word")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("traj_idx", "side", "place", "word", "z")
+
+
+def score_bundles(texts: DataFrame, bundles: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(traj_idx, struct_idx, scores): any function of single items over bundles of items.
+
+    bundles (struct_idx, items array); score: (texts, items (struct_idx, item_idx, item)) to rows (traj_idx, struct_idx,
+    item_idx, score). A bundle's scores come back in the order of its items, null where there is none.
+    """
+    items = bundles.select("struct_idx", F.posexplode("items").alias("item_idx", "item"))
+    found = score(texts, items).select("traj_idx", "struct_idx", "item_idx", "score")
+    own = found.groupBy("traj_idx", "struct_idx").agg(F.map_from_entries(F.collect_list(F.struct("item_idx", "score"))).alias("__by"))
+    sized = own.join(small(bundles.select("struct_idx", F.size("items").alias("__n"))), "struct_idx")
+    at = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.try_element_at("__by", i))
+    return sized.select("traj_idx", "struct_idx", at.alias("scores"))
+
+
 def match_glossary(texts: DataFrame, glossary: DataFrame, text_col: str = "text") -> DataFrame:
     """(traj_idx, surface_form): one row for each text that holds a form at word boundaries, whatever the case.
 
@@ -104,7 +132,7 @@ def score_hypotheses(entailment: DataFrame, how: str = "mean") -> DataFrame:
 
 def judge_worklist(texts: DataFrame, items: DataFrame, done: DataFrame, template: str = "Text: %s\nQuestion: %s\nANSWER:") -> DataFrame:
     """(traj_idx, struct_idx, prompt): what is still to be asked; items are a configuration's questions."""
-    todo = texts.select("traj_idx", "text").crossJoin(F.broadcast(items.select("struct_idx", "question")))
+    todo = texts.select("traj_idx", "text").crossJoin(small(items.select("struct_idx", "question")))
     return todo.join(done.select("traj_idx", "struct_idx"), ["traj_idx", "struct_idx"], "left_anti").select("traj_idx", "struct_idx", F.format_string(template, "text", "question").alias("prompt"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normscape.sources.tables import settled, small
+
 
 def prefix_steps(seqs: DataFrame, keys: tuple = ("traj_idx",)) -> DataFrame:
     """(keys.., pos, prefix, token, length): at each position the hash of what stands before it."""
@@ -14,6 +18,17 @@ def prefix_steps(seqs: DataFrame, keys: tuple = ("traj_idx",)) -> DataFrame:
     return rows.select(*keys, "pos", F.col("x.prefix").alias("prefix"), F.col("x.token").alias("token"), "length")
 
 
+def add_trajectories(seqs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sequences of both, and the pairs (arm_a, arm_b) that are new: each arm there was with each that came."""
+    pairs = groups(seqs).withColumnRenamed("arm", "arm_a").join(small(groups(new).withColumnRenamed("arm", "arm_b")), F.col("arm_a") != F.col("arm_b"))
+    return seqs.unionByName(new), pairs
+
+
+def groups(seqs: DataFrame) -> DataFrame:
+    """(arm): the arms of a set of sequences."""
+    return seqs.select("arm").distinct()
+
+
 def prefix_ends(seqs: DataFrame) -> DataFrame:
     """(prefix, pos): the hash and length of each whole sequence."""
     whole = F.aggregate("tokens", F.lit(42).cast("long"), lambda s, t: F.xxhash64(s, t))
@@ -67,11 +82,17 @@ def best_expansion_points(entropies: DataFrame, used: DataFrame, k: int) -> Data
 
 
 def word_tree(seqs: DataFrame) -> DataFrame:
-    """(node, parent, depth, word, n, is_leaf): the prefix tree of word sequences with counts."""
-    steps = prefix_steps(seqs).withColumn("node", F.xxhash64("prefix", "token"))
+    """(node, parent, depth, word, n, is_leaf, is_end[, prob][, is_greedy]): the prefix tree of word sequences with counts.
+
+    Sequences with a logprob give each node the largest probability of those through it, those with is_greedy a flag.
+    """
+    more = [c for c in ("logprob", "is_greedy") if c in seqs.columns]
+    best = {"logprob": F.exp(F.max("logprob")).alias("prob"), "is_greedy": F.max("is_greedy").alias("is_greedy")}
+    steps = prefix_steps(seqs, ("traj_idx", *more)).withColumn("node", F.xxhash64("prefix", "token"))
     ends = prefix_ends(seqs).select(F.col("prefix").alias("node")).withColumn("is_end", F.lit(True))
-    tree = steps.groupBy("node", F.col("prefix").alias("parent"), F.col("pos").alias("depth"), F.col("token").alias("word")).agg(F.count("*").alias("n"), F.max(F.col("length") > F.col("pos") + 1).alias("more"))
-    return tree.join(ends, "node", "left").select("node", "parent", "depth", "word", "n", (~F.col("more")).alias("is_leaf"), F.coalesce("is_end", F.lit(False)).alias("is_end"))
+    tree = steps.groupBy("node", F.col("prefix").alias("parent"), F.col("pos").alias("depth"), F.col("token").alias("word")).agg(F.count("*").alias("n"), F.max(F.col("length") > F.col("pos") + 1).alias("more"), *[best[c] for c in more])
+    given = [{"logprob": "prob"}.get(c, c) for c in more]
+    return tree.join(ends, "node", "left").select("node", "parent", "depth", "word", "n", (~F.col("more")).alias("is_leaf"), F.coalesce("is_end", F.lit(False)).alias("is_end"), *given)
 
 
 def kept_nodes(tree: DataFrame) -> DataFrame:
@@ -80,6 +101,39 @@ def kept_nodes(tree: DataFrame) -> DataFrame:
     return tree.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))).where("n_children <> 1 OR is_end")
 
 
+def along_path(tree: DataFrame, value: Column, merge: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """(node, out): value folded over each node and all above it. tree: node, parent; merge: (nearer, farther).
+
+    Paths double in each round, so a tree takes as many rounds as its depth has binary digits.
+    """
+    state = settled(tree.select("node", F.col("parent").alias("up"), value.alias("v")))
+    while True:
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("__next"), F.col("v").alias("__v"), F.lit(True).alias("__there"))
+        merged = F.when(F.col("__there"), merge(F.col("v"), F.col("__v"))).otherwise(F.col("v"))
+        state = settled(state.join(far, "up", "left").select("node", F.col("__next").alias("up"), merged.alias("v")))
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.select("node", F.col("v").alias(out))
+
+
+def propagate_logprob(tree: DataFrame, logprob: str = "logprob") -> DataFrame:
+    """(node, logprob): the sum from the root down to each node."""
+    return along_path(tree, F.col(logprob), lambda a, b: a + b, "logprob")
+
+
+def subtree_ids(tree: DataFrame, root: int) -> DataFrame:
+    """(node): a node and all below it."""
+    return along_path(tree, F.col("node") == root, lambda a, b: a | b, "inside").where("inside").select("node")
+
+
+def collapse_chains(tree: DataFrame) -> DataFrame:
+    """kept_nodes() of a word_tree() with parent: the nearest kept node above, null at the top."""
+    kept = kept_nodes(tree)
+    above = kept.select(F.col("node").alias("parent"), F.col("node").alias("__kept"))
+    linked = tree.select("node", "parent").join(above, "parent", "left")
+    nearest = along_path(linked, F.col("__kept"), lambda a, b: F.coalesce(a, b), "__parent")
+    return kept.join(nearest, "node").withColumn("parent", F.col("__parent")).drop("__parent")
+
+
 def roll_up(tree: DataFrame, max_depth: int) -> DataFrame:
     """(node, score): leaf scores, and for the others the weighted mean of the children, bottom up by level.
 
@@ -92,5 +146,5 @@ def roll_up(tree: DataFrame, max_depth: int) -> DataFrame:
         level = tree.where((F.col("depth") == depth) & F.col("score").isNull()).drop("score").join(up, "node")
         done = done.unionByName(level.select("node", "parent", "depth", "weight", "score"))
         if depth % 4 == 0:
-            done = done.checkpoint()
+            done = settled(done)
     return done.select("node", "score")

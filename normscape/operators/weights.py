@@ -17,14 +17,14 @@ LEAST_LOGPROB = -700.0
 ARM_ROWS = 100_000
 
 
-def join_groups(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def join_groups(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a row a group back to rows, null keys included; adaptive execution broadcasts stats where it is small."""
     renamed = stats.select([F.col(k).alias(f"__{k}") for k in keys] + [c for c in stats.columns if c not in keys])
     on = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"__{k}"))
         on = same if on is None else on & same
-    return df.join(renamed, on).drop(*[f"__{k}" for k in keys])
+    return df.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
 def _inv_ppl(lp: Column, n: Column) -> Column:
@@ -107,6 +107,37 @@ def escort(df: DataFrame, orders: list[float], p: str = "w", keys: tuple = ("arm
     return df.drop("__hi", "__lo", "__s", *[f"__z{i}" for i in sums])
 
 
+def conditional_logprobs(trajectories: DataFrame, arms: DataFrame, logprobs: str = "logprobs") -> DataFrame:
+    """Add conditional: arm name -> sum of the log-probabilities after that arm's prefill; shorter texts have 0.
+
+    arms (arm, prefill_tokens) is a configuration, a row an arm; it travels as one row with a map.
+    """
+    lengths = arms.agg(F.map_from_entries(F.collect_list(F.struct("arm", "prefill_tokens"))).alias("__lengths"))
+    total = lambda n: F.aggregate(F.slice(F.col(logprobs), n + 1, F.greatest(F.size(logprobs), F.lit(1))), F.lit(0.0), lambda s, x: s + x)
+    rows = trajectories.crossJoin(F.broadcast(lengths))  # one row
+    return rows.withColumn("conditional", F.transform_values("__lengths", lambda _, n: total(n))).drop("__lengths")
+
+
+def logprobs_for_condition(rows: DataFrame, condition: str, exclude_mismatch: bool = True) -> DataFrame:
+    """(traj_idx, logprob) under a condition. A 0 marks rows outside it: they go, but for trunk or rows of that arm."""
+    lp = F.coalesce(F.col("conditional")[condition], F.lit(0.0))
+    out = rows.withColumn("logprob", lp)
+    if exclude_mismatch and condition != "trunk":
+        out = out.where((F.col("logprob") != 0) | F.col("arm").eqNullSafe(F.lit(condition)))
+    return out.select("traj_idx", "logprob")
+
+
+def suffix_representatives(trajectories: DataFrame, parents: DataFrame) -> DataFrame:
+    """(arm, traj_idx, prob): of each arm's first trajectory the probability of the arm's own text given its parent's.
+
+    trajectories (traj_idx, arm, logprobs, arm_end); parents (arm, parent_end). No parent, no log-probabilities or
+    nothing between the two ends gives 1.
+    """
+    first = trajectories.groupBy("arm").agg(F.min_by(F.struct("traj_idx", "logprobs", "arm_end"), "traj_idx").alias("t"))
+    rows = first.join(parents, "arm", "left").select("arm", "t.*", F.coalesce("parent_end", "t.arm_end").alias("parent_end"))
+    return rows.select("arm", "traj_idx", suffix_prob(rows, "logprobs", "parent_end", "arm_end").alias("prob"))
+
+
 def arm_statistics(systems: DataFrame) -> DataFrame:
     """Per arm: rows, probability mass, coverage in percent, largest logprob, mean perplexity."""
     p = F.when(F.col("logprob") > LEAST_LOGPROB, F.exp("logprob")).otherwise(0.0)

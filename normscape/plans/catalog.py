@@ -14,7 +14,10 @@ from normscape.operators import cores as C
 from normscape.operators import deviance as D
 from normscape.operators import dynamics as M
 from normscape.operators import ensemble as E
+from normscape.operators import ranking as RK
+from normscape.operators import registry as G
 from normscape.operators import scoring as S
+from normscape.operators import sequences as Q
 from normscape.operators import systems as Y
 from normscape.operators import trees as K
 from normscape.operators import weights as W
@@ -216,6 +219,25 @@ def _(spark, d):
     return S.top_lexicon_words(_lexicon(spark, d)).select("side", "word", r6("z").alias("z"))
 
 
+@query("D5_top_words_by_text", f"WITH {_LEX}, t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS word FROM documents), r AS (SELECT doc_id, word, z, row_number() OVER (PARTITION BY doc_id, z > 0 ORDER BY abs(z) DESC, word) AS place FROM t JOIN lex USING (word) WHERE z <> 0) SELECT doc_id AS traj_idx, CASE WHEN z > 0 THEN 'high' ELSE 'low' END AS side, place::INT AS place, {q6('z', 'z')} FROM r WHERE place <= 5")
+def _(spark, d):
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("traj_idx"), "text")
+    return S.top_words_by_text(texts, _lexicon(spark, d)).select("traj_idx", "side", "place", r6("z").alias("z"))
+
+
+def _bundle_scores(texts: DataFrame, items: DataFrame) -> DataFrame:
+    n = F.size(F.split(F.lower("text"), F.concat(F.lit("\\Q"), F.lower("item"), F.lit("\\E")))) - 1
+    return texts.crossJoin(IO.small(items)).select("traj_idx", "struct_idx", "item_idx", n.cast("double").alias("score"))
+
+
+@query("O4_score_bundles", "SELECT doc_id AS traj_idx, b.s AS struct_idx, " + q6("list_sum(list_transform(b.items, lambda x: len(string_split(lower(text), x)) - 1))::DOUBLE / len(b.items)", "mean") + ", len(b.items)::INT AS n FROM documents, (VALUES (0, ['the', 'and']), (1, ['de', 'un', 'la'])) b(s, items)")
+def _(spark, d):
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("traj_idx"), "text")
+    bundles = spark.createDataFrame([(0, ["the", "and"]), (1, ["de", "un", "la"])], "struct_idx int, items array<string>")
+    s = S.score_bundles(texts, bundles, _bundle_scores)
+    return s.select("traj_idx", "struct_idx", r6(V.total(F.col("scores")) / F.size("scores")).alias("mean"), F.size("scores").alias("n"))
+
+
 _FORMS = ["The", "of the", "und", "de la", "licensed under"]
 
 
@@ -249,6 +271,16 @@ def _(spark, d):
     return r.select("event_id", named.alias("binary"), T.parse_judge_score(F.col("raw")).alias("judge_score"))
 
 
+@query("D12_parse_binary", "SELECT event_id, CASE WHEN event_id % 12 IN (0, 3) THEN 1 WHEN event_id % 12 IN (1, 2, 5, 7, 8) THEN 0 END::INT AS score FROM events")
+def _(spark, d):
+    return X.responses(spark, d).select("event_id", T.parse_binary(F.col("raw")).alias("score"))
+
+
+@query("D13_parse_graded", "SELECT event_id, CASE event_id % 12 WHEN 0 THEN 1 WHEN 1 THEN 0.85 WHEN 7 THEN 0.3 WHEN 9 THEN 0.5 END::DOUBLE AS score FROM events")
+def _(spark, d):
+    return X.responses(spark, d).select("event_id", T.parse_graded(F.col("raw")).alias("score"))
+
+
 @query("D15_parse_failure_rate", f"SELECT judge, question, {q6('avg(f)', 'failure_rate')}, count(*) AS n FROM (SELECT event_type AS judge, event_id % 12 AS question, (event_id % 12 IN (6, 10))::INT AS f FROM events) GROUP BY 1, 2")
 def _(spark, d):
     return S.parse_failure_rate(X.responses(spark, d), T.parse_judge_score(F.col("raw"))).withColumn("failure_rate", r6("failure_rate"))
@@ -280,7 +312,9 @@ def _(spark, d):
 
 @query("E7_aggregations", f"WITH {X.JUDGES} SELECT arm, {', '.join(q6(f'{f}(score)', f'{n}_score') for n, f in (('mean', 'avg'), ('max', 'max'), ('sum', 'sum'), ('median', 'median'), ('min', 'min')))} FROM js GROUP BY 1")
 def _(spark, d):
-    return X.judge_scores(spark, d).groupBy("arm").agg(*[r6(Y.aggregate(F.col("score"), h)).alias(f"{h}_score") for h in ("mean", "max", "sum", "median", "min")])
+    js = X.judge_scores(spark, d)
+    rest = js.groupBy("arm").agg(*[r6(Y.aggregate(F.col("score"), h)).alias(f"{h}_score") for h in ("mean", "max", "sum", "min")])
+    return rest.join(RK.medians(js, ["arm"], "score").select("arm", r6("median").alias("median_score")), "arm")
 
 
 @query("E8_arm_counts", f"WITH {X.DOCS} SELECT arm, count(*) AS n, min(traj_idx) AS first_row FROM docs GROUP BY 1")
@@ -352,6 +386,43 @@ def _(spark, d):
     return W.sibling_share(a, "n").select("arm", r6("share").alias("share"), r6("scale").alias("scale"))
 
 
+@query("F7_ranked_weights", f"WITH {X.weighted('prob')} SELECT traj_idx, arm, row_number() OVER (PARTITION BY arm ORDER BY w DESC, traj_idx) AS rank FROM wt")
+def _(spark, d):
+    return RK.ranked_weights(X.systems_li(spark, d)).select("traj_idx", "arm", "rank")
+
+
+_PREFILL = [("root", 0), ("trunk", 10), ("branch_1", 20), ("branch_2", 80)]
+
+
+def _conditional(spark, d) -> DataFrame:
+    e = X.embeddings(spark, d)
+    arm = F.element_at(F.array(*[F.lit(a) for a, _ in _PREFILL]), (F.col("vec_id") % 4 + 1).cast("int"))
+    lp = F.transform(F.col("embedding").cast("array<double>"), lambda x: -F.abs(x))
+    arms = spark.createDataFrame(_PREFILL, "arm string, prefill_tokens int")
+    return W.conditional_logprobs(e.select(F.col("vec_id").alias("traj_idx"), arm.alias("arm"), lp.alias("logprobs")), arms)
+
+
+_COND = "cd AS (SELECT vec_id AS traj_idx, CASE vec_id % 4 WHEN 0 THEN 'root' WHEN 1 THEN 'trunk' WHEN 2 THEN 'branch_1' ELSE 'branch_2' END AS arm, list_transform(embedding::DOUBLE[], lambda x: -abs(x)) AS l FROM embeddings)"
+
+
+@query("F8_conditional_logprobs", f"WITH {_COND} SELECT traj_idx, {', '.join(q6(f'coalesce(list_sum(l[{n + 1}:]), 0)', a) for a, n in _PREFILL)} FROM cd")
+def _(spark, d):
+    return _conditional(spark, d).select("traj_idx", *[r6(F.col("conditional")[a]).alias(a) for a, _ in _PREFILL])
+
+
+@query("F9_logprobs_for_condition", f"WITH {_COND} SELECT traj_idx, {q6('coalesce(list_sum(l[81:]), 0)', 'logprob')} FROM cd WHERE arm = 'branch_2' OR coalesce(list_sum(l[81:]), 0) <> 0")
+def _(spark, d):
+    return W.logprobs_for_condition(_conditional(spark, d), "branch_2").withColumn("logprob", r6("logprob"))
+
+
+@query("F13_suffix_prob", f"WITH {_COND}, f AS (SELECT arm, min(traj_idx) AS traj_idx FROM cd GROUP BY 1) SELECT arm, traj_idx, {q6('coalesce(exp(list_sum(CASE arm WHEN ' + chr(39) + 'trunk' + chr(39) + ' THEN l[1:4] WHEN ' + chr(39) + 'branch_1' + chr(39) + ' THEN l[5:8] WHEN ' + chr(39) + 'branch_2' + chr(39) + ' THEN l[5:10] END)), 1)', 'prob')} FROM f JOIN cd USING (arm, traj_idx)")
+def _(spark, d):
+    ends = {"root": 0, "trunk": 4, "branch_1": 8, "branch_2": 10}
+    rows = _conditional(spark, d).withColumn("arm_end", F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])[F.col("arm")])
+    parents = spark.createDataFrame([("trunk", 0), ("branch_1", 4), ("branch_2", 4)], "arm string, parent_end int")
+    return W.suffix_representatives(rows, parents).withColumn("prob", r6("prob"))
+
+
 # cores
 
 def _escort_sql(r: float) -> str:
@@ -412,9 +483,14 @@ def _(spark, d):
     return C.max_inv_ppl_core(X.systems_li(spark, d)).withColumn("value", r6("value"))
 
 
-@query("G10_majority_walk")
+@query("G10_majority_walk", f"""WITH RECURSIVE {X.DOCS}, tok AS (SELECT traj_idx, arm, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS tokens FROM docs WHERE text IS NOT NULL),
+ walk AS (SELECT arm, traj_idx, tokens, 0 AS pos FROM tok UNION ALL
+  SELECT arm, traj_idx, tokens, pos + 1 FROM (SELECT *, dense_rank() OVER (PARTITION BY arm ORDER BY (len(tokens) > pos) DESC, c DESC, tokens[pos + 1]) AS r
+   FROM (SELECT *, count(*) OVER (PARTITION BY arm, len(tokens) > pos, tokens[pos + 1]) AS c, min(tokens) OVER (PARTITION BY arm) AS lo, max(tokens) OVER (PARTITION BY arm) AS hi FROM walk)
+   WHERE lo <> hi) WHERE r = 1 AND len(tokens) > pos)
+ SELECT arm, traj_idx FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY pos DESC, len(tokens) DESC, traj_idx) AS place FROM walk) WHERE place = 1""")
 def _(spark, d):
-    return C.majority_walk(X.token_seqs(spark, d, None))
+    return C.majority_walk(X.token_seqs(spark, d))
 
 
 @query("G13_core_diversity", f"WITH {X.weighted('inv-ppl')}, {X.long('wt', 'arm, w')}, c AS (SELECT arm, struct_idx, sum(w * x) AS v FROM lng GROUP BY 1, 2), p AS (SELECT arm, v / sum(v) OVER (PARTITION BY arm) AS p, v FROM c) SELECT arm, {q6('-sum(p * ln(p))', 'entropy')}, {q6('exp(-sum(p * ln(p)))', 'diversity')} FROM p GROUP BY 1")
@@ -534,6 +610,30 @@ def _(spark, d):
     return _estimate(systems.join(docs.select("traj_idx", "logprob", "n_tokens"), "traj_idx"))
 
 
+@query("H17_qr_profile", f"WITH named AS ({_NAMED}), k(variant, q, r) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {max(min(q, 999), -999)}, {max(min(r, 999), -999)})' for n, (q, r) in C.NAMED.items())}), e AS (SELECT arm, q, r, max(value) AS m FROM named JOIN k USING (variant) GROUP BY variant, arm, q, r) SELECT 'q' AS axis, arm, q::DOUBLE AS place, {q6('m', 'mean')} FROM e WHERE r = 1 UNION ALL SELECT 'r', arm, r::DOUBLE, {q6('m', 'mean')} FROM e WHERE q = 1")
+def _(spark, d):
+    c = C.named_cores(W.with_weight(X.systems_li(spark, d)))
+    p = D.qr_profile(c.groupBy("arm", "variant", "q", "r").agg(F.max(r6("value")).alias("mean")))
+    return p.select("axis", "arm", F.greatest(F.least("order", F.lit(999.0)), F.lit(-999.0)).alias("place"), r6("mean").alias("mean"))
+
+
+@query("H19_orientation_std", f"WITH {X.SYS}, {X.long('sys', 'arm')} SELECT arm, struct_idx::INT AS struct_idx, {q6('stddev_pop(x)', 'value')} FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    return D.orientation_std(X.systems_li(spark, d), ("arm",)).withColumn("value", r6("value"))
+
+
+_HALF = [X.SYS.replace("FROM lineitem)", f"FROM lineitem WHERE l_linenumber % 2 = {i})") for i in range(2)]
+
+
+@query("H20_compare_methods", f"WITH a AS ({_estimate_sql(_HALF[0], _RAWS, 4)}), b AS ({_estimate_sql(_HALF[1], _RAWS, 4)}) SELECT arm, method, a.n AS even_n, a.expected_deviance AS even_expected_deviance, b.n AS odd_n, b.expected_deviance AS odd_expected_deviance FROM a FULL JOIN b USING (arm, method)")
+def _(spark, d):
+    line = F.expr("traj_idx div (1000003L * 10007L)")  # order and line number, of which the last bit is the line's
+    s = X.systems_li(spark, d).withColumn("odd", line % 2)
+    runs = [D.estimate(s.where(F.col("odd") == i)).withColumn("run", F.lit(n)) for i, n in enumerate(("even", "odd"))]
+    c = D.compare_methods(runs[0].unionByName(runs[1]), ["even", "odd"])
+    return c.select("arm", "method", "even_n", r6("even_expected_deviance").alias("even_expected_deviance"), "odd_n", r6("odd_expected_deviance").alias("odd_expected_deviance"))
+
+
 # entropy and divergence
 
 _DIST = "d AS (SELECT l_returnflag AS g, p_brand AS k, sum(l_quantity) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), p AS (SELECT g, k, n / sum(n) OVER (PARTITION BY g) AS p FROM d)"
@@ -556,7 +656,7 @@ def _(spark, d):
 def _(spark, d):
     p = _dist(spark, d)
     arr = p.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("v"))  # a distribution a flag
-    j = arr.select(F.col("g").alias("g1"), F.col("v").alias("p")).join(arr.select(F.col("g").alias("g2"), F.col("v").alias("q")))
+    j = arr.select(F.col("g").alias("g1"), F.col("v").alias("p")).crossJoin(IO.small(arr.select(F.col("g").alias("g2"), F.col("v").alias("q"))))
     a, b = F.col("p"), F.col("q")
     return j.select("g1", "g2", r6(V.kl(a, b)).alias("kl"), r6(V.renyi_divergence(a, b, 2)).alias("renyi_2"), r6(V.js(a, b)).alias("js"))
 
@@ -597,57 +697,122 @@ _LOGITS = "lg AS (SELECT vec_id AS traj_idx, (i // 8)::INT AS pos, (i % 8)::BIGI
 
 @query("J9_position_entropy", f"WITH {_LOGITS}, s AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY traj_idx, pos) AS p, row_number() OVER (PARTITION BY traj_idx, pos ORDER BY logit DESC, token) AS r FROM lg) SELECT traj_idx, pos, {q6('-sum(p * ln(p))', 'entropy')}, max(token) FILTER (r = 1) AS top_token, {q6('max(p)', 'top_prob')}, {q6('sum(p) FILTER (r <= 3)', 'top3_mass')} FROM s GROUP BY 1, 2")
 def _(spark, d):
-    from pyspark.sql import Window
+    e = Q.position_entropy(_logits(spark, d))
+    return e.select("traj_idx", "pos", r6("entropy").alias("entropy"), "top_token", r6("top_prob").alias("top_prob"), r6("top_mass").alias("top3_mass"))
 
+
+def _logits(spark, d) -> DataFrame:
     lg = X.embeddings(spark, d).select(F.col("vec_id").alias("traj_idx"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "logit"))
-    lg = lg.select("traj_idx", F.expr("i div 8").cast("int").alias("pos"), (F.col("i") % 8).cast("long").alias("token"), "logit")
-    w = Window.partitionBy("traj_idx", "pos")
-    s = lg.withColumn("p", F.exp("logit") / F.sum(F.exp("logit")).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("logit"), "token")))
-    return s.groupBy("traj_idx", "pos").agg(r6(V.renyi_entropy(F.col("p"), 1)).alias("entropy"), F.max(F.when(F.col("r") == 1, F.col("token"))).alias("top_token"), r6(F.max("p")).alias("top_prob"), r6(F.sum(F.when(F.col("r") <= 3, F.col("p")))).alias("top3_mass"))
+    return lg.select("traj_idx", F.expr("i div 8").cast("int").alias("pos"), (F.col("i") % 8).cast("long").alias("token"), "logit")
+
+
+def _chosen(spark, d) -> DataFrame:
+    """A token for positions 0 to 8; the last has no logits."""
+    pos = F.explode(F.sequence(F.lit(0), F.lit(8)))
+    return X.embeddings(spark, d).select(F.col("vec_id").alias("traj_idx"), pos.alias("pos")).withColumn("token", F.pmod(F.col("traj_idx") + F.col("pos"), F.lit(8)).cast("long"))
+
+
+_PICKED = f"{_LOGITS}, ch AS (SELECT vec_id AS traj_idx, unnest(range(0, 9))::INT AS pos FROM embeddings), own AS (SELECT ch.traj_idx, ch.pos, (ch.traj_idx + ch.pos) % 8 AS token, logit FROM ch LEFT JOIN lg ON lg.traj_idx = ch.traj_idx AND lg.pos = ch.pos AND lg.token = (ch.traj_idx + ch.pos) % 8), rk AS (SELECT own.traj_idx, own.pos, 1 + count(lg.token) FILTER (lg.logit > own.logit) AS rank FROM own LEFT JOIN lg USING (traj_idx, pos) GROUP BY 1, 2)"
+
+
+@query("J5_token_ranks", f"WITH {_PICKED} SELECT * FROM rk")
+def _(spark, d):
+    return Q.token_ranks(_chosen(spark, d), _logits(spark, d))
+
+
+@query("J6_worst_ranks", f"WITH {_PICKED}, o AS (SELECT *, row_number() OVER (PARTITION BY traj_idx ORDER BY rank DESC, pos) AS r FROM rk) SELECT traj_idx, rank AS worst_rank, pos AS worst_pos FROM o WHERE r = 1")
+def _(spark, d):
+    return Q.worst_ranks(Q.token_ranks(_chosen(spark, d), _logits(spark, d)))
+
+
+@query("J7_top_p_logprobs", f"WITH {_PICKED}, o AS (SELECT *, row_number() OVER (PARTITION BY traj_idx, pos ORDER BY logit DESC, token) AS r FROM lg), t AS (SELECT o.traj_idx, o.pos, max(o.logit) FILTER (o.token = own.token) - ln(sum(exp(o.logit))) AS lp FROM o JOIN own USING (traj_idx, pos) WHERE r <= 5 GROUP BY 1, 2) SELECT own.traj_idx, own.pos, round(greatest(CASE WHEN own.logit IS NULL THEN 0 ELSE coalesce(lp, -1000) END, -1000), 6) + 0.0 AS logprob FROM own LEFT JOIN t USING (traj_idx, pos)")
+def _(spark, d):
+    t = Q.top_p_logprobs(_chosen(spark, d), _logits(spark, d), 5)
+    return t.select("traj_idx", "pos", r6(F.greatest("logprob", F.lit(-1000.0))).alias("logprob"))
+
+
+_ENT = f"{_LOGITS}, pe AS (SELECT traj_idx, pos, -sum(p * ln(p)) AS entropy FROM (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY traj_idx, pos) AS p FROM lg) GROUP BY 1, 2), es AS (SELECT traj_idx % 7 AS g, traj_idx * 8 + pos AS pos, round(entropy, 9) AS entropy FROM pe)"
+
+
+def _entropies(spark, d) -> DataFrame:
+    e = Q.position_entropy(_logits(spark, d))
+    return e.select((F.col("traj_idx") % 7).alias("g"), (F.col("traj_idx") * 8 + F.col("pos")).alias("pos"), F.round("entropy", 9).alias("entropy"))
+
+
+@query("J10_entropy_stats", f"WITH {_ENT}, r AS (SELECT g, entropy, row_number() OVER (PARTITION BY g ORDER BY entropy, pos) AS r, count(*) OVER (PARTITION BY g) AS n FROM es) SELECT g, count(*) AS n, {q6('min(entropy)', 'lo')}, {q6('max(entropy)', 'hi')}, {q6('avg(entropy)', 'mean')}, {q6('stddev_pop(entropy)', 'std')}, {', '.join(q6(f'max(entropy) FILTER (r = floor(n * {f}) + 1)', c) for f, c in ((0.25, 'p25'), (0.5, 'p50'), (0.75, 'p75')))}, count(*) FILTER (entropy >= 2.0) AS n_high FROM r GROUP BY 1")
+def _(spark, d):
+    e = Q.entropy_stats(_entropies(spark, d), 2.0, ("g",))
+    return e.select("g", "n", *[r6(c).alias(c) for c in ("lo", "hi", "mean", "std", "p25", "p50", "p75")], "n_high")
+
+
+@query("J11_entropy_histogram", f"WITH {_ENT}, m AS (SELECT g, min(entropy) AS lo, (max(entropy) - min(entropy)) / 8 AS w FROM es GROUP BY 1), b AS (SELECT g, entropy, lo, w, (SELECT count(*) FROM range(1, 8) t(i) WHERE entropy >= lo + i * w)::INT AS bin FROM es JOIN m USING (g)) SELECT g, bin, {q6('any_value(lo) + bin * any_value(w)', 'low')}, count(*) AS n FROM b GROUP BY g, bin")
+def _(spark, d):
+    return Q.entropy_histogram(_entropies(spark, d), 8, ("g",)).select("g", "bin", r6("low").alias("low"), "n")
+
+
+@query("I9_decision_points", f"WITH {_LOGITS}, p AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY traj_idx, pos) AS p FROM lg) SELECT traj_idx, pos, {q6('-sum(p * ln(p))', 'entropy_1')}, {q6('-ln(sum(p * p))', 'entropy_2')}, {q6('exp(-sum(p * ln(p)))', 'diversity_1')}, {q6('sum(p * p)', 'concentration_2')} FROM p GROUP BY 1, 2")
+def _(spark, d):
+    p = Q.decision_points(_logits(spark, d).withColumn("prob", F.exp("logit")))
+    return p.select("traj_idx", "pos", *[r6(c).alias(c) for c in ("entropy_1", "entropy_2", "diversity_1", "concentration_2")])
+
+
+@query("I7_surprise", f"WITH {_LP} SELECT vec_id, {q6('list_sum(list_transform(l, lambda x: -x))', 'surprise')}, {q6('list_max(list_transform(l, lambda x: exp(-x)))', 'rarest')}, {q6('ln(list_sum(list_transform(l, lambda x: exp(x))))', 'log_sum_exp')}, {q6('list_max(l)', 'best')}, (list_position(l, list_max(l)) - 1)::BIGINT AS best_position FROM lp")
+def _(spark, d):
+    e = X.embeddings(spark, d).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: -F.abs(x)).alias("l"))
+    lp = F.col("l")
+    return e.select("vec_id", r6(V.total(F.transform(lp, V.surprise))).alias("surprise"), r6(F.array_max(F.transform(lp, V.rarity))).alias("rarest"), r6(V.log_sum_exp(lp)).alias("log_sum_exp"), r6(V.best_logprob(lp)).alias("best"), V.best_position(lp).cast("long").alias("best_position"))
 
 
 # trees
 
-@query("K1_divergence_nodes", f"WITH {X.SEQS} SELECT pos::INT AS pos, n_branches, n_rows, count(*) AS n FROM node GROUP BY 1, 2, 3")
+_K1 = f"WITH {X.SEQS} SELECT pos::INT AS pos, n_branches, n_rows, count(*) AS n FROM (SELECT pos, hi - lo + 1 AS n_rows, 1 + (SELECT count(*) FROM s WHERE k > lo AND k <= hi AND lcp = pos) AS n_branches FROM node) GROUP BY 1, 2, 3"
+_K2 = f"WITH {X.SEQS} SELECT pos::INT AS pos, tokens[pos + 1] AS token, count(*) AS n, min(traj_idx) AS first_traj FROM node JOIN s ON k BETWEEN lo AND hi GROUP BY lo, hi, pos, tokens[pos + 1]"
+_K3 = f"WITH {X.SEQS} SELECT traj_idx, string_agg(pos, ',' ORDER BY pos) AS positions FROM node JOIN s ON k BETWEEN lo AND hi GROUP BY 1"
+_K10 = f"""WITH {X.SEQS}, a AS (SELECT k, tokens, n, greatest(lcp, 0) AS fst, lead(lcp) OVER (ORDER BY k) AS next FROM s),
+ u AS (SELECT k, next, unnest(tokens[fst + 1:]) AS word, unnest(range(fst, n)) AS d FROM a),
+ r AS (SELECT k, d, word, k AS hi FROM u WHERE next IS NULL OR next <= d UNION ALL
+  SELECT k, d, word, coalesce((SELECT min(y.k) - 1 FROM s y WHERE y.k > u.k AND y.lcp <= u.d), (SELECT max(k) FROM s)) FROM u WHERE next > d)
+ SELECT d::INT AS depth, word, hi - r.k + 1 AS n, s.n = d + 1 AS is_leaf FROM r JOIN s ON s.k = hi"""
+
+
+@query("K1_divergence_nodes", _K1)
+@query("K1_divergence_nodes_whole", _K1)
 def _(spark, d):
     return K.divergence_nodes(X.token_seqs(spark, d)).groupBy("pos", "n_branches", "n_rows").agg(F.count("*").alias("n"))
 
 
-@query("K2_node_branches", f"WITH {X.SEQS} SELECT step.pos::INT AS pos, token, count(*) AS n, min(traj_idx) AS first_traj FROM step JOIN node ON node.prefix = step.prefix AND node.pos = step.pos GROUP BY step.prefix, step.pos, token")
+@query("K2_node_branches", _K2)
+@query("K2_node_branches_whole", _K2)
 def _(spark, d):
     return K.node_branches(X.token_seqs(spark, d)).select("pos", "token", "n", "first_traj")
 
 
-@query("K3_nodes_of_trajectory", f"WITH {X.SEQS} SELECT traj_idx, string_agg(step.pos, ',' ORDER BY step.pos) AS positions FROM step JOIN node ON node.prefix = step.prefix AND node.pos = step.pos GROUP BY 1")
+@query("K3_nodes_of_trajectory", _K3)
+@query("K3_nodes_of_trajectory_whole", _K3)
 def _(spark, d):
     return K.nodes_of_trajectory(X.token_seqs(spark, d)).select("traj_idx", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
 
 
-@query("K10_word_tree", f"WITH {X.SEQS} SELECT pos::INT AS depth, token AS word, count(*) AS n, bool_and(length = pos + 1) AS is_leaf FROM step GROUP BY prefix, pos, token")
+@query("K10_word_tree", _K10)
+@query("K10_word_tree_whole", _K10)
 def _(spark, d):
     return K.word_tree(X.token_seqs(spark, d)).select("depth", "word", "n", "is_leaf")
 
 
-# the four over whole texts: SEQS ends at 40 words, so they have no SQL
-
-@query("K1_divergence_nodes_whole")
+@query("K6_groups", f"WITH {X.DOCS} SELECT DISTINCT arm FROM docs")
 def _(spark, d):
-    return K.divergence_nodes(X.token_seqs(spark, d, None)).groupBy("pos", "n_branches", "n_rows").agg(F.count("*").alias("n"))
+    return K.groups(X.token_seqs(spark, d))
 
 
-@query("K2_node_branches_whole")
+@query("K5_add_trajectories", f"WITH {X.DOCS}, a AS (SELECT DISTINCT arm FROM docs WHERE traj_idx % 10 <> 0 AND arm < 'root'), b AS (SELECT DISTINCT arm FROM docs WHERE traj_idx % 10 = 0) SELECT a.arm AS arm_a, b.arm AS arm_b FROM a, b WHERE a.arm <> b.arm")
 def _(spark, d):
-    return K.node_branches(X.token_seqs(spark, d, None)).select("pos", "token", "n", "first_traj")
+    s = X.token_seqs(spark, d)
+    return K.add_trajectories(s.where("traj_idx % 10 <> 0 AND arm < 'root'"), s.where("traj_idx % 10 = 0"))[1]
 
 
-@query("K3_nodes_of_trajectory_whole")
+@query("K11_collapse_chains", f"WITH {X.SEQS} SELECT count(*) AS n_nodes FROM (SELECT DISTINCT lo, pos FROM part WHERE pos > 0 UNION SELECT min(k) OVER (PARTITION BY tokens), n FROM s)")
 def _(spark, d):
-    return K.nodes_of_trajectory(X.token_seqs(spark, d, None)).select("traj_idx", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
-
-
-@query("K10_word_tree_whole")
-def _(spark, d):
-    return K.word_tree(X.token_seqs(spark, d, None)).select("depth", "word", "n", "is_leaf")
+    return K.collapse_chains(K.word_tree(X.token_seqs(spark, d))).agg(F.count("*").alias("n_nodes"))
 
 
 # judges, samples
@@ -658,6 +823,12 @@ def _(spark, d):
     return E.merge_judges(j, j.select("judge").distinct().count()).withColumn("score", r6("score"))
 
 
+@query("L2_merge_judges_greedy", f"WITH {X.JUDGES}, g AS (SELECT judge, arm, struct_idx, score FROM js) SELECT arm, struct_idx, {q6('coalesce(avg(score), 0)', 'score')} FROM g WHERE arm IN (SELECT arm FROM g GROUP BY 1 HAVING count(DISTINCT judge) = (SELECT count(DISTINCT event_type) FROM events)) GROUP BY 1, 2")
+def _(spark, d):
+    j = X.judge_scores(spark, d)
+    return E.merge_judges_greedy(j.select("judge", "arm", "struct_idx", "score"), j.select("judge").distinct().count()).withColumn("score", r6("score"))
+
+
 @query("L3_average_judges", f"WITH {X.JUDGES} SELECT traj_idx AS text, struct_idx AS question, {q6('avg(score)', 'score')}, {q6(chr(39).join(['avg(score) FILTER (judge = ', 'click', ')']), 'click')} FROM js GROUP BY 1, 2")
 def _(spark, d):
     j = X.judge_scores(spark, d).withColumnsRenamed({"traj_idx": "text", "struct_idx": "question"})
@@ -720,3 +891,250 @@ def _(spark, d):
 def _(spark, d):
     j = X.judge_scores(spark, d).withColumnRenamed("struct_idx", "q_idx")
     return j.groupBy(F.window("ts", "1 hour").alias("w"), F.col("q_idx").cast("long").alias("q_idx")).agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("score", F.lit(0.0)))).alias("mean")).select(F.col("w.start").alias("hour"), "q_idx", "n", "mean")
+
+
+# the smaller operators, each over a whole table
+
+@query("A1_read_labelled_csv", "SELECT lang AS arm, count(*) AS n, sum(len(trim(text)))::BIGINT AS chars FROM documents WHERE trim(text) <> '' AND trim(lang) <> '' GROUP BY 1")
+def _(spark, d):
+    path = IO.scratch(spark, "labelled")
+    X.table(spark, d, "documents").select("text", "lang").write.csv(path, header=True, escape='"', quoteAll=True)
+    rows = IO.read_labelled_csv(spark, path)
+    return rows.groupBy("arm").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("A6_write_table", "SELECT l_returnflag AS gen, count(*) AS n, " + q6("sum(l_quantity)", "quantity") + " FROM lineitem GROUP BY 1")
+def _(spark, d):
+    path = IO.scratch(spark, "written")
+    IO.write_table(X.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("gen"), "l_quantity"), path)
+    return spark.read.parquet(path).groupBy("gen").agg(F.count("*").alias("n"), r6(F.sum("l_quantity")).alias("quantity"))
+
+
+@query("A9_merge_arm_partitions", f"WITH {X.DOCS} SELECT arm, count(*) AS n, sum(traj_idx)::BIGINT AS total FROM docs WHERE arm IN ('trunk', 'branch_1', 'branch_2') GROUP BY 1")
+def _(spark, d):
+    docs, arms = X.traj_docs(spark, d), ["trunk", "branch_1", "branch_2"]
+    merged = IO.merge_arm_partitions({a: docs.where(F.col("arm") == a) for a in arms}, arms)
+    return merged.groupBy("arm").agg(F.count("*").alias("n"), F.sum("traj_idx").alias("total"))
+
+
+@query("B6_has_downstream", f"WITH {_ARMS} SELECT arm, n FROM arms WHERE arm IN ('root', 'trunk') OR (arm LIKE 'branch%' AND EXISTS (SELECT 1 FROM arms t WHERE t.arm LIKE 'twig_b' || substr(arms.arm, 8) || '_%'))")
+def _(spark, d):
+    return A.has_downstream(_arms(spark, d))
+
+
+@query("C1_continuation", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN 'So: ' ELSE '' END || text) AS whole FROM documents")
+def _(spark, d):
+    prefill = F.when(F.col("doc_id") % 2 == 0, "So: ")
+    return X.table(spark, d, "documents").select("doc_id", F.sha2(T.continuation(prefill, F.col("text")), 256).alias("whole"))
+
+
+@query("C11_prefixes_at_words", r"SELECT conv_id, turn, p::INT AS position, trim(w, ' ' || chr(9) || chr(10) || chr(13)) AS label, sum(len(w)) OVER (PARTITION BY conv_id, turn ORDER BY p)::INT AS prefix_chars FROM (SELECT conv_id, turn, unnest(l) AS w, unnest(range(0, len(l))) AS p FROM (SELECT conv_id, turn, regexp_extract_all(text, '\s*\S+') AS l FROM conversations))")
+def _(spark, d):
+    rows = T.prefixes_at_words(X.table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    return rows.select("conv_id", "turn", "position", "label", F.char_length("prefix").alias("prefix_chars"))
+
+
+_MATCHES = "m AS (SELECT traj_idx, CASE WHEN traj_idx % 5 = 0 THEN 0.5 ELSE 0.25 END AS p FROM (" + ORACLES["D6_match_glossary"] + "))"
+
+
+@query("D9_score_whistles", f"WITH {_MATCHES}, a AS (SELECT traj_idx, 1 - product(1 - p) AS s FROM m GROUP BY 1) SELECT doc_id AS traj_idx, {q6('coalesce(s, 0)', 'score')} FROM documents LEFT JOIN a ON a.traj_idx = doc_id")
+def _(spark, d):
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("traj_idx"), "text")
+    found = S.match_glossary(texts, spark.createDataFrame([(f,) for f in _FORMS], "surface_form string"))
+    return S.score_whistles(texts, found.withColumn("p", F.when(F.col("traj_idx") % 5 != 0, 0.25))).select("traj_idx", r6("score").alias("score"))
+
+
+@query("D10_score_hypotheses", "SELECT user_id AS traj_idx, " + q6("avg(least(value / 330, 1))", "score") + " FROM events WHERE event_id % 11 <> 0 GROUP BY 1")
+def _(spark, d):
+    e = X.table(spark, d, "events").selectExpr("user_id AS traj_idx", "IF(event_id % 11 = 0, '_', event_type) AS hypothesis", "least(value / 330D, 1D) AS p")
+    return S.score_hypotheses(e).select("traj_idx", r6("score").alias("score"))
+
+
+@query("D16_score_with_model", "SELECT conv_id, turn, len(text)::DOUBLE AS score FROM conversations")
+def _(spark, d):
+    texts = X.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return G.score_with_model(texts, lambda: lambda s: s.str.len().astype(float)).select("conv_id", "turn", "score")
+
+
+@query("D17_resume", "SELECT DISTINCT user_id AS traj_idx, event_id % 5 AS item_idx FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_id % 5 = e.event_id % 5 AND f.event_type = 'click')")
+def _(spark, d):
+    e = X.table(spark, d, "events").selectExpr("user_id AS traj_idx", "event_id % 5 AS item_idx", "event_type")
+    return G.resume(e.select("traj_idx", "item_idx").distinct(), e.where("event_type = 'click'"))
+
+
+@query("E1_structure_dim", "SELECT 'graded' AS method, n_nationkey AS position, 'g' || (n_nationkey + 1) AS label, 2::INT AS question_count, n_name || ' + ' || r_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    n = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return Y.structure_dim(n.select(F.lit("graded").alias("method"), F.lit("g").alias("prefix"), F.col("n_nationkey").alias("position"), F.array("n_name", "r_name").alias("questions")))
+
+
+@query("E5_group_by_arm", "SELECT CASE WHEN doc_id % 9 = 0 THEN 'trunk' ELSE coalesce(lang, 'trunk') END AS arm, count(*) AS n FROM documents GROUP BY 1")
+def _(spark, d):
+    return Y.group_by_arm(X.table(spark, d, "documents").select(F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("arm")))
+
+
+def _signed(spark, d) -> DataFrame:
+    """Systems with token sequences: the first two numbers of a vector, and the signs of the next eight; one greedy row."""
+    v = F.col("embedding").cast("array<double>")
+    e = X.embeddings(spark, d)
+    tokens = F.transform(F.slice(v, 3, 8), lambda x: F.when(x > 0, "a").when(x > -0.1, "b").otherwise("c"))
+    return e.select(F.col("vec_id").alias("traj_idx"), F.concat(F.lit("arm"), (F.col("vec_id") % 3).cast("string")).alias("arm"), F.slice(v, 1, 2).alias("system"), tokens.alias("tokens"), (F.col("vec_id") == 3).alias("is_greedy"))
+
+
+@query("G9_greedy_core", """WITH RECURSIVE tok AS (SELECT vec_id AS traj_idx, 'arm' || vec_id % 3 AS arm, embedding::DOUBLE[] AS v, list_transform((embedding::DOUBLE[])[3:10], lambda x: CASE WHEN x > 0 THEN 'a' WHEN x > -0.1 THEN 'b' ELSE 'c' END) AS tokens FROM embeddings),
+ walk AS (SELECT arm, traj_idx, tokens, 0 AS pos FROM tok WHERE arm <> 'arm0' UNION ALL
+  SELECT arm, traj_idx, tokens, pos + 1 FROM (SELECT *, dense_rank() OVER (PARTITION BY arm ORDER BY c DESC, tokens[pos + 1]) AS r
+   FROM (SELECT *, count(*) OVER (PARTITION BY arm, tokens[pos + 1]) AS c, min(tokens) OVER (PARTITION BY arm) AS lo, max(tokens) OVER (PARTITION BY arm) AS hi FROM walk) WHERE lo <> hi) WHERE r = 1 AND pos < 8),
+ best AS (SELECT arm, traj_idx FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY pos DESC, traj_idx) AS place FROM walk) WHERE place = 1 UNION ALL SELECT 'arm0', 3)
+ SELECT arm, i::INT AS struct_idx, round(v[i + 1], 6) + 0.0 AS value FROM best JOIN tok USING (arm, traj_idx), (VALUES (0), (1)) t(i)""")
+def _(spark, d):
+    return C.greedy_core(_signed(spark, d)).withColumn("value", r6("value"))
+
+
+@query("G11_ensemble_cores", f"SELECT arm, m.method, struct_idx, value FROM ({ORACLES['G15_system_means'].replace(q6('avg(x)', 'mean'), q6('avg(x)', 'value'))}) a, (VALUES ('average'), ('greedy')) m(method) UNION ALL SELECT arm, 'mode', struct_idx, value FROM ({ORACLES['G6_mode_core']}) UNION ALL SELECT arm, 'median', struct_idx, value FROM ({ORACLES['G5_median_core']})")
+def _(spark, d):
+    s = X.systems_li(spark, d).withColumn("tokens", F.array().cast("array<string>")).withColumn("is_greedy", F.lit(False))
+    c = C.ensemble_cores(s)
+    return c.select("arm", "method", "struct_idx", F.when(F.col("method") == "mode", F.round("value", 3) + 0.0).otherwise(r6("value")).alias("value"))
+
+
+@query("G14_effective_structures", f"WITH {X.SYS}, t AS (SELECT arm, s0 + s1 + s2 + s3 AS t, s0, s1, s2, s3 FROM sys) SELECT arm, {q6('avg(CASE WHEN t < 1e-10 THEN 4 ELSE exp(-(' + ' + '.join(f'CASE WHEN s{i} / t > 1e-12 THEN s{i} / t * ln(s{i} / t) ELSE 0 END' for i in range(4)) + ')) END)', 'effective')} FROM t GROUP BY 1")
+def _(spark, d):
+    return X.systems_li(spark, d).groupBy("arm").agg(r6(F.avg(V.effective_structures(F.col("system")))).alias("effective"))
+
+
+@query("K4_forks_between", f"WITH {X.SEQS}, own AS (SELECT DISTINCT lo, pos, arm, s.tokens[pos + 1] AS token FROM node JOIN s ON k BETWEEN lo AND hi JOIN tok USING (traj_idx)) SELECT a.pos::INT AS pos, a.arm AS arm_a, b.arm AS arm_b, a.token AS token_a, b.token AS token_b, count(*) AS n FROM own a JOIN own b ON a.lo = b.lo AND a.pos = b.pos AND a.token <> b.token AND (a.arm, b.arm) IN (('root', 'trunk'), ('trunk', 'branch_1')) GROUP BY ALL")
+def _(spark, d):
+    pairs = spark.createDataFrame([("root", "trunk"), ("trunk", "branch_1")], "arm_a string, arm_b string")
+    f = K.forks_between(X.token_seqs(spark, d), pairs)
+    return f.groupBy("pos", "arm_a", "arm_b", "token_a", "token_b").agg(F.count("*").alias("n"))
+
+
+_ALT = f"{_LOGITS}, p AS (SELECT *, exp(logit) / sum(exp(logit)) OVER w AS prob, row_number() OVER (PARTITION BY traj_idx, pos ORDER BY logit DESC, token) AS r FROM lg WINDOW w AS (PARTITION BY traj_idx, pos)), alt AS (SELECT *, -sum(prob * ln(prob)) OVER (PARTITION BY traj_idx, pos) AS entropy FROM p)"
+
+
+def _alternatives(spark, d) -> DataFrame:
+    lg, e = _logits(spark, d), Q.position_entropy(_logits(spark, d))
+    from pyspark.sql import Window
+
+    p = lg.withColumn("prob", F.exp("logit") / F.sum(F.exp("logit")).over(Window.partitionBy("traj_idx", "pos")))
+    return p.join(e.select("traj_idx", "pos", "entropy", "top_token"), ["traj_idx", "pos"]).withColumn("is_greedy", F.col("token") == F.col("top_token"))
+
+
+@query("K7_qualifying_forks", f"WITH {_ALT} SELECT traj_idx, pos, token FROM alt WHERE entropy >= 1.75 AND r <= 3 AND prob >= 0.13 AND r > 1")
+def _(spark, d):
+    return K.qualifying_forks(_alternatives(spark, d), 3, 0.13, 1.75).select("traj_idx", "pos", "token")
+
+
+@query("K8_best_expansion_points", f"WITH {_ENT} SELECT traj_idx, pos FROM pe WHERE traj_idx % 3 <> 0 ORDER BY entropy DESC, traj_idx, pos LIMIT 12")
+def _(spark, d):
+    e = Q.position_entropy(_logits(spark, d)).select("traj_idx", "pos", "entropy")
+    return K.best_expansion_points(e, e.where("traj_idx % 3 = 0").select("traj_idx", "pos"), 12).select("traj_idx", "pos")
+
+
+@query("K12_propagate_logprob", f"WITH {X.SEQS}, w AS (SELECT k, greatest(lcp, 0) AS fst, unnest(tokens) AS word, unnest(range(0, n)) AS d FROM s), c AS (SELECT d, fst, sum(-0.5::DOUBLE * len(word)) OVER (PARTITION BY k ORDER BY d) AS total FROM w) SELECT d::INT AS depth, count(*) AS n, {q6('sum(total)', 'total')} FROM c WHERE d >= fst GROUP BY 1")
+def _(spark, d):
+    tree = K.word_tree(X.token_seqs(spark, d)).withColumn("logprob", F.char_length("word") * F.lit(-0.5))
+    total = K.propagate_logprob(tree).withColumnRenamed("logprob", "total")
+    return tree.select("node", "depth").join(total, "node").groupBy("depth").agg(F.count("*").alias("n"), r6(F.sum("total")).alias("total"))
+
+
+def _places(spark, d) -> DataFrame:
+    """Regions, nations and customers as one tree: node, parent, depth, weight, score (customers alone)."""
+    r, n, c = (X.table(spark, d, t) for t in ("region", "nation", "customer"))
+    top = r.selectExpr("r_regionkey AS node", "CAST(NULL AS BIGINT) AS parent", "0 AS depth", "1D AS weight", "CAST(NULL AS DOUBLE) AS score")
+    mid = n.selectExpr("100 + n_nationkey AS node", "CAST(n_regionkey AS BIGINT) AS parent", "1 AS depth", "n_nationkey + 1D AS weight", "CAST(NULL AS DOUBLE) AS score")
+    low = c.selectExpr("1000 + c_custkey AS node", "CAST(100 + c_nationkey AS BIGINT) AS parent", "2 AS depth", "1D + c_custkey % 3 AS weight", "CAST(c_acctbal AS DOUBLE) AS score")
+    return top.unionByName(mid).unionByName(low)
+
+
+@query("K13_roll_up", f"WITH c AS (SELECT c_nationkey AS k, sum((1 + c_custkey % 3) * c_acctbal) / sum(1 + c_custkey % 3) AS s FROM customer GROUP BY 1), r AS (SELECT n_regionkey AS k, sum((n_nationkey + 1) * s) / sum(n_nationkey + 1) AS s FROM nation JOIN c ON k = n_nationkey GROUP BY 1) SELECT 1000 + c_custkey AS node, {q6('c_acctbal::DOUBLE', 'score')} FROM customer UNION ALL SELECT 100 + k, {q6('s', 'score')} FROM c UNION ALL SELECT k, {q6('s', 'score')} FROM r")
+def _(spark, d):
+    return K.roll_up(_places(spark, d), 2).withColumn("score", r6("score"))
+
+
+@query("K14_subtree_ids", "SELECT r_regionkey AS node FROM region WHERE r_regionkey = 1 UNION ALL SELECT 100 + n_nationkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1000 + c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1")
+def _(spark, d):
+    return K.subtree_ids(_places(spark, d), 1)
+
+
+@query("L4_append_structures", f"WITH {X.JUDGES} SELECT struct_idx, count(*) AS n FROM (SELECT CASE WHEN struct_idx >= 1 THEN struct_idx + 2 ELSE struct_idx END::INT AS struct_idx FROM js UNION ALL SELECT (item_idx + 1)::INT FROM js) GROUP BY 1")
+def _(spark, d):
+    j = X.judge_scores(spark, d).select("judge", "traj_idx", "struct_idx", "item_idx", "score")
+    return E.append_structures(j, j.withColumn("struct_idx", F.col("item_idx")), 1).groupBy("struct_idx").agg(F.count("*").alias("n"))
+
+
+@query("L5_attach_greedy", f"WITH {X.SYS} SELECT is_greedy, count(*) AS n, min(traj_idx) AS lo, max(traj_idx) AS hi FROM (SELECT traj_idx, false AS is_greedy FROM sys UNION ALL SELECT -1 - traj_idx, true FROM sys WHERE arm = 'root') GROUP BY 1")
+def _(spark, d):
+    s = X.systems_li(spark, d)
+    return E.attach_greedy(s, s.where("arm = 'root'")).groupBy("is_greedy").agg(F.count("*").alias("n"), F.min("traj_idx").alias("lo"), F.max("traj_idx").alias("hi"))
+
+
+@query("L6_attach_tokens", r"SELECT doc_id AS traj_idx, greatest(len(l) - doc_id % 7, 0)::INT AS n, coalesce(list_sum(l[doc_id % 7 + 1:]), 0)::BIGINT AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '\S+'), lambda x: len(x)) AS l FROM documents)")
+def _(spark, d):
+    docs = X.table(spark, d, "documents")
+    t = docs.select(F.col("doc_id").alias("traj_idx"), F.transform(T.words(F.col("text")), F.char_length).alias("token_ids"), (F.col("doc_id") % 7).cast("int").alias("arm_length"))
+    out = E.attach_tokens(t.select("traj_idx"), t)
+    return out.select("traj_idx", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("L7_attach_prompts", f"WITH {X.DOCS} SELECT traj_idx, CASE arm WHEN 'root' THEN 'R' WHEN 'trunk' THEN 'T' ELSE 'all' END AS prompt FROM docs")
+def _(spark, d):
+    arms = spark.createDataFrame([("root", "R"), ("trunk", "T")], "arm string, prompt string")
+    return E.attach_prompts(X.traj_docs(spark, d).select("traj_idx", "arm"), arms, "all").select("traj_idx", "prompt")
+
+
+@query("L11_top_k", "SELECT source, doc_id, rank::INT AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5")
+def _(spark, d):
+    return E.top_k(X.table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 5).select("source", "doc_id", "rank")
+
+
+@query("M5_system_default", f"WITH {_SER} SELECT conv_id AS traj_idx, 0::INT AS struct_idx, {q6('avg(a0)', 'value')} FROM ser GROUP BY 1 UNION ALL SELECT conv_id, 1, {q6('avg(a1)', 'value')} FROM ser GROUP BY 1")
+def _(spark, d):
+    s = _series(spark, d).select("traj_idx", F.lit(0).alias("k"), F.col("attunement").alias("system"))
+    return M.system_default(s).select("traj_idx", "struct_idx", r6("value").alias("value"))
+
+
+@query("M8_series_long", f"WITH {_SER} SELECT conv_id AS traj_idx, turn AS k, 'a' AS metric, {q6('a0', 'value')} FROM ser UNION ALL SELECT conv_id, turn, 'b', {q6('a1', 'value')} FROM ser")
+def _(spark, d):
+    t = _series(spark, d).select("traj_idx", "k", F.col("attunement")[0].alias("a"), F.col("attunement")[1].alias("b"))
+    return M.series_long(t, ["traj_idx", "k"], ["a", "b"]).select("traj_idx", "k", "metric", r6("value").alias("value"))
+
+
+@query("N3_progress_batch", "SELECT sum(n)::BIGINT AS samples, min(n) AS min_samples, sum(errors)::BIGINT AS errors, min(n) >= 5 AS finished FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 13 = 0) AS errors FROM events GROUP BY 1)")
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    path, j = IO.scratch(spark, "progress"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
+    for i in (0, 1, 1):  # the second batch is replayed
+        N.merge_progress(j.where(F.pmod("item_idx", F.lit(2)) == i), i, path)
+    return N.progress(spark.read.parquet(f"{path}/v1"), 5)
+
+
+@query("N4_running_batch", f"WITH {X.JUDGES} SELECT traj_idx AS node_id, count(*) AS n, {q6('avg(coalesce(score, 0))', 'mean')}, {q6('var_pop(coalesce(score, 0))', 'variance')} FROM js GROUP BY 1")
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    path, j = IO.scratch(spark, "running"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
+    for i in (0, 0, 1):
+        N.merge_running(j.where(F.pmod("item_idx", F.lit(2)) == i), i, path)
+    return spark.read.parquet(f"{path}/v1").select("node_id", "n", r6("mean").alias("mean"), r6(F.col("m2") / F.col("n")).alias("variance"))
+
+
+@query("O1_score_texts", f"WITH {X.DOCS} SELECT traj_idx, 'spaces' AS method, i::INT AS struct_idx, 0::INT AS item_idx, CASE i WHEN 0 THEN len(text) - len(replace(text, ' ', '')) ELSE len(text) - len(replace(text, 'e', '')) END::DOUBLE AS score FROM docs, (VALUES (0), (1)) v(i)")
+def _(spark, d):
+    if "spaces" not in G.SCORING:
+        count = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.col("item")))
+        G.register_scoring_method("spaces", "s", lambda t, i: t.crossJoin(IO.small(i)).withColumn("score", count.cast("double")))
+    items = spark.createDataFrame([(0, 0, " "), (1, 0, "e")], "struct_idx int, item_idx int, item string")
+    return G.score_texts(X.traj_docs(spark, d).select("traj_idx", "text"), {"spaces": items})
+
+
+@query("O2_registered_weighting", f"WITH {X.SYS}, {X.long('sys', 'arm, n_tokens')} SELECT arm, struct_idx::INT AS struct_idx, {q6('sum(n_tokens * x) / sum(n_tokens)', 'own_mean')}, {q6('max(x)', 'own_core')} FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    for name, core in (("tokens", None), ("largest", lambda s: C.long_systems(s, "arm").groupBy("arm", "struct_idx").agg(F.max("x").alias("value")))):
+        if name not in W.RAW:
+            G.register_weighting_method(name, lambda lp, n, top: n.cast("double"), core)
+    s = X.systems_li(spark, d)
+    a, b = (G.core_of(s, n).select("arm", "struct_idx", r6("value").alias(c)) for n, c in (("tokens", "own_mean"), ("largest", "own_core")))
+    return a.join(b, ["arm", "struct_idx"])

@@ -49,10 +49,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-def token_seqs(spark: SparkSession, sf_dir: str, n: int | None = 40) -> DataFrame:
-    """(traj_idx, arm, tokens): the first n words of each document, the depth of the trees in SEQS; all if n is None."""
+def token_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(traj_idx, arm, tokens): all words of each document."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    return traj_docs(spark, sf_dir).select("traj_idx", "arm", (words if n is None else F.slice(words, 1, n)).alias("tokens"))
+    return traj_docs(spark, sf_dir).select("traj_idx", "arm", words.alias("tokens"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, toxic: int) -> DataFrame:
@@ -88,10 +88,13 @@ def long(source: str, keep: str) -> str:
 
 JUDGES = """js AS (SELECT event_type AS judge, user_id AS traj_idx, CASE WHEN user_id % 2 = 0 THEN 'trunk' ELSE 'branch_1' END AS arm,
  (event_id % 3)::INT AS struct_idx, (event_id % 2)::INT AS item_idx, CASE WHEN event_id % 13 = 0 THEN NULL ELSE least(value / 330, 1) END AS score, ts FROM events)"""
-SEQS = f"""{DOCS}, tok AS (SELECT traj_idx, arm, list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 40) AS tokens FROM docs),
- step AS (SELECT traj_idx, arm, i AS pos, array_to_string(list_slice(tokens, 1, i), ' ') AS prefix, tokens[i + 1] AS token, len(tokens) AS length
-  FROM (SELECT *, unnest(range(0, len(tokens))) AS i FROM tok)),
- full_ AS (SELECT DISTINCT array_to_string(tokens, ' ') AS prefix, len(tokens) AS pos FROM tok),
- cut AS (SELECT traj_idx, min(step.pos) AS stop FROM step JOIN full_ USING (prefix, pos) GROUP BY 1),
- cand AS (SELECT prefix, pos, count(DISTINCT token) AS n_branches, count(*) AS n_rows, min(traj_idx) AS member FROM step GROUP BY 1, 2 HAVING count(DISTINCT token) > 1),
- node AS (SELECT cand.* FROM cand LEFT JOIN cut ON cut.traj_idx = member WHERE stop IS NULL OR pos < stop)"""
+#: Word sequences in order, each with the words it shares with the one before: a prefix is a run of rows. CTEs tok,
+#: s (k, traj_idx, tokens, n, lcp) and node (pos, lo, hi): runs whose rows go on differently, none of them ended.
+SEQS = f"""{DOCS}, tok AS (SELECT traj_idx, arm, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS tokens FROM docs WHERE text IS NOT NULL),
+ o AS (SELECT traj_idx, tokens, len(tokens) AS n, row_number() OVER (ORDER BY tokens, traj_idx) AS k FROM tok),
+ z AS (SELECT b.k, b.traj_idx, b.tokens, b.n, a.tokens AS before, least(a.n, b.n) AS m FROM o b LEFT JOIN o a ON a.k = b.k - 1),
+ s AS (SELECT k, traj_idx, tokens, n, CASE WHEN before IS NULL THEN -1 ELSE coalesce(list_position(list_transform(list_zip(tokens[1:m], before[1:m]), lambda x: x[1] = x[2]), false) - 1, m) END AS lcp FROM z),
+ part AS (SELECT DISTINCT x.lcp AS pos, coalesce((SELECT max(y.k) FROM s y WHERE y.k < x.k AND y.lcp < x.lcp), 1) AS lo,
+  coalesce((SELECT min(y.k) - 1 FROM s y WHERE y.k > x.k AND y.lcp < x.lcp), (SELECT max(k) FROM s)) AS hi FROM s x WHERE x.lcp >= 0),
+ ended AS (SELECT k, n, coalesce((SELECT min(y.k) - 1 FROM s y WHERE y.k > x.k AND y.lcp < x.n), (SELECT max(k) FROM s)) AS until FROM s x),
+ node AS (SELECT pos, lo, hi FROM part WHERE NOT EXISTS (SELECT 1 FROM ended e WHERE e.n <= pos AND e.k <= hi AND e.until >= lo))"""

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normscape.functions.vectors import safe_float
+
 GENERATION = "config struct<arms: array<string>>, tree struct<trajs: array<struct<traj_idx: bigint, arm_idx: array<int>, token_ids: array<bigint>, logprobs: array<double>, prefill_text: string, generated_text: string>>>"
 
 
@@ -43,11 +48,41 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce("surface_form", "term").alias("surface_form"), "covert_meaning", F.coalesce("type", "whistle_type", F.lit("II")).alias("type"), "persona", F.coalesce("example_coded", "example_context").alias("example_coded"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the folder spark.checkpoint.dir; one of our own where it is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="normscape-"))
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="normscape-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which a look at the first of them tells."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def read_estimation_json(spark: SparkSession, path: str, default: float = 0.0) -> DataFrame:
+    """(arm, weighting, measure, value) of a run's saved estimates: arms with weightings with numbers by name.
+
+    Infinities and NaN come as text and are read as such; null and junk give the default.
+    """
+    schema = "arms array<struct<name: string, estimates: map<string, map<string, string>>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("arms").alias("a"))
+    rows = rows.select(F.col("a.name").alias("arm"), F.explode("a.estimates").alias("weighting", "m")).select("arm", "weighting", F.explode("m").alias("measure", "x"))
+    return rows.select("arm", "weighting", "measure", safe_float(F.col("x"), default).alias("value"))
+
+
 def write_table(df: DataFrame, path: str, partitions: tuple = ("method", "gen", "scoring"), mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*[p for p in partitions if p in df.columns]).parquet(path)
 
 
-def content_id(*cols: Column, places: int = 8) -> Column:
+def content_id(*cols: Column) -> Column:
     """A record's id: SHA-256 of its JSON; pass doubles through rounded() so that -0.0 and noise do not matter."""
     return F.sha2(F.to_json(F.struct(*cols)), 256)
 

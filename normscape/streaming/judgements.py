@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from normscape.operators.dynamics import merge_moments, moments
 
 JUDGEMENTS = "sample_id long, node_id int, q_idx int, score double, ts timestamp"
 
@@ -35,58 +37,85 @@ def complete_counts(judgements: DataFrame, n_questions: int, delay: str = "10 mi
     return _once(judgements, delay).groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") == n_questions)
 
 
-class CompleteSamples(StatefulProcessor):
-    """Emits a sample once all its questions are in; a timer drops what stays incomplete."""
+def stream_complete_samples(judgements: DataFrame, n_questions: int, keep_ms: int = 3_600_000) -> DataFrame:
+    """(sample_id, mean), once, when all questions of a sample are in; the last score of a question counts.
 
-    n_questions, keep_ms = 1, 3_600_000
+    A sample's scores are dropped as it is emitted; what says that it was, and what stays incomplete, goes after keep_ms.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.scores = handle.getMapState("scores", "q int", "score double")
+    def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        questions, scores, done = state.get if state.exists else ([], [], False)
+        own = dict(zip(questions, scores))
+        for pdf in batches:
+            own |= {int(q): 0.0 if pd.isna(s) else float(s) for q, s in zip(pdf["q_idx"], pdf["score"])}
+        if not done and len(own) == n_questions:
+            yield pd.DataFrame({"sample_id": [key[0]], "mean": [sum(own.values()) / n_questions]})
+            done = True
+        own = {} if done else own
+        state.update((list(own), list(own.values()), done))
+        state.setTimeoutDuration(keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for q, s in zip(pdf["q_idx"], pdf["score"]):
-                self.scores.updateValue((int(q),), (0.0 if pd.isna(s) else float(s),))
-        values = [v[0] for v in self.scores.values()]
-        if len(values) == self.n_questions:
-            yield pd.DataFrame({"sample_id": [key[0]], "mean": [sum(values) / len(values)]})
-        elif not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+    return judgements.groupBy("sample_id").applyInPandasWithState(collect, "sample_id long, mean double", "questions array<int>, scores array<double>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.scores.clear()
-        return iter([])
 
-    def close(self) -> None:
-        pass
+def stream_judge_average(responses: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(text, question, score) over judges, for update mode; all null stays null."""
+    return responses.withWatermark("ts", delay).groupBy("text", "question").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
 
 
-def stream_complete_samples(judgements: DataFrame, n_questions: int, keep_ms: int = 3_600_000) -> DataFrame:
-    """(sample_id, mean); needs the RocksDB state store provider."""
-    processor = type("Complete", (CompleteSamples,), {"n_questions": n_questions, "keep_ms": keep_ms})
-    return judgements.groupBy("sample_id").transformWithStateInPandas(processor(), outputStructType="sample_id long, mean double", outputMode="Append", timeMode="ProcessingTime")
+def stream_positions(scores: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(traj_idx, k, struct_idx, mean, n) of prefix scores (traj_idx, k, struct_idx, score, ts), for update mode."""
+    return scores.withWatermark("ts", delay).groupBy("traj_idx", "k", "struct_idx").agg(F.avg(_score()).alias("mean"), F.count("*").alias("n"))
 
 
-def stream_judge_average(responses: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """(text, question, score) over judges, for update mode; all null stays null."""
-    return responses.withWatermark("ts", delay).groupBy("text", "question").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+def positions_in_order(table: DataFrame, total: int) -> DataFrame:
+    """(traj_idx, k, system, progress): what stream_positions() has so far, in order; progress: positions in of total.
+
+    A position updated several times counts with its largest n; a trajectory's positions are few.
+    """
+    last = table.groupBy("traj_idx", "k", "struct_idx").agg(F.max_by("mean", "n").alias("mean"))
+    rows = last.groupBy("traj_idx", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("struct_idx", "mean"))), lambda x: x["mean"]).alias("system"))
+    done = rows.groupBy("traj_idx").agg((F.count("*") / F.lit(float(total))).alias("progress"))
+    return rows.join(done, "traj_idx").orderBy("traj_idx", "k")
+
+
+def _merged(new: DataFrame, batch_id: int, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Write the merge of new and the last version before this batch as version batch_id; nothing if that is complete.
 
+    So a batch that is replayed after a failure counts once.
+    """
+    spark = new.sparkSession
+    complete = sorted(int(v[1:]) for v in _listing(spark, path) if v.startswith("v") and "_SUCCESS" in _listing(spark, f"{path}/{v}"))
+    if batch_id in complete:
+        return
+    before = [v for v in complete if v < batch_id]
+    if before:
+        new = merge(spark.read.parquet(f"{path}/v{before[-1]}"), new)
+    new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
-def merge_running(judgements: DataFrame, path: str) -> None:
-    """foreachBatch body: merge a batch's moments per node into the Parquet table at path, in a new version."""
-    from normscape.operators.dynamics import merge_moments, moments
 
-    spark = judgements.sparkSession
+def merge_running(judgements: DataFrame, batch_id: int, path: str) -> None:
+    """foreachBatch body: merge a batch's moments per node into the Parquet table at path, as version v<batch_id>."""
     new = moments(judgements.select("node_id", _score().alias("x")), ["node_id"])
-    versions = [f.getPath().getName() for f in _listing(spark, path)]
-    number = max([int(v[1:]) for v in versions if v.startswith("v")], default=-1)
-    if number >= 0:
-        new = merge_moments(spark.read.parquet(f"{path}/v{number}"), new, ["node_id"])
-    new.write.parquet(f"{path}/v{number + 1}")
+    _merged(new, batch_id, path, lambda old, x: merge_moments(old, x, ["node_id"]))
+
+
+def merge_progress(judgements: DataFrame, batch_id: int, path: str) -> None:
+    """foreachBatch body: scores and errors per node, added up in versions of the table at path."""
+    count = lambda df, *aggs: df.groupBy("node_id").agg(*aggs)
+    new = count(judgements, F.count("*").alias("n"), F.sum(F.col("score").isNull().cast("long")).alias("errors"))
+    _merged(new, batch_id, path, lambda old, x: count(old.unionByName(x), F.sum("n").alias("n"), F.sum("errors").alias("errors")))
+
+
+def progress(counts: DataFrame, max_rounds: int) -> DataFrame:
+    """(samples, min_samples, errors, finished) of a version of merge_progress(): finished once each node has max_rounds."""
+    return counts.agg(F.sum("n").alias("samples"), F.min("n").alias("min_samples"), F.sum("errors").alias("errors")).withColumn("finished", F.coalesce(F.col("min_samples") >= max_rounds, F.lit(False)))
 
 
-def _listing(spark, path: str) -> list:
+def _listing(spark, path: str) -> list[str]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return list(fs.listStatus(p)) if fs.exists(p) else []
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []

@@ -1,5 +1,7 @@
 """Spark against DuckDB on the driver's tables: row count, names, and values as text."""
 
+import re
+
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,5 +18,5 @@ def same(spark, query, sql, sf_dir):
     got, want = query(spark, sf_dir).toPandas(), con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(tuple(map(shown, r)) for r in df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False))
-    norm = lambda rs: [tuple(f"{float(x):.6f}" if x.replace(".", "", 1).replace("-", "", 1).isdigit() else x for x in r) for r in rs]
+    norm = lambda rs: [tuple(f"{float(x):.6f}" if re.fullmatch(r"-?\d+\.?\d*", x) else x for x in r) for r in rs]
     assert norm(rows(got)) == norm(rows(want))

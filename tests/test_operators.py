@@ -56,6 +56,19 @@ def test_parsers(spark, raw, binary, graded, score):
         assert r[0] == binary
 
 
+@pytest.mark.parametrize("raw, score", [("No issues found. 0.9", 0.9), ("7/10 is too high, so 0.2", 0.2), ("80% sure it is not, so 0.1", 0.1), ("85", 1.0), ("TRUE", 1.0), ("Y", 1.0), ("n", 0.0), ("It is between 0 and 1 somewhere", None), ("long story\nthe score is 4.", 0.4), ("x:0.1", 0.1), ("x:0.7", None), ("<think>1</think>", None), ("<answer></answer> 1", None), ("Rating: about 6 of 10", 0.6), ("**Score: 3/4**", 0.75), ("3/0", None), ("No.", 0.0), ("because of that the answer is yes", 1.0), (None, None)])
+def test_judge_scores_in_prose(spark, raw, score):
+    got = one(spark, T.parse_judge_score(F.lit(raw).cast("string")))[0]
+    assert got == score or math.isclose(got, score)
+
+
+@pytest.mark.parametrize("raw, binary, graded", [("ANSWER - NO, yes it is bad", 0, None), ("level 10", 0, None), ("1.5", 1, 1.0), ("answer: 1 then ANSWER: 0", 0, 1.0), ("result 1", 1, 1.0), ("0.25 or 0.5", 0, 0.25), ("12", None, None), ("yes", 1, None)])
+def test_binary_and_graded_in_prose(spark, raw, binary, graded):
+    assert tuple(one(spark, T.parse_binary(F.lit(raw)), T.parse_graded(F.lit(raw)))) == (binary, graded)
+    assert one(spark, T.parse_graded(F.lit("75"), prefill="0."))[0] == 0.75
+    assert one(spark, T.strip_eos(F.lit("a\n</s>\n")), T.strip_eos(F.lit("a </s></s>")), T.strip_eos(F.lit("a \n"))) == ("a", "a </s>", "a")
+
+
 def test_text(spark):
     r = one(spark, T.simple_tokens(F.lit("Café über a1 dog's_x Cat")), T.count_occurrences(F.lit("cat-Cat scat"), "cat"), T.strip_eos(F.lit("a </s> ")), T.word_ends(F.lit(" ab  c")), T.strip_thinking(F.lit("<think>x</think> a<think>y</think>b")))
     assert [r[0], r[1], r[2], r[3], r[4]] == [["dog", "cat"], 2, "a", [3, 6], "ab"]
@@ -128,15 +141,17 @@ def brute_nodes(lists):
     for x in lists:
         for p in range(len(x)):
             group = [y for y in lists if len(y) > p and y[:p] == x[:p]]
-            if len({y[p] for y in group}) > 1 and not any(len(y) <= p and x[: len(y)] == y for y in lists if y):
+            if len({y[p] for y in group}) > 1 and not any(len(y) <= p and x[: len(y)] == y for y in lists):
                 out.add(tuple(x[:p]))
     return out
 
 
 def test_divergence_nodes_match_brute_force(spark):
-    lists = [list("abcd"), list("abce"), list("abx"), list("q"), list("qrs"), list("qrt"), list("abcd"), [], list("zz"), list("zy")]
-    nodes = K.divergence_nodes(seqs(spark, lists)).collect()
-    assert sorted(r["pos"] for r in nodes) == sorted(map(len, brute_nodes(lists)))
+    lists = [list("abcd"), list("abce"), list("abx"), list("q"), list("qrs"), list("qrt"), list("abcd"), list("zz"), list("zy")]
+    for some in (lists + [[]], lists):  # an empty sequence ends before every node
+        nodes = K.divergence_nodes(seqs(spark, some)).collect()
+        assert sorted(r["pos"] for r in nodes) == sorted(map(len, brute_nodes(some)))
+    assert len(nodes) == 4
     pairs = spark.createDataFrame([("root", "trunk")], "arm_a string, arm_b string")
     assert K.forks_between(seqs(spark, lists), pairs).count() > 0
     assert K.divergence_nodes(seqs(spark, lists).limit(0)).count() == 0
