@@ -56,7 +56,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def count_occurrences(text: Column, phrase: str, case_sensitive: bool = False) -> Column:

@@ -12,8 +12,8 @@ from normscape.sources.tables import settled, small
 
 
 def with_core(systems: DataFrame, cores: DataFrame) -> DataFrame:
-    """Each row with its arm's core (arm, core); a core is a row an arm."""
-    return join_groups(systems, cores.select("arm", "core"), ["arm"])
+    """Each row with its arm's core (arm, core); a core is a row an arm, worked out once."""
+    return join_groups(systems, settled(cores.select("arm", "core")), ["arm"])
 
 
 def trajectory_deviance(systems: DataFrame, cores: DataFrame, kind: str = "l2") -> DataFrame:

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from normscape.sources.tables import settled, small
 
 
+_CHUNK = 128
+
+
 def prefix_steps(seqs: DataFrame, keys: tuple = ("traj_idx",)) -> DataFrame:
-    """(keys.., pos, prefix, token, length): at each position the hash of what stands before it."""
-    chain = F.aggregate("tokens", F.array(F.lit(42).cast("long")), lambda s, t: F.array_append(s, F.xxhash64(F.element_at(s, -1), t)))
+    """(keys.., pos, prefix, token, length): at each position the hash of what stands before it.
+
+    The chain grows by chunks, for appending copies an array: so a long text costs little more than a short one a word.
+    """
+    chunks = F.transform(F.sequence(F.lit(1), F.size("tokens"), F.lit(_CHUNK)), lambda s: F.slice("tokens", s, _CHUNK))
+    append = lambda a, t: F.array_append(a, F.xxhash64(F.element_at(a, -1), t))
+    chain = F.aggregate(chunks, F.array(F.lit(42).cast("long")), lambda out, c: F.concat(out, F.slice(F.aggregate(c, F.slice(out, -1, 1), append), 2, _CHUNK)))
     zipped = F.arrays_zip(F.slice(chain, 1, F.size("tokens")).alias("prefix"), F.col("tokens").alias("token"))
     rows = seqs.where(F.size("tokens") > 0).select(*keys, F.size("tokens").alias("length"), F.posexplode(zipped).alias("pos", "x"))
     return rows.select(*keys, "pos", F.col("x.prefix").alias("prefix"), F.col("x.token").alias("token"), "length")

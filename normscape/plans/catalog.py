@@ -144,6 +144,13 @@ def _(spark, d):
     return docs.select("doc_id", F.sha2(sel, 256).alias("after_trunk"))
 
 
+@query("C6_selections", "SELECT doc_id, sha256('P: So <think>x</think>' || text) AS trajectory, sha256('So <think>x</think>' || text) AS continuation, sha256('So ' || ltrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS plain, sha256(substr('So ' || ltrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 6)) AS after_twig FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    generated, marks = F.concat(F.lit("<think>x</think>"), "text"), F.create_map(F.lit("twig"), F.lit(5))
+    one = lambda how, name: F.sha2(T.select_text(how, F.lit("So "), generated, marks, F.lit("P: ")), 256).alias(name)
+    return X.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", one("WholeTrajectory", "trajectory"), one("WholeContinuation", "continuation"), one("NonThinkingContinuation", "plain"), one("AfterTwig", "after_twig"))
+
+
 @query("C7_simple_tokens", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+')))::INT AS n_simple FROM documents")
 def _(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.size(T.simple_tokens(F.col("text"))).alias("n_simple"))
@@ -507,7 +514,7 @@ def _(spark, d):
 # deviance
 
 def _cores(spark, d, method: str = "inv-ppl") -> DataFrame:
-    return C.as_arrays(C.generalized_core(W.with_weight(X.systems_li(spark, d), method), 1, 1), "arm")
+    return IO.settled(C.as_arrays(C.generalized_core(W.with_weight(X.systems_li(spark, d), method), 1, 1), "arm"))
 
 
 _CORE = "c AS (SELECT arm, " + ", ".join(f"sum(w * s{i}) AS c{i}" for i in range(4)) + " FROM wt GROUP BY 1)"
@@ -533,10 +540,10 @@ def _(spark, d):
     return s.select("traj_idx", "arm", r6(V.deviance(F.col("system"), F.col("core"))).alias("deviance"), r6(V.normalized_deviance(F.col("system"), F.col("core"))).alias("normalized"))
 
 
-@query("H8_expected_orientation", f"WITH {X.weighted('uniform')}, {_CORE.replace('w * s', 's')}, {X.long('wt', 'arm, w')}, k AS (SELECT arm, 0 AS struct_idx, c0 / n AS v FROM c JOIN (SELECT arm, count(*) AS n FROM wt GROUP BY 1) USING (arm)) SELECT arm, struct_idx::INT AS struct_idx, 0.0::DOUBLE AS value FROM lng GROUP BY 1, 2")
+@query("H8_expected_orientation", f"WITH {X.weighted('inv-ppl')}, {_CORE}, {X.long('wt', 'arm')} SELECT arm, struct_idx::INT AS struct_idx, {q6('avg(x) - any_value(CASE struct_idx WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END)', 'value')} FROM lng JOIN c USING (arm) GROUP BY 1, 2")
 def _(spark, d):
     w = W.with_weight(X.systems_li(spark, d), "uniform")
-    return D.expected_orientation(w, _cores(spark, d, "uniform")).withColumn("value", r6("value"))
+    return D.expected_orientation(w, _cores(spark, d)).withColumn("value", r6("value"))
 
 
 _SHARE = "(s0 + s1 + s2 + s3)"
@@ -564,6 +571,17 @@ def _(spark, d):
     return D.deviance_to(W.with_weight(X.systems_li(spark, d)), _cores(spark, d), "root").select("arm", r6("mean").alias("mean"))
 
 
+@query("H13_orientation_from_root", f"WITH {X.weighted('inv-ppl')}, {_CORE} SELECT a.arm, {q6(_REF, 'norm')} FROM c a, c b WHERE b.arm = 'root'")
+def _(spark, d):
+    return D.orientation_from(_cores(spark, d), "root").select("arm", r6("norm").alias("norm"))
+
+
+@query("H14_deviance_to_trunk", f"WITH {X.weighted('prob')}, {_CORE}, v AS (SELECT wt.arm, w, {_DEV} AS d FROM wt, c WHERE c.arm = 'trunk') SELECT arm, {q6('sum(w * d)', 'mean')}, {q6('greatest(sum(w * d * d) - pow(sum(w * d), 2), 0)', 'variance')} FROM v GROUP BY 1")
+def _(spark, d):
+    e = D.deviance_to(W.with_weight(X.systems_li(spark, d), "prob"), _cores(spark, d, "prob"), "trunk")
+    return e.select("arm", r6("mean").alias("mean"), r6("variance").alias("variance"))
+
+
 @query("H18_relative_orientations", f"WITH {X.weighted('uniform')}, {_CORE} SELECT a.arm AS node, b.arm AS other, {', '.join(q6(f'a.c{i} - b.c{i}', f'o{i}') for i in range(4))} FROM c a JOIN c b ON a.arm <> b.arm")
 def _(spark, d):
     o = D.relative_orientations(_cores(spark, d, "uniform"))
@@ -607,7 +625,8 @@ def _(spark, d):
 def _(spark, d):
     docs = X.traj_docs(spark, d)
     systems = Y.to_systems(S.score_count_occurrences(docs, X.PHRASES), len(X.PHRASES))
-    return _estimate(systems.join(docs.select("traj_idx", "logprob", "n_tokens"), "traj_idx"))
+    scored = systems.join(docs.select("traj_idx", "logprob", "n_tokens"), "traj_idx")
+    return _estimate(IO.settled(scored))  # the texts are scored once, not once a pass
 
 
 @query("H17_qr_profile", f"WITH named AS ({_NAMED}), k(variant, q, r) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {max(min(q, 999), -999)}, {max(min(r, 999), -999)})' for n, (q, r) in C.NAMED.items())}), e AS (SELECT arm, q, r, max(value) AS m FROM named JOIN k USING (variant) GROUP BY variant, arm, q, r) SELECT 'q' AS axis, arm, q::DOUBLE AS place, {q6('m', 'mean')} FROM e WHERE r = 1 UNION ALL SELECT 'r', arm, r::DOUBLE, {q6('m', 'mean')} FROM e WHERE q = 1")
@@ -869,6 +888,11 @@ def _(spark, d):
     return t.select("traj_idx", "k", *[r6(c).alias(c) for c in ("pull", "drift", "potential")])
 
 
+@query("M4_effective_structures", f"WITH {_SER} SELECT conv_id AS traj_idx, turn AS k, {q6('CASE WHEN a0 + a1 < 1e-10 THEN 2 ELSE exp(-(CASE WHEN a0 > 0 THEN a0 / (a0 + a1) * ln(a0 / (a0 + a1)) ELSE 0 END + CASE WHEN a1 > 0 THEN a1 / (a0 + a1) * ln(a1 / (a0 + a1)) ELSE 0 END)) END', 'effective')} FROM ser")
+def _(spark, d):
+    return M.dynamics(_series(spark, d)).select("traj_idx", "k", r6("effective").alias("effective"))
+
+
 @query("M6_running_stats", f"SELECT user_id AS node, event_id AS i, count(value) OVER w AS n, round(avg(value) OVER w, 8) AS mean, {q6('stddev_pop(value) OVER w', 'std')} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
     s = X.table(spark, d, "events").selectExpr("user_id AS node", "event_id AS i", "value AS x")
