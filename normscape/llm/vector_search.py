@@ -3,7 +3,9 @@
 BOOKS full-dimensional codebooks are fitted on a bounded sample (SAMPLE vectors in expectation) by residual k-means
 and least squares; every vector is encoded by beam search over the residuals and indexed with its codes and the norm
 of its reconstruction. Queries meet the candidates in blocks against blocks: lookup tables score a block's codes, the
-SHORTLIST best of a block are reranked by the exact inner product in doubles, and the blocks' best are merged.
+SHORTLIST best of a block are reranked by the exact inner product in doubles. Then all others are reranked whose score,
+plus the most that the stored error of their code can add, reaches what was found, so a shortlist loses none; the
+blocks' best are merged.
 Equal vectors of a block are one candidate until the end, so that a hot vector fills no shortlist.
 """
 
@@ -74,7 +76,7 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray | None]:
-    """(vec_id, vector, codes, norm) of every usable vector as a saved() table, and the codebooks.
+    """(vec_id, vector, codes, norm, error) of every usable vector as a saved() table, and the codebooks.
 
     Of rows that share an id the smallest vector counts; rows with a null id, and vectors that do not have the most
     common dimension (ties: the smaller), take no part. Other columns are left out, so names cannot clash.
@@ -83,7 +85,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims:
-        empty = rows.select("vec_id", F.lit(b"").alias("vector"), F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"))
+        empty = rows.select("vec_id", F.lit(b"").alias("vector"), F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("error"))
         return saved(empty, "index"), None
     dim, total = dims[0]
     rows = rows.where(F.size("v") == dim)
@@ -91,7 +93,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     got = some.select("v").toPandas()["v"].tolist() or [r[0] for r in rows.select("v").limit(sample).collect()]
     books = fit(np.array(got))
     sent = vectors.sparkSession.sparkContext.broadcast(books)
-    schema = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary()), ("codes", pa.binary()), ("norm", pa.float64())])
+    schema = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary()), ("codes", pa.binary()), ("norm", pa.float64()), ("error", pa.float64())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,9 +102,9 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 codes = encode(x, sent.value)
                 made = sent.value[np.arange(len(sent.value)), codes].sum(1)
-                yield batch(schema, part.column(0), [v.tobytes() for v in x], [c.tobytes() for c in codes], pa.array(np.sqrt((made**2).sum(1))))
+                yield batch(schema, part.column(0), [v.tobytes() for v in x], [c.tobytes() for c in codes], pa.array(np.linalg.norm(made, axis=1)), pa.array(np.linalg.norm(x - made, axis=1)))
 
-    return saved(rows.mapInArrow(index, "vec_id long, vector binary, codes binary, norm double"), "index"), books
+    return saved(rows.mapInArrow(index, "vec_id long, vector binary, codes binary, norm double, error double"), "index"), books
 
 
 def _stack(column: pd.Series, dtype) -> np.ndarray:
@@ -119,8 +121,8 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
     n_queries = -(-queries.count() // QUERY_BLOCK) or 1
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    candidates = index.select("vec_id", "vector", "codes", F.lit(False).alias("asks"), block(n_candidates).alias("c"), numbers(n_queries).alias("q"))
-    asked = queries.select("vec_id", "vector", "codes", F.lit(True).alias("asks"), numbers(n_candidates).alias("c"), block(n_queries).alias("q"))
+    candidates = index.select("vec_id", "vector", "codes", "norm", "error", F.lit(False).alias("asks"), block(n_candidates).alias("c"), numbers(n_queries).alias("q"))
+    asked = queries.select("vec_id", "vector", "codes", "norm", "error", F.lit(True).alias("asks"), numbers(n_candidates).alias("c"), block(n_queries).alias("q"))
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
         books = sent.value
@@ -134,6 +136,7 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
         order = np.argsort(inverse, kind="stable")
         starts = np.searchsorted(inverse[order], np.arange(len(first) + 1))
         vectors, codes = _stack(rest["vector"].iloc[first], np.float64), _stack(rest["codes"].iloc[first], np.uint8)
+        errors, largest = rest["error"].to_numpy()[first], rest["norm"].to_numpy()[first].max()
         asks, names = _stack(mine["vector"], np.float64), mine["vec_id"].to_numpy()
         out = []
         for s in range(0, len(asks), 32):
@@ -143,8 +146,12 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
             take = min(shortlist, score.shape[1])
             best = np.argpartition(-score, take - 1, axis=1)[:, :take]
             exact = np.einsum("qrd,qd->qr", vectors[best], q)
-            for name, at, value in zip(names[s : s + 32], best, exact):
+            for name, own, at, value, quick in zip(names[s : s + 32], q, best, exact, score):
                 cut = np.partition(value, -min(k + 1, take))[-min(k + 1, take)]
+                if take < len(quick):  # scores are sums in single precision
+                    at = np.flatnonzero(quick + np.linalg.norm(own) * (errors + 1e-4 * largest) >= cut)
+                    value = vectors[at] @ own
+                    cut = np.partition(value, -(k + 1))[-(k + 1)]
                 top = np.flatnonzero(value >= cut)
                 members = [order[starts[r] : min(starts[r + 1], starts[r] + k + 1)] for r in at[top]]
                 found = ids[np.concatenate(members)]
