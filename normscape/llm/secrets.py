@@ -186,42 +186,47 @@ def train(spark: SparkSession, labelled: list[tuple[list[float], float]] | DataF
 
 
 def scan(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, start, length, kind, secret_sha256, probability, is_secret): every candidate and the forest's verdict.
+    """(doc_id, start, length, kind, secret_sha256, probability, is_secret, text_hash): every candidate and the forest's verdict.
 
-    start and length count characters. Null and empty texts have no candidate; a null path counts as empty.
+    start and length count characters; text_hash is the xxhash64 of the text, which tells rows of one id apart. Null and empty texts have no candidate; a null path counts as empty.
     Repeated rows repeat their findings; other columns are left out, so names cannot clash.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     model = model or train(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).cast("binary").alias("body"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("secret_sha256", pa.string()), ("features", pa.list_(pa.float64()))])
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("body"))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("secret_sha256", pa.string()), ("features", pa.list_(pa.float64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, paths, bodies in slices(batches):
+        for ids, paths, hashes, bodies in slices(batches):
             out = []
-            for i, p, b in zip(ids, paths, bodies):
+            for i, p, h, b in zip(ids, paths, hashes, bodies):
                 text = b.decode("utf-8", "replace")
                 for start, end, kind in candidates(text):
                     digest = hashlib.sha256(text[start:end].encode()).hexdigest()
-                    out.append((i, start, end - start, kind, digest, features(text, start, end, p)))
+                    out.append((i, h, start, end - start, kind, digest, features(text, start, end, p)))
             if out:
                 yield batch(schema, *zip(*out))
 
-    found = rows.mapInArrow(find, "doc_id long, start int, length int, kind string, secret_sha256 string, features array<double>")
+    found = rows.mapInArrow(find, "doc_id long, text_hash long, start int, length int, kind string, secret_sha256 string, features array<double>")
     found = model.transform(found.withColumn("features", array_to_vector("features")))
     p = vector_to_array("probability")[1]
-    return found.select("doc_id", "start", "length", "kind", "secret_sha256", p.alias("probability"), (p >= threshold).alias("is_secret"))
+    return found.select("doc_id", "start", "length", "kind", "secret_sha256", p.alias("probability"), (p >= threshold).alias("is_secret"), "text_hash")
 
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each confirmed secret replaced by MASK; all rows and columns stay. Null ids match no finding."""
-    spans = findings.where("is_secret").select("doc_id", "start", "length").distinct()
-    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("__spans"))
-    cut = F.aggregate("__spans", F.col(text_col), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(MASK), F.substring(t, s["start"] + s["length"] + 1, F.char_length(t))))
-    joined = docs.join(small_side(saved(spans, "spans")), F.col(id_col).cast("long") == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).drop("__id", "__spans")
+    """docs with each confirmed secret replaced by MASK; all rows and columns stay.
+
+    Findings belong to the rows with their id (null to null) and their very text.
+    """
+    spans = findings.where("is_secret").select("doc_id", "text_hash", "start", "length").distinct()
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("__spans"))
+    side, text = small_side(saved(spans, "spans")), docs[text_col]
+    cut = F.aggregate(side["__spans"], text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(MASK), F.substring(t, s["start"] + s["length"] + 1, F.char_length(t))))
+    joined = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["__id"]) & (F.xxhash64(text) == side["__hash"]), "left")
+    clean = F.when(side["__spans"].isNull(), text).otherwise(cut).alias(text_col)
+    return joined.select(*[clean if c == text_col else docs[c] for c in docs.columns])
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
