@@ -96,6 +96,15 @@ class RadixTrie:
                 yield key, x
             stack += [(c, key) for c in x.children.values()]
 
+    def _bytes(self, node) -> int:
+        """Size of all nodes from this one down, inner ones included."""
+        total, stack = 0, [node]
+        while stack:
+            x = stack.pop()
+            total += len(x.edge) + _NODE_BYTES
+            stack += x.children.values()
+        return total
+
     def _spill(self) -> None:
         """Write the largest subtree below the first branching to a file; its node then only passes strings on."""
         top, prefix = self.root, b""
@@ -106,12 +115,12 @@ class RadixTrie:
             prefix += top.edge
             top = child
         base = prefix + top.edge
-        sizes = {k: sum(len(n.edge) + _NODE_BYTES for _, n in self._walk(c, b"")) for k, c in top.children.items() if c.spilled is None}
+        sizes = {k: self._bytes(c) for k, c in top.children.items() if c.spilled is None}
         if not sizes:
             return
         child = top.children[max(sizes, key=sizes.get)]
         out = tempfile.TemporaryFile(dir=self.folder)
-        for key, node in list(self._walk(child, base)):
+        for key, node in self._walk(child, base):  # one string at a time: whole ones can be far longer than the trie
             if node.spilled is None:
                 pickle.dump((key, node.owner, node.count), out)
             else:
@@ -120,7 +129,7 @@ class RadixTrie:
                     pickle.dump(record, out)
         child.children, child.count, child.owner, child.spilled = {}, 0, None, out
         # the prefix of a spilled node is matched by its edge; strings ending inside it still split it
-        self.size = sum(len(n.edge) + _NODE_BYTES for _, n in self._walk(self.root, b""))
+        self.size = self._bytes(self.root)
         self.texts = sum(1 for _, n in self._walk(self.root, b"") if n.count)
         self.spills += 1
 
