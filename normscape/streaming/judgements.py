@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,10 +37,11 @@ def complete_counts(judgements: DataFrame, n_questions: int, delay: str = "10 mi
     return _once(judgements, delay).groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") == n_questions)
 
 
-def stream_complete_samples(judgements: DataFrame, n_questions: int, keep_ms: int = 3_600_000) -> DataFrame:
+def stream_complete_samples(judgements: DataFrame, n_questions: int, delay: str = "10 minutes", keep_ms: int = 3_600_000) -> DataFrame:
     """(sample_id, mean), once, when all questions of a sample are in; the last score of a question counts.
 
-    A sample's scores are dropped as it is emitted; what says that it was, and what stays incomplete, goes after keep_ms.
+    A sample's scores are dropped as it is emitted; what says that it was, and what stays incomplete, goes once the
+    watermark of ts has moved on by keep_ms (event time: with processing time a run over what is available never ends).
     """
 
     def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,17 +49,19 @@ def stream_complete_samples(judgements: DataFrame, n_questions: int, keep_ms: in
             state.remove()
             return
         questions, scores, done = state.get if state.exists else ([], [], False)
-        own = dict(zip(questions, scores))
+        own, latest = dict(zip(questions, scores)), max(0, state.getCurrentWatermarkMs())
         for pdf in batches:
+            latest = max(latest, int(pdf["__ms"].max()))
             own |= {int(q): 0.0 if pd.isna(s) else float(s) for q, s in zip(pdf["q_idx"], pdf["score"])}
         if not done and len(own) == n_questions:
             yield pd.DataFrame({"sample_id": [key[0]], "mean": [sum(own.values()) / n_questions]})
             done = True
         own = {} if done else own
         state.update((list(own), list(own.values()), done))
-        state.setTimeoutDuration(keep_ms)
+        state.setTimeoutTimestamp(latest + keep_ms)
 
-    return judgements.groupBy("sample_id").applyInPandasWithState(collect, "sample_id long, mean double", "questions array<int>, scores array<double>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = judgements.withWatermark("ts", delay).withColumn("__ms", F.unix_millis("ts"))
+    return timed.groupBy("sample_id").applyInPandasWithState(collect, "sample_id long, mean double", "questions array<int>, scores array<double>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_judge_average(responses: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -78,8 +81,8 @@ def positions_in_order(table: DataFrame, total: int) -> DataFrame:
     """
     last = table.groupBy("traj_idx", "k", "struct_idx").agg(F.max_by("mean", "n").alias("mean"))
     rows = last.groupBy("traj_idx", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("struct_idx", "mean"))), lambda x: x["mean"]).alias("system"))
-    done = rows.groupBy("traj_idx").agg((F.count("*") / F.lit(float(total))).alias("progress"))
-    return rows.join(done, "traj_idx").orderBy("traj_idx", "k")
+    done = F.count("*").over(Window.partitionBy("traj_idx")) / F.lit(float(total))
+    return rows.withColumn("progress", done).orderBy("traj_idx", "k")
 
 
 def _merged(new: DataFrame, batch_id: int, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:

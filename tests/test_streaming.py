@@ -64,7 +64,7 @@ def test_replayed_batches_count_once(spark, tmp_path):
         N.merge_progress(batch, i, done)
     assert sum(r["n"] for r in spark.read.parquet(f"{run_}/v1").collect()) == 2 * len(data)
     got = N.progress(spark.read.parquet(f"{done}/v1"), 12).first()
-    assert (got["samples"], got["min_samples"], got["errors"], got["finished"]) == (2 * len(data), 12, 2, True)
+    assert (got["samples"], got["min_samples"], got["errors"], got["finished"]) == (2 * len(data), 14, 2, True)
 
 
 def test_positions(spark, tmp_path):
