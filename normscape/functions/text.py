@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normscape.functions.vectors import let
+
 #: End markers of common chat formats: fixed values.
 EOS_MARKERS = ("<|im_end|>", "<|endoftext|>", "</s>", "<|eot_id|>")
 
@@ -105,11 +105,6 @@ def _yes_no(x: Column) -> Column:
     return F.when(u.isin("1", "YES", "TRUE", "Y"), 1).when(u.isin("0", "NO", "FALSE", "N"), 0)
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x worked out once, however often f names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def parse_binary(raw: Column) -> Column:
     """0 or 1 of a judge's answer, null if there is none: the last stated answer, then weaker forms in order."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ EPS = 1e-12
 INF = float("inf")
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
@@ -48,8 +54,7 @@ def normalized_deviance(system: Column, core: Column, kind: str = "l2") -> Colum
 
 def shares(v: Column) -> Column:
     """v / sum; below EPS in all: uniform."""
-    s = total(v)
-    return F.when(s < EPS, F.transform(v, lambda x: F.lit(1.0) / F.size(v))).otherwise(F.transform(v, lambda x: x / s))
+    return let(total(v), lambda s: F.when(s < EPS, F.transform(v, lambda x: F.lit(1.0) / F.size(v))).otherwise(F.transform(v, lambda x: x / s)))
 
 
 def entropy(p: Column) -> Column:
@@ -84,8 +89,7 @@ def renyi_divergence(p: Column, q: Column, alpha: float) -> Column:
 
 
 def js(p: Column, q: Column) -> Column:
-    m = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    return (kl(p, m) + kl(q, m)) / 2
+    return let(F.zip_with(p, q, lambda x, y: (x + y) / 2), lambda m: (kl(p, m) + kl(q, m)) / 2)
 
 
 def excess_deviance(system: Column, core: Column, alpha: float = 1.0) -> Column:

@@ -37,8 +37,9 @@ def expected_orientation(systems: DataFrame, cores: DataFrame, weight: str = "w"
 
 def expected_divergences(systems: DataFrame, cores: DataFrame, weight: str = "w", alpha: float = 1.0) -> DataFrame:
     """(arm, excess, deficit, mutual, n_infinite): weighted means; 0 * infinity stays NaN, n_infinite tells."""
-    s, c = F.col("system"), F.col("core")
-    rows = with_core(systems, cores).select("arm", weight, V.excess_deviance(s, c, alpha).alias("x"), V.deficit_deviance(s, c, alpha).alias("d"), V.mutual_deviance(s, c).alias("m"))
+    p, q = F.col("__p"), F.col("__q")
+    rows = with_core(systems, cores).select("arm", weight, V.shares(F.col("system")).alias("__p"), V.shares(F.col("core")).alias("__q"))
+    rows = rows.select("arm", weight, F.exp(V.renyi_divergence(p, q, alpha)).alias("x"), F.exp(V.renyi_divergence(q, p, alpha)).alias("d"), F.exp(V.js(p, q)).alias("m"))
     mean = lambda n: F.sum(F.col(weight) * F.col(n)) / F.sum(weight)
     infinite = F.sum(((F.col("x") == V.INF) | (F.col("d") == V.INF)).cast("long"))
     return rows.groupBy("arm").agg(mean("x").alias("excess"), mean("d").alias("deficit"), mean("m").alias("mutual"), infinite.alias("n_infinite"))

@@ -14,9 +14,9 @@ from normscape.sources.tables import small
 
 def score_count_occurrences(texts: DataFrame, phrases: list[str], text_col: str = "text", case_sensitive: bool = False) -> DataFrame:
     """(traj_idx, arm, struct_idx, score): occurrences / words of each phrase; 0 without words. One scan, no join."""
-    n = T.word_count(F.col(text_col))
-    scores = [F.struct(F.lit(i).alias("struct_idx"), F.when(n > 0, T.count_occurrences(F.col(text_col), p, case_sensitive) / n).otherwise(0.0).alias("score")) for i, p in enumerate(phrases)]
-    return texts.select("traj_idx", "arm", F.inline(F.array(*scores)))
+    counted = texts.select("traj_idx", "arm", F.col(text_col).alias("t"), T.word_count(F.col(text_col)).alias("n"))  # n once a text
+    scores = [F.struct(F.lit(i).alias("struct_idx"), F.when(F.col("n") > 0, T.count_occurrences(F.col("t"), p, case_sensitive) / F.col("n")).otherwise(0.0).alias("score")) for i, p in enumerate(phrases)]
+    return counted.select("traj_idx", "arm", F.inline(F.array(*scores)))
 
 
 def score_similarity(vectors: DataFrame, references: DataFrame) -> DataFrame:
