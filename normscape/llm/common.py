@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,29 +19,49 @@ SLICE_BYTES = 1 << 20
 #: Distinct words that a Python worker remembers; beyond that it forgets all and starts anew.
 WORD_CACHE = 150_000
 #: A side of a join is broadcast only if it takes at most this many bytes, by rows times their width.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="normscape-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: For each temporary() that is open the tables saved in it, and the names that outlive it.
+_open: list[tuple[list[str], tuple[str, ...]]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open and name not in _open[-1][1]:
+        _open[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Deletes the tables saved() within at the end, but for those of the names to keep."""
+    _open.append(([], keep))
+    try:
+        yield
+    finally:
+        for path in _open.pop()[0]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bytes_of(df: DataFrame, limit: int) -> int:
-    """Bytes that a table takes as rows, 16 a value and more for those that vary in size; beyond limit a lower bound."""
-    flat = 16 * (1 + len(df.columns)) * df.count()
+    """Bytes that a table takes in a broadcast: 64 a row, 32 a value, more for what varies in size; beyond limit a lower bound."""
+    flat = (64 + 32 * len(df.columns)) * df.count()
     sizes = [48 * F.size(c) if kind.startswith("array") else F.length(c) for c, kind in df.dtypes if kind.startswith("array") or kind in ("string", "binary")]
     if flat > limit or not sizes:
         return flat
@@ -72,6 +93,7 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             end = max(start + 1, int(np.searchsorted(filled, before + limit, side="right")))
             yield [c.slice(start, end - start).to_pylist() for c in b.columns]
             start = end
+    pa.default_memory_pool().release_unused()  # workers stay on between tasks
 
 
 class Numbers(dict):

@@ -115,6 +115,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return LanguageModel(languages, np.log(prior / prior.sum()), log_prob.astype(np.float32))
 
 
+def posteriors(texts: list[bytes], model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each text and its posterior probability; `und` and 0 without a letter or a model."""
+    grams, starts = ngram_buckets(texts)
+    if model.languages:
+        total = model.log_prior + sum(np.add.reduceat(model.log_prob[g], starts) for g in grams)
+    else:
+        total = np.zeros((len(texts), 1))
+    seen = np.add.reduceat(grams[0] != BUCKETS, starts) > 0
+    odds = np.exp(total - total.max(1, keepdims=True))
+    best = total.argmax(1)
+    p = odds[np.arange(len(best)), best] / odds.sum(1)
+    known = seen & bool(model.languages)
+    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, p, 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language and its posterior probability, from the text alone.
 
@@ -125,23 +140,29 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for ids, texts in slices(batches):
-            grams, starts = ngram_buckets(texts)
-            if m.languages:
-                total = m.log_prior + sum(np.add.reduceat(m.log_prob[g], starts) for g in grams)
-            else:
-                total = np.zeros((len(texts), 1))
-            seen = np.add.reduceat(grams[0] != BUCKETS, starts) > 0
-            odds = np.exp(total - total.max(1, keepdims=True))
-            best = total.argmax(1)
-            p = odds[np.arange(len(best)), best] / odds.sum(1)
-            known = seen & bool(m.languages)
-            yield batch(schema, ids, [m.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.array(np.where(known, p, 0.0)))
+            found, p = posteriors(texts, sent.value)
+            yield batch(schema, ids, found, pa.array(p))
 
     return text_rows(docs, id_col, text_col).mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language with a posterior of `least` or more.
+
+    Each row is judged by its own text, so rows that share an id, or have none, do not decide about one another.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.table({"body": b.column(text_col).fill_null("").cast(pa.binary())}).to_batches()
+            good = [(x != UNDETERMINED) & (y >= least) for (part,) in slices(texts) for x, y in zip(*posteriors(part, sent.value))]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the stated folds."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus

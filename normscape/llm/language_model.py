@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, text_rows
+from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, temporary, text_rows
 from normscape.llm.language_id import fold
 
 TOP, CLUSTERED, CLASSES = 400_000, 16_384, 32
@@ -309,15 +309,16 @@ def score_corpus(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str
     from unless the condition holds for it. With nothing to learn from, every token is unknown. Other columns are
     left out, so names cannot clash.
     """
-    rows = saved(hashed_tokens(text_rows(docs, id_col, text_col)), "tokens")
-    train = rows.where(learns)
-    counts = saved(count_words(train), "counts")
-    vocab = build_vocabulary(train, counts)
-    weights = np.zeros((FEATURES + 1, CLASSES), np.float32)
-    weights[-1] = np.log(vocab.class_total / vocab.class_total.sum())
-    for i in range(ROUNDS):
-        weights = train_round(train.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == i), vocab, weights)
-    out = score(rows, vocab, weights, counts)
+    with temporary(docs.sparkSession, keep=("counts", "scored")):
+        rows = saved(hashed_tokens(text_rows(docs, id_col, text_col)), "tokens")
+        train = rows.where(learns)
+        counts = saved(count_words(train), "counts")
+        vocab = build_vocabulary(train, counts)
+        weights = np.zeros((FEATURES + 1, CLASSES), np.float32)
+        weights[-1] = np.log(vocab.class_total / vocab.class_total.sum())
+        for i in range(ROUNDS):
+            weights = train_round(train.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == i), vocab, weights)
+        out = score(rows, vocab, weights, counts)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, small_side, text_rows
+from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, small_side, temporary, text_rows
 from normscape.llm.graph import components
 
 HASHES, BITS = 128, 4
@@ -293,15 +293,8 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame:
     return dealt(candidates, "doc_id", "component", "place", "partners", "agree", "shingles").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document.
-
-    Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct `width`-word shingles
-    (fewer words: all words as one shingle); component_id is the smallest id that a document reaches. Null, empty and
-    blank texts have no shingle and link with nothing. A row with a null id names no document: it links with nothing,
-    has no component_id and is kept. Repeated rows are the same document and each get its answer; of other texts under
-    one id, one counts. Other columns are left out, so names cannot clash.
-    """
+def _linked_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved: signatures() of docs, the smallest id of each digest that several rows have, and the components (id, component)."""
     threshold = percent / 100
     least = least_agreeing(threshold)
     signed = saved(signatures(docs, width, threshold, id_col, text_col), "signatures")
@@ -356,8 +349,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = saved(links.unionByName(more), "links")
             joined = components(links)
 
-    repeated = small_side(saved(classes.where("copies > 1").drop("copies"), "repeated"))
-    answer = signed.select("doc_id", "n_shingles", "digest").join(repeated, "digest", "left")
+    return signed, saved(classes.where("copies > 1").drop("copies"), "repeated"), saved(joined, "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each document.
+
+    Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct `width`-word shingles
+    (fewer words: all words as one shingle); component_id is the smallest id that a document reaches. Null, empty and
+    blank texts have no shingle and link with nothing. A row with a null id names no document: it links with nothing,
+    has no component_id and is kept. Repeated rows are the same document and each get its answer; of other texts under
+    one id, one counts. Other columns are left out, so names cannot clash.
+    """
+    with temporary(docs.sparkSession, keep=("signatures", "repeated", "components")):
+        signed, repeated, joined = _linked_classes(docs, id_col, text_col, width, percent)
+    answer = signed.select("doc_id", "n_shingles", "digest").join(small_side(repeated), "digest", "left")
     answer = answer.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")))
     answer = answer.join(small_side(joined).withColumnRenamed("id", "class_id"), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))

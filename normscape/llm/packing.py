@@ -136,19 +136,19 @@ class WordTokens:
 
 
 @functools.lru_cache(maxsize=1)
-def worker_tokens(path: str) -> WordTokens:
+def worker_tokens(path: str, words_kept: int) -> WordTokens:
     """One for a Python worker: what a task has worked out serves the next."""
-    return WordTokens(path)
+    return WordTokens(path, words_kept)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words_kept: int = WORDS_KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids, then end_id, cut every `capacity` tokens."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_tokens(tokenizer_path)
+        words = worker_tokens(tokenizer_path, words_kept)
         for doc_ids, bodies in slices(batches):
             out = []
             for i, ids in zip(doc_ids, words.encode([b.decode("utf-8", "replace") for b in bodies])):
