@@ -4,11 +4,11 @@
    `window` words has one anchor, the same wherever the window occurs. Whole copies are set aside by digest.
 2. Only anchors that occur in several documents go on. Each of their occurrences owns a run of windows; its words, a
    sequence of at most 75, are sent once a task, under the anchor, with the smallest document that has it.
-   Anchors with over HOT different sequences (a common line in many contexts) are split into their windows, of which
-   those that occur in several documents go on under the window's hash: linear work, and no group is unbounded.
-3. Groups of anchors make shards. A shard builds a compressed FM-index over its sequences and streams them through:
+   Those of an anchor with over HOT different sequences (a common line in many contexts) are dealt over several shards.
+3. Groups of anchors, or parts of them, make shards. A shard builds a compressed FM-index over its sequences and streams them through:
    backward search over the wavelet matrix gives matching statistics, and where they reach the window's length, the
-   smallest document of the matching suffixes.
+   smallest document of the matching suffixes. Of anchors in several shards the least of the shards' answers counts,
+   by the hash of each window.
 4. Windows that start in a smaller document are joined back to all occurrences, and each document's covered words go.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, small_side, text_rows
+from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, small_side, temporary, text_rows
 from normscape.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -147,58 +147,48 @@ def shard_owners(sequences: list[np.ndarray], owners: np.ndarray, window: int) -
     return [least[found[r, : n - window + 1]] for r, n in enumerate(lengths)]
 
 
-def _matched(sequences: DataFrame, window: int, shard_words: int) -> DataFrame:
-    """(route, seq, doc_id, words) -> (route, seq, owners): the smallest document of each window of each sequence."""
-    schema = pa.schema([("route", pa.int64()), ("seq", pa.int64()), ("owners", pa.list_(pa.int64()))])
+def _matched(sequences: DataFrame, window: int, shard_words: int, with_windows: bool = False) -> DataFrame:
+    """(route, anchor, seq, doc_id, words) -> (anchor, seq, owners[, windows]): the smallest document of each window of
+    each sequence among the sequences of its route; windows: the windows' hashes."""
+    fields = [("anchor", pa.int64()), ("seq", pa.int64()), ("owners", pa.list_(pa.int64()))]
+    schema = pa.schema(fields + [("windows", pa.list_(pa.int64()))] * with_windows)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[list] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            found = shard_owners([np.frombuffer(s[3], np.uint64) for s in shard], np.array([s[2] for s in shard], np.int64), window)
-            return batch(schema, [s[0] for s in shard], [s[1] for s in shard], found)
-
-        for routes, seqs, ids, words in slices(batches):
-            for row in zip(routes, seqs, ids, words):
-                if shard and (shard[-1][0], shard[-1][1]) == row[:2]:
-                    shard[-1][2] = min(shard[-1][2], row[2])
+            words = [np.frombuffer(s[4], np.uint64) for s in shard]
+            found = shard_owners(words, np.array([s[3] for s in shard], np.int64), window)
+            more = [[gram_hashes(w, window).astype(np.int64) for w in words]] if with_windows else []
+            return batch(schema, [s[1] for s in shard], [s[2] for s in shard], found, *more)
+
+        for columns in slices(batches):
+            for row in zip(*columns):
+                if shard and shard[-1][0] == row[0] and shard[-1][2] == row[2]:
+                    shard[-1][3] = min(shard[-1][3], row[3])
                     continue
                 if size >= shard_words and shard[-1][0] != row[0]:
                     yield close()
                     shard, size = [], 0
                 shard.append(list(row))
-                size += len(row[3]) // 8
+                size += len(row[4]) // 8
         if shard:
             yield close()
 
-    dealt = sequences.select("route", "seq", "doc_id", "words").repartition("route").sortWithinPartitions("route", "seq")
-    return dealt.mapInArrow(match, "route long, seq long, owners array<long>")
-
+    dealt = sequences.select("route", "anchor", "seq", "doc_id", "words").repartition("route").sortWithinPartitions("route", "seq")
+    return dealt.mapInArrow(match, "anchor long, seq long, owners array<long>" + ", windows array<long>" * with_windows)
 
-def _split_hot(sequences: DataFrame, window: int, shard_words: int) -> DataFrame:
-    """Results of the sequences of hot anchors (anchor, seq, doc_id, words), by way of their windows."""
-    schema = pa.schema([("anchor", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("route", pa.int64())])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors, seqs, ids, words in slices(batches):
-            out = []
-            for a, q, i, w in zip(anchors, seqs, ids, words):
-                g = gram_hashes(np.frombuffer(w, np.uint64), window).astype(np.int64).tolist()
-                out += [(a, q, i, j, x) for j, x in enumerate(g)]
-            yield batch(schema, *zip(*out))
-
-    each = saved(sequences.select("anchor", "seq", "doc_id", "words").mapInArrow(windows, "anchor long, seq long, doc_id long, at int, route long"), "windows")
-    shared = each.groupBy("route").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("route")
-    keep = each.join(shared, "route")
-    words = sequences.groupBy("anchor", "seq").agg(F.first("words").alias("words"))
-    cut = F.expr(f"substring(words, at * 8 + 1, {8 * window})")
-    pieces = keep.groupBy("route").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("anchor", "seq", "at")).alias("x")).select("route", "doc_id", "x.*")
-    pieces = pieces.join(words, ["anchor", "seq"]).select("route", F.col("route").alias("seq"), "doc_id", cut.alias("words"))
-    found = _matched(pieces, window, shard_words).select("route", F.col("owners")[0].alias("owner"))
-    back = each.groupBy("anchor", "seq", "at", "route").agg(F.min("doc_id").alias("own")).join(found, "route", "left")
-    owner = F.coalesce(F.least("owner", "own"), "own")
-    return back.groupBy("anchor", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", owner.alias("o")))), lambda x: x["o"]).alias("owners"))
+def _matched_hot(sequences: DataFrame, window: int, hot: int, shard_words: int) -> DataFrame:
+    """_matched() of (anchor, n, seq, doc_id, words), where n sequences share the anchor: a route has about `hot` of them."""
+    route = F.xxhash64("anchor", F.pmod("seq", F.ceil(F.col("n") / hot)))
+    found = saved(_matched(sequences.withColumn("route", route), window, shard_words, with_windows=True), "hot")
+    pairs = F.arrays_zip(F.col("windows").alias("w"), F.col("owners").alias("o"))
+    each = found.select("anchor", "seq", F.posexplode(pairs).alias("at", "x")).select("anchor", "seq", "at", F.col("x.w").alias("w"), F.col("x.o").alias("o"))
+    least = each.groupBy("w").agg(F.min("o").alias("owner"), F.max("o").alias("most")).where("owner < most").drop("most")
+    back = each.join(least, "w", "left").groupBy("anchor", "seq").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("owner", "o").alias("o")))).alias("x"))
+    return back.select("anchor", "seq", F.transform("x", lambda x: x["o"]).alias("owners"))
 
 
 def repeated_windows(docs: DataFrame, profile: DataFrame, window: int, anchor: int, hot: int, shard_words: int) -> DataFrame:
@@ -211,15 +201,15 @@ def repeated_windows(docs: DataFrame, profile: DataFrame, window: int, anchor: i
     anchors = saved(own.select("doc_id", "digest", F.explode("anchors").alias("anchor")), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "digest").agg(F.collect_list("anchor").alias("anchors"))
-    texts = docs.join(small_side(saved(wanted, "wanted")), "doc_id").select("doc_id", "digest", "anchors", "body")
+    texts = docs.join(saved(wanted, "wanted"), "doc_id").select("doc_id", "digest", "anchors", "body")  # grows with docs
     rows = saved(_occurrences(texts, window, anchor), "occurrences")
     sequences = rows.where("words IS NOT NULL")
-    many = sequences.select("anchor", "seq").distinct().groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    many = saved(many, "hot")
-    usual = sequences.join(small_side(many), "anchor", "left_anti").withColumnRenamed("anchor", "route")
-    found = _matched(usual, window, shard_words).withColumnRenamed("route", "anchor")
+    many = sequences.select("anchor", "seq").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    many = saved(many, "many")
+    usual = sequences.join(small_side(many), "anchor", "left_anti").withColumn("route", F.col("anchor"))
+    found = _matched(usual, window, shard_words)
     if not many.isEmpty():
-        found = found.unionByName(_split_hot(sequences.join(small_side(many), "anchor", "left_semi"), window, shard_words))
+        found = found.unionByName(_matched_hot(sequences.join(small_side(many), "anchor"), window, hot, shard_words))
     flagged = rows.where("words IS NULL").join(found, ["anchor", "seq"])
     starts = F.filter(F.transform("owners", lambda o, j: F.when(o < F.col("doc_id"), F.col("start") + j)), lambda x: x.isNotNull())
     flagged = flagged.select("doc_id", "digest", starts.alias("starts")).where(F.size("starts") > 0)
@@ -235,8 +225,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     anchor = window // 2
     rows = text_rows(docs, id_col, text_col)
-    profile = saved(_profile(rows, window, anchor), "profile")
-    repeated = saved(repeated_windows(rows, profile, window, anchor, hot, shard_words), "repeated")
+    with temporary(docs.sparkSession, keep=("profile", "repeated")):
+        profile = saved(_profile(rows, window, anchor), "profile")
+        repeated = saved(repeated_windows(rows, profile, window, anchor, hot, shard_words), "repeated")
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_removed", pa.int64()), ("kept_sha", pa.string()), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if out:
                 yield batch(schema, *zip(*out))
 
-    texts = rows.join(small_side(repeated), "doc_id").select("doc_id", "digest", "starts", "body")
+    texts = rows.join(repeated, "doc_id").select("doc_id", "digest", "starts", "body")
     changed = texts.mapInArrow(cut, "doc_id long, digest binary, n_removed long, kept_sha string, kept_text string").dropDuplicates(["doc_id", "digest"])
     owners = profile.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("owner"))
     out = profile.drop("anchors").join(owners, "digest", "left").join(changed, ["doc_id", "digest"], "left")
