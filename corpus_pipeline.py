@@ -10,29 +10,34 @@ from normscape.llm.common import saved, small_side
 
 #: Rejected as no language: no letter at all, or a posterior this close to a blind guess.
 MIN_LANGUAGE_SCORE = 0.3
-
-
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in the saved() table ids (null matches null)."""
-    wanted = small_side(ids.select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+#: Words whose ids a Python worker keeps from stage to stage: fewer than packing alone would, for memory.
+WORDS_KEPT = 50_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognisable language; `lang` stays what it was."""
-    predicted = language_id.predict(docs, language_id.train(docs))
-    rejected = predicted.where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    rejected = saved(rejected.select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    return docs.join(small_side(rejected), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """Rows whose own text has a recognisable language; `lang` stays what it was. Null and empty texts go."""
+    return language_id.recognised(docs, language_id.train(docs), MIN_LANGUAGE_SCORE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, saved(exact_dedup.exact_duplicates(docs).where("kept").select("doc_id"), "kept"))
+    """Of equal texts the largest doc_id stays (a null id only if there is no other); its repeated rows all stay.
+
+    Rows are kept by id and text, so another text under the same id does not bring a duplicate back.
+    """
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.xxhash64("text_sha256").alias("__text")).distinct()
+    own = F.xxhash64(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    wanted = small_side(saved(kept, "kept"))
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]) & (own == wanted["__text"]), "left_semi").select(*[docs[c] for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
-    return keep_rows(docs, saved(near_dedup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id"), "kept"))
+    """One document of each group stays, the smallest doc_id: five-word shingles, a similarity of 0.8 or more.
+
+    Rows with a null id link with nothing and stay.
+    """
+    kept = near_dedup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    wanted = small_side(saved(kept, "kept"))
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi").select(*[docs[c] for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(saved(packing.token_pieces(docs, packing.tokenizer_path()), "pieces"))
+    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    pieces = packing.token_pieces(docs, packing.tokenizer_path(), words_kept=WORDS_KEPT)
+    return packing.pack(saved(pieces, "pieces"))
 
 
 STAGES = [
