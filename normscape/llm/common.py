@@ -33,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is saved: whole texts make batches of the usual size tens of megabytes, of which
+#: each task holds several, in the JVM and in Python.
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: For each temporary() that is open the tables saved in it, and the names that outlive it.
 _open: list[tuple[list[str], tuple[str, ...]]] = []
 
@@ -41,7 +45,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(int(rows), ARROW_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, rows)
     if _open and name not in _open[-1][1]:
         _open[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path)
