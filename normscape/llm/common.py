@@ -41,12 +41,12 @@ _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _open: list[tuple[list[str], tuple[str, ...]]] = []
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, arrow_rows: int = ARROW_ROWS) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows = spark.conf.get(_ARROW)
-    spark.conf.set(_ARROW, str(min(int(rows), ARROW_ROWS)))
+    spark.conf.set(_ARROW, str(min(int(rows), arrow_rows)))
     try:
         df.write.parquet(path)
     finally:

@@ -248,7 +248,7 @@ def tokenizer_path() -> str:
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(saved(token_pieces(docs, tokenizer_path()), "pieces"))
+    return pack(saved(token_pieces(docs, tokenizer_path()), "pieces", arrow_rows=10_000))
 
 
 QUERIES = {"op5_best_fit_packing": op5_best_fit_packing}
