@@ -1,4 +1,4 @@
-"""Prefix trees as tables: prefixes are named by a running hash, never stored."""
+"""Prefix trees as tables: nodes are runs of sorted sequences (see prefixes), named by first row and length."""
 
 from __future__ import annotations
 
@@ -7,25 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normscape.operators.prefixes import compressed, node_id, paths
+from normscape.operators.ranking import ranked
 from normscape.sources.tables import settled, small
 
 
-_CHUNK = 128
-
-
-def prefix_steps(seqs: DataFrame, keys: tuple = ("traj_idx",)) -> DataFrame:
-    """(keys.., pos, prefix, token, length): at each position the hash of what stands before it.
-
-    The chain grows by chunks, for appending copies an array: so a long text costs little more than a short one a word.
-    """
-    chunks = F.transform(F.sequence(F.lit(1), F.size("tokens"), F.lit(_CHUNK)), lambda s: F.slice("tokens", s, _CHUNK))
-    append = lambda a, t: F.array_append(a, F.xxhash64(F.element_at(a, -1), t))
-    chain = F.aggregate(chunks, F.array(F.lit(42).cast("long")), lambda out, c: F.concat(out, F.slice(F.aggregate(c, F.slice(out, -1, 1), append), 2, _CHUNK)))
-    zipped = F.arrays_zip(F.slice(chain, 1, F.size("tokens")).alias("prefix"), F.col("tokens").alias("token"))
-    rows = seqs.where(F.size("tokens") > 0).select(*keys, F.size("tokens").alias("length"), F.posexplode(zipped).alias("pos", "x"))
-    return rows.select(*keys, "pos", F.col("x.prefix").alias("prefix"), F.col("x.token").alias("token"), "length")
-
-
 def add_trajectories(seqs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sequences of both, and the pairs (arm_a, arm_b) that are new: each arm there was with each that came."""
     pairs = groups(seqs).withColumnRenamed("arm", "arm_a").join(small(groups(new).withColumnRenamed("arm", "arm_b")), F.col("arm_a") != F.col("arm_b"))
@@ -37,10 +23,12 @@ def groups(seqs: DataFrame) -> DataFrame:
     return seqs.select("arm").distinct()
 
 
-def prefix_ends(seqs: DataFrame) -> DataFrame:
-    """(prefix, pos): the hash and length of each whole sequence."""
-    whole = F.aggregate("tokens", F.lit(42).cast("long"), lambda s, t: F.xxhash64(s, t))
-    return seqs.select(whole.alias("prefix"), F.size("tokens").alias("pos")).distinct()
+def _partings(seqs: DataFrame, keep: tuple = ("traj_idx",)) -> DataFrame:
+    """(keep.., prefix, pos, token): each sequence at each node where sequences part and no ended one is above."""
+    kind = seqs.schema["tokens"].dataType.elementType
+    open_ = F.filter("nodes", lambda x: (x["pos"] < F.col("stop")) & x["token"].isNotNull())
+    rows = paths(seqs, keep).select(*keep, F.explode(open_).alias("x"))
+    return rows.select(*keep, node_id(F.col("x.lo"), F.col("x.pos")).alias("prefix"), F.col("x.pos").alias("pos"), F.col("x.token").cast(kind).alias("token"))
 
 
 def divergence_nodes(seqs: DataFrame) -> DataFrame:
@@ -48,30 +36,23 @@ def divergence_nodes(seqs: DataFrame) -> DataFrame:
 
     A prefix that is itself a whole sequence, and all below it, gives no node.
     """
-    steps = prefix_steps(seqs)
-    nodes = steps.groupBy("prefix", "pos").agg(F.count_distinct("token").alias("n_branches"), F.count("*").alias("n_rows"), F.min("traj_idx").alias("member")).where("n_branches > 1")
-    ended = steps.join(prefix_ends(seqs), ["prefix", "pos"], "left_semi").groupBy("traj_idx").agg(F.min("pos").alias("stop"))
-    alive = nodes.join(ended, nodes["member"] == ended["traj_idx"], "left").where("stop IS NULL OR pos < stop")
-    return alive.select("prefix", "pos", "n_branches", "n_rows")
+    return node_branches(seqs).groupBy("prefix", "pos").agg(F.count("*").alias("n_branches"), F.sum("n").alias("n_rows"))
 
 
 def node_branches(seqs: DataFrame) -> DataFrame:
     """(prefix, pos, token, n, first_traj): the branches of each node, to be ordered by first_traj."""
-    nodes = divergence_nodes(seqs).select("prefix", "pos")
-    return prefix_steps(seqs).join(nodes, ["prefix", "pos"]).groupBy("prefix", "pos", "token").agg(F.count("*").alias("n"), F.min("traj_idx").alias("first_traj"))
+    return _partings(seqs).groupBy("prefix", "pos", "token").agg(F.count("*").alias("n"), F.min("traj_idx").alias("first_traj"))
 
 
 def nodes_of_trajectory(seqs: DataFrame) -> DataFrame:
     """(traj_idx, positions): where each sequence branches."""
-    nodes = divergence_nodes(seqs).select("prefix", "pos")
-    hit = prefix_steps(seqs).join(nodes, ["prefix", "pos"])
-    return hit.groupBy("traj_idx").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    at = F.transform(F.filter("nodes", lambda x: (x["pos"] < F.col("stop")) & x["token"].isNotNull()), lambda x: x["pos"])
+    return paths(seqs).select("traj_idx", at.alias("positions")).where(F.size("positions") > 0)
 
 
 def forks_between(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(prefix, pos, arm_a, arm_b, token_a, token_b): branches of the two arms of each pair that differ at a node."""
-    nodes = divergence_nodes(seqs).select("prefix", "pos")
-    own = prefix_steps(seqs, ("traj_idx", "arm")).join(nodes, ["prefix", "pos"]).select("prefix", "pos", "arm", "token").distinct()
+    own = settled(_partings(seqs, ("arm",)).distinct())
     a = own.select("prefix", "pos", F.col("arm").alias("arm_a"), F.col("token").alias("token_a")).join(pairs, "arm_a")
     b = own.select("prefix", "pos", F.col("arm").alias("arm_b"), F.col("token").alias("token_b"))
     return a.join(b, ["prefix", "pos", "arm_b"]).where("token_a <> token_b").select("prefix", "pos", "arm_a", "arm_b", "token_a", "token_b")
@@ -89,18 +70,66 @@ def best_expansion_points(entropies: DataFrame, used: DataFrame, k: int) -> Data
     return entropies.join(used, ["traj_idx", "pos"], "left_anti").orderBy(F.desc("entropy"), "traj_idx", "pos").limit(k)
 
 
+#: Best values of a node over the sequences through it: the largest probability, and whether one is greedy.
+_BEST = {"logprob": ("prob", F.exp(F.max("logprob"))), "is_greedy": ("is_greedy", F.max("is_greedy"))}
+
+
+def _best(seqs: DataFrame) -> dict[str, Column]:
+    return {name: value for c, (name, value) in _BEST.items() if c in seqs.columns}
+
+
 def word_tree(seqs: DataFrame) -> DataFrame:
     """(node, parent, depth, word, n, is_leaf, is_end[, prob][, is_greedy]): the prefix tree of word sequences with counts.
 
-    Sequences with a logprob give each node the largest probability of those through it, those with is_greedy a flag.
+    Sequences with a logprob give each node the largest probability of those through it, those with is_greedy a flag. The
+    tree is worked out compressed, and each edge takes its words from the first sequence that has it. The root, 0, has no
+    row; depth counts from 0 below it.
+    """
+    best = _best(seqs)
+    walked = settled(paths(seqs, tuple(c for c in _BEST if c in seqs.columns), with_rest=True))
+    edges = compressed(seqs, best, walked)
+    words = walked.select(F.col("k").alias("lo"), F.coalesce("lcp", F.lit(0)).alias("__lcp"), "rest")
+    own = F.slice("rest", F.col("parent_pos") - F.col("__lcp") + 1, F.col("pos") - F.col("parent_pos"))
+    given = ["lo", "pos", "parent_lo", "parent_pos", "n", "is_leaf", "is_end", *best]
+    rows = edges.join(words, "lo").select(*given, F.posexplode(own).alias("__i", "word"))
+    length = F.col("parent_pos") + F.col("__i") + 1
+    parent = F.when(F.col("__i") == 0, node_id(F.col("parent_lo"), F.col("parent_pos"))).otherwise(node_id(F.col("lo"), length - 1))
+    last = length == F.col("pos")
+    kind = seqs.schema["tokens"].dataType.elementType
+    return rows.select(node_id(F.col("lo"), length).alias("node"), parent.alias("parent"), (length - 1).alias("depth"), F.col("word").cast(kind).alias("word"), "n", (F.col("is_leaf") & last).alias("is_leaf"), (F.col("is_end") & last).alias("is_end"), *best)
+
+
+def compressed_tree(seqs: DataFrame) -> DataFrame:
+    """(node, parent, depth, start, end, n, is_leaf, is_end[, prob][, is_greedy]): nodes that branch or end alone.
+
+    This is collapse_chains() of word_tree(), without the tree of all words: the node's own words are those from start up
+    to end of any sequence through it, depth counts nodes from the root, which is 0 and has no row.
+    """
+    best = _best(seqs)
+    edges = compressed(seqs, best)
+    return edges.select(node_id(F.col("lo"), F.col("pos")).alias("node"), node_id(F.col("parent_lo"), F.col("parent_pos")).alias("parent"), "depth", F.col("parent_pos").alias("start"), F.col("pos").alias("end"), "n", "is_leaf", "is_end", *best)
+
+
+def sentence_tree(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, name, parent, depth, label, n, is_end): the compressed tree of sentences, cut at word boundaries.
+
+    Node 0 is the root, and a beginning that all share the trunk; the others are numbered in depth-first order. A label is
+    the node's own words. White space parts words, however long; null and blank texts are left out, no text gives no tree.
     """
-    more = [c for c in ("logprob", "is_greedy") if c in seqs.columns]
-    best = {"logprob": F.exp(F.max("logprob")).alias("prob"), "is_greedy": F.max("is_greedy").alias("is_greedy")}
-    steps = prefix_steps(seqs, ("traj_idx", *more)).withColumn("node", F.xxhash64("prefix", "token"))
-    ends = prefix_ends(seqs).select(F.col("prefix").alias("node")).withColumn("is_end", F.lit(True))
-    tree = steps.groupBy("node", F.col("prefix").alias("parent"), F.col("pos").alias("depth"), F.col("token").alias("word")).agg(F.count("*").alias("n"), F.max(F.col("length") > F.col("pos") + 1).alias("more"), *[best[c] for c in more])
-    given = [{"logprob": "prob"}.get(c, c) for c in more]
-    return tree.join(ends, "node", "left").select("node", "parent", "depth", "word", "n", (~F.col("more")).alias("is_leaf"), F.coalesce("is_end", F.lit(False)).alias("is_end"), *given)
+    words = F.split(F.trim(F.regexp_replace(text_col, "\\s+", " ")), " ")
+    seqs = texts.where(F.trim(F.regexp_replace(text_col, "\\s+", " ")) != "").select(words.alias("tokens"))
+    walked = settled(paths(seqs, (), with_rest=True))
+    first = walked.select(F.col("k").alias("lo"), F.coalesce("lcp", F.lit(0)).alias("__lcp"), "rest")
+    own = F.slice("rest", F.col("parent_pos") - F.col("__lcp") + 1, F.col("pos") - F.col("parent_pos"))
+    edges = compressed(seqs, walked=walked).join(first, "lo").withColumn("label", F.array_join(own, " ")).drop("rest", "__lcp")
+    numbered = settled(ranked(edges, [], [F.col("lo"), F.col("pos")], "node"))
+    above = numbered.select(F.col("lo").alias("parent_lo"), F.col("pos").alias("parent_pos"), F.col("node").alias("parent"))
+    total = walked.agg(F.count("*").alias("__all"))
+    rows = numbered.join(above, ["parent_lo", "parent_pos"], "left").crossJoin(F.broadcast(total))  # one row
+    name = F.when(F.col("n") == F.col("__all"), "trunk").otherwise(F.concat(F.lit("node_"), F.col("node")))
+    rows = rows.select("node", name.alias("name"), F.coalesce("parent", F.lit(0)).alias("parent"), "depth", "label", "n", "is_end")
+    root = total.where("__all > 0").select(F.lit(0).cast("long").alias("node"), F.lit("root").alias("name"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), F.lit("root").alias("label"), F.col("__all").alias("n"), F.lit(False).alias("is_end"))
+    return root.unionByName(rows)
 
 
 def kept_nodes(tree: DataFrame) -> DataFrame:

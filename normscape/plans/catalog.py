@@ -795,25 +795,21 @@ _K10 = f"""WITH {X.SEQS}, a AS (SELECT k, tokens, n, greatest(lcp, 0) AS fst, le
 
 
 @query("K1_divergence_nodes", _K1)
-@query("K1_divergence_nodes_whole", _K1)
 def _(spark, d):
     return K.divergence_nodes(X.token_seqs(spark, d)).groupBy("pos", "n_branches", "n_rows").agg(F.count("*").alias("n"))
 
 
 @query("K2_node_branches", _K2)
-@query("K2_node_branches_whole", _K2)
 def _(spark, d):
     return K.node_branches(X.token_seqs(spark, d)).select("pos", "token", "n", "first_traj")
 
 
 @query("K3_nodes_of_trajectory", _K3)
-@query("K3_nodes_of_trajectory_whole", _K3)
 def _(spark, d):
     return K.nodes_of_trajectory(X.token_seqs(spark, d)).select("traj_idx", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
 
 
 @query("K10_word_tree", _K10)
-@query("K10_word_tree_whole", _K10)
 def _(spark, d):
     return K.word_tree(X.token_seqs(spark, d)).select("depth", "word", "n", "is_leaf")
 
@@ -829,9 +825,21 @@ def _(spark, d):
     return K.add_trajectories(s.where("traj_idx % 10 <> 0 AND arm < 'root'"), s.where("traj_idx % 10 = 0"))[1]
 
 
-@query("K11_collapse_chains", f"WITH {X.SEQS} SELECT count(*) AS n_nodes FROM (SELECT DISTINCT lo, pos FROM part WHERE pos > 0 UNION SELECT min(k) OVER (PARTITION BY tokens), n FROM s)")
+#: Nodes that branch or end (k lo..hi, length pos), each with the longest above it and how many there are.
+_KEPT = f"""{X.SEQS}, e AS (SELECT min(k) AS lo, n AS pos, max(until) AS hi FROM ended JOIN s USING (k, n) GROUP BY tokens, n),
+ kept AS MATERIALIZED (SELECT lo, pos, hi FROM part WHERE pos > 0 UNION SELECT lo, pos, hi FROM e),
+ up AS (SELECT c.lo, c.pos, c.hi, count(p.pos) AS above, coalesce(max(p.pos), 0) AS start, arg_max(p.lo, p.pos) AS parent_lo FROM kept c LEFT JOIN kept p ON p.lo <= c.lo AND p.hi >= c.hi AND p.pos < c.pos GROUP BY 1, 2, 3),
+ num AS (SELECT *, row_number() OVER (ORDER BY lo, pos) AS node FROM up)"""
+
+
+@query("K11_collapse_chains", f"WITH {_KEPT} SELECT above + 1 AS depth, start, pos AS \"end\", hi - lo + 1 AS n, s.n = pos AS is_end, e.n = pos AS is_leaf FROM up JOIN s ON s.k = lo JOIN s e ON e.k = hi")
+def _(spark, d):
+    return K.compressed_tree(X.token_seqs(spark, d)).select(F.col("depth").cast("long").alias("depth"), "start", "end", "n", "is_end", "is_leaf")
+
+
+@query("K9_sentence_tree", f"WITH {_KEPT} SELECT c.node, CASE WHEN c.hi - c.lo + 1 = (SELECT count(*) FROM s) THEN 'trunk' ELSE 'node_' || c.node END AS name, coalesce(p.node, 0) AS parent, c.above + 1 AS depth, array_to_string(s.tokens[c.start + 1:c.pos], ' ') AS label, c.hi - c.lo + 1 AS n, s.n = c.pos AS is_end FROM num c JOIN s ON s.k = c.lo LEFT JOIN num p ON p.lo = c.parent_lo AND p.pos = c.start UNION ALL SELECT 0, 'root', NULL, 0, 'root', count(*), false FROM s")
 def _(spark, d):
-    return K.collapse_chains(K.word_tree(X.token_seqs(spark, d))).agg(F.count("*").alias("n_nodes"))
+    return K.sentence_tree(X.table(spark, d, "documents").select("text"))
 
 
 # judges, samples

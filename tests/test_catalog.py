@@ -30,12 +30,12 @@ def test_trees_and_walk_over_whole_texts(spark, tmp_path):
             nodes.setdefault(tuple(t[:p]), []).append((t[p], 4 * i))
     whole = set(map(tuple, texts))
     nodes = {p: r for p, r in nodes.items() if len({w for w, _ in r}) > 1 and not any(p[:k] in whole for k in range(len(p) + 1))}
-    assert sorted(got("K10_word_tree_whole")) == sorted((len(p) - 1, p[-1], len(e), all(e)) for p, e in tree.items())
-    assert sorted(got("K1_divergence_nodes_whole")) == sorted((len(p), len({w for w, _ in r}), len(r), 1) for p, r in nodes.items())
+    assert sorted(got("K10_word_tree")) == sorted((len(p) - 1, p[-1], len(e), all(e)) for p, e in tree.items())
+    assert sorted(got("K1_divergence_nodes")) == sorted((len(p), len({w for w, _ in r}), len(r), 1) for p, r in nodes.items())
     branches = [(len(p), w, sum(x == w for x, _ in r), min(i for x, i in r if x == w)) for p, r in nodes.items() for w in {x for x, _ in r}]
-    assert sorted(got("K2_node_branches_whole")) == sorted(branches)
+    assert sorted(got("K2_node_branches")) == sorted(branches)
     hits = {i: ",".join(str(len(p)) for p in sorted(nodes, key=len) if any(i == x for _, x in nodes[p])) for i in {i for r in nodes.values() for _, i in r}}
-    assert dict(got("K3_nodes_of_trajectory_whole")) == hits
+    assert dict(got("K3_nodes_of_trajectory")) == hits
     left, pos = list(range(len(texts))), 0
     while any(len(texts[i]) > pos for i in left):
         going = [texts[i][pos] for i in left if len(texts[i]) > pos]
