@@ -41,16 +41,23 @@ _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _open: list[tuple[list[str], tuple[str, ...]]] = []
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs within."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(int(before), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
 def saved(df: DataFrame, name: str, arrow_rows: int = ARROW_ROWS) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(_ARROW)
-    spark.conf.set(_ARROW, str(min(int(rows), arrow_rows)))
-    try:
+    with small_batches(spark, arrow_rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW, rows)
     if _open and name not in _open[-1][1]:
         _open[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normscape.llm.common import ARROW_ROWS, batch, gather_runs, shared_dir, slices, small_side
+from normscape.llm.common import small_batches, batch, gather_runs, shared_dir, slices, small_side
 
 SHARD_IDS = 1 << 18
 #: Uses that a rule must have, and what a round must save of the symbols for another to follow.
@@ -171,6 +172,7 @@ class ByteTokens:
     """
 
     def __init__(self, path: str, cap: int = PIECES_KEPT):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
@@ -313,7 +315,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             yield flush()
 
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "body")
-    ordered.mapInArrow(write, _TABLE).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(write, _TABLE).write.parquet(path)
 
 
 def placed_shards(spark: SparkSession, path: str) -> DataFrame:
