@@ -32,7 +32,9 @@ LEAST_USES, LEAST_GAIN = 4, 1 / 32
 _SLOT_BITS = 17
 _SLOTS = 1 << _SLOT_BITS
 #: Pieces of text (a word and what stands before it) whose ids a Python worker keeps.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 500_000
+#: Texts are encoded together up to about so many bytes: of more pieces fewer are distinct.
+_TEXT_BYTES = 4 << 20
 _MAGIC = b"RPG1"
 #: Byte-level alphabets write printable Latin-1 bytes as themselves and the others as letters from 256 on; here a line end,
 #: which stands between words, stays.
@@ -295,7 +297,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             lists = [[x] for x in map(list, zip(*pieces))]
             return batch(_SCHEMA, [part], [shard], [before], [size], *lists, [each.tolist()], [pack_shard(g, symbols)])
 
-        for doc_ids, bodies in slices(batches):
+        for doc_ids, bodies in slices(batches, _TEXT_BYTES):
             ids, lengths = words.encode(bodies)
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, np.uint32(end_id))
@@ -400,8 +402,8 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             out = []
             for i, s, parts in zip(*(c.to_pylist() for c in b.columns)):
-                crc, total = 0, 0
-                for p in parts:
+                crc, total = parts[0]["ids_crc32"], parts[0]["n_ids"]
+                for p in parts[1:]:
                     crc, total = crc_joined(crc, p["ids_crc32"], 4 * p["n_ids"]), total + p["n_ids"]
                 out.append((i, s, total, crc))
             yield batch(schema, *zip(*out)) if out else batch(schema, [], [], [], [])
