@@ -96,12 +96,26 @@ def arm_edges(arms: DataFrame) -> DataFrame:
     return named.join(have, "parent")
 
 
+def arm_tree(arms: DataFrame) -> DataFrame:
+    """(parent, arm, n_traj, p_given_parent) of arms with counts and probabilities; the topmost arm has no parent.
+
+    With no trunk among the arms, branches hang on root; twigs whose branch is missing are left out. A missing count or
+    probability is an error, and so are arms without root and trunk.
+    """
+    given = F.when(F.col("n_traj").isNull() | F.col("p_given_parent").isNull(), F.raise_error(F.concat(F.lit("no count or probability for arm "), F.col("arm"))).cast("string")).otherwise(F.col("arm"))
+    rows = arms.select(given.alias("arm"), "n_traj", "p_given_parent")
+    top = arms.agg(F.max(F.when(F.col("arm") == "root", 2).when(F.col("arm") == "trunk", 1).otherwise(0)).alias("__t"))  # one row
+    name = F.when(F.col("__t") == 2, "root").when(F.col("__t") == 1, "trunk").otherwise(F.raise_error(F.lit("neither root nor trunk among the arms")).cast("string"))
+    first = rows.join(F.broadcast(top.select(name.alias("__top"))), F.col("arm") == F.col("__top")).select(F.lit(None).cast("string").alias("parent"), "arm", "n_traj", "p_given_parent")
+    return first.unionByName(arm_edges(arms).join(rows, "arm").select("parent", "arm", "n_traj", "p_given_parent"))
+
+
 def filter_arm(df: DataFrame, arm: str) -> DataFrame:
-    """Rows of one arm; an unknown arm is an error that lists the arms."""
-    if df.where(F.col("arm") == arm).isEmpty():
-        names = [r[0] for r in df.select("arm").distinct().orderBy("arm").limit(100).collect()]
-        raise ValueError(f"no arm {arm!r}; there are {names}")
-    return df.where(F.col("arm") == arm)
+    """Rows of one arm; an unknown arm is an error that lists the arms (a row an arm), found as the rows are read."""
+    names = df.select("arm").distinct().agg(F.sort_array(F.collect_list("arm")).alias("__names"))
+    known = F.when(F.array_contains("__names", arm), F.lit(arm)).otherwise(F.raise_error(F.concat(F.lit(f"no arm {arm!r}; there are "), F.concat_ws(", ", F.slice("__names", 1, 100)))).cast("string"))
+    wanted = names.select(known.alias("__arm")).first()[0]
+    return df.where(F.col("arm") == wanted)
 
 
 def added_text(arms: DataFrame) -> DataFrame:

@@ -158,6 +158,31 @@ def concentration(d: Column) -> Column:
     return F.when(d <= EPS, INF).otherwise(1 / F.when(d > EPS, d))
 
 
+def probs_to_logprobs(ps: Column) -> Column:
+    """Logarithms of an array of probabilities; those up to EPS give -infinity."""
+    return F.transform(ps, safe_ln)
+
+
+def logprobs_to_probs(lp: Column) -> Column:
+    return F.transform(lp, F.exp)
+
+
+def empirical_cross_entropy(lp: Column) -> Column:
+    """Mean negative log-probability; empty: infinity."""
+    n = F.size(lp)
+    return F.when(n == 0, INF).otherwise(-total(lp) / F.greatest(n, F.lit(1)))
+
+
+def alpha_inv_perplexity(lp: Column, alpha: float) -> Column:
+    """Power mean of order alpha of the probabilities: 0 is the usual inverse perplexity, -infinity the worst token's."""
+    return power_mean(logprobs_to_probs(lp), alpha)
+
+
+def alpha_perplexity(lp: Column, alpha: float) -> Column:
+    """1 / alpha_inv_perplexity(); a mean up to EPS, or no token, gives infinity."""
+    return let(alpha_inv_perplexity(lp, alpha), lambda m: F.when((F.size(lp) == 0) | m.isNull() | (m <= EPS), INF).otherwise(1 / m))
+
+
 def perplexity(lp: Column) -> Column:
     """exp of the mean negative log-probability; empty: infinity."""
     n = F.size(lp)
@@ -213,10 +238,16 @@ def fork_metrics(pa: Column, pb: Column) -> dict[str, Column]:
 
 
 def faithfulness(clean: Column, corrupted: Column, patched: Column) -> dict[str, Column]:
-    """Share of the clean-corrupted gap that a patch recovers or disrupts; a gap below 1e-10 gives 0."""
+    """Share of the clean-corrupted gap that a patch recovers or disrupts; a gap below 1e-10 gives 0.
+
+    The four scores name what a share says by the kind of patch: clean values put into a corrupted run inside the circuit
+    (sufficiency) or outside it (completeness), corrupted ones put into a clean run inside (necessity) or outside
+    (independence).
+    """
     gap = clean - corrupted
     share = lambda x: F.when(F.abs(gap) < 1e-10, 0.0).otherwise(x / F.when(F.abs(gap) >= 1e-10, gap))
-    return {"recovery": share(patched - corrupted), "disruption": share(clean - patched)}
+    recovery, disruption = share(patched - corrupted), share(clean - patched)
+    return {"recovery": recovery, "disruption": disruption, "sufficiency": recovery, "completeness": disruption, "necessity": disruption, "independence": recovery}
 
 
 def sanitize(x: Column) -> Column:

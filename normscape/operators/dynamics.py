@@ -1,4 +1,4 @@
-"""Time series along a text: windows partition by trajectory or node, which are small."""
+"""Time series along a text: windows partition by trajectory, which is small; a node's history is cut by range."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normscape.functions import vectors as V
+from normscape.operators.weights import join_groups
+from normscape.sources.tables import settled
 
 
 def dynamics(series: DataFrame) -> DataFrame:
@@ -24,9 +26,30 @@ def system_default(samples: DataFrame) -> DataFrame:
 
 
 def running_stats(samples: DataFrame) -> DataFrame:
-    """(node, i, n, mean, std) after each sample of (node, i, x)."""
-    w = Window.partitionBy("node").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return samples.select("node", "i", F.count("x").over(w).alias("n"), F.avg("x").over(w).alias("mean"), F.stddev_pop("x").over(w).alias("std"))
+    """(node, i, n, mean, std) after each sample of (node, i, x); null x count as none.
+
+    Samples are sorted into range partitions. A partition has its own running moments, and takes in those of all
+    partitions before, merged from a row a node and partition; so a node's history may fill any number of tasks.
+    """
+    part = settled(samples.select("node", "i", "x").repartitionByRange("node", "i").withColumn("__part", F.spark_partition_id()))
+    own = moments(part, ["__part", "node"])
+    whole = Window.partitionBy("node")
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # means of partitions are merged around the node's mean, so that no large squares cancel
+    centre = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
+    off = own.withColumn("__c", centre).withColumn("__d", F.coalesce(F.col("mean") - F.col("__c"), F.lit(0.0)))
+    total = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0.0))
+    sums = off.select("__part", "node", "__c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), total(F.col("n") * F.col("__d")).alias("__s"), total(F.coalesce("m2", F.lit(0.0)) + F.col("n") * F.col("__d") * F.col("__d")).alias("__q"))
+    shift = F.when(F.col("n0") > 0, F.col("__s") / F.col("n0")).otherwise(0.0)
+    sums = sums.select("__part", "node", "n0", (F.col("__c") + shift).alias("mean0"), (F.col("__q") - F.col("__s") * shift).alias("m20"))
+    upto = Window.partitionBy("__part", "node").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    here = part.select("__part", "node", "i", F.count("x").over(upto).alias("n1"), F.avg("x").over(upto).alias("mean1"), F.var_pop("x").over(upto).alias("v1"))
+    rows = join_groups(here, sums, ["__part", "node"])
+    n, d = F.col("n0") + F.col("n1"), F.col("mean1") - F.col("mean0")
+    first, last = F.col("n0") == 0, F.col("n1") == 0
+    mean = F.when(last, F.when(~first, F.col("mean0"))).when(first, F.col("mean1")).otherwise(F.col("mean0") + d * F.col("n1") / n)
+    variance = F.when(last, F.when(~first, F.col("m20") / F.col("n0"))).when(first, F.col("v1")).otherwise((F.col("m20") + F.col("v1") * F.col("n1") + d * d * F.col("n0") * F.col("n1") / n) / n)
+    return rows.select("node", "i", n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"))
 
 
 def moments(samples: DataFrame, keys: list[str], value: str = "x") -> DataFrame:

@@ -21,11 +21,13 @@ def merge_judges_greedy(scores: DataFrame, n_judges: int) -> DataFrame:
 
 
 def average_judges(responses: DataFrame, judges: list[str] | None = None) -> DataFrame:
-    """(text, question, score[, a judge a column]): null-safe mean; all null stays null."""
-    if judges:
-        cells = [F.avg(F.when(F.col("judge") == j, F.col("score"))).alias(j) for j in judges]
-        return responses.groupBy("text", "question").agg(F.avg("score").alias("score"), *cells)
-    return responses.groupBy("text", "question").agg(F.avg("score").alias("score"))
+    """(text, question, score[, a judge a column][, logprob]): null-safe mean; all null stays null.
+
+    Responses with a logprob give its mean over the judges that have one.
+    """
+    cells = [F.avg(F.when(F.col("judge") == j, F.col("score"))).alias(j) for j in judges or []]
+    sure = [F.avg("logprob").alias("logprob")] if "logprob" in responses.columns else []
+    return responses.groupBy("text", "question").agg(F.avg("score").alias("score"), *cells, *sure)
 
 
 def append_structures(scores: DataFrame, new: DataFrame, at: int) -> DataFrame:

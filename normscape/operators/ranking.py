@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normscape.operators.weights import join_groups, with_weight
+from normscape.operators.weights import arm_rows, join_groups, with_weight
 from normscape.sources.tables import settled
 
 
@@ -45,3 +45,8 @@ def medians(df: DataFrame, keys: list[str], value: str, out: str = "median") ->
 def ranked_weights(systems: DataFrame, method: str = "prob", out: str = "w") -> DataFrame:
     """Each row with its weight in the arm and its rank there, the largest first; ties in order of traj_idx."""
     return ranked(with_weight(systems, method, out=out), ["arm"], [F.col(out).desc(), F.col("traj_idx")])
+
+
+def ranked_arm_rows(systems: DataFrame) -> DataFrame:
+    """weights.arm_rows() with rank, the likeliest of an arm first."""
+    return ranked(arm_rows(systems), ["arm"], [F.col("p_norm").desc(), F.col("traj_idx")])

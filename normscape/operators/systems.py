@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normscape.functions.vectors import INF
@@ -20,6 +20,18 @@ def structure_dim(items: DataFrame) -> DataFrame:
     return items.select("method", "position", F.concat("prefix", (F.col("position") + 1).cast("string")).alias("label"), F.size("questions").alias("question_count"), F.concat_ws(" + ", cut).alias("description"))
 
 
+def structure_offsets(items: DataFrame, methods: list[str]) -> DataFrame:
+    """structure_dim() with method_offset and struct_idx: structures are counted over the methods in the order given.
+
+    Methods without structures take no numbers; those not in the list have no rows. A configuration: a row a structure.
+    """
+    sizes = items.groupBy("method").agg(F.max("position").alias("__last"))
+    place = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
+    before = Window.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)  # a row a method
+    offsets = sizes.withColumn("__place", place).where("__place > 0").select("method", F.coalesce(F.sum(F.col("__last") + 1).over(before), F.lit(0)).alias("method_offset"))
+    return structure_dim(items).join(offsets, "method").withColumn("struct_idx", F.col("method_offset") + F.col("position"))
+
+
 def arm_structure_means(scores: DataFrame) -> DataFrame:
     """(arm, struct_idx, item_idx, mean): nulls skipped; item_idx null is the pooled mean of a bundle."""
     return scores.groupingSets([["arm", "struct_idx", "item_idx"], ["arm", "struct_idx"]], "arm", "struct_idx", "item_idx").agg(F.avg("score").alias("mean"))

@@ -14,8 +14,6 @@ from normscape.functions.vectors import EPS, INF
 from normscape.sources.tables import settled
 
 LEAST_LOGPROB = -700.0
-#: Arms are a dimension of names from a configuration; beyond this many the join is left to the optimizer.
-ARM_ROWS = 100_000
 
 
 def join_groups(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -147,6 +145,39 @@ def arm_statistics(systems: DataFrame) -> DataFrame:
     return systems.groupBy("arm").agg(F.count("*").alias("n"), F.sum(p).alias("mass"), (100 * F.sum(p)).alias("coverage"), F.max("logprob").alias("best_logprob"), F.avg(ppl).alias("mean_ppl"))
 
 
+def arm_rows(systems: DataFrame) -> DataFrame:
+    """(traj_idx, arm, logprob, p, p_norm, ppl, inv_ppl_share): the rows behind arm_statistics(); ranking.py ranks them.
+
+    p is 0 for a logprob up to LEAST_LOGPROB; p_norm is the row's share in its arm. Rows without tokens, or with p 0, have no perplexity and no share of its inverse; null
+    logprobs count as 0.
+    """
+    lp, n = F.coalesce("logprob", F.lit(0.0)), F.coalesce("n_tokens", F.lit(0))
+    given = systems.select("traj_idx", "arm", lp.alias("logprob"), n.alias("n_tokens"))
+    rows = with_weights(given, ["prob"])
+    inverse = _inv_ppl(F.col("logprob"), F.col("n_tokens"))
+    rows = join_groups(rows, settled(given.groupBy("arm").agg(F.sum(inverse).alias("__total"))), ["arm"])
+    known = (F.col("n_tokens") > 0) & (F.col("logprob") > LEAST_LOGPROB)
+    return rows.select(
+        "traj_idx",
+        "arm",
+        "logprob",
+        F.when(F.col("logprob") > LEAST_LOGPROB, F.exp("logprob")).otherwise(0.0).alias("p"),
+        F.col("w0").alias("p_norm"),
+        F.when(known, F.exp(-F.col("logprob") / F.when(known, F.col("n_tokens")))).alias("ppl"),
+        F.when(known, F.when(F.col("__total") > 0, inverse / F.when(F.col("__total") > 0, F.col("__total"))).otherwise(0.0)).alias("inv_ppl_share"),
+    )
+
+
+def arm_p0(rows: DataFrame) -> DataFrame:
+    """(arm, p0): how likely an arm's prefill is by its first row: exp(logprob under trunk - logprob under the arm).
+
+    rows: conditional_logprobs(). Root and trunk have none, nor has an arm with either at 0 (not conditioned on it).
+    """
+    first = rows.groupBy("arm").agg(F.min_by("conditional", "traj_idx").alias("c"))
+    trunk, own = F.coalesce(F.col("c")["trunk"], F.lit(0.0)), F.coalesce(F.col("c")[F.col("arm")], F.lit(0.0))
+    return first.where(~F.col("arm").isin("root", "trunk") & (trunk != 0) & (own != 0)).select("arm", F.exp(trunk - own).alias("p0"))
+
+
 def suffix_prob(df: DataFrame, logprobs: str, start: str, end: str) -> Column:
     """exp of the logprobs in [start, end); none or an empty range gives 1."""
     part = F.slice(F.col(logprobs), F.col(start) + 1, F.greatest(F.col(end) - F.col(start), F.lit(0)))

@@ -536,8 +536,8 @@ def _(spark, d):
 
 @query("H5_trajectory_deviance", f"WITH {X.weighted('prob')}, {_CORE} SELECT traj_idx, wt.arm, {q6(_DEV, 'deviance')}, {q6(_DEV + ' / 2', 'normalized')} FROM wt JOIN c USING (arm)")
 def _(spark, d):
-    s = D.with_core(X.systems_li(spark, d), _cores(spark, d, "prob"))
-    return s.select("traj_idx", "arm", r6(V.deviance(F.col("system"), F.col("core"))).alias("deviance"), r6(V.normalized_deviance(F.col("system"), F.col("core"))).alias("normalized"))
+    s = D.trajectory_deviance(X.systems_li(spark, d), _cores(spark, d, "prob"))
+    return s.select("traj_idx", "arm", r6("deviance").alias("deviance"), r6(V.normalized_deviance(F.col("system"), F.col("core"))).alias("normalized"))
 
 
 @query("H8_expected_orientation", f"WITH {X.weighted('inv-ppl')}, {_CORE}, {X.long('wt', 'arm')} SELECT arm, struct_idx::INT AS struct_idx, {q6('avg(x) - any_value(CASE struct_idx WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END)', 'value')} FROM lng JOIN c USING (arm) GROUP BY 1, 2")
@@ -925,6 +925,71 @@ def _(spark, d):
     return j.groupBy(F.window("ts", "1 hour").alias("w"), F.col("q_idx").cast("long").alias("q_idx")).agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("score", F.lit(0.0)))).alias("mean")).select(F.col("w.start").alias("hour"), "q_idx", "n", "mean")
 
 
+# streams over the events: written to the shared folder as a source of files, some of them twice, and run to the end
+
+def _stream(spark, name: str, rows: DataFrame, repeats: str = "event_id % 7 = 0", end: str | None = None) -> DataFrame:
+    """rows as a stream, those of the condition repeats twice; end: a column of time, which a last row moves on by a day."""
+    path = IO.scratch(spark, name)
+    rows.unionByName(rows.where(repeats)).write.parquet(path)
+    if end:
+        rows.agg(*[F.max(c).alias(c) if c == end else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).withColumn(end, F.expr(f"{end} + INTERVAL 1 DAY")).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _events(spark, d, *named: str) -> DataFrame:
+    score = "CASE WHEN event_id % 13 = 0 THEN NULL ELSE least(value / 330D, 1D) END AS score"
+    return X.table(spark, d, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", score, *named)
+
+
+_EV = "ev AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN NULL ELSE least(value / 330, 1) END AS score FROM events)"
+
+
+@query("N1_stream_cores", f"WITH {_EV} SELECT user_id % 5 AS node_id, event_id % 3 AS q_idx, {q6('avg(coalesce(score, 0))', 'mean')}, {q6('stddev_pop(coalesce(score, 0))', 'std')}, count(*) AS n, count(*) FILTER (score IS NULL) AS errors FROM ev GROUP BY 1, 2")
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    rows = _events(spark, d, "event_id AS sample_id", "user_id % 5 AS node_id", "event_id % 3 AS q_idx")
+    out = N.latest(N.stream_cores(_stream(spark, "n1", rows)), ["node_id", "q_idx"], "n1-out")
+    return out.select("node_id", "q_idx", r6("mean").alias("mean"), r6("std").alias("std"), "n", "errors")
+
+
+@query("N2_stream_complete_samples", f"WITH {_EV} SELECT event_id // 3 AS sample_id, {q6('avg(coalesce(score, 0))', 'mean')} FROM ev WHERE event_id % 30 <> 4 GROUP BY 1 HAVING count(*) = 3")
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    rows = _events(spark, d, "CAST(floor(event_id / 3) AS BIGINT) AS sample_id", "event_id % 3 AS q_idx").where("event_id % 30 <> 4")
+    out = N.latest(N.stream_complete_samples(_stream(spark, "n2", rows), 3), ["sample_id"], "n2-out", "append")
+    return out.select("sample_id", r6("mean").alias("mean"))
+
+
+@query("N5_stream_judge_average", f"WITH {_EV}, last AS (SELECT user_id % 40 AS text, event_id % 3 AS question, event_type, arg_max(struct_pack(s := score), (ts, score IS NOT NULL, coalesce(score, 0))).s AS score FROM ev GROUP BY 1, 2, 3) SELECT text, question, {q6('avg(score)', 'score')}, count(*) AS n FROM last GROUP BY 1, 2")
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    rows = _events(spark, d, "user_id % 40 AS text", "event_id % 3 AS question", "event_type AS judge").withColumn("ts", F.date_trunc("millisecond", "ts"))
+    out = N.latest(N.stream_judge_average(_stream(spark, "n5", rows)), ["text", "question"], "n5-out")
+    return out.select("text", "question", r6("score").alias("score"), "n")
+
+
+@query("N6_stream_positions", f"WITH {_EV}, m AS (SELECT user_id % 40 AS traj_idx, event_id % 4 AS k, event_id % 3 AS s, avg(coalesce(score, 0)) AS mean FROM ev GROUP BY 1, 2, 3) SELECT traj_idx, k, round(sum(mean * (s + 1)), 6) + 0.0 AS weighted, count(*) AS n_structures, count(*) OVER (PARTITION BY traj_idx) / 4::DOUBLE AS progress FROM m GROUP BY 1, 2")
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    rows = _events(spark, d, "event_id AS sample_id", "user_id % 40 AS traj_idx", "CAST(event_id % 4 AS INT) AS k", "CAST(event_id % 3 AS INT) AS struct_idx")
+    out = N.positions_in_order(N.latest(N.stream_positions(_stream(spark, "n6", rows)), ["traj_idx", "k", "struct_idx"], "n6-out"), 4)
+    weighted = F.aggregate(F.transform("system", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("traj_idx", F.col("k").cast("long").alias("k"), r6(weighted).alias("weighted"), F.size("system").cast("long").alias("n_structures"), "progress")
+
+
+@query("N7_windowed_cores", ORACLES["N7_windowed_cores_batch"])
+def _(spark, d):
+    from normscape.streaming import judgements as N
+
+    rows = _events(spark, d, "event_id AS sample_id", "CAST(0 AS INT) AS node_id", "event_id % 3 AS q_idx")
+    out = N.latest(N.windowed_cores(_stream(spark, "n7", rows, end="ts"), "1 hour"), ["window", "q_idx"], "n7-out", "append")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "q_idx", "n", r6("mean").alias("mean"))
+
+
 # the smaller operators, each over a whole table
 
 @query("A1_read_labelled_csv", "SELECT lang AS arm, count(*) AS n, sum(len(trim(text)))::BIGINT AS chars FROM documents WHERE trim(text) <> '' AND trim(lang) <> '' GROUP BY 1")
@@ -1140,7 +1205,7 @@ def _(spark, d):
     path, j = IO.scratch(spark, "progress"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
     for i in (0, 1, 1):  # the second batch is replayed
         N.merge_progress(j.where(F.pmod("item_idx", F.lit(2)) == i), i, path)
-    return N.progress(spark.read.parquet(f"{path}/v1"), 5)
+    return N.progress(N.progress_table(path).read(spark), 5)
 
 
 @query("N4_running_batch", f"WITH {X.JUDGES} SELECT traj_idx AS node_id, count(*) AS n, {q6('avg(coalesce(score, 0))', 'mean')}, {q6('var_pop(coalesce(score, 0))', 'variance')} FROM js GROUP BY 1")
@@ -1150,7 +1215,7 @@ def _(spark, d):
     path, j = IO.scratch(spark, "running"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
     for i in (0, 0, 1):
         N.merge_running(j.where(F.pmod("item_idx", F.lit(2)) == i), i, path)
-    return spark.read.parquet(f"{path}/v1").select("node_id", "n", r6("mean").alias("mean"), r6(F.col("m2") / F.col("n")).alias("variance"))
+    return N.running_table(path).read(spark).select("node_id", "n", r6("mean").alias("mean"), r6(F.col("m2") / F.col("n")).alias("variance"))
 
 
 @query("O1_score_texts", f"WITH {X.DOCS} SELECT traj_idx, 'spaces' AS method, i::INT AS struct_idx, 0::INT AS item_idx, CASE i WHEN 0 THEN len(text) - len(replace(text, ' ', '')) ELSE len(text) - len(replace(text, 'e', '')) END::DOUBLE AS score FROM docs, (VALUES (0), (1)) v(i)")
@@ -1170,3 +1235,92 @@ def _(spark, d):
     s = X.systems_li(spark, d)
     a, b = (G.core_of(s, n).select("arm", "struct_idx", r6("value").alias(c)) for n, c in (("tokens", "own_mean"), ("largest", "own_core")))
     return a.join(b, ["arm", "struct_idx"])
+
+
+# rows behind the summaries, and functions with queries of their own
+
+_SHARE_ROWS = "CASE WHEN n_tokens > 0 AND logprob > -700 THEN exp(logprob / n_tokens) ELSE 0 END"
+
+
+@query("F11_arm_rows", f"WITH {X.SYS}, r AS (SELECT traj_idx, arm, logprob, CASE WHEN logprob > -700 THEN exp(logprob) ELSE 0 END AS p, exp(logprob - max(logprob) OVER w) / sum(exp(logprob - top)) OVER w AS p_norm, CASE WHEN n_tokens > 0 AND logprob > -700 THEN exp(-logprob / n_tokens) END AS ppl, {_SHARE_ROWS} / sum({_SHARE_ROWS}) OVER w AS share FROM (SELECT *, max(logprob) OVER (PARTITION BY arm) AS top FROM sys) WINDOW w AS (PARTITION BY arm)) SELECT traj_idx, arm, {q6('p', 'p')}, {q6('p_norm', 'p_norm')}, {q6('ppl', 'ppl')}, {q6('share', 'inv_ppl_share')}, row_number() OVER (PARTITION BY arm ORDER BY round(logprob, 9) DESC, traj_idx) AS rank FROM r")
+def _(spark, d):
+    rows = RK.ranked(W.arm_rows(X.systems_li(spark, d)), ["arm"], [F.round("logprob", 9).desc(), F.col("traj_idx")])
+    return rows.select("traj_idx", "arm", *[r6(c).alias(c) for c in ("p", "p_norm", "ppl", "inv_ppl_share")], "rank")
+
+
+@query("F11_arm_p0", f"WITH {X.DOCS}, f AS (SELECT arm, arg_min(logprob, traj_idx) AS lp, arg_min(n_tokens, traj_idx) AS n FROM docs GROUP BY 1) SELECT arm, {q6('exp(-0.001::DOUBLE * n)', 'p0')} FROM f WHERE arm NOT IN ('root', 'trunk') AND lp <> 0")
+def _(spark, d):
+    docs = X.traj_docs(spark, d)
+    conditional = F.map_from_arrays(F.array(F.lit("trunk"), F.when(F.col("arm") == "trunk", "self").otherwise(F.col("arm"))), F.array(F.col("logprob") - 0.001 * F.col("n_tokens"), F.col("logprob")))
+    return W.arm_p0(docs.withColumn("conditional", conditional)).select("arm", r6("p0").alias("p0"))
+
+
+@query("F1_weight_rows", f"WITH {X.SYS}, raw AS (SELECT traj_idx, arm, {', '.join(f'{w} AS u{i}' for i, w in enumerate(X.WEIGHTS.values()))} FROM sys) SELECT traj_idx, arm, {', '.join(q6(f'1000 * u{i} / sum(u{i}) OVER (PARTITION BY arm)', n.replace('-', '_')) for i, n in enumerate(X.WEIGHTS))} FROM raw")
+def _(spark, d):
+    w = W.with_weights(X.systems_li(spark, d), list(X.WEIGHTS))
+    return w.select("traj_idx", "arm", *[r6(1000 * F.col(f"w{i}")).alias(n.replace("-", "_")) for i, n in enumerate(X.WEIGHTS)])
+
+
+@query("L3_judge_logprobs", f"WITH {X.JUDGES} SELECT traj_idx AS text, struct_idx AS question, {q6('avg(score)', 'score')}, {q6('avg(CASE WHEN item_idx = 0 THEN -score END)', 'logprob')} FROM js GROUP BY 1, 2")
+def _(spark, d):
+    j = X.judge_scores(spark, d).withColumnsRenamed({"traj_idx": "text", "struct_idx": "question"}).withColumn("logprob", F.when(F.col("item_idx") == 0, -F.col("score")))
+    return E.average_judges(j).select("text", "question", r6("score").alias("score"), r6("logprob").alias("logprob"))
+
+
+@query("E1_structure_offsets", "WITH i AS (SELECT r_name AS method, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS position, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'), o AS (SELECT method, sum(count(*)) OVER (ORDER BY method DESC) - count(*) AS method_offset FROM i GROUP BY 1) SELECT method, 's' || (position + 1) AS label, method_offset::BIGINT AS method_offset, (method_offset + position)::BIGINT AS struct_idx, n_name AS description FROM i JOIN o USING (method)")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    n = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = F.row_number().over(Window.partitionBy("r_name").orderBy("n_nationkey")) - 1  # a configuration of 25 rows
+    items = n.select(F.col("r_name").alias("method"), F.lit("s").alias("prefix"), place.alias("position"), F.array("n_name").alias("questions"))
+    s = Y.structure_offsets(items, ["MIDDLE EAST", "EUROPE", "nothing", "AMERICA", "AFRICA"])
+    return s.select("method", "label", F.col("method_offset").cast("long").alias("method_offset"), F.col("struct_idx").cast("long").alias("struct_idx"), "description")
+
+
+@query("B11_arm_tree", f"WITH {_ARMS}, p AS (SELECT arm, n, {_PARENT} AS parent FROM arms) SELECT CASE WHEN arm <> 'root' THEN parent END AS parent, arm, n AS n_traj, {q6('n / (SELECT sum(n) FROM arms)', 'p_given_parent')} FROM p WHERE arm = 'root' OR parent IN (SELECT arm FROM arms)")
+def _(spark, d):
+    a = _arms(spark, d)
+    total = a.agg(F.sum("n").alias("t"))  # one row
+    tree = A.arm_tree(a.join(F.broadcast(total)).select("arm", F.col("n").alias("n_traj"), (F.col("n") / F.col("t")).alias("p_given_parent")))
+    return tree.withColumn("p_given_parent", r6("p_given_parent"))
+
+
+@query("B13_added_text", f"WITH {_ARMS}, t AS (SELECT arm, {_PARENT} AS parent, CASE arm WHEN 'root' THEN '' WHEN 'trunk' THEN 'the ' WHEN 'branch_1' THEN 'the ' || n WHEN 'branch_2' THEN 'a ' || n ELSE 'the ' || n || arm END AS prefill FROM arms) SELECT t.arm, CASE WHEN starts_with(t.prefill, coalesce(u.prefill, '')) THEN substr(t.prefill, len(coalesce(u.prefill, '')) + 1) ELSE t.arm END AS added FROM t LEFT JOIN t u ON u.arm = t.parent")
+def _(spark, d):
+    prefill = F.expr("CASE arm WHEN 'root' THEN '' WHEN 'trunk' THEN 'the ' WHEN 'branch_1' THEN concat('the ', n) WHEN 'branch_2' THEN concat('a ', n) ELSE concat('the ', n, arm) END")
+    return A.added_text(_arms(spark, d).withColumn("prefill", prefill))
+
+
+@query("J1_alpha_perplexity", f"WITH {_LP}, pr AS (SELECT vec_id, l, list_transform(l, lambda x: exp(x)) AS p FROM lp) SELECT vec_id, {q6('len(p) / list_sum(p)', 'order_1')}, {q6('exp(-list_sum(l) / len(l))', 'order_0')}, {q6('list_sum(list_transform(p, lambda x: 1 / x)) / len(p)', 'order_minus_1')}, {q6('1 / list_min(p)', 'worst')}, {q6('-list_sum(l) / len(l)', 'cross_entropy')}, {q6('list_sum(p)', 'mass')}, {q6('list_sum(list_transform(p, lambda x: ln(x)))', 'back')} FROM pr")
+def _(spark, d):
+    e = X.embeddings(spark, d).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: -F.abs(x)).alias("l"))
+    lp, probs = F.col("l"), V.logprobs_to_probs(F.col("l"))
+    orders = {"order_1": 1, "order_0": 0, "order_minus_1": -1, "worst": -INF}
+    return e.select("vec_id", *[r6(V.alpha_perplexity(lp, a)).alias(n) for n, a in orders.items()], r6(V.empirical_cross_entropy(lp)).alias("cross_entropy"), r6(V.total(probs)).alias("mass"), r6(V.total(V.probs_to_logprobs(probs))).alias("back"))
+
+
+_KLQP = " + ".join(f"q{i} * ln(q{i} / p{i})" for i in range(4))
+
+
+@query("H12_expected_deficit", f"WITH {X.weighted('inv-ppl')}, {_CORE}, v AS (SELECT wt.arm, w, {_PQ} FROM wt JOIN c USING (arm) WHERE least(s0, s1, s2, s3) > 0.01) SELECT arm, {q6(f'sum(w * exp({_KLQP})) / sum(w)', 'deficit')} FROM v GROUP BY 1")
+def _(spark, d):
+    rows = W.with_weight(X.systems_li(spark, d)).where(F.array_min("system") > 0.01)  # elsewhere it is infinite
+    return D.expected_divergences(rows, _cores(spark, d)).select("arm", r6("deficit").alias("deficit"))
+
+
+@query("J8_faithfulness_scores", "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN abs(l_quantity - l_linenumber) < 1e-10 THEN 0 ELSE (l_discount * 100 - l_linenumber) / (l_quantity - l_linenumber) END AS rec, CASE WHEN abs(l_quantity - l_linenumber) < 1e-10 THEN 0 ELSE (l_quantity - l_discount * 100) / (l_quantity - l_linenumber) END AS dis FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(q6(c, n) for n, c in (("recovery", "rec"), ("disruption", "dis"), ("sufficiency", "rec"), ("completeness", "dis"), ("necessity", "dis"), ("independence", "rec"))) + " FROM r")
+def _(spark, d):
+    m = V.faithfulness(F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_discount") * 100)
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[r6(x).alias(n) for n, x in m.items()])
+
+
+@query("A8_content_ids", """SELECT vec_id, sha256('{"vec_id":' || vec_id || ',"label":' || label || '}') AS id FROM embeddings""")
+def _(spark, d):
+    return X.embeddings(spark, d).select("vec_id", IO.content_id(F.col("vec_id"), F.col("label")).alias("id"))
+
+
+@query("G11_ensemble_cores_greedy", f"WITH {X.SYS}, {X.long('sys', 'arm, traj_idx')} SELECT arm, struct_idx::INT AS struct_idx, {q6('arg_min(x, traj_idx) FILTER (traj_idx % 10 = 3)', 'value')} FROM lng GROUP BY 1, 2")
+def _(spark, d):
+    s = X.systems_li(spark, d).withColumn("tokens", F.array().cast("array<string>")).withColumn("is_greedy", F.col("traj_idx") % 10 == 3)
+    return C.ensemble_cores(s).where("method = 'greedy'").select("arm", "struct_idx", r6("value").alias("value"))

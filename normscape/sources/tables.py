@@ -48,18 +48,36 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce("surface_form", "term").alias("surface_form"), "covert_meaning", F.coalesce("type", "whistle_type", F.lit("II")).alias("type"), "persona", F.coalesce("example_coded", "example_context").alias("example_coded"))
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="normscape-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the folder spark.checkpoint.dir; one of our own where it is unset."""
+    """df cut from its lineage by a checkpoint in the shared folder.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes it once the table is no longer in use.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="normscape-"))
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="normscape-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; delete() it when it is no longer in use."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,98 @@ def test_registry(spark):
     scored = R.score_with_model(texts.fillna("", ["text"]), lambda: lambda s: s.str.len().astype(float))
     assert [r["score"] for r in scored.orderBy("traj_idx").collect()] == [2.0, 0.0]
     assert R.resume(items.selectExpr("struct_idx AS traj_idx", "item_idx"), spark.createDataFrame([(0, 0)], "traj_idx int, item_idx int")).count() == 1
+
+
+def test_running_stats_of_a_node_in_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    x = 1e6 + rng.normal(size=3000)
+    rows = [(0, i, float(v) if i % 11 else None) for i, v in enumerate(x)] + [(k, 0, 0.5) for k in range(1, 5)] + [(9, 0, None), (9, 1, 2.0)]
+    df = spark.createDataFrame(rows, "node int, i int, x double").repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {(r["node"], r["i"]): (r["n"], r["mean"], r["std"]) for r in M.running_stats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for i in (0, 1, 5, 700, 1500, 2999):
+        seen = np.array([v for j, v in enumerate(x[: i + 1]) if j % 11])
+        n, mean, std = got[0, i]
+        assert n == len(seen)
+        if n:
+            assert abs(mean - seen.mean()) < 1e-7 and abs(std - seen.std()) < 1e-6
+        else:
+            assert mean is None and std is None
+    assert got[9, 0] == (0, None, None) and got[9, 1] == (1, 2.0, 0.0) and got[3, 0] == (1, 0.5, 0.0)
+
+
+def test_logit_density_against_single_kernels(spark):
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.random(400), "b": np.append(rng.beta(2, 9, 300), [0.0, 1.0]), "c": np.array([0.3, 0.3]), "d": np.array([0.2, 0.9])}
+    rows = [(k, float(v)) for k, g in groups.items() for v in g] + [("a", None)]
+    got = C.logit_kde(spark.createDataFrame(rows, "arm string, x double"), ("arm",), points=201).toPandas()
+    grid = np.arange(1, 202) / 202
+    for k, g in groups.items():
+        y = np.clip(g, 1e-6, 1 - 1e-6)
+        z, at = np.log(y / (1 - y)), np.log(grid / (1 - grid))
+        want = np.zeros(201)
+        if len(set(g)) > 1:
+            h = (len(z) * 0.75) ** -0.2 * z.std(ddof=1)
+            want = np.exp(-(((at[:, None] - z) / h) ** 2) / 2).sum(1) / (len(z) * h * np.sqrt(2 * np.pi)) / (grid * (1 - grid))
+        own = got[got["arm"] == k].sort_values("y")["density"].to_numpy()
+        assert np.abs(own - want).max() < 1e-8
+
+
+def brute_tree(seqs):
+    tree = {}
+    for i, t in seqs:
+        for p in range(len(t)):
+            tree.setdefault(tuple(t[: p + 1]), []).append(i)
+    return tree
+
+
+def test_trees_over_many_partitions(spark):
+    """Runs of rows that reach over partitions, ended prefixes, equal rows and odd words, against brute force."""
+    rng = random.Random(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (1, 5, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            base, rows = [rng.choice("ab") for _ in range(12)], []
+            for i in range(60):
+                t = base[: rng.randint(0, 12)] + [rng.choice(["a", "\x00", "\x01b", "", "ab"]) for _ in range(rng.randint(0, 4))]
+                rows.append((i, t + [["x"], ["y"]][i % 2] if parts == 5 else t or ["q"]))
+            df = spark.createDataFrame(rows, "traj_idx long, tokens array<string>")
+            tree, whole = brute_tree(rows), {tuple(t) for _, t in rows}
+            kids = {}
+            for p in tree:
+                kids.setdefault(p[:-1], set()).add(p[-1])
+            nodes = {p: len(w) for p, w in kids.items() if len(w) > 1 and not any(p[:k] in whole for k in range(len(p) + 1))}
+            assert sorted((r["pos"], r["n_branches"]) for r in K.divergence_nodes(df).collect()) == sorted((len(p), n) for p, n in nodes.items())
+            got = {r["node"]: r for r in K.word_tree(df).collect()}
+            name = lambda n: () if n == 0 else (*name(got[n]["parent"]), got[n]["word"])  # noqa: E731, B023
+            assert {name(n): (r["depth"], r["n"], r["is_leaf"], r["is_end"]) for n, r in got.items()} == {p: (len(p) - 1, len(x), p not in kids, p in whole) for p, x in tree.items()}  # noqa: B023
+            kept = {p for p in tree if p in whole or len(kids[p]) > 1}
+            for r in K.compressed_tree(df).collect():
+                p = name(r["node"])
+                above = [q for q in kept if len(q) < len(p) and p[: len(q)] == q]
+                assert p in kept and name(r["parent"]) == max(above, key=len, default=()) and (r["depth"], r["end"]) == (len(above) + 1, len(p))
+                kept_seen = True
+            assert kept_seen and K.compressed_tree(df).count() == len(kept)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert K.word_tree(df.limit(0)).count() == 0 and K.sentence_tree(df.limit(0).withColumn("text", F.lit("x"))).count() == 0
+
+
+def test_sentence_tree(spark):
+    texts = ["the cat sat", "the cat  ran home", "the dog", "the cat sat", None, " "]
+    rows = [tuple(r) for r in K.sentence_tree(spark.createDataFrame([(t,) for t in texts], "text string")).orderBy("node").collect()]
+    assert rows == [
+        (0, "root", None, 0, "root", 4, False), (1, "trunk", 0, 1, "the", 4, False), (2, "node_2", 1, 2, "cat", 3, False),
+        (3, "node_3", 2, 3, "ran home", 1, True), (4, "node_4", 2, 3, "sat", 2, True), (5, "node_5", 1, 2, "dog", 1, True),
+    ]
+    numbers = spark.createDataFrame([(0, [1, 2, 3]), (1, [1, 5]), (2, [10, 2])], "traj_idx long, tokens array<int>")
+    assert sorted((r["pos"], r["token"]) for r in K.node_branches(numbers).collect()) == [(0, 1), (0, 10), (1, 2), (1, 5)]
