@@ -66,12 +66,23 @@ def count_occurrences(text: Column, phrase: str, case_sensitive: bool = False) -
     return F.regexp_count(text, F.lit(("" if case_sensitive else "(?i)") + pattern))
 
 
+#: Words whose ends are added up in one array, which is copied for each: so long texts cost little more a word.
+_CHUNK = 512
+
+
 def word_ends(text: Column) -> Column:
     """Character offset of the end of each word."""
-    pieces = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"))
-    step = lambda s, p: F.struct(F.array_append(s["ends"], s["at"] + F.char_length(p)).alias("ends"), (s["at"] + F.char_length(p)).alias("at"))
-    return F.aggregate(pieces, start, step, lambda s: s["ends"])
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0)), F.char_length)
+    last = lambda a: F.element_at(a, -1)
+    added = lambda begin, xs: F.slice(F.aggregate(xs, F.array(begin), lambda a, x: F.array_append(a, last(a) + x)), 2, F.size(xs))
+
+    def ends(own: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.size(own), F.lit(_CHUNK)), lambda s: F.slice(own, s, _CHUNK))
+        sums = lambda cs: F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x))
+        before = lambda cs: F.concat(F.array(F.lit(0)), added(F.lit(0), F.slice(sums(cs), 1, F.size(cs) - 1)))
+        return let(chunks, lambda cs: F.flatten(F.zip_with(before(cs), cs, lambda b, c: added(b, c))))
+
+    return let(lengths, lambda own: F.when(F.size(own) > 0, ends(own)).when(own.isNotNull(), F.array().cast("array<int>")))
 
 
 def prefixes_at_words(df: DataFrame, text_col: str = "text") -> DataFrame:

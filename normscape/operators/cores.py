@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from normscape.functions import vectors as V
 from normscape.operators.ranking import medians
 from normscape.operators.weights import escort, join_groups, with_weight
-from normscape.sources.tables import settled
+from normscape.sources.shared import settled
 
 INF = V.INF
 #: (q, r) of the named cores: fixed values.

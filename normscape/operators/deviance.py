@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from normscape.functions import arms as A
 from normscape.functions import vectors as V
 from normscape.operators.weights import RAW, join_groups
-from normscape.sources.tables import settled, small
+from normscape.sources.shared import settled, small
 
 
 def with_core(systems: DataFrame, cores: DataFrame) -> DataFrame:

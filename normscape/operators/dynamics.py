@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from normscape.functions import vectors as V
 from normscape.operators.weights import join_groups
-from normscape.sources.tables import settled
+from normscape.sources.shared import settled
 
 
 def dynamics(series: DataFrame) -> DataFrame:

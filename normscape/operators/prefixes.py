@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from normscape.sources.tables import settled
+from normscape.sources.shared import settled
 
 #: Ends each word of a sequence written as one string; in a word it is escaped.
 _END, _ESCAPE = "\x00", "\x01"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normscape.operators.weights import arm_rows, join_groups, with_weight
-from normscape.sources.tables import settled
+from normscape.sources.shared import settled
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:

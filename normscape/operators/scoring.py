@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from normscape.functions import text as T
 from normscape.functions import vectors as V
-from normscape.sources.tables import small
+from normscape.sources.shared import small
 
 
 def score_count_occurrences(texts: DataFrame, phrases: list[str], text_col: str = "text", case_sensitive: bool = False) -> DataFrame:

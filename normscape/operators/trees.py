@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from normscape.operators.prefixes import compressed, node_id, paths
 from normscape.operators.ranking import ranked
-from normscape.sources.tables import settled, small
+from normscape.sources.shared import settled, small
 
 
 def add_trajectories(seqs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normscape.functions.vectors import EPS, INF
-from normscape.sources.tables import settled
+from normscape.sources.shared import settled
 
 LEAST_LOGPROB = -700.0
 

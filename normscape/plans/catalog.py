@@ -22,6 +22,7 @@ from normscape.operators import systems as Y
 from normscape.operators import trees as K
 from normscape.operators import weights as W
 from normscape.plans import views as X
+from normscape.sources import shared as SH
 from normscape.sources import tables as IO
 
 QUERIES: dict[str, Callable] = {}
@@ -234,7 +235,7 @@ def _(spark, d):
 
 def _bundle_scores(texts: DataFrame, items: DataFrame) -> DataFrame:
     n = F.size(F.split(F.lower("text"), F.concat(F.lit("\\Q"), F.lower("item"), F.lit("\\E")))) - 1
-    return texts.crossJoin(IO.small(items)).select("traj_idx", "struct_idx", "item_idx", n.cast("double").alias("score"))
+    return texts.crossJoin(SH.small(items)).select("traj_idx", "struct_idx", "item_idx", n.cast("double").alias("score"))
 
 
 @query("O4_score_bundles", "SELECT doc_id AS traj_idx, b.s AS struct_idx, " + q6("list_sum(list_transform(b.items, lambda x: len(string_split(lower(text), x)) - 1))::DOUBLE / len(b.items)", "mean") + ", len(b.items)::INT AS n FROM documents, (VALUES (0, ['the', 'and']), (1, ['de', 'un', 'la'])) b(s, items)")
@@ -675,7 +676,7 @@ def _(spark, d):
 def _(spark, d):
     p = _dist(spark, d)
     arr = p.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("v"))  # a distribution a flag
-    j = arr.select(F.col("g").alias("g1"), F.col("v").alias("p")).crossJoin(IO.small(arr.select(F.col("g").alias("g2"), F.col("v").alias("q"))))
+    j = arr.select(F.col("g").alias("g1"), F.col("v").alias("p")).crossJoin(SH.small(arr.select(F.col("g").alias("g2"), F.col("v").alias("q"))))
     a, b = F.col("p"), F.col("q")
     return j.select("g1", "g2", r6(V.kl(a, b)).alias("kl"), r6(V.renyi_divergence(a, b, 2)).alias("renyi_2"), r6(V.js(a, b)).alias("js"))
 
@@ -929,7 +930,7 @@ def _(spark, d):
 
 def _stream(spark, name: str, rows: DataFrame, repeats: str = "event_id % 7 = 0", end: str | None = None) -> DataFrame:
     """rows as a stream, those of the condition repeats twice; end: a column of time, which a last row moves on by a day."""
-    path = IO.scratch(spark, name)
+    path = SH.scratch(spark, name)
     rows.unionByName(rows.where(repeats)).write.parquet(path)
     if end:
         rows.agg(*[F.max(c).alias(c) if c == end else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).withColumn(end, F.expr(f"{end} + INTERVAL 1 DAY")).write.mode("append").parquet(path)
@@ -994,7 +995,7 @@ def _(spark, d):
 
 @query("A1_read_labelled_csv", "SELECT lang AS arm, count(*) AS n, sum(len(trim(text)))::BIGINT AS chars FROM documents WHERE trim(text) <> '' AND trim(lang) <> '' GROUP BY 1")
 def _(spark, d):
-    path = IO.scratch(spark, "labelled")
+    path = SH.scratch(spark, "labelled")
     X.table(spark, d, "documents").select("text", "lang").write.csv(path, header=True, escape='"', quoteAll=True)
     rows = IO.read_labelled_csv(spark, path)
     return rows.groupBy("arm").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
@@ -1002,7 +1003,7 @@ def _(spark, d):
 
 @query("A6_write_table", "SELECT l_returnflag AS gen, count(*) AS n, " + q6("sum(l_quantity)", "quantity") + " FROM lineitem GROUP BY 1")
 def _(spark, d):
-    path = IO.scratch(spark, "written")
+    path = SH.scratch(spark, "written")
     IO.write_table(X.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("gen"), "l_quantity"), path)
     return spark.read.parquet(path).groupBy("gen").agg(F.count("*").alias("n"), r6(F.sum("l_quantity")).alias("quantity"))
 
@@ -1202,7 +1203,7 @@ def _(spark, d):
 def _(spark, d):
     from normscape.streaming import judgements as N
 
-    path, j = IO.scratch(spark, "progress"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
+    path, j = SH.scratch(spark, "progress"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
     for i in (0, 1, 1):  # the second batch is replayed
         N.merge_progress(j.where(F.pmod("item_idx", F.lit(2)) == i), i, path)
     return N.progress(N.progress_table(path).read(spark), 5)
@@ -1212,7 +1213,7 @@ def _(spark, d):
 def _(spark, d):
     from normscape.streaming import judgements as N
 
-    path, j = IO.scratch(spark, "running"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
+    path, j = SH.scratch(spark, "running"), X.judge_scores(spark, d).withColumnRenamed("traj_idx", "node_id")
     for i in (0, 0, 1):
         N.merge_running(j.where(F.pmod("item_idx", F.lit(2)) == i), i, path)
     return N.running_table(path).read(spark).select("node_id", "n", r6("mean").alias("mean"), r6(F.col("m2") / F.col("n")).alias("variance"))
@@ -1222,7 +1223,7 @@ def _(spark, d):
 def _(spark, d):
     if "spaces" not in G.SCORING:
         count = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.col("item")))
-        G.register_scoring_method("spaces", "s", lambda t, i: t.crossJoin(IO.small(i)).withColumn("score", count.cast("double")))
+        G.register_scoring_method("spaces", "s", lambda t, i: t.crossJoin(SH.small(i)).withColumn("score", count.cast("double")))
     items = spark.createDataFrame([(0, 0, " "), (1, 0, "e")], "struct_idx int, item_idx int, item string")
     return G.score_texts(X.traj_docs(spark, d).select("traj_idx", "text"), {"spaces": items})
 
@@ -1324,3 +1325,56 @@ def _(spark, d):
 def _(spark, d):
     s = X.systems_li(spark, d).withColumn("tokens", F.array().cast("array<string>")).withColumn("is_greedy", F.col("traj_idx") % 10 == 3)
     return C.ensemble_cores(s).where("method = 'greedy'").select("arm", "struct_idx", r6("value").alias("value"))
+
+
+# readers: a table is written as the files of runs and read back
+
+def _runs(spark, name: str, rows: DataFrame, run, document) -> str:
+    """A JSON document a run, a bounded part of the table each."""
+    path = SH.scratch(spark, name)
+    rows.groupBy(run.alias("run")).agg(F.to_json(document).alias("value")).write.partitionBy("run").text(path)
+    return path
+
+
+@query("A2_read_generation_json", "SELECT doc_id AS traj_idx, list_extract(['root', 'trunk', 'branch_1'], (doc_id % 4 + 1)::INT) AS arm, len(text)::INT AS chars, md5(text) AS digest, lang AS prefill_text, n_chars AS first_token, 2::INT AS n_tokens FROM documents WHERE doc_id % 4 < 3")
+def _(spark, d):
+    traj = F.struct(F.col("doc_id").alias("traj_idx"), F.array((F.col("doc_id") % 4).cast("int")).alias("arm_idx"), F.array("n_chars", "doc_id").alias("token_ids"), F.array(F.lit(-0.5)).alias("logprobs"), F.col("lang").alias("prefill_text"), F.col("text").alias("generated_text"))
+    document = F.struct(F.struct(F.array(F.lit("root"), F.lit("trunk"), F.lit("branch_1")).alias("arms")).alias("config"), F.struct(F.collect_list(traj).alias("trajs")).alias("tree"))
+    rows = IO.read_generation_json(spark, _runs(spark, "a2", X.table(spark, d, "documents"), F.floor(F.col("doc_id") / 500), document))
+    return rows.select("traj_idx", "arm", F.char_length("generated_text").alias("chars"), F.md5("generated_text").alias("digest"), "prefill_text", F.col("token_ids")[0].alias("first_token"), F.size("token_ids").alias("n_tokens"))
+
+
+@query("A3_read_scoring_json", f"WITH {_EV} SELECT event_id AS traj_idx, event_type AS arm, m.method, m.s AS struct_idx, m.i AS item_idx, round(CASE m.k WHEN 0 THEN score WHEN 1 THEN score / 2 WHEN 2 THEN 0.25 ELSE 1 END, 6) + 0.0 AS score FROM ev, (VALUES ('graded', 0, 0, 0), ('multi', 0, 0, 1), ('multi', 0, 1, 2), ('multi', 1, 0, 3)) m(method, s, i, k)")
+def _(spark, d):
+    half = (F.col("score") / 2).alias("half")
+    scores = F.struct(F.array("score").alias("graded"), F.array(F.array(half, F.lit(0.25)), F.array(F.lit(1.0))).alias("multi"))
+    result = F.struct(F.col("event_id").alias("traj_idx"), F.col("event_type").alias("arm"), scores.alias("method_scores"))
+    document = F.struct(F.lit("{").alias("note"), F.collect_list(result).alias("results"))
+    rows = IO.read_scoring_json(spark, _runs(spark, "a3", _events(spark, d, "event_type"), F.floor(F.col("event_id") / 2000), document))
+    return rows.select("traj_idx", "arm", "method", "struct_idx", "item_idx", r6("score").alias("score"))
+
+
+@query("A4_read_estimation_json", "SELECT source AS arm, 'w' || (lang = 'en')::INT AS weighting, 'n' AS measure, CASE WHEN count(*) % 3 = 0 THEN 'Infinity'::DOUBLE WHEN count(*) % 3 = 1 THEN -1 ELSE count(*) END AS value FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    shown = F.when(F.col("n") % 3 == 0, "Inf").when(F.col("n") % 3 == 1, "junk").otherwise(F.col("n").cast("string"))
+    counts = X.table(spark, d, "documents").where("lang IS NOT NULL").groupBy("source", F.concat(F.lit("w"), (F.col("lang") == "en").cast("int")).alias("weighting")).agg(F.count("*").alias("n"))
+    measures = F.map_from_entries(F.collect_list(F.struct("weighting", F.create_map(F.lit("n"), shown))))
+    arms = counts.groupBy("source").agg(measures.alias("estimates"))
+    path = _runs(spark, "a4", arms, F.col("source"), F.struct(F.collect_list(F.struct(F.col("source").alias("name"), "estimates")).alias("arms")))
+    return IO.read_estimation_json(spark, path, -1.0).select("arm", "weighting", "measure", "value")
+
+
+@query("A5_read_lexicon", "SELECT source AS word, count(*) / 8::DOUBLE AS z FROM documents GROUP BY 1")
+def _(spark, d):
+    counts = X.table(spark, d, "documents").groupBy("source").agg((F.count("*") / 8).alias("z"))
+    path = _runs(spark, "a5", counts, F.substring("source", 4, 1), F.struct(F.map_from_entries(F.collect_list(F.struct("source", "z"))).alias("delta")))
+    return IO.read_lexicon(spark, path)
+
+
+@query("A5_read_glossary", "SELECT p_name AS surface_form, p_type AS covert_meaning, CASE WHEN p_partkey % 3 = 0 THEN 'II' ELSE 'I' END AS type, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS persona, p_brand AS example_coded FROM part")
+def _(spark, d):
+    p, odd = X.table(spark, d, "part"), F.col("p_partkey") % 2 == 1
+    when = lambda c, x: F.when(c, F.col(x))
+    entry = F.struct(when(odd, "p_name").alias("term"), when(~odd, "p_name").alias("surface_form"), F.col("p_type").alias("covert_meaning"), F.when((F.col("p_partkey") % 3 > 0) & odd, "I").alias("whistle_type"), F.when((F.col("p_partkey") % 3 > 0) & ~odd, "I").alias("type"), when(~odd, "p_brand").alias("persona"), when(odd, "p_brand").alias("example_context"), when(~odd, "p_brand").alias("example_coded"))
+    path = _runs(spark, "a5g", p, F.floor(F.col("p_partkey") / 500), F.collect_list(entry))
+    return IO.read_glossary(spark, path)

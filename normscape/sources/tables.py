@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normscape.functions.vectors import safe_float
+from normscape.sources.json_parts import json_values
 
-GENERATION = "config struct<arms: array<string>>, tree struct<trajs: array<struct<traj_idx: bigint, arm_idx: array<int>, token_ids: array<bigint>, logprobs: array<double>, prefill_text: string, generated_text: string>>>"
+CONFIG = "arms array<string>"
+TRAJECTORY = "traj_idx bigint, arm_idx array<int>, token_ids array<bigint>, logprobs array<double>, prefill_text string, generated_text string"
 
 
 def read_labelled_csv(spark: SparkSession, path: str, text_col: int = 0, label_col: int = 1, header: bool = True) -> DataFrame:
@@ -21,16 +20,24 @@ def read_labelled_csv(spark: SparkSession, path: str, text_col: int = 0, label_c
 
 
 def read_generation_json(spark: SparkSession, path: str) -> DataFrame:
-    """(traj_idx, arm, token_ids, logprobs, prefill_text, generated_text); arm indexes out of range are dropped."""
-    rows = spark.read.schema(GENERATION).json(path, multiLine=True).select("config.arms", F.explode("tree.trajs").alias("t"))
+    """(traj_idx, arm, token_ids, logprobs, prefill_text, generated_text); arm indexes out of range are dropped.
+
+    One document a file; its trajectories are read in parallel, however large the file is.
+    """
+    trajs, config = json_values(spark, path, ("tree", "trajs"), ("config",))
+    arms = config.select("file", F.from_json("value", CONFIG).getField("arms").alias("arms"))  # a row a file
+    rows = trajs.select("file", F.from_json("value", TRAJECTORY).alias("t")).join(F.broadcast(arms), "file")
     arm = F.get("arms", F.col("t.arm_idx")[0])
     return rows.select("t.traj_idx", arm.alias("arm"), "t.token_ids", "t.logprobs", "t.prefill_text", "t.generated_text").where("arm IS NOT NULL")
 
 
 def read_scoring_json(spark: SparkSession, path: str) -> DataFrame:
-    """(traj_idx, arm, method, struct_idx, item_idx, score) of results whose method_scores hold scores or lists of them."""
-    schema = "results array<struct<traj_idx: bigint, arm: string, method_scores: map<string, array<string>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("results").alias("r"))
+    """(traj_idx, arm, method, struct_idx, item_idx, score) of results whose method_scores hold scores or lists of them.
+
+    One document a file, its results read in parallel; files without results are an error.
+    """
+    (results,) = json_values(spark, path, ("results",))
+    rows = results.select(F.from_json("value", "traj_idx bigint, arm string, method_scores map<string, array<string>>").alias("r"))
     if rows.isEmpty():
         raise ValueError("no results")
     cells = rows.select("r.traj_idx", "r.arm", F.explode("r.method_scores").alias("method", "cells")).select("traj_idx", "arm", "method", F.posexplode("cells").alias("struct_idx", "cell"))
@@ -48,43 +55,6 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce("surface_form", "term").alias("surface_form"), "covert_meaning", F.coalesce("type", "whistle_type", F.lit("II")).alias("type"), "persona", F.coalesce("example_coded", "example_context").alias("example_coded"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="normscape-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the shared folder.
-
-    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes it once the table is no longer in use.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared(spark))
-    return df.checkpoint()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; delete() it when it is no longer in use."""
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, which a look at the first of them tells."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def read_estimation_json(spark: SparkSession, path: str, default: float = 0.0) -> DataFrame:
     """(arm, weighting, measure, value) of a run's saved estimates: arms with weightings with numbers by name.
 

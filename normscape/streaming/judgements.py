@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from normscape.operators.dynamics import moments
-from normscape.sources.tables import delete, scratch
+from normscape.sources.shared import delete, scratch
 
 JUDGEMENTS = "sample_id long, node_id int, q_idx int, score double, ts timestamp"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
