@@ -49,7 +49,7 @@ def running_stats(samples: DataFrame) -> DataFrame:
     first, last = F.col("n0") == 0, F.col("n1") == 0
     mean = F.when(last, F.when(~first, F.col("mean0"))).when(first, F.col("mean1")).otherwise(F.col("mean0") + d * F.col("n1") / n)
     variance = F.when(last, F.when(~first, F.col("m20") / F.col("n0"))).when(first, F.col("v1")).otherwise((F.col("m20") + F.col("v1") * F.col("n1") + d * d * F.col("n0") * F.col("n1") / n) / n)
-    return rows.select("node", "i", n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"))
+    return rows.select("node", "i", n.alias("n"), mean.alias("mean"), F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("std"))
 
 
 def moments(samples: DataFrame, keys: list[str], value: str = "x") -> DataFrame:

@@ -70,12 +70,13 @@ def best_expansion_points(entropies: DataFrame, used: DataFrame, k: int) -> Data
     return entropies.join(used, ["traj_idx", "pos"], "left_anti").orderBy(F.desc("entropy"), "traj_idx", "pos").limit(k)
 
 
-#: Best values of a node over the sequences through it: the largest probability, and whether one is greedy.
-_BEST = {"logprob": ("prob", F.exp(F.max("logprob"))), "is_greedy": ("is_greedy", F.max("is_greedy"))}
+#: Columns of sequences of which a node shows the best value over those through it, and its name there.
+_BEST = {"logprob": "prob", "is_greedy": "is_greedy"}
 
 
 def _best(seqs: DataFrame) -> dict[str, Column]:
-    return {name: value for c, (name, value) in _BEST.items() if c in seqs.columns}
+    """The largest probability, and whether a sequence is greedy, as far as seqs has them."""
+    return {name: F.exp(F.max(c)) if c == "logprob" else F.max(c) for c, name in _BEST.items() if c in seqs.columns}
 
 
 def word_tree(seqs: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_arm_trees_need_counts_and_probabilities(spark):
     for bad, what in ((rows(("root", 1, 1.0), ("branch_1", None, 0.5)), "branch_1"), (rows(("branch_1", 1, 1.0)), "neither root nor trunk")):
         with pytest.raises(Exception, match=what):
             A.arm_tree(bad).collect()
-    with pytest.raises(Exception, match="no arm 'x'"):
+    with pytest.raises(ValueError, match="no arm 'x'"):
         A.filter_arm(rows(("root", 1, 1.0)), "x")
 
 
