@@ -44,8 +44,13 @@ def normalized_norm(v: Column, kind: str = "l2") -> Column:
     return norm(v, kind) / {"l2": F.sqrt(n), "l1": n.cast("double"), "linf": F.lit(1.0)}[kind]
 
 
-def deviance(system: Column, core: Column, kind: str = "l2") -> Column:
-    return norm(orientation(system, core), kind)
+def deviance(system: Column, core: Column, kind: str = "l2", structures: int | None = None) -> Column:
+    """The norm of system - core. structures: how many most systems have, if known: their l2 norm is written out."""
+    folded = norm(orientation(system, core), kind)
+    if structures is None or kind != "l2":
+        return folded
+    squares = [(F.get(system, F.lit(i)) - F.get(core, F.lit(i))) for i in range(structures)]
+    return F.when((F.size(system) == structures) & (F.size(core) == structures), F.sqrt(sum(x * x for x in squares))).otherwise(folded)
 
 
 def normalized_deviance(system: Column, core: Column, kind: str = "l2") -> Column:

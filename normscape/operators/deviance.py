@@ -12,8 +12,14 @@ from normscape.sources.shared import settled, small
 
 
 def with_core(systems: DataFrame, cores: DataFrame) -> DataFrame:
-    """Each row with its arm's core (arm, core); a core is a row an arm, worked out once."""
-    return join_groups(systems, settled(cores.select("arm", "core")), ["arm"])
+    """Each row with its arm's core (arm, core), a row an arm; give cores that are settled() if they are used again."""
+    return join_groups(systems, cores.select("arm", "core"), ["arm"])
+
+
+def _structures(cores: DataFrame, name: str = "core") -> int | None:
+    """How many structures all cores have, if that is one number: sums over so few are written out, which compiles."""
+    low, high = cores.agg(F.min(F.size(name)), F.max(F.size(name))).first()  # of a row an arm
+    return low if low == high and low is not None and 0 < low <= 64 else None
 
 
 def trajectory_deviance(systems: DataFrame, cores: DataFrame, kind: str = "l2") -> DataFrame:
@@ -35,11 +41,31 @@ def expected_orientation(systems: DataFrame, cores: DataFrame, weight: str = "w"
     return rows.groupBy("arm", "struct_idx").agg((F.sum(F.col(weight) * F.col("o")) / F.sum(weight)).alias("value"))
 
 
+def _divergences(rows: DataFrame, weight: str, n: int) -> DataFrame:
+    """(arm, weight, x, d, m) of order 1 between system and core of n structures each, as sums written out."""
+    same = F.when((F.size("system") == n) & (F.size("core") == n), F.col("system")).otherwise(F.raise_error(F.lit("lengths differ")).cast("array<double>"))
+    rows = rows.withColumn("__x", same)
+    for name, own in (("s", "__x"), ("t", "core")):
+        rows = rows.withColumn(f"__{name}", sum((F.get(own, F.lit(i)) for i in range(n)), F.lit(0.0)))
+    share = lambda own, total, i: F.when(F.col(total) < V.EPS, 1.0 / n).otherwise(F.get(own, F.lit(i)) / F.col(total))
+    rows = rows.select("arm", weight, *[share("__x", "__s", i).alias(f"__p{i}") for i in range(n)], *[share("core", "__t", i).alias(f"__q{i}") for i in range(n)])
+    p, q = [F.col(f"__p{i}") for i in range(n)], [F.col(f"__q{i}") for i in range(n)]
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda xs, ys: sum((F.when(x <= V.EPS, 0.0).when(y < V.EPS, V.INF).otherwise(x * F.ln(x / y)) for x, y in zip(xs, ys)), F.lit(0.0))
+    return rows.select("arm", weight, F.exp(kl(p, q)).alias("x"), F.exp(kl(q, p)).alias("d"), F.exp((kl(p, m) + kl(q, m)) / 2).alias("m"))
+
+
 def expected_divergences(systems: DataFrame, cores: DataFrame, weight: str = "w", alpha: float = 1.0) -> DataFrame:
     """(arm, excess, deficit, mutual, n_infinite): weighted means; 0 * infinity stays NaN, n_infinite tells."""
-    p, q = F.col("__p"), F.col("__q")
-    rows = with_core(systems, cores).select("arm", weight, V.shares(F.col("system")).alias("__p"), V.shares(F.col("core")).alias("__q"))
-    rows = rows.select("arm", weight, F.exp(V.renyi_divergence(p, q, alpha)).alias("x"), F.exp(V.renyi_divergence(q, p, alpha)).alias("d"), F.exp(V.js(p, q)).alias("m"))
+    cores = settled(cores.select("arm", "core"))
+    n = _structures(cores)
+    rows = with_core(systems, cores)
+    if n is not None and alpha == 1.0:
+        rows = _divergences(rows, weight, n)
+    else:
+        p, q = F.col("__p"), F.col("__q")
+        rows = rows.select("arm", weight, V.shares(F.col("system")).alias("__p"), V.shares(F.col("core")).alias("__q"))
+        rows = rows.select("arm", weight, F.exp(V.renyi_divergence(p, q, alpha)).alias("x"), F.exp(V.renyi_divergence(q, p, alpha)).alias("d"), F.exp(V.js(p, q)).alias("m"))
     mean = lambda n: F.sum(F.col(weight) * F.col(n)) / F.sum(weight)
     infinite = F.sum(((F.col("x") == V.INF) | (F.col("d") == V.INF)).cast("long"))
     return rows.groupBy("arm").agg(mean("x").alias("excess"), mean("d").alias("deficit"), mean("m").alias("mutual"), infinite.alias("n_infinite"))
@@ -119,6 +145,7 @@ def estimate(systems: DataFrame, methods: tuple = ("inv-ppl", "prob", "uniform")
     pairs = F.array_sort(F.collect_list(F.struct("struct_idx", *[f"v{i}" for i in numbers])))  # an entry a structure
     oks = [F.first(f"ok{i}").alias(f"ok{i}") for i in numbers]
     cores = settled(cells.groupBy("arm").agg(pairs.alias("s"), *oks).select("arm", *[F.col(f"s.v{i}").alias(f"c{i}") for i in numbers], *[f"ok{i}" for i in numbers]))
+    n = _structures(cores, "c0")
     joined = join_groups(raw, cores, ["arm"])
     for i in numbers:  # no usable sum of weights: equal ones
         joined = joined.withColumn(f"w{i}", F.when(F.col(f"ok{i}"), F.col(f"u{i}")).otherwise(1.0))
@@ -128,10 +155,10 @@ def estimate(systems: DataFrame, methods: tuple = ("inv-ppl", "prob", "uniform")
     sums = [F.count("*").alias("n")]
     for i in numbers:
         w, x = F.col(f"w{i}"), F.col("system")
-        total, d = F.sum(w), V.deviance(x, F.col(f"c{i}"))
+        total, d = F.sum(w), V.deviance(x, F.col(f"c{i}"), structures=n)
         sums += [(F.sum(w * d) / total).alias(f"e{i}"), (F.sum(w * d * d) / total).alias(f"q{i}")]
         for ref in ("root", "trunk"):
-            far = F.when(F.col(f"{ref}{i}").isNull(), 0.0).otherwise(V.deviance(x, F.col(f"{ref}{i}")))
+            far = F.when(F.col(f"{ref}{i}").isNull(), 0.0).otherwise(V.deviance(x, F.col(f"{ref}{i}"), structures=n))
             sums.append((F.sum(w * far) / total).alias(f"{ref}_{i}"))
     parents = cores.select(F.col("arm").alias("__arm"), *[F.col(f"c{i}").alias(f"p{i}") for i in numbers])
     out = joined.groupBy("arm").agg(*sums).join(cores, "arm").join(parents, A.parent_arm(F.col("arm")) == F.col("__arm"), "left")

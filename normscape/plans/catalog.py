@@ -515,7 +515,7 @@ def _(spark, d):
 # deviance
 
 def _cores(spark, d, method: str = "inv-ppl") -> DataFrame:
-    return IO.settled(C.as_arrays(C.generalized_core(W.with_weight(X.systems_li(spark, d), method), 1, 1), "arm"))
+    return SH.settled(C.as_arrays(C.generalized_core(W.with_weight(X.systems_li(spark, d), method), 1, 1), "arm"))
 
 
 _CORE = "c AS (SELECT arm, " + ", ".join(f"sum(w * s{i}) AS c{i}" for i in range(4)) + " FROM wt GROUP BY 1)"
@@ -627,7 +627,7 @@ def _(spark, d):
     docs = X.traj_docs(spark, d)
     systems = Y.to_systems(S.score_count_occurrences(docs, X.PHRASES), len(X.PHRASES))
     scored = systems.join(docs.select("traj_idx", "logprob", "n_tokens"), "traj_idx")
-    return _estimate(IO.settled(scored))  # the texts are scored once, not once a pass
+    return _estimate(SH.settled(scored))  # the texts are scored once, not once a pass
 
 
 @query("H17_qr_profile", f"WITH named AS ({_NAMED}), k(variant, q, r) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {max(min(q, 999), -999)}, {max(min(r, 999), -999)})' for n, (q, r) in C.NAMED.items())}), e AS (SELECT arm, q, r, max(value) AS m FROM named JOIN k USING (variant) GROUP BY variant, arm, q, r) SELECT 'q' AS axis, arm, q::DOUBLE AS place, {q6('m', 'mean')} FROM e WHERE r = 1 UNION ALL SELECT 'r', arm, r::DOUBLE, {q6('m', 'mean')} FROM e WHERE q = 1")
