@@ -89,6 +89,25 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bytes_of(df, limit) <= limit else df
 
 
+#: Keys that hold more than one row in so many are hot; there are at most so many of them.
+HOT_SHARE = 20_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """Join a saved() row a group (key, a digest as binary; size: its rows, ..) to rows. Hot groups are broadcast, at most
+    HOT_SHARE rows, and their rows dealt by what they hold, so that no task gets the rows of a hot key."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_SHARE > total
+    given = [c for c in groups.columns if c != key]
+    few = groups.where(hot).select(F.col(key).alias("__key"), F.struct(*given).alias("__hot"))
+    own = rows.join(F.broadcast(few), rows[key] == few["__key"], "left")
+    dealt = F.when(F.col("__key").isNull(), F.col(key)).otherwise(F.concat(F.col(key), F.xxhash64(*rows.columns).cast("string").cast("binary")))
+    far = groups.where(~hot).select(F.col(key).alias("__far"), F.struct(*given).alias("__group"))
+    out = own.withColumn("__dealt", dealt).join(far, F.col("__dealt") == F.col("__far"), "left").withColumn("__own", F.coalesce("__hot", "__group"))
+    out = out if how == "left" else out.where("__own IS NOT NULL")
+    return out.select(*rows.columns, *[F.col(f"__own.{c}").alias(c) for c in given])
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, body): the id as long, the text as UTF-8 bytes, null text as empty."""
     return docs.select(

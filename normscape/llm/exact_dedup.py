@@ -3,7 +3,8 @@
 Each scan task first collapses its own copies in a radix trie, so that a hot text leaves a task once; the distinct
 texts are then partitioned by (length, content hash) and inserted, as full byte strings, into one compressed radix
 trie a partition, whose terminal nodes hold the owner's id and the group's size. A trie over its memory bound spills
-whole subtrees to the task's scratch folder and finishes them one by one. Owners are joined back by SHA-256.
+whole subtrees to the task's scratch folder and finishes them one by one. Owners are joined back by SHA-256, those of
+very common texts by broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import batch, slices, text_rows
+from normscape.llm.common import batch, join_groups, saved, slices, text_rows
 
 TRIE_BYTES = 48 << 20
 _NODE_BYTES = 200
@@ -204,8 +205,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     parts = rows.mapInArrow(collapse, "length long, content_hash long, owner long, n long, body binary")
     owners = parts.repartition("length", "content_hash").select("owner", "n", "body").mapInArrow(own, "sha binary, keep_id long, group_size long")
+    owners = saved(owners, "owners")
     digests = rows.select("doc_id", F.unhex(F.sha2("body", 256)).alias("sha"))
-    return digests.join(owners, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return join_groups(digests, owners, "sha", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
