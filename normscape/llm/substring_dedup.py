@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, small_side, temporary, text_rows
+from normscape.llm.common import WordCache, batch, hash_words, join_groups, mix, saved, slices, small_side, temporary, text_rows
 from normscape.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -67,8 +67,8 @@ def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np
     return g[at[first]], first, np.diff(np.append(first, n))
 
 
-def _profile(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("sha", pa.string()), ("anchors", pa.list_(pa.int64()))])
+def _profile(docs: DataFrame, window: int, anchor: int, with_text: bool) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("sha", pa.string()), ("anchors", pa.list_(pa.int64()))] + [("plain", pa.string())] * with_text)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordCache(hash_words)
@@ -76,15 +76,16 @@ def _profile(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             split = [t.split() for t in texts]
             (hashes,) = words.look([w for s in split for w in s])
             digests, shas, anchors, at = [], [], [], 0
-            for s in split:
+            plain = [b" ".join(s) for s in split]
+            for s, t in zip(split, plain):
                 h = hashes[at : at + len(s)]
                 at += len(s)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                shas.append(hashlib.sha256(b" ".join(s)).hexdigest())
+                shas.append(hashlib.sha256(t).hexdigest())
                 anchors.append(np.unique(anchor_runs(h, window, anchor)[0]).astype(np.int64))
-            yield batch(schema, ids, [len(s) for s in split], digests, shas, anchors)
+            yield batch(schema, ids, [len(s) for s in split], digests, shas, anchors, *[[t.decode("utf-8", "replace") for t in plain]] * with_text)
 
-    return docs.mapInArrow(profile, "doc_id long, n_words long, digest binary, sha string, anchors array<long>")
+    return docs.mapInArrow(profile, "doc_id long, n_words long, digest binary, sha string, anchors array<long>" + ", plain string" * with_text)
 
 
 def _occurrences(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -226,7 +227,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = window // 2
     rows = text_rows(docs, id_col, text_col)
     with temporary(docs.sparkSession, keep=("profile", "repeated")):
-        profile = saved(_profile(rows, window, anchor), "profile")
+        profile = saved(_profile(rows, window, anchor, with_text), "profile")
         repeated = saved(repeated_windows(rows, profile, window, anchor, hot, shard_words), "repeated")
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_removed", pa.int64()), ("kept_sha", pa.string()), ("kept_text", pa.string())])
 
@@ -249,8 +250,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = rows.join(repeated, "doc_id").select("doc_id", "digest", "starts", "body")
     changed = texts.mapInArrow(cut, "doc_id long, digest binary, n_removed long, kept_sha string, kept_text string").dropDuplicates(["doc_id", "digest"])
-    owners = profile.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("owner"))
-    out = profile.drop("anchors").join(owners, "digest", "left").join(changed, ["doc_id", "digest"], "left")
+    owners = saved(profile.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies")), "text-owners")
+    out = join_groups(profile.drop("anchors"), owners, "digest", "copies", "left").join(changed, ["doc_id", "digest"], "left")
     copy = F.coalesce(F.col("owner") < F.col("doc_id"), F.lit(False))
     columns = [
         "doc_id", "n_words",
@@ -258,10 +259,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
     ]
     if with_text:
-        whole = rows.select("doc_id", F.col("body").cast("string").alias("__t")).dropDuplicates(["doc_id"])
-        out = out.join(whole, "doc_id", "left")
-        plain = F.trim(F.regexp_replace("__t", r"[\x20\x09-\x0D]+", " "))
-        columns.append(F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", plain)).alias("kept_text"))
+        columns.append(F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", "plain")).alias("kept_text"))
     return out.select(*columns)
 
 
