@@ -22,6 +22,8 @@ BUCKETS = 1 << 16
 MAX_DOCS_PER_LANG = 4000
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
+#: Log-probabilities that are gathered at once.
+_GATHERED = 1 << 21
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _PAD = max(ORDERS)
 _letters: list[np.ndarray] = []
@@ -119,7 +121,14 @@ def posteriors(texts: list[bytes], model: LanguageModel) -> tuple[list[str], np.
     """The likeliest language of each text and its posterior probability; `und` and 0 without a letter or a model."""
     grams, starts = ngram_buckets(texts)
     if model.languages:
-        total = model.log_prior + sum(np.add.reduceat(model.log_prob[g], starts) for g in grams)
+        total = np.tile(model.log_prior, (len(texts), 1))
+        step = max(1, _GATHERED // len(model.languages))
+        for s in range(0, len(grams[0]), step):  # so many positions at a time, whatever a text's length
+            first = int(np.searchsorted(starts, s, side="right")) - 1
+            inside = starts[first : int(np.searchsorted(starts, s + step))]
+            at = np.maximum(inside - s, 0)
+            for g in grams:
+                total[first : first + len(at)] += np.add.reduceat(model.log_prob[g[s : s + step]], at)
     else:
         total = np.zeros((len(texts), 1))
     seen = np.add.reduceat(grams[0] != BUCKETS, starts) > 0
