@@ -87,9 +87,13 @@ def window_spans(starts: np.ndarray, lengths: np.ndarray, per_text: np.ndarray)
 
 
 def window_logits(weights: np.ndarray, one: np.ndarray, across: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """line_logits() of windows, from running sums."""
-    a, b = (np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[g], axis=0, dtype=np.float64)]) for g in (one, across))
-    return weights[-1] + (a[end] - a[first] + b[end - 1] - b[first]) / np.sqrt(end - first)[:, None]
+    """line_logits() of windows, from running sums of one class after another."""
+    out, root = np.empty((len(first), weights.shape[1])), np.sqrt(end - first)
+    for k in range(weights.shape[1]):
+        own = np.ascontiguousarray(weights[:, k], np.float64)
+        a, b = (np.append(0.0, np.cumsum(own[g])) for g in (one, across))
+        out[:, k] = own[-1] + (a[end] - a[first] + b[end - 1] - b[first]) / root
+    return out
 
 
 def line_logits(weights: np.ndarray, grams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
