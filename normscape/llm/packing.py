@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -49,6 +50,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str, cap: int = WORDS_KEPT):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
@@ -142,7 +144,11 @@ def worker_tokens(path: str, words_kept: int) -> WordTokens:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, words_kept: int = WORDS_KEPT) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids, then end_id, cut every `capacity` tokens."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids, then end_id, cut every `capacity` tokens.
+
+    Null and blank texts are end_id alone. A null id stays null; rows that repeat an id, or have none, are documents of
+    their own. Other columns are left out, so names cannot clash; an empty table gives an empty result.
+    """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)

@@ -16,6 +16,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,17 +216,36 @@ def scan(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "t
     return found.select("doc_id", "start", "length", "kind", "secret_sha256", p.alias("probability"), (p >= threshold).alias("is_secret"), "text_hash")
 
 
+def _masked(text: str, starts, lengths) -> str:
+    """The pieces between the spans, joined once."""
+    pieces, at = [], 0
+    for start, length in zip(starts, lengths):
+        if start >= at:
+            pieces += [text[at:start], MASK]
+        at = max(at, start + length)
+    return "".join([*pieces, text[at:]])
+
+
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each confirmed secret replaced by MASK; all rows and columns stay.
 
     Findings belong to the rows with their id (null to null) and their very text.
     """
     spans = findings.where("is_secret").select("doc_id", "text_hash", "start", "length").distinct()
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("__spans"))
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
     side, text = small_side(saved(spans, "spans")), docs[text_col]
-    cut = F.aggregate(side["__spans"], text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(MASK), F.substring(t, s["start"] + s["length"] + 1, F.char_length(t))))
-    joined = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["__id"]) & (F.xxhash64(text) == side["__hash"]), "left")
-    clean = F.when(side["__spans"].isNull(), text).otherwise(cut).alias(text_col)
+    own = lambda t: docs[id_col].cast("long").eqNullSafe(t["__id"]) & (F.xxhash64(text) == t["__hash"])
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([_masked(*x) for x in zip(texts, starts, lengths)], dtype=object)
+
+    # texts with a secret alone go through Python; the pass over all rows only takes in what came out
+    cut = masked(text, F.transform("__spans", lambda x: x["start"]), F.transform("__spans", lambda x: x["length"]))
+    hit = docs.join(side, own(side)).select("__id", "__hash", cut.alias("__clean")).dropDuplicates(["__id", "__hash"])
+    hit = small_side(saved(hit, "masked"))
+    joined = docs.join(hit, own(hit), "left")
+    clean = F.coalesce(hit["__clean"], text).alias(text_col)
     return joined.select(*[clean if c == text_col else docs[c] for c in docs.columns])
 
 
