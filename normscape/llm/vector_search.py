@@ -44,6 +44,7 @@ def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes (n x books) by beam search: the `beam` best partial sums of codewords go on from book to book."""
     n, dim = x.shape
+    x, books = x.astype(np.float32), books.astype(np.float32)
     residual, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
     for words in books:
         kept = residual.shape[1]
