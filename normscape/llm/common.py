@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -108,6 +109,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return out.select(*rows.columns, *[F.col(f"__own.{c}").alias(c) for c in given])
 
 
+#: Gives freed memory back to the system, where the C library has it; else it stays with the worker for good.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, body): the id as long, the text as UTF-8 bytes, null text as empty."""
     return docs.select(
@@ -129,6 +134,8 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield [c.slice(start, end - start).to_pylist() for c in b.columns]
             start = end
     pa.default_memory_pool().release_unused()  # workers stay on between tasks
+    if _trim is not None:
+        _trim(0)
 
 
 class Numbers(dict):
