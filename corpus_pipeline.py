@@ -16,7 +16,7 @@ WORDS_KEPT = 50_000
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text has a recognisable language; `lang` stays what it was. Null and empty texts go."""
-    return language_id.recognised(docs, language_id.train(docs), MIN_LANGUAGE_SCORE)
+    return saved(language_id.recognised(docs, language_id.train(docs), MIN_LANGUAGE_SCORE), "recognised")  # in small batches
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
