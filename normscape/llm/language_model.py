@@ -1,11 +1,13 @@
 """Operator 9: LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The class factor is a softmax over hashed bigram, skip and
-trigram features of the two words before; the word factor is the closed form of a softmax over word features with
-one added count. Counts cover every training token. TOP words (a bound on what is broadcast) carry classes, found by
-k-means on their neighbours in all training documents; all other words, known or not, share one class, and their counts are
-joined by a shuffle. Texts are split once, into a table of word hashes that all later passes read. Weights are trained by gradient steps in the tasks over all training documents, each once, and
-averaged (weighted by occurrences) after each of ROUNDS rounds.
+P(word | context) = P(class | context) * P(subclass | class, context) * P(word | subclass). Both class factors are softmaxes
+over hashed bigram, skip and trigram features of the two words before, the second one's features hashed together with the
+class; the word factor is the closed form of a softmax over word features with one added count. Counts cover every training
+token. Of the TOP words (a bound on what is broadcast) the CLUSTERED most frequent get classes and subclasses by k-means on
+their neighbours in all training documents; all others, known or not, share a class whose subclasses are dealt by hash, and
+the counts of those beyond TOP are joined by a shuffle. Texts are split once, into a table of word hashes that all later
+passes read. Weights are trained by gradient steps in the tasks over all training documents, each once, and averaged
+(weighted by occurrences) after each of ROUNDS rounds; so they depend on how the table is cut into tasks.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, temporary, text_rows
 from normscape.llm.language_id import fold
 
-TOP, CLUSTERED, CLASSES = 400_000, 16_384, 32
-FEATURES = 1 << 15
+TOP, CLUSTERED = 400_000, 16_384
+#: Classes, and subclasses of each: a leaf is class * SUBS + subclass.
+CLASSES = SUBS = 16
+LEAVES = CLASSES * SUBS
+#: Weight rows of a factor: a power of two, one for so many training tokens, within these bounds (16 MB are broadcast at most).
+TOKENS_A_FEATURE, LEAST_FEATURES, MOST_FEATURES = 4096, 1 << 15, 1 << 17
 ROUNDS, STEP, STEP_TOKENS = 2, 0.5, 1 << 15
 BLOCK_TOKENS = 2048
 NEIGHBOURS = 32
@@ -36,12 +42,12 @@ _ROWS = 64  # weight rows of one exchanged block
 
 @dataclass
 class Vocabulary:
-    """The most frequent words: sorted hashes, their counts and classes; and the corpus totals."""
+    """The most frequent words: sorted hashes, their counts and leaves; and the corpus totals."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray
-    class_total: np.ndarray  # tokens + types (+ 1 unseen in the rare class) of each class
+    leaves: np.ndarray
+    leaf_total: np.ndarray  # tokens + types (+ 1 unseen in those of the rare class) of each leaf
     tokens: int
     types: int
     least: int  # words with fewer occurrences are not in hashes
@@ -53,6 +59,19 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, -1)
 
+    def leaves_of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaf of each word, by its hash and what find() gives for it."""
+        return np.where(at >= 0, np.append(self.leaves, 0)[at], rare_leaf(h))
+
+    @property
+    def features(self) -> int:
+        wanted = max(1, self.tokens // TOKENS_A_FEATURE)
+        return int(np.clip(1 << (wanted - 1).bit_length(), LEAST_FEATURES, MOST_FEATURES))
+
+
+def rare_leaf(h: np.ndarray) -> np.ndarray:
+    return (_RARE * SUBS + (h & np.uint64(SUBS - 1)).astype(np.int64)).astype(np.int64)
+
 
 def tokens_of(texts: list[bytes], words: WordCache) -> tuple[list[np.ndarray], np.ndarray]:
     """Columns of the words of each text, lower-cased, with one end after each text; and the texts' token counts."""
@@ -129,7 +148,7 @@ def build_vocabulary(train: DataFrame, counts: DataFrame) -> Vocabulary:
     hashes, n = top["word"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
-    vocab = Vocabulary(hashes, n, np.full(len(n), _RARE), np.ones(CLASSES), int(total), int(types), least)
+    vocab = Vocabulary(hashes, n, rare_leaf(hashes), np.ones(LEAVES), int(total), int(types), least)
     chosen = np.lexsort((hashes, -n))[:CLUSTERED]
     if len(chosen):
         number = np.full(len(n), -1)
@@ -139,13 +158,19 @@ def build_vocabulary(train: DataFrame, counts: DataFrame) -> Vocabulary:
         x[near["w"], near["c"]] = near["n"]
         x = np.sqrt(x)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        vocab.classes[chosen] = 2 + _clusters(x, CLASSES - 2)
+        own = 2 + _clusters(x, CLASSES - 2)
+        for k in np.unique(own):
+            at = chosen[own == k]
+            vocab.leaves[at] = k * SUBS + _clusters(x[own == k], SUBS)
     end = vocab.find(np.array([_END], np.uint64))[0]
     if end >= 0:
-        vocab.classes[end] = _END_CLASS
-    mass = np.bincount(vocab.classes, n + 1.0, CLASSES)
-    mass[_RARE] += (total - n.sum()) + (types - len(n)) + 1
-    vocab.class_total = np.maximum(mass, 1.0)
+        vocab.leaves[end] = _END_CLASS * SUBS
+    mass = np.bincount(vocab.leaves, n + 1.0, LEAVES)
+    rest = counts.where(F.col("n") < least).groupBy(F.col("word").bitwiseAND(F.lit(SUBS - 1)).alias("s")).agg(F.sum(F.col("n") + 1)).collect()  # SUBS rows
+    mass[_RARE * SUBS : (_RARE + 1) * SUBS] += 1
+    for sub, more in rest:
+        mass[_RARE * SUBS + sub] += more
+    vocab.leaf_total = np.maximum(mass, 1.0)
     return vocab
 
 
@@ -180,8 +205,8 @@ def _neighbours(train: DataFrame, vocab: Vocabulary, number: np.ndarray):
     return pd.DataFrame({c: np.frombuffer(b"".join(p[c] for p in parts), t) for c, t in (("w", np.int32), ("c", np.int32), ("n", np.int64))})
 
 
-def context_rows(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Weight rows (templates x tokens) of the two words before each token; documents begin with two starts."""
+def contexts(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes (templates x tokens) of the two words before each token; documents begin with two starts."""
     one, two = np.empty_like(h), np.empty_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
     first = np.cumsum(lengths) - lengths
@@ -189,40 +214,79 @@ def context_rows(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     two[first] = _START
     second = first[lengths > 1] + 1
     two[second] = _START
-    mask = np.uint64(FEATURES - 1)
-    return np.stack([mix(x) & mask for x in (one + np.uint64(1), two + np.uint64(2), one * np.uint64(5) + mix(two) + np.uint64(3))]).astype(np.int64)
+    return np.stack([mix(x) for x in (one + np.uint64(1), two + np.uint64(2), one * np.uint64(5) + mix(two) + np.uint64(3))])
+
+
+def class_rows(context: np.ndarray, features: int) -> np.ndarray:
+    """Weight rows (templates and a bias x tokens) of the class factor."""
+    rows = np.full((len(context) + 1, context.shape[1]), features, np.int32)
+    rows[:-1] = context & np.uint64(features - 1)
+    return rows
+
+
+def subclass_rows(context: np.ndarray, classes: np.ndarray, features: int) -> np.ndarray:
+    """Weight rows of the subclass factor: features with the class, and a bias for each."""
+    rows = np.empty((len(context) + 1, context.shape[1]), np.int32)
+    salt = (classes + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows[:-1] = ((context ^ salt) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (features.bit_length() - 1))
+    rows[-1] = features + classes
+    return rows
 
 
 def _scores(weights: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-    """Unnormalised log-probabilities of the classes, the largest 0; the last weight row is the bias."""
+    """Unnormalised log-probabilities, the largest 0."""
     np.take(weights, rows[0], axis=0, out=out, mode="clip")
     for x in rows[1:]:
         out += weights[x]
-    out += weights[-1]
     out -= out.max(1, keepdims=True)
 
 
-def class_log_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context)."""
-    out = np.empty((rows.shape[1], weights.shape[1]), np.float32)
+def log_probs(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax's probability of each target."""
+    out = np.empty(rows.shape[1])
+    z = np.empty((min(BLOCK_TOKENS, rows.shape[1]), weights.shape[1]), np.float32)
     for s in range(0, len(out), BLOCK_TOKENS):  # blocks that stay in a core's cache
-        r, z = rows[:, s : s + BLOCK_TOKENS], out[s : s + BLOCK_TOKENS]
-        _scores(weights, r, z)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        r, t = rows[:, s : s + BLOCK_TOKENS], target[s : s + BLOCK_TOKENS]
+        own = z[: len(t)]
+        _scores(weights, r, own)
+        out[s : s + BLOCK_TOKENS] = own[np.arange(len(t)), t] - np.log(np.exp(own).sum(1))
     return out
 
 
-def class_probs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """P(class | context)."""
+def gradients(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of the negative log-probability of each target, by its softmax's inputs."""
     out = np.empty((rows.shape[1], weights.shape[1]), np.float32)
     for s in range(0, len(out), BLOCK_TOKENS):
         r, z = rows[:, s : s + BLOCK_TOKENS], out[s : s + BLOCK_TOKENS]
         _scores(weights, r, z)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
+    out[np.arange(len(target)), target] -= 1
     return out
 
 
+def take_step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+    """One gradient step on a block of tokens; a row moves less the more often it has been seen."""
+    g = gradients(weights, rows, target)
+    narrow = np.uint16 if len(weights) <= 1 << 16 else np.uint32  # short keys sort by radix
+    for x in rows:
+        order = np.argsort(x.astype(narrow), kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
+        row, n = x[order][first], np.diff(np.append(first, len(x)))
+        seen[row] += n
+        weights[row] -= (STEP * np.add.reduceat(g[order], first) / (np.sqrt(seen[row] * n) + 4)[:, None]).astype(np.float32)
+
+
+def first_weights(vocab: Vocabulary) -> np.ndarray:
+    """Weights of both factors, one table after the other: features, then biases, which begin at the leaves' shares."""
+    n = vocab.features
+    weights = np.zeros((n + 1 + n + CLASSES, SUBS), np.float32)
+    mass = vocab.leaf_total.reshape(CLASSES, SUBS)
+    weights[n] = np.log(mass.sum(1) / mass.sum())
+    weights[-CLASSES:] = np.log(mass / mass.sum(1, keepdims=True))
+    return weights
+
+
 def train_round(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> np.ndarray:
     """One round: every task steps through its documents from the same weights; the moves are averaged."""
     sent = docs.sparkSession.sparkContext.broadcast((vocab, weights))
@@ -230,23 +294,15 @@ def train_round(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> np.n
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = sent.value
-        w, seen = start.copy(), np.zeros(len(start))
-        classes = np.append(vocab.classes, _RARE)
+        w, seen, n = start.copy(), np.zeros(len(start)), vocab.features
         for _, bodies in slices(batches):
             h, lengths = hashes_of(bodies)
-            y, rows = classes[vocab.find(h)], context_rows(h, lengths)
+            leaf, context = vocab.leaves_of(h, vocab.find(h)), contexts(h, lengths)
             for s in range(0, len(h), STEP_TOKENS):
-                r, t = rows[:, s : s + STEP_TOKENS], y[s : s + STEP_TOKENS]
-                g = class_probs(w, r)
-                g[np.arange(len(t)), t] -= 1
-                for x in r:
-                    order = np.argsort(x.astype(np.uint16), kind="stable")  # FEATURES fit, and short keys sort by radix
-                    first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
-                    row, n = x[order][first], np.diff(np.append(first, len(x)))
-                    seen[row] += n
-                    w[row] -= (STEP * np.add.reduceat(g[order], first) / (np.sqrt(seen[row] * n) + 4)[:, None]).astype(np.float32)
-                seen[-1] += len(t)
-                w[-1] -= (STEP * g.sum(0) / (np.sqrt(seen[-1] * len(t)) + 4)).astype(np.float32)
+                k, sub = np.divmod(leaf[s : s + STEP_TOKENS], SUBS)
+                c = context[:, s : s + STEP_TOKENS]
+                take_step(w[: n + 1], seen[: n + 1], class_rows(c, n), k)
+                take_step(w[n + 1 :], seen[n + 1 :], subclass_rows(c, k, n), sub)
         moved = np.concatenate([(w - start) * seen[:, None], seen[:, None]], 1)
         for b in range(0, len(w), _ROWS):
             if seen[b : b + _ROWS].any():
@@ -263,7 +319,7 @@ def train_round(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> np.n
 
     moves = docs.mapInArrow(learn, "block int, moved binary").repartition("block").mapInArrow(add, "block int, moved binary")
     out = weights.copy()
-    for b, m in ((r[0], np.frombuffer(r[1]).reshape(-1, CLASSES + 1)) for r in moves.toLocalIterator()):
+    for b, m in ((r[0], np.frombuffer(r[1]).reshape(-1, SUBS + 1)) for r in moves.toLocalIterator()):
         rows = slice(b * _ROWS, b * _ROWS + len(m))
         out[rows] += (m[:, :-1] / np.maximum(m[:, -1:], 1)).astype(np.float32)
     return out
@@ -276,17 +332,17 @@ def score(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, counts: DataF
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, w = sent.value
-        classes, logs = np.append(vocab.classes, _RARE), np.append(np.log10(vocab.counts + 1.0), 0.0)
-        within = logs - np.log10(vocab.class_total)[classes]
+        logs, mass, n = np.append(np.log10(vocab.counts + 1.0), 0.0), np.log10(vocab.leaf_total), vocab.features
         for keys, ids, bodies in slices(batches):
             h, lengths = hashes_of(bodies)
             at = vocab.find(h)
-            rows, y = context_rows(h, lengths), classes[at]
-            model = np.empty(len(h))
+            leaf, context = vocab.leaves_of(h, at), contexts(h, lengths)
+            model = logs[at] - mass[leaf]
             for s in range(0, len(h), STEP_TOKENS):
-                p = class_log_probs(w, rows[:, s : s + STEP_TOKENS])
-                model[s : s + STEP_TOKENS] = p[np.arange(len(p)), y[s : s + STEP_TOKENS]]
-            model = model / np.log(10) + within[at]
+                k, sub = np.divmod(leaf[s : s + STEP_TOKENS], SUBS)
+                c = context[:, s : s + STEP_TOKENS]
+                found = log_probs(w[: n + 1], class_rows(c, n), k) + log_probs(w[n + 1 :], subclass_rows(c, k, n), sub)
+                model[s : s + STEP_TOKENS] += found / np.log(10)
             first = np.cumsum(lengths) - lengths
             other = at < 0
             rare, ends = h[other].astype(np.int64), np.add.reduceat(other, first, dtype=np.int64)
@@ -314,8 +370,7 @@ def score_corpus(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str
         train = rows.where(learns)
         counts = saved(count_words(train), "counts")
         vocab = build_vocabulary(train, counts)
-        weights = np.zeros((FEATURES + 1, CLASSES), np.float32)
-        weights[-1] = np.log(vocab.class_total / vocab.class_total.sum())
+        weights = first_weights(vocab)
         for i in range(ROUNDS):
             weights = train_round(train.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == i), vocab, weights)
         out = score(rows, vocab, weights, counts)

@@ -211,6 +211,13 @@ def test_vector_search_recall_in_a_full_block(spark):
     exact[np.arange(200), np.arange(200)] = -2
     hits = sum(len(got[q] & set(np.argsort(-exact[q])[:20].tolist())) for q in range(200))
     assert vector_search.SHORTLIST * 60 < len(x) and hits == 4000, hits / 4000
+    # the result comes through the codes: few candidates are scored exactly
+    rows = index.select("vec_id", "codes", "error").toPandas().sort_values("vec_id")
+    codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+    quick = x[:200] @ books[np.arange(len(books)), codes].sum(1).T
+    cut = np.sort(exact, axis=1)[:, -20]
+    share = np.mean([quick[q] + vector_search.reach(x[q], rows["error"].to_numpy()) >= cut[q] for q in range(200)])
+    assert share < 0.05, share
 
 
 def test_secrets(spark, hard):
@@ -314,27 +321,61 @@ def test_language_model_counts_all_neighbours(spark):
     assert 4 * 9000 <= near["n"].sum() < 6 * 9000 and near["w"].nunique() == len(vocab.hashes) == 9051
 
 
+def brute_rows(hashes, leaves, features):
+    """Weight rows of both factors for each token of one document, in plain numbers."""
+    mask = (1 << 64) - 1
+    mix = lambda x: int(language_model.mix(np.array([x & mask], np.uint64))[0])
+    one = two = int(language_model._START)
+    for h, leaf in zip(hashes, leaves):
+        k = leaf // language_model.SUBS
+        c = [mix(x) for x in (one + 1, two + 2, one * 5 + mix(two) + 3)]
+        salted = [(((x ^ ((k + 1) * 0x9E3779B97F4A7C15 & mask)) * 0xD6E8FEB86659FD93) & mask) >> (65 - features.bit_length()) for x in c]
+        yield [x % features for x in c] + [features], [x + features + 1 for x in salted] + [2 * features + 1 + k]
+        one, two = h, one
+
+
 def test_language_model_scores_against_brute_force(spark):
-    """Token by token: features, softmax over classes, share of the word within its class."""
+    """Token by token: features, both softmaxes, share of the word within its leaf; and one step of training."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40 AND n_chars < 1500")
     rows = language_model.saved(language_model.hashed_tokens(language_model.text_rows(docs, "doc_id", "text")), "t")
     counts = language_model.saved(language_model.count_words(rows), "c")
     vocab = language_model.build_vocabulary(rows, counts)
-    weights = language_model.train_round(rows, vocab, np.zeros((language_model.FEATURES + 1, language_model.CLASSES), np.float32))
-    at, mask = {int(h): i for i, h in enumerate(vocab.hashes)}, (1 << 64) - 1
-    mix = lambda x: int(language_model.mix(np.array([x & mask], np.uint64))[0])
-    start = int(language_model._START)
+    assert math.isclose(vocab.leaf_total.sum(), vocab.tokens + vocab.types + language_model.SUBS + (vocab.leaf_total == 1).sum() - (vocab.leaf_total[16:32] == 1).sum(), abs_tol=1e-6)
+    start = language_model.first_weights(vocab)
+    weights = language_model.train_round(rows, vocab, start)
+    at = {int(h): i for i, h in enumerate(vocab.hashes)}
     for r in language_model.score(rows, vocab, weights, counts).collect():
-        one = two = start
         total = 0.0
-        for h in np.frombuffer(next(x["body"] for x in rows.where(f"doc_id = {r['doc_id']}").collect()), np.uint64).tolist():
-            features = [mix(x) % language_model.FEATURES for x in (one + 1, two + 2, one * 5 + mix(two) + 3)]
-            z = sum(weights[f].astype(float) for f in features) + weights[-1]
-            word = at[h]
-            k = vocab.classes[word]
-            total += (z[k] - np.log(np.exp(z).sum())) / np.log(10) + math.log10((vocab.counts[word] + 1) / vocab.class_total[k])
-            one, two = h, one
+        hashes = np.frombuffer(next(x["body"] for x in rows.where(f"doc_id = {r['doc_id']}").collect()), np.uint64).tolist()
+        leaves = [int(vocab.leaves[at[h]]) for h in hashes]
+        for h, leaf, both in zip(hashes, leaves, brute_rows(hashes, leaves, vocab.features)):
+            for own, target in zip(both, divmod(leaf, language_model.SUBS)):
+                z = sum(weights[f].astype(float) for f in own)
+                total += (z[target] - np.log(np.exp(z).sum())) / np.log(10)
+            total += math.log10((vocab.counts[at[h]] + 1) / vocab.leaf_total[leaf])
         assert math.isclose(total, r["score"], rel_tol=1e-4)
+    # one document, one step: the gradients of both softmaxes, template after template
+    doc = rows.orderBy("doc_id").first()
+    hashes = np.frombuffer(doc["body"], np.uint64).tolist()
+    leaves = [int(vocab.leaves[at[h]]) for h in hashes]
+    got = language_model.train_round(rows.where(f"doc_id = {doc['doc_id']}"), vocab, start)
+    want, seen = start.astype(float), np.zeros(len(start))
+    pairs = list(brute_rows(hashes, leaves, vocab.features))
+    for factor in (0, 1):
+        slopes = []
+        for leaf, both in zip(leaves, pairs):
+            z = np.exp(sum(start[f].astype(float) for f in both[factor]))
+            g = z / z.sum()
+            g[divmod(leaf, language_model.SUBS)[factor]] -= 1
+            slopes.append(g)
+        for template in range(4):
+            moves = {}
+            for g, both in zip(slopes, pairs):
+                moves.setdefault(both[factor][template], []).append(g)
+            for f, gs in moves.items():
+                seen[f] += len(gs)
+                want[f] -= language_model.STEP * sum(gs) / (math.sqrt(seen[f] * len(gs)) + 4)
+    assert np.abs(got - want).max() < 1e-4 and (got != start).any()
 
 
 def test_fm_index():
@@ -406,6 +447,23 @@ def test_segmentation(spark, hard):
         assert abs(second.get(e, 0) / n - sum(p[x] * p[e] / (1 - p[x]) for x in p if x != e)) < 0.03
 
 
+def test_segmentations_of_repeated_and_null_ids(spark, hard):
+    path = segmentation.piece_model_path()
+    assert segmentation.sample(hard.limit(0), path).count() == 0
+    rows = [tuple(r) for r in segmentation.sample(hard.where("doc_id = 5 OR doc_id IS NULL").unionByName(hard.where("doc_id IS NULL")), path).collect()]
+    for i in (5, None):  # rows that repeat an id, or have none, repeat its samples
+        own = [r for r in rows if r[0] == i]
+        assert len(own) > 2 and all(own.count(r) == 2 for r in own)
+
+
+def test_pieces_of_null_ids_and_texts(spark, hard):
+    packed = packing.pack(packing.saved(packing.token_pieces(hard, packing.tokenizer_path()), "pieces")).collect()
+    assert sum(r["doc_id"] is None for r in packed) == 1 and {r["doc_id"]: r["length"] for r in packed}[1] == 1  # a null text is its end alone
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
+    assert sum(r["piece"] == 0 for r in packed) == len(HARD) and all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+    assert packing.pack(packing.saved(packing.token_pieces(hard.limit(0), packing.tokenizer_path()), "pieces")).count() == 0
+
+
 def test_segmentations_against_enumeration():
     """All ways to spell a short text by pieces or bytes, weighed and normalised by hand."""
     pieces = segmentation.Pieces(segmentation.piece_model_path())
@@ -482,3 +540,50 @@ def test_pipeline_against_its_own_operators_by_brute_force(spark):
     assert set(after["secrets"]) == set(after["near_dedup"])
     packed = P.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == len(after["secrets"])
+
+
+def test_repeated_ids_keep_their_own_text(spark):
+    rows = [(1, "alpha one text"), (1, "beta  another text"), (2, "gamma"), (None, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert sorted((r["kept_text"], r["kept_sha256"] == hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got) == [("", True), ("alpha one text", True), ("beta another text", True), ("gamma", True)]
+
+
+def test_many_secrets_in_one_text(spark):
+    assert secrets._masked("abcdef", [1, 1, 3], [1, 2, 9]) == f"a{secrets.MASK}{secrets.MASK}"
+    docs = spark.createDataFrame([(1, "é" + "xx-" * 50_000), (2, None), (None, "xx-")], "doc_id long, text string")
+    spans = [(1, 1 + 3 * i, 2) for i in range(50_000)]
+    found = spark.createDataFrame(spans, "doc_id long, start int, length int").join(docs, "doc_id").select("doc_id", "start", "length", F.lit(True).alias("is_secret"), F.xxhash64("text").alias("text_hash"))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    assert clean == {1: "é" + (secrets.MASK + "-") * 50_000, 2: None, None: "xx-"}
+
+
+def test_very_long_texts(spark):
+    long = "the house of the people and the way of words " * 40_000
+    docs = spark.createDataFrame([(1, long, "en"), (2, long, "en"), (3, "der weg und das haus", "de")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()} == {1: "en", 2: "en", 3: "de"}
+    kept = {r["doc_id"]: r["kept"] for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert kept == {1: False, 2: True, 3: True}
+    wide = language_id.LanguageModel([f"l{i}" for i in range(200)], np.zeros(200), np.random.default_rng(0).normal(size=(language_id.BUCKETS + 1, 200)).astype(np.float32))
+    texts = [b"", b"one two", long[:200_000].encode(), b"12", b"three"]
+    before, language_id._GATHERED = language_id._GATHERED, 1 << 40
+    whole = language_id.posteriors(texts, wide)
+    language_id._GATHERED = before
+    assert language_id.posteriors(texts, wide)[0] == whole[0]
+
+
+def test_hot_groups_join_by_broadcast(spark):
+    from normscape.llm.common import join_groups
+
+    rows = spark.createDataFrame([(i, b"hot" if i % 2 else str(i).encode()) for i in range(300)] + [(-1, None), (-2, b"none")], "id long, sha binary")
+    groups = rows.where("id >= 0").groupBy("sha").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
+    for share in (2, 20_000):
+        import normscape.llm.common as common
+
+        before, common.HOT_SHARE = common.HOT_SHARE, share
+        try:
+            got = {r["id"]: (r["n"], r["owner"]) for r in join_groups(rows, groups, "sha", "n", "left").collect()}
+            assert join_groups(rows, groups, "sha", "n").count() == 300
+        finally:
+            common.HOT_SHARE = before
+        assert got == {i: (150, 1) if i % 2 else (1, i) for i in range(300)} | {-1: (None, None), -2: (None, None)}
