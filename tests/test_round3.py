@@ -6,6 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from normscape.operators import cores as C
+from normscape.operators import ranking as RK
+from normscape.operators import weights as W
 from normscape.plans import catalog
 from tests.compare import TABLES, same
 
@@ -31,3 +33,29 @@ def test_mode_of_densities_below_nine_decimals(spark):
     rows = spark.range(1_500_000).select(F.lit("trunk").alias("arm"), F.array((F.col("id") % 3 != 0).cast("double"), (F.col("id") % 20 != 0).cast("double") + 1.0, F.when(F.col("id") == 0, 0.0).otherwise(-1.0)).alias("system"))
     got = {r["struct_idx"]: r["value"] for r in C.mode_core(rows).collect()}
     assert all(abs(got[i] - v) < 1e-9 for i, v in enumerate((1 / 1002, 1.95, -1 + 1 / 1_500_000)))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_stay_where_they_are_for_values_of_their_group(spark, tmp_path):
+    spark.range(100).selectExpr("id AS traj_idx", "IF(id % 3 = 0, NULL, 'trunk') AS arm", "-id / 10D AS logprob", "1 AS n_tokens", "id + 0D AS v").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    for df in (W.with_weight(t, "prob"), W.normalize(t, "v", ("arm",)), W.escort(W.with_weight(t), [2, -1]), W.arm_rows(t)):
+        assert "SortMergeJoin" not in _plan(df) and "hashpartitioning" not in _plan(df)
+        assert df.count() == 100
+
+
+def test_medians_of_groups_with_nulls_alone(spark):
+    t = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("a", None), ("b", None), (None, 3.0)], "g string, x double")
+    assert {r["g"]: r["median"] for r in RK.medians(t, ["g"], "x").collect()} == {"a": 2.5, "b": None, None: 3.0}
+
+
+def test_walk_joins_no_arm_in_one_task(spark, monkeypatch):
+    plans, settle = [], C.settled
+    monkeypatch.setattr(C, "settled", lambda df: plans.append(_plan(df)) or settle(df))
+    rows = [(i, "trunk", ["a", "b" if i % 3 else "c", str(i % 5), "z"][: 2 + i % 3]) for i in range(60)]
+    got = C.majority_walk(spark.createDataFrame(rows, "traj_idx long, arm string, tokens array<string>")).collect()
+    assert not any("SortMergeJoin" in p for p in plans) and len(plans) > 3
+    assert [tuple(r) for r in got] == [("trunk", 5)]
