@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from normscape.operators.prefixes import compressed, node_id, paths
 from normscape.operators.ranking import ranked
+from normscape.operators.weights import join_groups
 from normscape.sources.shared import settled, small
 
 
@@ -50,12 +51,51 @@ def nodes_of_trajectory(seqs: DataFrame) -> DataFrame:
     return paths(seqs).select("traj_idx", at.alias("positions")).where(F.size("positions") > 0)
 
 
+#: Words of one list of an arm's branches at a node, on average; and pairs of words written by a task.
+_LISTED, _PAIRS = 512, 2_000_000
+
+
+def _fork_lists(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(prefix, pos, arm_a, arm_b, tokens_a, tokens_b, alone): lists of branches of the arms of each pair that meet at a node.
+
+    Each list of the one arm meets each of the other once, so all pairs of branches are there, though a node with very many
+    has as many rows as it has pairs of lists, dealt over tasks by how many pairs of words they are. alone: no other node
+    has this pos.
+    """
+    at = ["prefix", "pos", "arm"]
+    own = settled(_partings(seqs, ("arm",)).distinct())
+    nodes = own.groupBy("pos").agg((F.min("prefix") == F.max("prefix")).alias("alone"))
+    rows = join_groups(own, own.groupBy(*at).agg(F.ceil(F.count("*") / _LISTED).alias("__lists")), at)
+    lists = rows.groupBy(*at, F.pmod(F.xxhash64("token"), F.col("__lists")).alias("__list")).agg(F.collect_list("token").alias("tokens"))
+    lists = settled(lists.drop("__list"))
+    a = lists.select("prefix", "pos", F.col("arm").alias("arm_a"), F.col("tokens").alias("tokens_a")).join(small(pairs), "arm_a")
+    b = lists.select("prefix", "pos", F.col("arm").alias("arm_b"), F.col("tokens").alias("tokens_b"))
+    met = settled(join_groups(a.join(b, ["prefix", "pos", "arm_b"]), nodes, ["pos"]))
+    total = met.agg(F.sum(F.size("tokens_a").cast("long") * F.size("tokens_b"))).first()[0] or 0
+    tasks = max(seqs.sparkSession.sparkContext.defaultParallelism, min(-(-total // _PAIRS), 20_000))
+    return met.repartition(tasks)
+
+
+def _fork_pairs(lists: DataFrame) -> DataFrame:
+    keep = ["prefix", "pos", "arm_a", "arm_b"]
+    rows = lists.select(*keep, "tokens_b", F.explode("tokens_a").alias("token_a")).select(*keep, "token_a", F.explode("tokens_b").alias("token_b"))
+    return rows.where("token_a <> token_b")
+
+
 def forks_between(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(prefix, pos, arm_a, arm_b, token_a, token_b): branches of the two arms of each pair that differ at a node."""
-    own = settled(_partings(seqs, ("arm",)).distinct())
-    a = own.select("prefix", "pos", F.col("arm").alias("arm_a"), F.col("token").alias("token_a")).join(pairs, "arm_a")
-    b = own.select("prefix", "pos", F.col("arm").alias("arm_b"), F.col("token").alias("token_b"))
-    return a.join(b, ["prefix", "pos", "arm_b"]).where("token_a <> token_b").select("prefix", "pos", "arm_a", "arm_b", "token_a", "token_b")
+    return _fork_pairs(_fork_lists(seqs, pairs))
+
+
+def fork_counts(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pos, arm_a, arm_b, token_a, token_b, n): nodes with a fork of forks_between(); all its pairs, so quadratic in branches.
+
+    A node that is alone at its position, as the root is, has each pair once, and its pairs are not sent on to be counted.
+    """
+    lists = _fork_lists(seqs, pairs)
+    keys = ["pos", "arm_a", "arm_b", "token_a", "token_b"]
+    once = _fork_pairs(lists.where("alone")).select(*keys, F.lit(1).cast("long").alias("n"))
+    return once.unionByName(_fork_pairs(lists.where("NOT alone")).groupBy(*keys).agg(F.count("*").alias("n")))
 
 
 def qualifying_forks(alternatives: DataFrame, max_alt: int = 2, min_prob: float = 0.2, min_entropy: float = 1.75) -> DataFrame:

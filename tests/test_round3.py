@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from normscape.operators import cores as C
 from normscape.operators import ranking as RK
+from normscape.operators import trees as K
 from normscape.operators import weights as W
 from normscape.plans import catalog
 from tests.compare import TABLES, same
@@ -59,3 +60,27 @@ def test_walk_joins_no_arm_in_one_task(spark, monkeypatch):
     got = C.majority_walk(spark.createDataFrame(rows, "traj_idx long, arm string, tokens array<string>")).collect()
     assert not any("SortMergeJoin" in p for p in plans) and len(plans) > 3
     assert [tuple(r) for r in got] == [("trunk", 5)]
+
+
+def test_forks_of_a_node_with_many_branches(spark, monkeypatch):
+    monkeypatch.setattr(K, "_LISTED", 3)
+    monkeypatch.setattr(K, "_PAIRS", 20)
+    texts = [(i, "ab"[i % 2], f"w{i % 23} {'xyz'[i % 3]} {i % 7}".split()) for i in range(90)]
+    seqs = spark.createDataFrame(texts, "traj_idx long, arm string, tokens array<string>")
+    pairs = spark.createDataFrame([("a", "b")], "arm_a string, arm_b string")
+    lists = K._fork_lists(seqs, pairs)
+    assert lists.select(F.max(F.size("tokens_a") * F.size("tokens_b"))).first()[0] < 23 * 23 / 4
+    assert len([n for n in lists.rdd.glom().map(len).collect() if n]) > 4  # one node, many tasks
+    branches = {}
+    for _, arm, t in texts:
+        for k in range(3):
+            branches.setdefault((k, tuple(t[:k])), {}).setdefault(arm, set()).add(t[k])
+    want = {}
+    for (k, _), arms in branches.items():
+        for x in arms.get("a", ()):
+            for y in arms.get("b", ()):
+                if x != y:
+                    want[k, "a", "b", x, y] = want.get((k, "a", "b", x, y), 0) + 1
+    rows = K.fork_counts(seqs, pairs).collect()
+    assert {tuple(r)[:5]: r["n"] for r in rows} == want and len(rows) == len(want)
+    assert K.forks_between(seqs, pairs).count() == sum(want.values())
