@@ -96,7 +96,7 @@ def prefixes_at_steps(df: DataFrame, text_col: str = "text", tokens_col: str = "
     n = F.col(tokens_col)
     marks = F.when(n >= step, F.sequence(F.lit(step), n, F.lit(step))).otherwise(F.array().cast("array<int>"))
     rows = df.where(n > 0).select("*", F.explode(F.array_union(marks, F.array(n))).alias("k"))
-    return rows.withColumn("prefix", F.substring(text_col, F.lit(1), F.floor(F.char_length(text_col) * F.col("k") / n).cast("int"))).where(F.trim("prefix") != "")
+    return rows.withColumn("prefix", F.substring(text_col, F.lit(1), F.floor(F.char_length(text_col).cast("long") * F.col("k") / n).cast("int"))).where(F.trim("prefix") != "")
 
 
 def is_finished(text: Column, markers: tuple = EOS_MARKERS) -> Column:

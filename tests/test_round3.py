@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
+from normscape.functions import text as T
 from normscape.operators import cores as C
 from normscape.operators import ranking as RK
 from normscape.operators import trees as K
@@ -84,3 +85,10 @@ def test_forks_of_a_node_with_many_branches(spark, monkeypatch):
     rows = K.fork_counts(seqs, pairs).collect()
     assert {tuple(r)[:5]: r["n"] for r in rows} == want and len(rows) == len(want)
     assert K.forks_between(seqs, pairs).count() == sum(want.values())
+
+
+def test_prefixes_of_a_long_text(spark):
+    text = "ab " * 40_000  # characters times words are beyond 2 ** 31
+    df = spark.createDataFrame([(text, 40_000)], "text string, n_tokens int")
+    rows = T.prefixes_at_steps(df, step=15_000).select("k", F.char_length("prefix").alias("n")).collect()
+    assert sorted(tuple(r) for r in rows) == [(15_000, 45_000), (30_000, 90_000), (40_000, 120_000)]
