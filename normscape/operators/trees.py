@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +190,9 @@ def along_path(tree: DataFrame, value: Column, merge: Callable[[Column, Column],
     while True:
         far = state.select(F.col("node").alias("up"), F.col("up").alias("__next"), F.col("v").alias("__v"), F.lit(True).alias("__there"))
         merged = F.when(F.col("__there"), merge(F.col("v"), F.col("__v"))).otherwise(F.col("v"))
-        state = settled(state.join(far, "up", "left").select("node", F.col("__next").alias("up"), merged.alias("v")))
+        # rows that have reached the top stay out of the join, where their null key would be one task's
+        going = state.where("up IS NOT NULL").join(far, "up", "left").select("node", F.col("__next").alias("up"), merged.alias("v"))
+        state = settled(state.where("up IS NULL").unionByName(going))
         if state.where("up IS NOT NULL").isEmpty():
             return state.select("node", F.col("v").alias(out))
 
@@ -198,6 +202,40 @@ def propagate_logprob(tree: DataFrame, logprob: str = "logprob") -> DataFrame:
     return along_path(tree, F.col(logprob), lambda a, b: a + b, "logprob")
 
 
+def word_tree_sums(seqs: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
+    """(node, depth, total): propagate_logprob() of a value of each word over word_tree(), the same nodes and sums.
+
+    The nodes that have one first sequence are a chain, its words after those shared with the row before. So sums down to the
+    nodes where chains begin are propagated, a row a sequence, and each chain adds its own words to that: words are never
+    rows until the result.
+    """
+    walked = paths(seqs, (), with_rest=True).where(F.size("rest") > 0)
+    start = F.coalesce("lcp", F.lit(0))
+    up = F.when(start > 0, F.get(F.filter("nodes", lambda x: x["pos"] == start), F.lit(0))["lo"])
+    chains = settled(walked.select("k", start.alias("start"), up.alias("up"), F.transform("rest", lambda w: value(w).cast("double")).alias("values")))
+    begun = chains.where("up IS NOT NULL").select(F.col("up").alias("lo"), F.col("start").alias("pos")).distinct()
+    upto = F.aggregate(F.slice("values", F.lit(1), F.col("pos") - F.col("start")), F.lit(0.0), lambda a, x: a + x)
+    sums = begun.join(chains.select(F.col("k").alias("lo"), "start", "values"), "lo").select(F.col("lo").alias("up"), F.col("pos").alias("start"), upto.alias("v"))
+    above = chains.select("k", "up", "start").join(sums, ["up", "start"], "left").select(F.col("k").alias("node"), F.col("up").alias("parent"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    base = propagate_logprob(above, "v").select(F.col("node").alias("k"), F.col("logprob").alias("base"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, words = [], 0
+            for k, first, before, own in zip(b.column("k").to_pylist(), b.column("start").to_pylist(), b.column("base").to_pylist(), b.column("values")):
+                x = own.values.to_numpy(zero_copy_only=False)
+                depth = np.arange(first, first + len(x), dtype=np.int32)
+                made.append(((k << 24) + depth.astype(np.int64) + 1, depth, before + np.cumsum(x)))
+                words += len(x)
+                if words > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["node", "depth", "total"])
+                    made, words = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["node", "depth", "total"])
+
+    return chains.join(base, "k").select("k", "start", "base", "values").mapInArrow(add_up, "node long, depth int, total double")
+
+
 def subtree_ids(tree: DataFrame, root: int) -> DataFrame:
     """(node): a node and all below it."""
     return along_path(tree, F.col("node") == root, lambda a, b: a | b, "inside").where("inside").select("node")

@@ -92,3 +92,17 @@ def test_prefixes_of_a_long_text(spark):
     df = spark.createDataFrame([(text, 40_000)], "text string, n_tokens int")
     rows = T.prefixes_at_steps(df, step=15_000).select("k", F.char_length("prefix").alias("n")).collect()
     assert sorted(tuple(r) for r in rows) == [(15_000, 45_000), (30_000, 90_000), (40_000, 120_000)]
+
+
+def test_sums_down_a_word_tree_without_its_words_as_rows(spark, monkeypatch):
+    texts = ["a b c d", "a b c e f", "a b", "a b c d", "x", "x y z", "a b c d q r", "a b c e f g h"] + [f"a b c e f g {i % 5} {i}" for i in range(30)]
+    seqs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "traj_idx long, tokens array<string>").repartition(3)
+    value = lambda w: F.char_length(w) * F.lit(-0.5) - F.ascii(w) * F.lit(0.25)
+    tree = K.word_tree(seqs).withColumn("logprob", value(F.col("word")))
+    want = tree.select("node", "depth").join(K.propagate_logprob(tree), "node").collect()
+    written, settle = [], K.settled
+    monkeypatch.setattr(K, "settled", lambda df: written.append(df.count()) or settle(df))
+    got = K.word_tree_sums(seqs, value).collect()
+    at = lambda rows, c: sorted((r["depth"], round(r[c], 9)) for r in rows)
+    assert at(got, "total") == at(want, "logprob") and len(got) > max(written)
+    assert len({r["node"] for r in got}) == len(got)
