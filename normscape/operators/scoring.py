@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from normscape.functions import text as T
 from normscape.functions import vectors as V
-from normscape.sources.shared import small
+from normscape.sources.shared import settled, small
 
 
 def score_count_occurrences(texts: DataFrame, phrases: list[str], text_col: str = "text", case_sensitive: bool = False) -> DataFrame:
@@ -67,9 +67,10 @@ def top_lexicon_words(lexicon: DataFrame, k: int = 10) -> DataFrame:
 def top_words_by_text(texts: DataFrame, lexicon: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
     """(traj_idx, side, place, word, z): the k highest and lowest scored words of each text, a word as often as it occurs.
 
-    high: above 0, low: below 0; ties by word. A text's words are its own group, of the size of a text.
+    high: above 0, low: below 0; ties by word. A text's words are its own group, of the size of a text; the lexicon is
+    broadcast, so that a very common word is not one task's.
     """
-    words = texts.select("traj_idx", F.explode(T.simple_tokens(F.col(text_col))).alias("word")).join(lexicon.where("z <> 0"), "word")
+    words = texts.select("traj_idx", F.explode(T.simple_tokens(F.col(text_col))).alias("word")).join(small(settled(lexicon.where("z <> 0")), 300_000), "word")
     rows = words.withColumn("side", F.when(F.col("z") > 0, "high").otherwise("low"))
     w = Window.partitionBy("traj_idx", "side").orderBy(F.desc(F.abs("z")), "word")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("traj_idx", "side", "place", "word", "z")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from normscape.functions import text as T
 from normscape.operators import cores as C
+from normscape.operators import prefixes as P
 from normscape.operators import ranking as RK
+from normscape.operators import scoring as S
 from normscape.operators import trees as K
 from normscape.operators import weights as W
 from normscape.plans import catalog
+from normscape.sources.shared import settled
 from tests.compare import TABLES, same
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +109,19 @@ def test_sums_down_a_word_tree_without_its_words_as_rows(spark, monkeypatch):
     at = lambda rows, c: sorted((r["depth"], round(r[c], 9)) for r in rows)
     assert at(got, "total") == at(want, "logprob") and len(got) > max(written)
     assert len({r["node"] for r in got}) == len(got)
+
+
+def test_common_words_meet_a_lexicon_that_is_broadcast(spark):
+    texts = spark.createDataFrame([(i, "good bad good plain") for i in range(20)], "traj_idx long, text string")
+    lexicon = settled(spark.createDataFrame([("good", 2.0), ("bad", -1.0), ("plain", 0.0)], "word string, z double"))
+    df = S.top_words_by_text(texts, lexicon)
+    assert "SortMergeJoin" not in _plan(df)
+    assert df.count() == 60
+
+
+def test_partitions_of_a_prefix_tree_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "_ROWS", 20)
+    rows = [(i, f"a {i % 7} {i}".split()) for i in range(200)]
+    walked = P._sorted(spark.createDataFrame(rows, "traj_idx long, tokens array<string>"), ["traj_idx"], False)
+    sizes = [r["count"] for r in walked.groupBy("part").count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 60
