@@ -242,7 +242,7 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
 
     # texts with a secret alone go through Python; the pass over all rows only takes in what came out
     cut = masked(text, F.transform("__spans", lambda x: x["start"]), F.transform("__spans", lambda x: x["length"]))
-    hit = docs.join(side, own(side)).select("__id", "__hash", cut.alias("__clean")).dropDuplicates(["__id", "__hash"])
+    hit = docs.join(side, own(side)).select(side["__id"], side["__hash"], cut.alias("__clean")).dropDuplicates(["__id", "__hash"])
     hit = small_side(saved(hit, "masked"))
     joined = docs.join(hit, own(hit), "left")
     clean = F.coalesce(hit["__clean"], text).alias(text_col)
