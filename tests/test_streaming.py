@@ -103,6 +103,23 @@ def test_an_incomplete_sample_is_evicted_by_its_timer(spark, tmp_path):
     assert max(state) < 12
 
 
+def test_samples_share_buckets_and_timers(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    minutes = lambda m: t + dt.timedelta(minutes=m)
+    full = [(s, 0, q, 0.25 * q, t) for s in range(40) for q in range(2)]
+    steps = [
+        full + [(50, 0, 0, 1.0, t), (None, 0, 0, None, t), (None, 0, 1, 1.0, t)],
+        full[:6] + [(50, 0, 0, 0.5, minutes(1)), (50, 0, 1, 0.0, t)],
+        [(60, 0, 0, 0.5, minutes(600))],
+        [(60, 0, 1, 0.5, minutes(601)), (70, 0, 0, 0.5, minutes(602))],
+        [(0, 0, 0, 1.0, minutes(603)), (0, 0, 1, 1.0, minutes(603))],
+    ]
+    out, state = in_steps(spark, str(tmp_path / "in"), N.JUDGEMENTS, steps, lambda s: N.stream_complete_samples(s, 2, buckets=3), "append")
+    assert sorted(out[0], key=str) == sorted([(s, 0.125) for s in range(40)] + [(None, 0.5)], key=str)
+    assert out[1:] == [[(50, 0.25)], [], [(60, 0.5)], [(0, 1.0)]]  # a sample that was emitted long ago is a new one
+    assert 42 <= state[0] <= 42 + 2 * 3 and state[-1] <= 3 + 2 * 3  # a timer, which is two rows, a bucket and not a sample
+
+
 def test_judge_averages_count_once_and_their_state_ends(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     minutes = lambda m: t + dt.timedelta(minutes=m)
