@@ -2,8 +2,9 @@
 
 A reader of whole documents puts a file into one task. Here it is read as text that ends at every closing brace, so that
 its splits go to many tasks. Whether a fragment begins inside a string, and how deep, follows from running sums over all
-fragments before it; elements of the array end where the depth returns to the array's. Only fragments that touch what is
-above the array (its beginning and end, other values there) are walked one after another, to find where the array is.
+fragments before it; elements of the array end where the depth returns to the array's. The sums are over rows without the
+text, which moves twice: to the number of its element, and to the rest of it. Only fragments that touch what is above the
+array (its beginning and end, other values there) are walked one after another, to find where the array is.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normscape.operators.ranking import running
-from normscape.sources.shared import settled
+from normscape.sources.shared import settled, small
 
 _ORDER = ("file", "block", "row")
 
@@ -23,26 +24,37 @@ def _outside(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r'"[^"]*("|$)', ""), r"[^\[\]{}]", "")
 
 
-def _fragments(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, row, text, inside, depth, after, least): in order, the text before each closing brace.
+def _depths(plain: Column, inside: bool, odd: Column) -> Column:
+    """(change, low) of the depth over a fragment that begins inside or outside of a string, its closing brace included."""
+    closes = F.when(odd == int(inside), "}").otherwise("")
+    marks = F.concat(_outside(F.concat(F.lit('"'), plain) if inside else plain), closes)
+    steps = F.transform(F.filter(F.split(marks, ""), lambda m: m != ""), lambda m: F.when(m.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("change"), F.lit(0).alias("low"))
+    return F.aggregate(steps, start, lambda s, x: F.struct((s["change"] + x).alias("change"), F.least(s["low"], s["change"] + x).alias("low")))
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, row, text): the text before each closing brace; row tells all of them apart."""
+    raw = spark.read.option("lineSep", "}").text(path)
+    return settled(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text")))
+
+
+def _fragments(texts: DataFrame) -> DataFrame:
+    """(file, block, row, inside, depth, after, least) of _texts(), whose text no running sum carries along.
 
     inside: it begins in a string; depth: of containers at its beginning, after: behind its closing brace, least: the
     smallest on the way.
     """
-    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
     plain = F.regexp_replace("text", r"(?s)\\.", "")  # no fragment ends in the middle of an escape: \} is none
-    rows = raw.withColumn("__plain", plain).withColumn("__odd", F.length(F.regexp_replace("__plain", '[^"]', "")) % 2)
+    rows = texts.select(*_ORDER, plain.alias("__plain")).withColumn("__odd", F.length(F.regexp_replace("__plain", '[^"]', "")) % 2)
+    rows = rows.select(*_ORDER, "__odd", *[_depths(F.col("__plain"), i, F.col("__odd")).alias(n) for n, i in (("__out", False), ("__in", True))])
     order = [F.col("block"), F.col("row")]
     rows = running(rows, ["file"], order, F.col("__odd"), "__quotes")
     rows = rows.withColumn("inside", (F.col("__quotes") - F.col("__odd")) % 2 == 1)
-    closes = F.when(F.col("__quotes") % 2 == 0, "}").otherwise("")
-    rows = rows.withColumn("__marks", F.concat(_outside(F.when(F.col("inside"), F.concat(F.lit('"'), "__plain")).otherwise(F.col("__plain"))), closes))
-    opened = F.length(F.regexp_replace("__marks", r"[\]}]", ""))
-    rows = rows.withColumn("__change", 2 * opened - F.length("__marks"))
+    own = F.when(F.col("inside"), F.col("__in")).otherwise(F.col("__out"))
+    rows = rows.select(*_ORDER, "inside", own["change"].alias("__change"), own["low"].alias("__low"))
     rows = running(rows, ["file"], order, F.col("__change"), "after").withColumn("depth", F.col("after") - F.col("__change"))
-    steps = F.transform(F.filter(F.split("__marks", ""), lambda m: m != ""), lambda m: F.when(m.isin("[", "{"), 1).otherwise(-1))
-    low = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.least(s["low"], s["at"] + x).alias("low")), lambda s: s["low"])
-    return rows.withColumn("least", F.col("depth") + low).select(*_ORDER, "text", "inside", "depth", "after", "least")
+    return rows.select(*_ORDER, "inside", "depth", "after", (F.col("depth") + F.col("__low")).alias("least"))
 
 
 def _places(wanted: list[tuple[str, ...]]):
@@ -100,8 +112,10 @@ def json_values(spark: SparkSession, path: str, *wanted: tuple[str, ...]) -> tup
     Elements that are no objects are left out; if the value is itself an object it is the one row, put together whole. Files without such a
     value have no row. Of a key that comes twice in one object the whole stretch counts. path: one or more files.
     """
-    fragments = settled(_fragments(spark, path))
-    shallow = fragments.where(F.col("least") <= max(map(len, wanted)))
+    texts = _texts(spark, path)
+    fragments = settled(_fragments(texts))
+    shallow = fragments.where(F.col("least") <= max(map(len, wanted))).select("row", "inside", "depth")
+    shallow = texts.join(small(shallow, rows=100_000), "row").select(*_ORDER, "text", "inside", "depth")
     found = settled(shallow.groupBy("file").applyInPandas(_places(list(wanted)), "file string, path string, block long, row long, begin int, end int, kind string"))
     out = []
     for keys in wanted:
@@ -112,11 +126,12 @@ def json_values(spark: SparkSession, path: str, *wanted: tuple[str, ...]) -> tup
         here = F.struct("block", "row")
         first, last = F.struct("__from.block", "__from.row"), F.struct("__to.block", "__to.row")
         rows = rows.where((here >= first) & (here <= last))
-        begin = F.when(here == first, F.col("__from.begin")).otherwise(0)
-        end = F.when(here == last, F.col("__to.end")).otherwise(F.char_length("text"))
-        rows = rows.select(*_ORDER, F.substring("text", begin + 1, end - begin).alias("text"), (F.col("__from.kind") == "{").alias("__object"), ((F.col("after") == len(keys) + 1) & (here < last) & (F.col("__from.kind") == "[")).cast("long").alias("__ends"))
+        begin, end = F.when(here == first, F.col("__from.begin")).otherwise(0), F.when(here == last, F.col("__to.end"))
+        rows = rows.select(*_ORDER, begin.alias("__begin"), end.alias("__end"), (F.col("__from.kind") == "{").alias("__object"), ((F.col("after") == len(keys) + 1) & (here < last) & (F.col("__from.kind") == "[")).cast("long").alias("__ends"))
         rows = running(rows, ["file"], [F.col("block"), F.col("row")], F.col("__ends"), "__upto").withColumn("nth", F.col("__upto") - F.col("__ends"))
-        parts = F.array_sort(F.collect_list(F.struct("block", "row", "text")))
+        rows = texts.select("row", "text").join(small(rows.drop("__upto"), rows=100_000), "row")
+        text = F.substring("text", F.col("__begin") + 1, F.coalesce("__end", F.char_length("text")) - F.col("__begin"))
+        parts = F.array_sort(F.collect_list(F.struct("block", "row", text.alias("text"))))
         text = F.array_join(F.transform(parts, lambda x: x["text"]), "}")
         whole = rows.groupBy("file", "nth").agg(text.alias("value"), F.max("__ends").alias("__closed"), F.max("__object").alias("__object"))
         element = F.when(F.col("__object"), F.concat(F.lit("{"), "value", F.lit("}"))).otherwise(F.concat(F.regexp_extract("value", r"(?s)^[^{]*(\{.*)$", 1), F.lit("}")))

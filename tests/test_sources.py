@@ -37,6 +37,19 @@ def test_elements_of_a_document_in_many_splits(spark, tmp_path, indent):
     assert read(found[2], "a.json") == [doc["config"]]
 
 
+def test_running_sums_do_not_carry_the_text(spark, tmp_path):
+    rng = random.Random(2)
+    trajs = [{"traj_idx": i, "generated_text": rng.randbytes(4000).hex() + "}"} for i in range(200)]
+    (tmp_path / "a.json").write_text(json.dumps({"config": {"arms": ["trunk"]}, "tree": {"trajs": trajs}}))
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = lambda: jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()))
+    shuffled = lambda: sum(x.shuffleWriteBytes() for x in stages())
+    before = shuffled()
+    (found,) = json_values(spark, str(tmp_path), ("tree", "trajs"))
+    assert [json.loads(r["value"]) for r in found.orderBy("nth").collect()] == trajs
+    assert shuffled() - before < 2.5 * (tmp_path / "a.json").stat().st_size
+
+
 def test_results_are_needed(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"results": []}')
     with pytest.raises(ValueError, match="no results"):
