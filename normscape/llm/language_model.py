@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normscape.llm.common import WordCache, batch, hash_words, mix, saved, slices, temporary, text_rows
+from normscape.llm.common import WordCache, batch, gather_runs, hash_words, mix, saved, slices, temporary, text_rows
 from normscape.llm.language_id import fold
 
 TOP, CLUSTERED = 400_000, 16_384
@@ -38,6 +38,7 @@ _END = xxhash.xxh3_64_intdigest(b"\nend\n")  # as hash_words gives; no word hold
 _START = np.uint64(xxhash.xxh3_64_intdigest(b"\nstart\n"))
 _END_CLASS, _RARE = 0, 1
 _ROWS = 64  # weight rows of one exchanged block
+_SHORT = 4  # rows of a run that is added up with others
 
 
 @dataclass
@@ -52,12 +53,21 @@ class Vocabulary:
     types: int
     least: int  # words with fewer occurrences are not in hashes
 
+    def __post_init__(self):
+        # hashes are spread evenly, so of a table by their first bits a place holds about one
+        bits = max(1, len(self.hashes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.places = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each hash, or -1."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        ends = np.append(self.hashes, np.uint64(2**64 - 1))
+        at = np.take(self.places, (h >> self.shift).astype(np.int64)).astype(np.int64)
+        left = np.flatnonzero(ends[at] < h)
+        while len(left):
+            at[left] += 1
+            left = left[ends[at[left]] < h[left]]
+        return np.where((ends[at] == h) & (at < len(self.hashes)), at, -1)
 
     def leaves_of(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The leaf of each word, by its hash and what find() gives for it."""
@@ -236,8 +246,10 @@ def subclass_rows(context: np.ndarray, classes: np.ndarray, features: int) -> np
 def _scores(weights: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
     """Unnormalised log-probabilities, the largest 0."""
     np.take(weights, rows[0], axis=0, out=out, mode="clip")
+    more = np.empty_like(out)
     for x in rows[1:]:
-        out += weights[x]
+        np.take(weights, x, axis=0, out=more, mode="clip")
+        out += more
     out -= out.max(1, keepdims=True)
 
 
@@ -265,6 +277,23 @@ def gradients(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.n
     return out
 
 
+def _sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of g: those at order[first : first + n]. Most runs are short and are added up all at once."""
+    out = np.take(g, order[first], axis=0)
+    left = np.flatnonzero(n > 1)
+    for k in range(1, _SHORT):
+        short = left[n[left] <= _SHORT]
+        if not len(short):
+            break
+        out[short] += np.take(g, order[first[short] + k], axis=0)
+        left = left[n[left] > k + 1]
+    left = np.flatnonzero(n > _SHORT)
+    if len(left):
+        inside = order[gather_runs(first[left], n[left])]
+        out[left] = np.add.reduceat(np.take(g, inside, axis=0), np.cumsum(n[left]) - n[left])
+    return out
+
+
 def take_step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step on a block of tokens; a row moves less the more often it has been seen."""
     g = gradients(weights, rows, target)
@@ -274,7 +303,9 @@ def take_step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: n
         first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
         row, n = x[order][first], np.diff(np.append(first, len(x)))
         seen[row] += n
-        weights[row] -= (STEP * np.add.reduceat(g[order], first) / (np.sqrt(seen[row] * n) + 4)[:, None]).astype(np.float32)
+        moved = np.take(weights, row, axis=0)
+        moved -= _sums(g, order, first, n) * (STEP / (np.sqrt(seen[row] * n) + 4)).astype(np.float32)[:, None]
+        weights[row] = moved
 
 
 def first_weights(vocab: Vocabulary) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from normscape.llm import merkle, periodic_runs, token_files
+from normscape.llm import language_model, merkle, packing, periodic_runs, token_files
 from normscape.llm.cover_lce import CoverLCE
 from tests.llm.test_llm import HARD, SF
 
@@ -244,3 +244,25 @@ def test_extensions_against_brute_force():
                 k += 1
             want.append(k)
         assert CoverLCE(s).lce(i, j).tolist() == want
+
+
+def test_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(1)
+    most = np.uint64(2**64 - 1)
+    every = np.unique(np.append(rng.integers(0, 2**64, 3000, dtype=np.uint64), np.array([0, most], np.uint64)))
+    for held in (every, every[:-1], every[1:], every[:1], every[:0], every[-1:], np.arange(5, dtype=np.uint64)):
+        vocab = language_model.Vocabulary(held, np.ones(len(held), int), language_model.rare_leaf(held), np.ones(language_model.LEAVES), 1, 1, 1)
+        assert len(vocab.places) >= len(held)  # no search through the whole table
+        at = {h: i for i, h in enumerate(held.tolist())}
+        asked = np.concatenate([every, every + np.uint64(1), np.arange(9, dtype=np.uint64)])
+        assert vocab.find(asked).tolist() == [at.get(h, -1) for h in asked.tolist()]
+
+
+def test_moves_of_a_step_are_summed_by_row():
+    rng = np.random.default_rng(1)
+    g = rng.standard_normal((3000, 16)).astype(np.float32)
+    for x in (rng.integers(0, 2000, 3000), rng.zipf(1.4, 3000) % 500, np.zeros(3000, int), np.arange(3000)):
+        order = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(x[order]) > 0))
+        got = language_model._sums(g, order, first, np.diff(np.append(first, len(x))))
+        assert np.allclose(got, [g[x == k].sum(0) for k in np.unique(x)], atol=1e-4)
