@@ -12,6 +12,7 @@ import bisect
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
-        self.cores: dict[str, list[int]] = {}
+        self.cores: dict[str, bytes] = {}  # ids of four bytes each, of which a list would take some five times as much
         #: a special token that stands between words when many new ones are encoded as one text
         self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         #: plain lower-case words need no normaliser and are one pre-token: the model alone gives their ids
@@ -62,24 +63,28 @@ class WordTokens:
         self.direct = all(self._by_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
         self._clear()
 
-    def _learnt(self, words: list[str]) -> list:
+    def _learnt(self, words: list[str]) -> list[bytes]:
         """The ids of each word, from its core and its closing marks, which the tokenizer parts in any case."""
-        cores, tails = [], []
-        for w in words:
-            core, tail = w, ""
+        cores, tails, at = [], [], []
+        for i, w in enumerate(words):
+            core = w
             if not w.isalpha():
                 core = w.rstrip(_MARKS)
                 if not core or not core[-1].isalnum() or "|" in w:
                     core = w
-                tail = w[len(core) :]
-            cores.append(core.lower() if core.isascii() and core.isalpha() or "|" not in w and _latin(core) else core)
-            tails.append(tail)
-        new = list((set(cores) | set(tails)) - self.cores.keys() - {""})
+                elif len(core) < len(w):
+                    tails.append(w[len(core) :])
+                    at.append(i)
+            cores.append(core.lower() if core.isascii() and (core.isalpha() or "|" not in w) or "|" not in w and _latin(core) else core)
+        needed = set(cores).union(tails)
+        new = list(needed - self.cores.keys())
         if len(self.cores) + len(new) > self.cap:
-            self.cores = {}
-            new = list(set(cores + tails) - {""})
+            self.cores = {c: self.cores[c] for c in needed & self.cores.keys()}
         self.cores.update(zip(new, self._ids(new)))
-        return [self.cores[c] + self.cores[t] if t else self.cores[c] for c, t in zip(cores, tails)]
+        ids = list(map(self.cores.__getitem__, cores))
+        for i, t in zip(at, tails):
+            ids[i] = ids[i] + self.cores[t]
+        return ids
 
     def _by_model(self, word: str) -> list[int]:
         """The ids of a lower-case Latin word, which is one pre-token."""
@@ -87,47 +92,54 @@ class WordTokens:
             word = word.encode().decode("latin-1").translate(_BYTES)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
-    def _ids(self, words: list[str]) -> list:
+    def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
         if self.direct:
             plain = [w.isalpha() and w.islower() and _latin(w) for w in words]
             rest = iter(self._through_text([w for w, p in zip(words, plain) if not p]))
-            return [self._by_model(w) if p else next(rest) for w, p in zip(words, plain)]
+            return [array("I", self._by_model(w)).tobytes() if p else next(rest) for w, p in zip(words, plain)]
         return self._through_text(words)
 
-    def _through_text(self, words: list[str]) -> list:
+    def _through_text(self, words: list[str]) -> list[bytes]:
         if self.mark is None or any(self.mark[0] in w for w in words):
-            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         out = []
         for s in range(0, len(words), 500):
             some = words[s : s + 500]
-            ids = np.array(self.tokenizer.encode(self.mark[0].join(some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode(self.mark[0].join(some), add_special_tokens=False).ids, np.uint32)
             at = np.flatnonzero(ids == self.mark[1])
-            out += [x.tolist() for x in np.split(np.delete(ids, at), at - np.arange(len(at)))]
+            out += [x.tobytes() for x in np.split(np.delete(ids, at), at - np.arange(len(at)))]
         return out
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _keep(self, words: list[str]) -> None:
+        """Forgets all words but these."""
+        at = np.array([0, *map(self.index.__getitem__, words)], np.int64)
+        lengths = self.lengths[at]
+        self.flat = self.flat[gather_runs(self.starts[at], lengths)]
+        self.index = dict(zip(["", *words], range(len(at))))
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+
     def _learn(self, words: list[str]) -> None:
         ids = self._learnt(words)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         distinct = split.flatten().dictionary_encode()
-        words = distinct.dictionary.to_pylist()
+        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist()
         at = list(map(self.index.get, words))
         if None in at:
             new = [w for w, i in zip(words, at) if i is None]
             if len(self.index) + len(new) > self.cap:
-                self._clear()
-                new = [w for w in words if w]
+                self._keep([w for w, i in zip(words, at) if i])  # what is known is not worked out again
             self._learn(new)
             at = list(map(self.index.__getitem__, words))
         at = np.array(at, np.int64)[distinct.indices.to_numpy()]
