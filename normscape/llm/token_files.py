@@ -188,6 +188,14 @@ class ByteTokens:
         self.index: dict[bytes, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _keep(self, pieces: list[bytes]) -> None:
+        """Forgets all pieces but these."""
+        at = np.array(list(map(self.index.__getitem__, pieces)), np.int64)
+        lengths = self.lengths[at]
+        self.flat = self.flat[gather_runs(self.starts[at], lengths)]
+        self.index = dict(zip(pieces, range(len(at))))
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+
     @staticmethod
     def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where pieces begin, the texts' own starts among them. A character beyond ASCII is cut off only if its last
@@ -249,8 +257,7 @@ class ByteTokens:
         if None in at:
             new = [p for p, i in zip(pieces, at) if i is None]
             if len(self.index) + len(new) > self.cap:
-                self._clear()
-                new = pieces
+                self._keep([p for p, i in zip(pieces, at) if i is not None])  # what is known is not worked out again
             self._learn(new)
             at = list(map(self.index.__getitem__, pieces))
         at = np.array(at, np.int64)[distinct.indices.to_numpy()]
