@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from normscape.operators.prefixes import compressed, node_id, paths
+from normscape.operators.prefixes import compressed, node_id, paths, shortened
 from normscape.operators.ranking import ranked
 from normscape.operators.weights import join_groups
 from normscape.sources.shared import settled, small
@@ -26,9 +27,9 @@ def groups(seqs: DataFrame) -> DataFrame:
     return seqs.select("arm").distinct()
 
 
-def _partings(seqs: DataFrame, keep: tuple = ("traj_idx",)) -> DataFrame:
+def _partings(seqs: DataFrame, keep: tuple = ("traj_idx",), kind: DataType | None = None) -> DataFrame:
     """(keep.., prefix, pos, token): each sequence at each node where sequences part and no ended one is above."""
-    kind = seqs.schema["tokens"].dataType.elementType
+    kind = kind or seqs.schema["tokens"].dataType.elementType
     open_ = F.filter("nodes", lambda x: (x["pos"] < F.col("stop")) & x["token"].isNotNull())
     rows = paths(seqs, keep).select(*keep, F.explode(open_).alias("x"))
     return rows.select(*keep, node_id(F.col("x.lo"), F.col("x.pos")).alias("prefix"), F.col("x.pos").alias("pos"), F.col("x.token").cast(kind).alias("token"))
@@ -65,7 +66,7 @@ def _fork_lists(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
     has this pos.
     """
     at = ["prefix", "pos", "arm"]
-    own = settled(_partings(seqs, ("arm",)).distinct())
+    own = settled(_partings(shortened(seqs), ("arm",), seqs.schema["tokens"].dataType.elementType).distinct())
     nodes = own.groupBy("pos").agg((F.min("prefix") == F.max("prefix")).alias("alone"))
     rows = join_groups(own, own.groupBy(*at).agg(F.ceil(F.count("*") / _LISTED).alias("__lists")), at)
     lists = rows.groupBy(*at, F.pmod(F.xxhash64("token"), F.col("__lists")).alias("__list")).agg(F.collect_list("token").alias("tokens"))
@@ -80,8 +81,9 @@ def _fork_lists(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _fork_pairs(lists: DataFrame) -> DataFrame:
     keep = ["prefix", "pos", "arm_a", "arm_b"]
-    rows = lists.select(*keep, "tokens_b", F.explode("tokens_a").alias("token_a")).select(*keep, "token_a", F.explode("tokens_b").alias("token_b"))
-    return rows.where("token_a <> token_b")
+    rows = lists.select(*keep, "tokens_b", F.explode("tokens_a").alias("token_a"))
+    # a word is taken out of the other list at once, which costs less than a look at each pair
+    return rows.select(*keep, "token_a", F.explode(F.array_remove("tokens_b", F.col("token_a"))).alias("token_b"))
 
 
 def forks_between(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
