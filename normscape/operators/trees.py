@@ -63,17 +63,22 @@ def _fork_lists(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Each list of the one arm meets each of the other once, so all pairs of branches are there, though a node with very many
     has as many rows as it has pairs of lists, dealt over tasks by how many pairs of words they are. alone: no other node
-    has this pos.
+    has a word of the one list at this pos in its arm, so none has these pairs.
     """
     at = ["prefix", "pos", "arm"]
+    word = ["pos", "arm", "token"]
     own = settled(_partings(shortened(seqs), ("arm",), seqs.schema["tokens"].dataType.elementType).distinct())
-    nodes = own.groupBy("pos").agg((F.min("prefix") == F.max("prefix")).alias("alone"))
+    nodes = settled(own.groupBy(*word).agg(F.min("prefix").alias("prefix"), F.max("prefix").alias("__other")))
+    single = nodes.where("prefix = __other").select(*at, "token", F.lit(True).alias("single"))
+    several = own.join(small(nodes.where("prefix < __other").select(*word), 200_000), word, "left_semi").select(*at, "token", F.lit(False).alias("single"))
+    own = single.unionByName(several)
+    at = [*at, "single"]
     rows = join_groups(own, own.groupBy(*at).agg(F.ceil(F.count("*") / _LISTED).alias("__lists")), at)
     lists = rows.groupBy(*at, F.pmod(F.xxhash64("token"), F.col("__lists")).alias("__list")).agg(F.collect_list("token").alias("tokens"))
     lists = settled(lists.drop("__list"))
-    a = lists.select("prefix", "pos", F.col("arm").alias("arm_a"), F.col("tokens").alias("tokens_a")).join(small(pairs), "arm_a")
-    b = lists.select("prefix", "pos", F.col("arm").alias("arm_b"), F.col("tokens").alias("tokens_b"))
-    met = settled(join_groups(a.join(b, ["prefix", "pos", "arm_b"]), nodes, ["pos"]))
+    a = lists.select("prefix", "pos", F.col("arm").alias("arm_a"), F.col("tokens").alias("tokens_a"), F.col("single").alias("__a")).join(small(pairs), "arm_a")
+    b = lists.select("prefix", "pos", F.col("arm").alias("arm_b"), F.col("tokens").alias("tokens_b"), F.col("single").alias("__b"))
+    met = settled(a.join(b, ["prefix", "pos", "arm_b"]).withColumn("alone", F.col("__a") | F.col("__b")).drop("__a", "__b"))
     total = met.agg(F.sum(F.size("tokens_a").cast("long") * F.size("tokens_b"))).first()[0] or 0
     tasks = max(seqs.sparkSession.sparkContext.defaultParallelism, min(-(-total // _PAIRS), 20_000))
     return met.repartition(tasks)
@@ -94,7 +99,7 @@ def forks_between(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
 def fork_counts(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pos, arm_a, arm_b, token_a, token_b, n): nodes with a fork of forks_between(); all its pairs, so quadratic in branches.
 
-    A node that is alone at its position, as the root is, has each pair once, and its pairs are not sent on to be counted.
+    A pair with a word that its arm has at one node of this position alone is there once, and is not sent on to be counted.
     """
     lists = _fork_lists(seqs, pairs)
     keys = ["pos", "arm_a", "arm_b", "token_a", "token_b"]

@@ -84,3 +84,12 @@ def test_forks_sort_texts_that_part_early_by_their_beginnings(spark, monkeypatch
     K.forks_between(seqs, table)
     size = sorted_[0].select(F.sum("n")).first()[0]
     assert size < sum(len(t) for _, _, t in rows) / 2
+
+
+def test_pairs_of_words_at_one_node_are_not_counted(spark):
+    rows = [(i, "ab"[i % 2], [f"w{i // 4}", f"v{i}" if i % 4 < 2 else f"u{i % 4}"]) for i in range(80)]
+    seqs = spark.createDataFrame(rows, "traj_idx long, arm string, tokens array<string>")
+    pairs = spark.createDataFrame([("a", "b")], "arm_a string, arm_b string")
+    deep = K._fork_lists(seqs, pairs).where("pos = 1").groupBy("alone").agg(F.sum(F.size("tokens_a") * F.size("tokens_b")).alias("n")).collect()
+    assert {r["alone"]: r["n"] for r in deep} == {True: 60, False: 20}
+    assert {tuple(r)[:5]: r["n"] for r in K.fork_counts(seqs, pairs).collect()} == _forks(rows, [("a", "b")])
